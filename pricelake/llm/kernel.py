@@ -7,7 +7,6 @@ A null text is an empty one. Rows are taken in chunks of a few megabytes; one lo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +60,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_separator: np.ndarray)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: A random odd value for each byte.
+LETTERS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,7 +82,7 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     power = np.multiply.accumulate(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, U))
     base = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size)
     at = np.arange(len(base)) + base
-    value = _letters()[data[at]] * power[at - np.repeat(starts, size)]
+    value = LETTERS[data[at]] * power[at - np.repeat(starts, size)]
     total = np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1])))
     return mix(total + size.astype(U) * U(0xD6E8FEB86659FD93))
 

@@ -1,0 +1,178 @@
+"""Secrets in texts: base patterns, and multipart credentials linked within a scope.
+
+Base spans stand alone: assignments to a secret's name, access keys, long hexadecimal strings. Weak parts
+do not: identifiers (``user=...``), endpoints (``scheme://host``) and bare random-looking tokens occur in
+clean text. Each weak part opens a scope, the text within ``REACH`` code points around it in the same
+block (blocks are parted by blank lines). An interval join of scopes with all parts, on the row and on
+bins of positions, reports a weak part only if a complementary part lies in its scope: a secret for an
+identifier or an endpoint, one of these for a bare token.
+
+Defined cases: a null text is empty and has no spans; of equal starts the kinds go in the order of KINDS;
+a weak part that overlaps a base span is not reported; repeated rows give repeated results; very long
+texts are searched whole; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch, table, tune
+
+KINDS = ("assign", "access", "hex", "identifier", "endpoint", "secret")
+ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+#: Code points around a weak part that its scope covers at most, and the width of a bin of the join.
+REACH = 400
+BIN = 1024
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+IDENTIFIER = re.compile(r"""\b(?:user(?:name|id)?|login|account|client_?id|tenant_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
+ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]{4,}", re.A)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+BLANK = re.compile(r"\n[\x20\t\r]*\n")
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping matches of each base kind, without those that fail its length."""
+    out = []
+    if ":" in text or "=" in text:
+        out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    return out + [("hex", *m.span()) for m in HEX.finditer(text)]
+
+
+class Covered:
+    """Sorted spans that may overlap, and whether another span meets one of them."""
+
+    def __init__(self, spans) -> None:
+        spans = sorted(spans)
+        self.starts, self.tops = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def meets(self, s: int, e: int) -> bool:
+        at = bisect_left(self.starts, e)
+        return at > 0 and self.tops[at - 1] > s
+
+
+def random_looking(token: str) -> bool:
+    return bool(re.search("[0-9]", token) and re.search("[a-z]", token) and re.search("[A-Z]", token)) and len(set(token)) >= 10
+
+
+def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Weak parts and the bounds of their scopes."""
+    found = []
+    if ":" in text or "=" in text:
+        found += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
+    if "://" in text:
+        found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
+    found += [("secret", *m.span()) for m in TOKEN.finditer(text) if random_looking(m[0])]
+    if not found:
+        return []
+    strong = Covered((s, e) for _, s, e in base)
+    urls = Covered((s, e) for k, s, e in found if k == "endpoint")
+    blanks = [(m.start(), m.end()) for m in BLANK.finditer(text)]
+    opens, closes = [0, *(b for _, b in blanks)], [*(a for a, _ in blanks), len(text)]
+    out = []
+    for kind, s, e in found:
+        if strong.meets(s, e) or kind == "secret" and urls.meets(s, e):
+            continue
+        lo = max(s - REACH, opens[bisect_right(opens, s) - 1])
+        hi = min(e + REACH, closes[bisect_left(closes, e)])
+        out.append((kind, s, e, lo, hi))
+    return out
+
+
+PART = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+WEAK = pa.struct([*PART, pa.field("lo", pa.int64()), pa.field("hi", pa.int64())])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        base, weak = [], []
+        for text in b.column("text"):
+            t = text.as_py() or ""
+            base.append(found := base_spans(t))
+            weak.append(weak_spans(t, found))
+        named = lambda rows, names: [[dict(zip(names, x, strict=True)) for x in r] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                b.column("doc_id"),
+                b.column("row_key"),
+                pa.array(named(base, ("kind", "start", "end")), pa.list_(PART)),
+                pa.array(named(weak, ("kind", "start", "end", "lo", "hi")), pa.list_(WEAK)),
+            ],
+            ["doc_id", "row_key", "base", "weak"],
+        )
+
+
+def parts(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, base, weak) of each row of ``docs`` (doc_id, text): the parts found in its whole text."""
+    part = "array<struct<kind: string, start: bigint, end: bigint{}>>"
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_extract, f"doc_id {kind}, row_key bigint, base {part.format('')}, weak {part.format(', lo: bigint, hi: bigint')}")
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """(row_key, linked): the weak parts of each row in whose scope a complementary part lies."""
+    some = found.where("size(weak) > 0").select("row_key", "base", "weak").dropDuplicates(["row_key"])
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor(F.col(hi) / BIN))).alias("bin")
+    scopes = some.select("row_key", F.explode("weak").alias("w")).select("row_key", "w.*").withColumn("role", role_of("kind"))
+    scopes = scopes.select("*", bins("lo", "hi"))
+    plain = F.transform("weak", lambda w: F.struct(w.kind.alias("kind"), w.start.alias("start"), w.end.alias("end")))
+    every = some.select("row_key", F.explode(F.concat("base", plain)).alias("p")).select(
+        "row_key", role_of("p.kind").alias("p_role"), F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"), F.floor(F.col("p.start") / BIN).alias("bin")
+    )
+    complementary = F.when(F.col("role") == "secret", F.col("p_role") != "secret").otherwise(F.col("p_role") == "secret")
+    inside = (F.col("p_start") >= F.col("lo")) & (F.col("p_end") <= F.col("hi"))
+    hits = scopes.join(every, ["row_key", "bin"]).where(inside & complementary)
+    return hits.select("row_key", "kind", "start", "end").distinct().groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
+
+
+def role_of(column: str):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col(column))
+
+
+def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, base, spans) of each row: arrays of (kind, start, end) in order; spans has the linked weak parts as well."""
+    tune(spark)
+    scratch = scratch or Scratch(spark, "secrets")
+    found = scratch.keep(parts(docs), "parts")
+    ordered = lambda c: F.transform(
+        F.array_sort(F.transform(c, lambda x: F.struct(x.start.alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x.kind).alias("rank"), x.end.alias("end"), x.kind.alias("kind")))),
+        lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")),
+    )
+    none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
+    both = found.join(linked(found), "row_key", "left")
+    return both.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("linked", none))).alias("spans"))
+
+
+def joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def brute_force(text: str | None) -> tuple[list, str]:
+    """Base spans by the plain rule, for tests: every match of the pattern as written, failing ones dropped."""
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 24]
+    said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+    return sorted(out), hashlib.sha256(said.encode()).hexdigest()
