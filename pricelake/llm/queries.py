@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, url_filters
+from . import exact_dedup, mixing, ngram_join, secrets, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -15,6 +15,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op1_secret_scans": secrets.op1,
+    "op2_ngram_jaccard_join": ngram_join.op2,
     "op3_url_filters": url_filters.op3,
     "op5_mixing": mixing.op5,
     "op9_exact_dedup": exact_dedup.op9,
