@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, secrets, url_filters
+from . import decontaminate, exact_dedup, mixing, ngram_join, secrets, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.op2,
     "op3_url_filters": url_filters.op3,
     "op5_mixing": mixing.op5,
+    "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
 
