@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, secrets, url_filters
+from . import decontaminate, exact_dedup, mixing, ngram_join, secret_scans, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -14,7 +14,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {
-    "op1_secret_scans": secrets.op1,
+    "op1_secret_scans": secret_scans.op1,
     "op2_ngram_jaccard_join": ngram_join.op2,
     "op3_url_filters": url_filters.op3,
     "op5_mixing": mixing.op5,
