@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, secret_scans, url_filters
+from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -17,7 +17,9 @@ QUERIES = {
     "op1_secret_scans": secret_scans.op1,
     "op2_ngram_jaccard_join": ngram_join.op2,
     "op3_url_filters": url_filters.op3,
+    "op4_quality_classifier": quality.op4,
     "op5_mixing": mixing.op5,
+    "op7_toxicity": toxicity.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
