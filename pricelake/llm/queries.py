@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
+from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_url_filters": url_filters.op3,
     "op4_quality_classifier": quality.op4,
     "op5_mixing": mixing.op5,
+    "op6_language_id": language_id.op6,
     "op7_toxicity": toxicity.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
