@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
 
 ORACLES = {
