@@ -59,7 +59,7 @@ def simhashes(distinct: DataFrame) -> DataFrame:
 
 
 def members(hashes: DataFrame) -> DataFrame:
-    """(bucket, id): each line under each pair of its blocks, in its length class and the next if that may hold a partner."""
+    """(bucket, id, info): each line under each pair of its blocks, in its length class and the next if that may hold a partner."""
     own = F.floor(F.log2("size")).cast("long")
     partner = F.floor(F.log2(F.col("size") / F.lit(SIMILARITY))).cast("long")
     classes = F.explode(F.array_distinct(F.array(own, partner)))
@@ -67,7 +67,7 @@ def members(hashes: DataFrame) -> DataFrame:
     key = [F.struct(F.lit(10 * i + j).alias("t"), part(i).alias("x"), part(j).alias("y")) for i, j in combinations(range(len(BLOCKS)), 2)]
     each = hashes.select("line_id", "simhash", classes.alias("c"))
     each = each.select("line_id", "c", F.explode(F.array(*key)).alias("k"))
-    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), F.col("line_id").alias("id"))
+    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), F.col("line_id").alias("id"), F.lit(0).cast("long").alias("info"))
 
 
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     hashes = scratch.keep(simhashes(told.groupBy("line_id").agg(F.first("norm").alias("norm"))), "hashes")
     all_ = members(hashes)
     shared = all_.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    met = scratch.keep(all_.join(scratch.keep(shared, "shared"), "bucket").select("bucket", "id"), "members")
+    met = scratch.keep(all_.join(scratch.keep(shared, "shared"), "bucket").select("bucket", "id", "info"), "members")
     texts = told.join(met.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi")
     texts = scratch.keep(texts.groupBy("line_id").agg(F.first("norm").alias("norm")), "texts")
 

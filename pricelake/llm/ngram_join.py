@@ -51,15 +51,33 @@ class Classes:
         """The most n-grams in which linked sets with that sum of sizes differ."""
         return both * (100 - self.percent) // (100 + self.percent)
 
+    def shape(self, c: int) -> tuple[int, int]:
+        """(fragments, most differences) of a class."""
+        d = self.differences(2 * (self.lows[c + 1] - 1))
+        return d + 3 + d // 10, d
+
     def of(self, size: int) -> list[tuple[int, int, int]]:
         """(class, fragments, differences) of the classes that a set of that size joins."""
         c = int(np.searchsorted(self.lows, size, "right")) - 1
-        out = []
-        for k in (c, c + 1):
-            if k >= 0 and (k == c or size * 100 // self.percent >= self.lows[k]):
-                d = self.differences(2 * (self.lows[k + 1] - 1))
-                out.append((k, d + 3 + d // 10, d))
-        return out
+        return [(k, *self.shape(k)) for k in (c, c + 1) if k >= 0 and (k == c or size * 100 // self.percent >= self.lows[k])]
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, info_a, info_b, shared) those that share as many fragments as a linked pair of their sizes must.
+
+        A linked pair differs in few n-grams, hence in no more fragments; the others are equal, and of these
+        only the ones empty on both sides are not listed. A pair is judged in the class of its larger set.
+        """
+        n_classes = len(self.lows) - 1
+        of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("kind") + 1).cast("int"))
+        n = lambda c: F.shiftright(c, 24)
+        spare = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit(0xFFFF))
+        both, larger = n("info_a") + n("info_b"), F.greatest(n("info_a"), n("info_b"))
+        differ = F.floor(both * (100 - self.percent) / (100 + self.percent))
+        need = of([self.shape(c)[0] for c in range(n_classes)]) - differ - F.least(spare("info_a"), spare("info_b"))
+        home = (larger >= of(self.lows[:-1])) & (larger < of(self.lows[1:]))
+        small = F.least(n("info_a"), n("info_b"))
+        near = small * 100 >= larger * self.percent
+        return pairs.withColumn("kind", F.col("info_a").bitwiseAND(F.lit(0xFF))).where(home & near & (F.col("shared") >= need)).select("a", "b", "shared")
 
 
 def sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -96,12 +114,15 @@ def keyed_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(bucket, node) of each row's set: the fragments of its classes."""
+    """(bucket, node, info) of each row's set: the fragments of its classes.
+
+    info packs the size of the set, its empty fragments that are not listed, and the class.
+    """
 
     def run(batches):
         classes = Classes(percent)
         for b in batches:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, infos, seen = [], [], [], set()
             for _, found in sets(b, n):
                 for grams in found:
                     if len(grams) < 2 or (k := node(grams)) in seen:
@@ -117,10 +138,13 @@ def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                             held, total = np.concatenate((held, empty)), np.concatenate((total, np.zeros(len(empty), U)))
                         keys.append(mix(total + mix(held + U(c << 40))))
                         nodes.append(np.full(len(held), k, np.int64))
+                        infos.append(np.full(len(held), len(grams) << 24 | min(fragments - len(held), 0xFFFF) << 8 | c, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], ["bucket", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(infos))], ["bucket", "node", "info"]
+                )
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, node bigint")
+    return docs.select("text").mapInArrow(run, "bucket bigint, node bigint, info bigint")
 
 
 def sliced(rows: DataFrame, n: int, slices: int = SLICES) -> DataFrame:
@@ -165,18 +189,19 @@ def overlaps(pairs: DataFrame, slices: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("common").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
-def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id).
+def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, plausible=None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+    """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id, info).
 
-    ``verify`` keeps of pairs (a, b) those that link. No link between components stays unseen: at the end
+    ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
+    common buckets; ``verify`` keeps of pairs (a, b) those that link. No link between components stays unseen: at the end
     every pair of a bucket either lies in one component or has been verified not to link.
     """
     links = tested = comp = None
-    left = members.select("bucket", "id", F.col("id").alias("comp"))
+    left = members.select("bucket", "id", "info", F.col("id").alias("comp"))
     last = None
     for turn in range(pivot_rounds + 1):
         if comp is not None:
-            left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+            left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", "info", F.coalesce("comp", "id").alias("comp"))
         sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         spread = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         spread = scratch.keep(spread.where("comps > 1"), "spread")
@@ -186,16 +211,18 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
         left = scratch.keep(left.join(spread.select("bucket"), "bucket", "left_semi"), "left")
         final = turn == pivot_rounds or pairs_left <= 2 * rows or last is not None and pairs_left > 0.7 * last
         last = pairs_left
+        side = lambda c: left.select("bucket", F.col("id").alias(c), F.col("info").alias(f"info_{c}"), F.col("comp").alias(f"comp_{c}"))
         if final:
-            other = left.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = left.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and comp <> comp_b").select("a", "b").distinct()
+            met = side("a").join(side("b"), "bucket").where("a < b and comp_a <> comp_b")
         else:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")))
-            pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.pivot", "p.pivot_comp")
-            met = left.join(pivots, "bucket").where("comp <> pivot_comp").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
-            # Of its pivots an id first meets the one with which it shares most buckets.
-            best = met.groupBy("id").agg(F.max(F.struct("shared", "pivot")).alias("best")).select("id", "best.pivot")
-            pairs = best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("info").alias("info_p"), F.col("comp").alias("comp_p")))
+            pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.p", "p.info_p", "p.comp_p")
+            met = side("a").join(pivots.toDF("bucket", "b", "info_b", "comp_b"), "bucket").where("comp_a <> comp_b")
+        pairs = met.groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
+        pairs = plausible(pairs) if plausible else pairs
+        if not final:  # of its pivots an id first meets the one with which it shares most buckets
+            pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
@@ -222,7 +249,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     keys = scratch.keep(keyed_sets(docs, n), "keys")
     all_ = buckets(docs, n, percent)
     shared = scratch.keep(all_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
-    members = scratch.keep(all_.join(shared, "bucket").select("bucket", F.col("node").alias("id")).distinct(), "members")
+    members = scratch.keep(all_.join(shared, "bucket").select("bucket", F.col("node").alias("id"), "info").distinct(), "members")
 
     stands = keys.groupBy("node").agg(F.min("doc_id").alias("pick")).withColumnRenamed("node", "want")
     need = stands.join(members.select(F.col("id").alias("want")).distinct(), "want", "left_semi")
@@ -232,7 +259,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     def verify(pairs: DataFrame) -> DataFrame:
         return overlaps(pairs, slices).where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
-    comp = linked_components(spark, members, verify, scratch).withColumnRenamed("id", "node")
+    comp = linked_components(spark, members, verify, scratch, Classes(percent).plausible).withColumnRenamed("id", "node")
     placed = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.keep(placed, "placed")
     least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
