@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -9,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pricing, text
-from ..operators import catalog, deals, history, ingest, reports
+from ..operators import catalog, categories, curation, deals, history, ingest, matching, reports
+from ..operators.matching import ITEM
+from ..sources.archive import from_path, retained_runs
+from ..sources.coverage import crawl_coverage
+from ..sources.parsers import parse_foodstuffs, parse_freshchoice, parse_woolworths
+from ..sources.tables import read_table, write_table
 from .derive import NOW, Tables, flat, with_tables
 
 CLOCK = datetime.fromtimestamp(NOW, UTC)
@@ -560,3 +566,425 @@ SELECT r.run_id, CASE WHEN r.status = 'Failed' THEN 0 ELSE coalesce(f.n, 0) END
 def g9_close_crawl_runs(t):
     out = ingest.close_crawl_runs(t.observations, ingest.price_snapshots(t.observations, t.runs), t.runs)
     return out.select("run_id", "products_found", "snapshots_written", "status", "error_message")
+
+
+# ---- categories -------------------------------------------------------------------------------------------------
+
+LIVE = """live AS (SELECT * FROM {categories} WHERE NOT is_archived), up1 AS (SELECT p.category_id AS ancestor_id, c.category_id FROM live c JOIN live p ON c.parent_id = p.category_id),
+up2 AS (SELECT a.ancestor_id, b.category_id FROM up1 a JOIN up1 b ON a.category_id = b.ancestor_id),
+closure AS (SELECT category_id AS ancestor_id, category_id FROM live UNION ALL SELECT * FROM up1 UNION ALL SELECT * FROM up2)"""
+COUNTS = """counts AS (SELECT category_id, count(*) AS n FROM (SELECT category_id FROM {items} WHERE category_id IS NOT NULL UNION ALL
+  SELECT category_id FROM (SELECT DISTINCT l.product_id, c.category_id FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id AND s.is_active JOIN {product_store_categories} k ON l.product_id = k.product_id
+   JOIN {store_categories} c ON k.store_category_id = c.store_category_id WHERE l.item_id IS NULL AND l.is_available AND l.current_price IS NOT NULL AND c.category_id IS NOT NULL) x) y GROUP BY category_id)"""
+
+
+def _chained(t):
+    return t.store_categories.join(t.stores.select("store_id", "chain"), "store_id")
+
+
+@query(
+    """WITH sc AS (SELECT c.*, s.chain FROM {store_categories} c JOIN {stores} s ON c.store_id = s.store_id WHERE s.chain IN ('NewWorld', 'PaknSave')),
+sl AS (SELECT *, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '-') AS s0 FROM sc),
+p AS (SELECT a.kind, concat_ws('/', c.s0, b.s0, a.s0) AS path, concat_ws('/', c.s0, b.s0) AS parent_path FROM sl a LEFT JOIN sl b ON a.parent_id = b.store_category_id LEFT JOIN sl c ON b.parent_id = c.store_category_id)
+SELECT path, min(kind) AS kind, nullif(min(parent_path), '') AS parent_id FROM p GROUP BY path""".replace("{{", "\x00").replace("}}", "\x01")
+)
+def c1_build_category_tree(t):
+    return categories.build_category_tree(_chained(t)).select("path", "kind", "parent_id")
+
+
+ORACLES["c1_build_category_tree"] = ORACLES["c1_build_category_tree"].replace("\x00", "{").replace("\x01", "}")
+
+
+@query(
+    """WITH one AS (SELECT kind, slug, min(category_id) AS id FROM {categories} GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT c.store_category_id, CASE WHEN s.chain IN ('NewWorld', 'PaknSave') THEN g.category_id ELSE coalesce(c.category_id, one.id) END AS category_id
+FROM {store_categories} c JOIN {stores} s ON c.store_id = s.store_id LEFT JOIN {categories} g ON g.category_id = c.external_id LEFT JOIN one ON one.kind = c.kind AND one.slug = c.slug"""
+)
+def c2_map_store_categories(t):
+    return categories.map_store_categories(_chained(t), t.categories).select("store_category_id", "category_id")
+
+
+@query(
+    """WITH m AS (SELECT c.store_category_id, c.kind, c.category_id, g.name AS new_name FROM {store_categories} c JOIN {categories} g ON c.category_id = g.category_id WHERE NOT g.is_archived),
+r AS (SELECT l.item_id, m.category_id, row_number() OVER (PARTITION BY l.item_id ORDER BY CASE WHEN s.chain IN ('NewWorld', 'PaknSave') THEN 0 ELSE 1 END, CASE m.kind WHEN 'Shelf' THEN 0 WHEN 'Aisle' THEN 1 ELSE 2 END, l.product_id, m.store_category_id) AS rn
+  FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id JOIN {product_store_categories} k ON l.product_id = k.product_id JOIN m ON k.store_category_id = m.store_category_id WHERE l.item_id IS NOT NULL)
+SELECT i.item_id, coalesce(r.category_id, i.category_id) AS category_id FROM {items} i LEFT JOIN r ON i.item_id = r.item_id AND rn = 1"""
+)
+def c3_assign_item_categories(t):
+    listings = t.listings.join(t.stores.select("store_id", "chain"), "store_id")
+    return categories.assign_item_categories(t.items, listings, t.product_store_categories, t.store_categories, t.categories).select("item_id", "category_id")
+
+
+@query(
+    "SELECT 'nodes' AS measure, count(*) AS n FROM {categories} UNION ALL SELECT 'mapped', count(*) FROM {store_categories} WHERE category_id IS NOT NULL UNION ALL SELECT 'categorised', count(*) FROM {items} WHERE category_id IS NOT NULL"
+)
+def c4_category_map_summary(t):
+    return categories.category_map_summary(t.categories, t.store_categories, t.items)
+
+
+@query(f"WITH {LIVE} SELECT category_id FROM closure WHERE ancestor_id = 'ECONOMY'")
+def c5_category_subtree(t):
+    return categories.category_subtree(t.categories, "ECONOMY")
+
+
+@query(f"WITH {COUNTS} SELECT * FROM counts")
+def c6_category_counts(t):
+    return categories.category_counts(t.items, t.listings, t.product_store_categories, t.store_categories, t.stores)
+
+
+@query(
+    f"""WITH {LIVE}, {COUNTS}, tot AS (SELECT ancestor_id AS category_id, CAST(sum(n) AS BIGINT) AS total FROM closure JOIN counts ON closure.category_id = counts.category_id GROUP BY 1)
+SELECT c.category_id, c.parent_id, c.kind, c.name, c.path, coalesce(counts.n, 0) AS n, coalesce(tot.total, 0) AS total FROM live c LEFT JOIN counts ON c.category_id = counts.category_id LEFT JOIN tot ON c.category_id = tot.category_id WHERE c.kind IN ('Department', 'Aisle')"""
+)
+def c7_category_tree(t):
+    counts = categories.category_counts(t.items, t.listings, t.product_store_categories, t.store_categories, t.stores)
+    return categories.category_tree(t.categories, counts, "Aisle")
+
+
+@query("SELECT c.category_id, c.kind, c.path, c.name, count(i.item_id) AS products FROM {categories} c LEFT JOIN {items} i ON i.category_id = c.category_id GROUP BY ALL")
+def c8_category_counts_view(t):
+    return categories.category_counts_view(t.categories, t.items)
+
+
+# ---- matching ---------------------------------------------------------------------------------------------------
+
+MERGED = """merged AS (WITH RECURSIVE m(item_id, live_id, hops) AS (SELECT item_id, item_id, 0 FROM {items} UNION ALL SELECT m.item_id, i.merged_into_id, hops + 1 FROM m JOIN {items} i ON m.live_id = i.item_id WHERE i.merged_into_id IS NOT NULL AND hops < 32)
+  SELECT item_id, arg_max(live_id, hops) AS live_id FROM m GROUP BY item_id)"""
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
+def m1_resolve_merges(t):
+    return matching.resolve_merges(t.items)
+
+
+def _open(t):
+    """Unlinked listings of active stores with their chain."""
+    return catalog.with_store(t.listings.withColumn("item_id", F.lit(None).cast("string")), t.stores)
+
+
+def _no_items(t):
+    return t.spark.createDataFrame([], ", ".join(f"{c} string" for c in ITEM))
+
+
+TIER1 = """own AS (SELECT l.* FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE s.is_active AND s.chain IN ('NewWorld', 'PaknSave')),
+t1 AS (SELECT sku, concat('foodstuffs:', sku) AS match_key, arg_min(struct_pack(n := raw_name, b := raw_brand, z := raw_size), (-length(raw_name), store_id, product_id)) AS p FROM own GROUP BY sku)"""
+
+
+@query(f"WITH {TIER1} SELECT match_key, p.n AS name, p.b AS brand, p.z AS size, (SELECT count(*) FROM own WHERE own.sku = t1.sku) AS n_listings FROM t1")
+def m2_tier1_items(t):
+    items, listings = matching.tier1_items(_open(t), _no_items(t))
+    n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
+    return items.join(n, "item_id").select("match_key", "name", "brand", "size", "n_listings")
+
+
+INDEX = f"""ix AS (SELECT item_id, match_key, {NORM_BRAND.format('brand')} AS brand_norm, {NORM_SIZE.format('size')} AS size_norm, {TOKENS.format('name', NORM_BRAND.format('brand'))} AS tokens FROM {{items}} WHERE merged_into_id IS NULL AND match_key IS NOT NULL)"""
+
+
+@query(f"WITH {INDEX} SELECT item_id, match_key, brand_norm, size_norm, array_to_string(list_sort(tokens), ' ') AS tokens FROM ix WHERE brand_norm IS NOT NULL AND size_norm IS NOT NULL")
+def m3_match_index(t):
+    return matching.match_index(t.items).select("item_id", "match_key", "brand_norm", "size_norm", F.array_join(F.array_sort("item_tokens"), " ").alias("tokens"))
+
+
+@query(
+    f"""WITH {MERGED}, a AS (SELECT c.product_id, min(live_id) AS new_item FROM {{candidates}} c JOIN merged ON c.item_id = merged.item_id WHERE c.status = 'Approved' GROUP BY 1)
+SELECT l.product_id, coalesce(a.new_item, l.item_id) AS item_id FROM {{listings}} l LEFT JOIN a ON l.product_id = a.product_id"""
+)
+def m4_apply_approved(t):
+    return matching.apply_approved(t.listings, t.candidates, t.items).select("product_id", "item_id")
+
+
+SCORED = f"""{INDEX}, voc AS (SELECT DISTINCT {NORM_BRAND.format('brand')} AS brand FROM {{items}} WHERE match_key LIKE 'foodstuffs:%' AND merged_into_id IS NULL),
+op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {{listings}} WHERE item_id IS NULL),
+ph AS (SELECT product_id, n, array_to_string(w[1:n], ' ') AS phrase FROM (SELECT product_id, regexp_split_to_array(raw_name, ' ') AS w FROM op WHERE raw_brand IS NULL) x, (VALUES (1), (2), (3)) y(n) WHERE len(w) >= n),
+gu AS (SELECT product_id, max_by(phrase, n) AS inferred FROM ph JOIN voc ON {NORM_BRAND.format('phrase')} = voc.brand GROUP BY product_id),
+li AS (SELECT op.product_id, inferred, {NORM_SIZE.format('raw_size')} AS size_norm, {NORM_BRAND.format('coalesce(raw_brand, inferred)')} AS brand_norm, {TOKENS.format('raw_name', NORM_BRAND.format('coalesce(raw_brand, inferred)'))} AS t FROM op LEFT JOIN gu ON op.product_id = gu.product_id),
+sc AS (SELECT li.product_id, ix.item_id, ix.match_key, inferred, CASE WHEN least(len(t), len(tokens)) > 0 THEN len(list_intersect(t, tokens)) / least(len(t), len(tokens))::DOUBLE ELSE 0 END AS score
+  FROM li JOIN ix ON li.brand_norm = ix.brand_norm AND li.size_norm = ix.size_norm WHERE NOT EXISTS (SELECT 1 FROM {{candidates}} c WHERE c.product_id = li.product_id AND c.item_id = ix.item_id AND c.status = 'Rejected')),
+scored AS (SELECT * FROM sc WHERE score >= 0.3)"""
+
+
+def _scored(t):
+    return matching.score_candidates(t.listings, matching.match_index(t.items), matching.brand_vocabulary(t.items, "foodstuffs"), t.candidates)
+
+
+@query(f"WITH {SCORED} SELECT product_id, item_id, score, inferred FROM scored")
+def m5_score_candidates(t):
+    return _scored(t).select("product_id", "item_id", "score", "inferred")
+
+
+DECIDED = f"""{SCORED}, d1 AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) OVER (PARTITION BY product_id) AS n_scored FROM scored WINDOW w AS (PARTITION BY product_id ORDER BY score DESC, match_key)),
+decided AS (SELECT *, bool_or(place = 1 AND score >= 0.8 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS auto FROM d1)"""
+
+
+@query(f"WITH {DECIDED} SELECT product_id, item_id, place, n_scored, auto FROM decided WHERE place <= 3")
+def m6_decide(t):
+    return matching.decide(_scored(t)).select("product_id", "item_id", "place", "n_scored", "auto")
+
+
+@query(
+    f"""WITH {DECIDED} SELECT product_id, item_id, round_even(score, 3) AS score, concat(CASE WHEN inferred IS NOT NULL THEN concat('brand ''', inferred, ''' inferred from name; ') ELSE '' END, 'brand+size match; name overlap ', printf('%.2f', score),
+ CASE WHEN n_scored > 1 THEN printf('; ambiguous (%d candidates)', n_scored) ELSE '' END) AS reason FROM decided WHERE place <= 3 AND NOT auto AND NOT EXISTS (SELECT 1 FROM {{candidates}} c WHERE c.product_id = decided.product_id AND c.item_id = decided.item_id)"""
+)
+def m7_queue_candidates(t):
+    return matching.queue_candidates(matching.decide(_scored(t)), t.candidates).select("product_id", "item_id", "score", "reason")
+
+
+ACTIVE = """act AS (SELECT l.*, s.chain FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE s.is_active)"""
+SHORT = f"(SELECT DISTINCT {NORM_BRAND.format('p_brand')} AS brand FROM {{part}} WHERE p_partkey % 10 < 2 AND p_brand LIKE '%1%')"
+
+
+def _short(t):
+    """A vocabulary that lacks some brands."""
+    return t.part.where("p_partkey % 10 < 2 and p_brand like '%1%'").select(text.normalize_brand(F.col("p_brand")).alias("brand")).distinct()
+
+
+@query(
+    f"""WITH {ACTIVE}, own AS (SELECT * FROM act WHERE chain = 'Woolworths' AND {NORM_BRAND.format('raw_brand')} NOT IN (SELECT brand FROM {SHORT} v))
+SELECT concat('woolworths:', sku) AS match_key, arg_min(raw_name, (store_id, product_id)) AS name, arg_min(raw_brand, (store_id, product_id)) AS brand, count(*) AS n_listings FROM own GROUP BY 1"""
+)
+def m8_tier3_anchors(t):
+    items, listings = matching.tier3_anchors(_open(t), _no_items(t), _short(t))
+    n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
+    return items.join(n, "item_id").select("match_key", "name", "brand", "n_listings")
+
+
+LEADS = f"""ld AS (SELECT DISTINCT product_id FROM (SELECT product_id, array_to_string(w[1:n], ' ') AS phrase FROM (SELECT product_id, regexp_split_to_array(raw_name, ' ') AS w FROM act WHERE chain = 'FreshChoice') x, (VALUES (1), (2), (3)) y(n) WHERE len(w) >= n) p
+  JOIN {SHORT} v ON {NORM_BRAND.format('phrase')} = v.brand)"""
+
+
+@query(
+    f"""WITH {ACTIVE}, {LEADS}, own AS (SELECT act.product_id, act.item_id FROM act JOIN {{items}} i ON act.item_id = i.item_id WHERE act.chain = 'FreshChoice' AND i.match_key LIKE 'freshchoice:%')
+SELECT own.product_id, own.item_id FROM own JOIN ld ON own.product_id = ld.product_id"""
+)
+def m9_reclaim_singletons(t):
+    return matching.reclaim_singletons(catalog.with_store(t.listings, t.stores), t.items, t.candidates, _short(t))[3]
+
+
+@query(
+    f"""WITH {DECIDED.replace("op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {listings} WHERE item_id IS NULL)", "op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE item_id IS NULL AND s.chain = 'FreshChoice')").replace("merged_into_id IS NULL AND match_key IS NOT NULL)", "merged_into_id IS NULL AND match_key LIKE 'woolworths:%')").replace("LIKE 'foodstuffs:%'", "LIKE 'woolworths:%'")}
+SELECT product_id, item_id AS linked_to FROM decided WHERE auto AND place = 1"""
+)
+def m10_tier3b_attach(t):
+    rows = t.listings.join(t.stores.where("chain = 'FreshChoice'").select("store_id"), "store_id", "left_semi")
+    decided = matching.decide(matching.score_candidates(rows, matching.match_index(t.items, "woolworths"), matching.brand_vocabulary(t.items, "woolworths"), t.candidates))
+    return decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("linked_to"))
+
+
+@query(
+    f"""WITH {ACTIVE}, {LEADS} SELECT concat('freshchoice:', sku) AS match_key, arg_min(raw_name, (store_id, product_id)) AS name, count(*) AS n_listings FROM act WHERE chain = 'FreshChoice' AND product_id NOT IN (SELECT product_id FROM ld) GROUP BY 1"""
+)
+def m11_tier4_singletons(t):
+    items, listings = matching.tier4_singletons(_open(t), _no_items(t), _short(t))
+    n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
+    return items.join(n, "item_id").select("match_key", "name", "n_listings")
+
+
+@query("SELECT c.candidate_id, c.status FROM {candidates} c WHERE c.status <> 'Pending' OR NOT EXISTS (SELECT 1 FROM {listings} l WHERE l.product_id = c.product_id AND l.first_seen_at % 2 = 0)")
+def m12_drop_resolved_candidates(t):
+    linked = t.listings.withColumn("item_id", F.when(F.unix_timestamp("first_seen_at") % 2 == 0, F.lit("x")))
+    return matching.drop_resolved_candidates(t.candidates, linked).select("candidate_id", "status")
+
+
+@query()
+def m13_match_run_summary(t):
+    return _matched(t)["summary"]
+
+
+def _matched(t):
+    """The whole cascade from nothing, lineage cut in the shared folder."""
+    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    t.spark.sparkContext.setCheckpointDir(root)
+    empty = t.spark.createDataFrame([], "candidate_id string, product_id string, item_id string, score double, reason string, status string")
+    cats = t.store_categories
+    return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats)
+
+
+@query()
+def m14_run_match(t):
+    out = _matched(t)
+    keys = out["items"].select("item_id", "match_key")
+    return out["listings"].join(keys, "item_id", "left").select("product_id", "chain", "match_key")
+
+
+@query(
+    f"""WITH {INDEX}, {ACTIVE}, voc AS (SELECT DISTINCT {NORM_BRAND.format('brand')} AS brand FROM {{items}} WHERE match_key LIKE 'foodstuffs:%' AND merged_into_id IS NULL),
+op AS (SELECT * FROM act WHERE item_id IS NULL AND CAST(sku AS BIGINT) % 3 = 0 ),
+ph AS (SELECT product_id, n, array_to_string(w[1:n], ' ') AS phrase FROM (SELECT product_id, regexp_split_to_array(raw_name, ' ') AS w FROM op WHERE raw_brand IS NULL) x, (VALUES (1), (2), (3)) y(n) WHERE len(w) >= n),
+gu AS (SELECT product_id, max_by(phrase, n) AS inferred FROM ph JOIN voc ON {NORM_BRAND.format('phrase')} = voc.brand GROUP BY product_id),
+li AS (SELECT op.product_id, op.chain, {NORM_SIZE.format('raw_size')} AS size_norm, {NORM_BRAND.format('coalesce(raw_brand, inferred)')} AS brand_norm FROM op LEFT JOIN gu ON op.product_id = gu.product_id)
+SELECT chain, CASE WHEN size_norm IS NULL THEN 'no size' WHEN brand_norm IS NULL THEN 'no brand' WHEN brand_norm NOT IN (SELECT brand_norm FROM ix WHERE brand_norm IS NOT NULL) THEN 'brand unknown'
+ WHEN NOT EXISTS (SELECT 1 FROM ix WHERE ix.brand_norm = li.brand_norm AND ix.size_norm = li.size_norm) THEN 'size differs' ELSE 'overlap too small' END AS cause, count(*) AS n FROM li GROUP BY 1, 2"""
+)
+def t15_zero_candidate_breakdown(t):
+    rows = catalog.with_store(t.listings, t.stores)
+    known = t.candidates.where("product_id is not null").join(t.listings.where("cast(sku as bigint) % 3 <> 0").select("product_id"), "product_id", "left_semi")
+    return matching.zero_candidate_breakdown(rows, t.items, known)
+
+
+# ---- curation ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {MERGED}, d AS (SELECT candidate_id, product_id, item_id, status, length(item_id) % 2 = 0 AS approve FROM {{candidates}}),
+r AS (SELECT *, CASE WHEN status <> 'Pending' OR (approve AND row_number() OVER (PARTITION BY product_id, approve AND status = 'Pending' ORDER BY candidate_id) > 1) THEN 'conflict' WHEN approve THEN 'approved' ELSE 'rejected' END AS outcome FROM d)
+SELECT c.candidate_id, CASE r.outcome WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected' ELSE c.status END AS status FROM {{candidates}} c JOIN r ON c.candidate_id = r.candidate_id
+WHERE NOT (CASE r.outcome WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected' ELSE c.status END = 'Pending' AND c.product_id IN (SELECT product_id FROM r WHERE outcome = 'approved'))"""
+)
+def t10_apply_review_decisions(t):
+    d = t.candidates.select("candidate_id", (F.length("item_id") % 2 == 0).alias("approve"))
+    return curation.apply_review_decisions(t.candidates, t.listings, t.items, d)[0].select("candidate_id", "status")
+
+
+@query(
+    """WITH k AS (SELECT product_id, CASE WHEN length(product_id) % 2 = 0 THEN concat('i', CAST(CAST(sku AS BIGINT) + 1 AS STRING)) END AS want FROM {listings} WHERE CAST(sku AS BIGINT) % 5 = 0)
+SELECT l.product_id, CASE WHEN k.product_id IS NULL THEN l.item_id WHEN k.want IS NULL THEN NULL WHEN i.item_id IS NOT NULL THEN k.want ELSE l.item_id END AS item_id
+FROM {listings} l LEFT JOIN k ON l.product_id = k.product_id LEFT JOIN {items} i ON k.want = i.item_id AND i.merged_into_id IS NULL"""
+)
+def t11_apply_manual_links(t):
+    want = F.when(F.length("product_id") % 2 == 0, F.concat(F.lit("i"), (F.col("sku").cast("long") + 1).cast("string")))
+    links = t.listings.where("cast(sku as bigint) % 5 = 0").select("product_id", want.alias("item_id"))
+    return curation.apply_manual_links(t.listings, t.candidates, t.items, links)[0].select("product_id", "item_id")
+
+
+@query(
+    f"""WITH {MERGED}, q AS (SELECT item_id AS source_id, concat('i', CAST(CAST(substr(item_id, 2) AS BIGINT) + 4 AS STRING)) AS target_id FROM {{items}} WHERE CAST(substr(item_id, 2) AS BIGINT) % 10 = 1)
+SELECT q.source_id, q.target_id, CASE WHEN t.live_id IS NULL THEN 'unknown' WHEN s.live_id <> q.source_id AND s.live_id = t.live_id THEN 'unchanged' WHEN s.live_id <> q.source_id THEN 'merged elsewhere'
+ WHEN t.live_id = q.source_id THEN 'cycle' WHEN t.live_id IN (SELECT source_id FROM q) THEN 'conflict' ELSE 'merged' END AS outcome FROM q JOIN merged s ON q.source_id = s.item_id LEFT JOIN merged t ON q.target_id = t.item_id"""
+)
+def t12_apply_item_merges(t):
+    k = F.substring("item_id", 2, 20).cast("long")
+    pairs = t.items.where(k % 10 == 1).select(F.col("item_id").alias("source_id"), F.concat(F.lit("i"), (k + 4).cast("string")).alias("target_id"))
+    return curation.apply_item_merges(_full_items(t), t.listings, t.candidates, pairs)[3].select("source_id", "target_id", "outcome")
+
+
+def _full_items(t):
+    have = t.items.columns
+    return t.items.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ITEM])
+
+
+@query("SELECT trim(p_name) AS name, coalesce(nullif(trim(p_type), 'PROMO'), p_name) AS description, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN 'Pantry' ELSE 'Uncategorised' END AS category, p_partkey AS k FROM {part}")
+def t13_create_manual_items(t):
+    q = t.part.select(
+        F.col("p_partkey").cast("string").alias("request_id"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("name"), F.nullif(F.col("p_type"), F.lit("PROMO")).alias("description"), F.col("p_brand").alias("brand"),
+        F.col("p_partkey").cast("string").alias("size"), F.when(F.col("p_size") % 2 == 0, "Pantry").otherwise(" ").alias("category"),
+    )
+    return curation.create_manual_items(_no_items(t), q)[0].select("name", "description", "brand", "category", F.col("size").cast("long").alias("k"))
+
+
+@query(
+    f"""WITH {LIVE}, e AS (SELECT category_id FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 0)
+SELECT c.category_id, CASE WHEN c.kind = 'Shelf' THEN concat(c.name, ' new') ELSE c.name END AS name, c.is_archived OR c.category_id IN (SELECT closure.category_id FROM closure JOIN e ON closure.ancestor_id = e.category_id) AS is_archived FROM {{categories}} c
+UNION ALL SELECT concat(path, '/extra-shelf'), 'Extra Shelf', false FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 1"""
+)
+def t14_apply_category_edits(t):
+    live, null = t.categories.where("not is_archived"), F.lit(None).cast("string")
+    edit = lambda df, op, category, parent, kind, name: df.select(F.concat(F.lit(op), "category_id").alias("edit_id"), F.lit(op).alias("op"), category.alias("category_id"), parent.alias("parent_id"), kind.alias("kind"), name.alias("name"))
+    aisles = live.where("kind = 'Aisle'")
+    edits = (
+        edit(aisles.where("length(path) % 2 = 0"), "archive", F.col("category_id"), null, null, null)
+        .union(edit(aisles.where("length(path) % 2 = 1"), "create", null, F.col("category_id"), F.lit("Shelf"), F.lit(" Extra Shelf ")))
+        .union(edit(t.categories.where("kind = 'Shelf'"), "rename", F.col("category_id"), null, null, F.concat("name", F.lit(" new"))))
+    )
+    return curation.apply_category_edits(t.categories, edits)[0].select("category_id", "name", "is_archived")
+
+
+# ---- sources ----------------------------------------------------------------------------------------------------
+
+CENTS = "(p_partkey * 37 % 5000 + 50)"
+
+
+def _parts(t):
+    return t.part.select("*", F.expr(CENTS).alias("cents"), F.expr("'20260719T180000Z'").alias("run"))
+
+
+@query(
+    f"""SELECT p_partkey AS k, concat('P', p_partkey, '-EA') AS sku, p_name AS name, {CENTS} / 100.0::DOUBLE AS price, CASE p_partkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'Special' WHEN 2 THEN 'MemberPrice' ELSE 'Multibuy' END AS promo_type,
+ CASE WHEN p_partkey % 4 = 2 THEN ({CENTS} - 10) / 100.0::DOUBLE END AS member_price, CASE WHEN p_partkey % 4 = 3 THEN 3 END AS multibuy_quantity, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS depth, concat('P', p_partkey, '.png') AS image FROM {{part}}"""
+)
+def p1_parse_foodstuffs(t):
+    promo = F.struct(
+        F.when(F.col("p_partkey") % 4 == 2, F.col("cents") - 10).otherwise(F.col("cents")).alias("rewardValue"), F.lit("3000").alias("decal"), F.lit("NEW_PRICE").alias("rewardType"),
+        F.when(F.col("p_partkey") % 4 == 3, 3).otherwise(1).alias("threshold"), (F.col("p_partkey") % 4 == 2).alias("cardDependencyFlag"), F.lit(True).alias("bestPromotion"),
+    )
+    tree = F.struct(F.when(F.col("p_partkey") % 3 == 0, "Pets").otherwise("Frozen").alias("level0"), F.col("p_type").alias("level1"), F.lit(" ").alias("level2"))
+    product = F.struct(
+        F.concat(F.lit("P"), "p_partkey", F.lit("-EA")).alias("productId"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("displayName"),
+        F.struct(F.col("cents").alias("price")).alias("singlePrice"), F.when(F.col("p_partkey") % 4 != 0, F.array(promo)).alias("promotions"), F.array(tree).alias("categoryTrees"),
+    )
+    raw = _parts(t).select(F.col("p_partkey").alias("k"), F.to_json(F.struct(F.array(product).alias("products"))).alias("payload"))
+    out = parse_foodstuffs(raw)
+    return out.select("k", "sku", "name", "price", "promo_type", "member_price", "multibuy_quantity", F.size("category_path").alias("depth"), F.substring_index("image_url", "/", -1).alias("image"))
+
+
+@query(
+    f"""SELECT p_partkey AS k, CAST(p_partkey AS STRING) AS sku, CASE WHEN p_partkey % 4 = 1 THEN ({CENTS} + 100) / 100.0::DOUBLE ELSE {CENTS} / 100.0::DOUBLE END AS price, CASE p_partkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'MemberPrice' WHEN 2 THEN 'Special' ELSE 'Multibuy' END AS promo_type,
+ CASE WHEN p_partkey % 4 = 2 THEN ({CENTS} + 100) / 100.0::DOUBLE END AS was, CASE WHEN p_partkey % 4 = 1 THEN {CENTS} / 100.0::DOUBLE END AS member_price, CASE WHEN p_partkey % 4 = 3 THEN 2 END AS multibuy_quantity, p_type AS department, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS n_tags FROM {{part}} WHERE p_partkey % 7 <> 0"""
+)
+def p5_parse_woolworths(t):
+    money = lambda c: (c / 100).cast("decimal(10,2)")
+    m = F.col("p_partkey") % 4
+    item = F.struct(
+        F.when(F.col("p_partkey") % 7 == 0, "PromoTile").otherwise("product").alias("type"), F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"),
+        F.struct(money(F.when(m == 3, F.col("cents")).otherwise(F.col("cents") + F.when(m == 0, 0).otherwise(100))).alias("originalPrice"), money(F.col("cents")).alias("salePrice"), (m.isin(1, 2)).alias("isSpecial"), (m == 1).alias("isClubPrice")).alias("price"),
+        F.struct(F.lit("500g").alias("volumeSize"), F.lit(1.5).alias("cupPrice"), F.lit("100g").alias("cupMeasure")).alias("size"),
+        F.struct(F.when(m == 0, "Other").otherwise("IsSpecial").alias("tagType"), F.when(m == 3, F.struct(F.lit(2).alias("quantity"), money(F.col("cents") * 2).alias("value"))).alias("multiBuy")).alias("productTag"),
+    )
+    crumb = F.struct(F.struct(F.lit(3).alias("value"), F.col("p_type").alias("name")).alias("department"))
+    raw = _parts(t).select(F.col("p_partkey").alias("k"), F.lit("dep__aisle").alias("scope"), F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("products"), crumb.alias("breadcrumb"))).alias("payload"))
+    out = parse_woolworths(raw)
+    return out.select("k", "sku", "price", "promo_type", F.col("non_special_price").alias("was"), "member_price", "multibuy_quantity", F.get("category_path", F.lit(0))["name"].alias("department"), F.size("tags").alias("n_tags"))
+
+
+@query(
+    f"""SELECT p_partkey AS k, concat('x', p_partkey) AS sku, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, 'g') ELSE NULL END AS size, {CENTS} / 100.0::DOUBLE AS price, CASE p_partkey % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'Special' ELSE 'Multibuy' END AS promo_type,
+ CASE WHEN p_partkey % 3 = 1 THEN ({CENTS} + 100) / 100.0::DOUBLE END AS was, CASE WHEN p_partkey % 3 = 2 THEN 3 END AS multibuy_quantity, {CENTS} / 100.0::DOUBLE AS unit_price, '1kg' AS uom FROM {{part}}"""
+)
+def p9_parse_freshchoice(t):
+    price = F.format_string("$%.2f", F.col("cents") / 100)
+    m = F.col("p_partkey") % 3
+    html = F.concat(
+        F.lit("<html><body><div class='grid'><div class='talker"), F.when(m == 1, " talker--Special").otherwise(""), F.lit("' id='line_x"), F.col("p_partkey"), F.lit("'><a href='/lines/x'><img src='i.png'></a><span class='talker__product-name'> "), "p_name",
+        F.lit(" </span><span class='talker__name__size'>"), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_size", F.lit("g"))).otherwise(""), F.lit("</span>"),
+        F.when(m == 1, F.concat(F.lit("<span class='talker__prices__was'>was "), F.format_string("$%.2f", (F.col("cents") + 100) / 100), F.lit("</span>"))).otherwise(""),
+        F.when(m == 2, "<span class='talker__additional_unit_prices__unit_price--multibuy'>3 for $20.00</span>").otherwise(""),
+        F.lit("<strong class='price__sell'>"), price, F.lit("</strong><span class='price__units'> per kg</span></div></div><div class='talker talker--placeholder' id='line_p'></div></body></html>"),
+    )
+    raw = _parts(t).select(F.col("p_partkey").alias("k"), F.lit("meat").alias("scope"), html.alias("payload"))
+    return parse_freshchoice(raw).select("k", "sku", "name", "size", "price", "promo_type", F.col("non_special_price").alias("was"), "multibuy_quantity", "unit_price", F.col("unit_of_measure").alias("uom"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN concat(p_size, 'pk') END AS size FROM {part}")
+def p12_pack_size_from_name(t):
+    name = F.concat("p_name", F.lit(" Grade 6 "), "p_size", F.when(F.col("p_size") % 2 == 0, " Pack").otherwise("packets"))
+    return t.part.select(F.col("p_partkey").alias("k"), text.pack_size_from_name(name).alias("size"))
+
+
+@query(
+    """SELECT 'NewWorld' AS chain, 1784484000 + s_suppkey AS run_ts, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS n_gaps, s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AS complete FROM {supplier}"""
+)
+def p13_crawl_coverage(t):
+    s = t.supplier.select("s_suppkey", F.timestamp_seconds(F.lit(1784484000) + F.col("s_suppkey")).alias("run_ts"))
+    pages = s.select("s_suppkey", "run_ts", F.explode(F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))).alias("page"))
+    frozen = pages.select("run_ts", F.lit("frozen").alias("scope"), "page", F.lit('{"totalPages": 3, "totalHits": 120, "products": []}').alias("payload"))
+    deli = s.where("s_suppkey % 5 = 0").select("run_ts", F.lit("deli").alias("scope"), F.lit(0).alias("page"), F.lit('{"totalPages": 1, "totalHits": 1000, "products": []}').alias("payload"))
+    out = crawl_coverage(frozen.union(deli).withColumn("chain", F.lit("NewWorld")))
+    return out.select("chain", "run_ts", F.size("gaps").alias("n_gaps"), "complete")
+
+
+@query("SELECT 'NewWorld' AS chain, 1784484000 AS run_ts, concat('scope', p_partkey) AS scope, p_partkey % 9 AS page FROM {part}")
+def s2_read_raw_archive_paths(t):
+    path = F.concat(F.lit("file:/raw/NewWorld/20260719T180000Z/scope"), "p_partkey", F.lit("_p"), F.col("p_partkey") % 9, F.lit(".json"))
+    return t.part.select(*from_path(path)).drop("format")
+
+
+@query("SELECT run_id FROM {runs} WHERE started_at >= (SELECT max(started_at) FROM {runs}) - 7 * 86400")
+def s3_retained_runs(t):
+    last = t.runs.agg(F.max(F.unix_timestamp("started_at"))).first()[0]
+    return retained_runs(t.runs.withColumn("run_ts", F.col("started_at")), datetime.fromtimestamp(last, UTC)).select("run_id")
+
+
+@query("SELECT product_id, CAST(current_price AS DOUBLE) AS current_price, CAST(unit_price AS DOUBLE) AS unit_price, is_available, last_seen_at FROM {listings}")
+def s1_tables_round_trip(t):
+    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/tables-{uuid.uuid4().hex}"
+    write_table(t.listings, root, "listings")
+    return read_table(t.spark, root, "listings").select("product_id", "current_price", "unit_price", "is_available", "last_seen_at")

@@ -236,7 +236,7 @@ def freshchoice_cards(raw: DataFrame) -> DataFrame:
                 page.close()
                 for i, c in enumerate(page.cards):
                     rows.append({**{f.name: r[f.name] for f in own}, "seq": i, "next": page.next, **c})
-            yield pd.DataFrame(rows, columns=[*(f.name for f in own), *CARD_COLUMNS])
+            yield pd.DataFrame(rows, columns=[*(f.name for f in own), *CARD_COLUMNS], dtype=object)
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "seq long", *(f"{c} string" for c in CARD_COLUMNS if c != "seq")])
     return raw.mapInPandas(run, fields)
