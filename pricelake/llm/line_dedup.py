@@ -1,8 +1,9 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (lower-cased, runs of other than letters and digits become one space). Equal lines are
-one line from the start. Of each distinct line of at least ``MIN_WORDS`` words a 63-bit SimHash of its
-words is summed in 21 longs, three counters in each. Hashes that differ in at most three bits agree in two
+one line from the start. Of each distinct line of at least ``MIN_WORDS`` words a 64-bit SimHash of its
+distinct words is summed in 16 longs, four counters in each (repeated words would draw unlike lines of junk
+together). Hashes that differ in at most three bits agree in two
 of five blocks, so lines meet in the buckets (length class, two blocks, their bits). A pair links if its
 hashes differ in at most ``BITS_APART`` bits and its edit similarity, 1 - distance / longer length, is at
 least ``SIMILARITY``. Of each connected group only the first occurrence, by doc_id and line number, stays.
@@ -10,7 +11,7 @@ Large groups of near copies meet pivots first, as in the n-gram join. All of it
 
 Defined cases: a null text has no lines; lines of fewer words, empty ones too, always stay; rows that share
 an id are counted together, and occurrences that share id and number are decided alike; null ids come
-first; lines of over two million words keep their exact duplicates but their SimHash may be any; other
+first; of lines with over 65,535 distinct words the SimHash is any fixed function of the words; other
 columns are ignored.
 """
 
@@ -25,8 +26,8 @@ from .common import Scratch, lower_ascii, table, tune
 from .ngram_join import linked_components
 
 MIN_WORDS, BITS_APART, SIMILARITY = 5, 3, 0.8
-LANE = 21
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
+LANE = 16
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -41,20 +42,20 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def simhashes(distinct: DataFrame) -> DataFrame:
     """(line_id, simhash, size) of distinct lines (line_id, norm)."""
-    mask = 1 | 1 << LANE | 1 << 2 * LANE
-    words = distinct.select("line_id", F.length("norm").alias("size"), F.explode(F.split("norm", " ")).alias("word"))
+    mask = 1 | 1 << LANE | 1 << 2 * LANE | 1 << 3 * LANE
+    words = distinct.select("line_id", F.length("norm").alias("size"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
     words = words.select("line_id", "size", F.xxhash64("word").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(LANE)]
     counted = words.groupBy("line_id").agg(F.max("size").alias("size"), F.count("*").alias("n"), *sums)
 
     def bit(i: int) -> Column:
         lane, j = divmod(i, LANE)
-        count = F.shiftright(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
-        return F.when(count * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0))
+        count = F.shiftrightunsigned(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+        return F.when(count * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
 
     total = bit(0)
-    for i in range(1, 3 * LANE):
-        total = total + bit(i)
+    for i in range(1, 4 * LANE):
+        total = total.bitwiseOR(bit(i))
     return counted.select("line_id", total.cast("long").alias("simhash"), "size")
 
 
@@ -66,8 +67,8 @@ def members(hashes: DataFrame) -> DataFrame:
     part = lambda i: F.shiftrightunsigned("simhash", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1))
     key = [F.struct(F.lit(10 * i + j).alias("t"), part(i).alias("x"), part(j).alias("y")) for i, j in combinations(range(len(BLOCKS)), 2)]
     each = hashes.select("line_id", "simhash", classes.alias("c"))
-    each = each.select("line_id", "c", F.explode(F.array(*key)).alias("k"))
-    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), F.col("line_id").alias("id"), F.lit(0).cast("long").alias("info"))
+    each = each.select("line_id", "simhash", "c", F.explode(F.array(*key)).alias("k"))
+    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), F.col("line_id").alias("id"), F.col("simhash").alias("info"))
 
 
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -84,16 +85,18 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     texts = scratch.keep(texts.groupBy("line_id").agg(F.first("norm").alias("norm")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: hashes.select(F.col("line_id").alias(c), F.col("simhash").alias(f"h_{c}"), F.col("size").alias(f"n_{c}"))
+        side = lambda c: hashes.select(F.col("line_id").alias(c), F.col("size").alias(f"n_{c}"))
         text = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"t_{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= BITS_APART)
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
         longer = F.greatest("n_a", "n_b")
         near = near.where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * longer).select("a", "b", longer.alias("longer"))
-        # Within a fifth of the longer length; the distance is compared with whole numbers only.
-        apart = F.levenshtein("t_a", "t_b")
-        return near.join(text("a"), "a").join(text("b"), "b").where(apart * 5 <= F.col("longer")).select("a", "b")
+        # Within a fifth of the longer length. Most pairs lie far nearer, which a narrow band shows at once.
+        within = lambda part: F.expr(f"levenshtein(t_a, t_b, cast(floor(longer / {part}) as int)) >= 0")
+        linked = F.when(within(50), True).otherwise(within(5))
+        return near.join(text("a"), "a").join(text("b"), "b").where(linked).select("a", "b")
 
-    comp = linked_components(spark, met, verify, scratch).withColumnRenamed("id", "line_id")
+    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= BITS_APART
+    comp = linked_components(spark, met, verify, scratch, near=apart).withColumnRenamed("id", "line_id")
     firsts = told.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     grouped = scratch.keep(firsts.join(comp, "line_id", "left").withColumn("group_id", F.coalesce("comp", "line_id")).drop("comp"), "grouped")
     heads = grouped.groupBy("group_id").agg(F.min("at").alias("head"))

@@ -189,10 +189,10 @@ def overlaps(pairs: DataFrame, slices: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("common").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
-def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, plausible=None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, plausible=None, near=None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id, info).
 
-    ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
+    ``near`` is a condition on both infos that linked pairs meet; ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
     common buckets; ``verify`` keeps of pairs (a, b) those that link. No link between components stays unseen: at the end
     every pair of a bucket either lies in one component or has been verified not to link.
     """
@@ -211,13 +211,14 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
         left = scratch.keep(left.join(spread.select("bucket"), "bucket", "left_semi"), "left")
         final = turn == pivot_rounds or pairs_left <= 2 * rows or last is not None and pairs_left > 0.7 * last
         last = pairs_left
+        close = near(F.col("info_a"), F.col("info_b")) if near else F.lit(True)
         side = lambda c: left.select("bucket", F.col("id").alias(c), F.col("info").alias(f"info_{c}"), F.col("comp").alias(f"comp_{c}"))
         if final:
-            met = side("a").join(side("b"), "bucket").where("a < b and comp_a <> comp_b")
+            met = side("a").join(side("b"), "bucket").where("a < b and comp_a <> comp_b").where(close)
         else:
             pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("info").alias("info_p"), F.col("comp").alias("comp_p")))
             pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.p", "p.info_p", "p.comp_p")
-            met = side("a").join(pivots.toDF("bucket", "b", "info_b", "comp_b"), "bucket").where("comp_a <> comp_b")
+            met = side("a").join(pivots.toDF("bucket", "b", "info_b", "comp_b"), "bucket").where("comp_a <> comp_b").where(close)
         pairs = met.groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
         pairs = plausible(pairs) if plausible else pairs
         if not final:  # of its pivots an id first meets the one with which it shares most buckets
