@@ -41,13 +41,13 @@ class Policy:
 def resolve_merges(items: DataFrame) -> DataFrame:
     """(item_id, live_id): the survivor of each item's chain of merges, at most 32 hops, cycles cut there.
 
-    Pointers double, so five joins follow 32 hops.
+    Pointers double, so five joins of the merged items follow 32 hops.
     """
-    at = items.select("item_id", F.coalesce("merged_into_id", "item_id").alias("live_id"))
+    at = items.where("merged_into_id is not null").select("item_id", F.col("merged_into_id").alias("live_id"))
     for _ in range(5):
         nxt = at.select(F.col("item_id").alias("live_id"), F.col("live_id").alias("next_id"))
         at = at.join(nxt, "live_id", "left").select("item_id", F.coalesce("next_id", "live_id").alias("live_id"))
-    return at
+    return items.select("item_id").join(at, "item_id", "left").select("item_id", F.coalesce("live_id", "item_id").alias("live_id"))
 
 
 def id_of(match_key: Column) -> Column:
@@ -212,9 +212,9 @@ def drop_resolved_candidates(candidates: DataFrame, listings: DataFrame) -> Data
     return candidates.where("status <> 'Pending'").unionByName(candidates.where("status = 'Pending'").join(linked, "product_id", "left_anti"))
 
 
-def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep) -> tuple[DataFrame, DataFrame]:
+def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep, stage: int) -> tuple[DataFrame, DataFrame]:
     """(listings, candidates) after one scoring pass: clear winners linked, others queued."""
-    decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy), policy), "decided")
+    decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy), policy), f"decided{stage}")
     auto = decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("new_item"))
     queued = queue_candidates(decided, candidates)
     return _link_all(listings, auto), candidates.unionByName(queued, allowMissingColumns=True)
@@ -240,7 +240,7 @@ def run_match(
     listings = keep(apply_approved(listings, candidates, items), "listings1")
     foodstuffs = keep(brand_vocabulary(items, "foodstuffs"), "foodstuffs")
     rest = ~in_foodstuffs(F.col("chain"))
-    other, linked = attach(listings.where(rest), match_index(items), foodstuffs, candidates, policy, keep)
+    other, linked = attach(listings.where(rest), match_index(items), foodstuffs, candidates, policy, keep, 2)
     listings, candidates = keep(listings.where(~rest).unionByName(other), "listings2"), keep(linked, "candidates2")
     items, listings = tier3_anchors(listings, items, foodstuffs)
     items, listings = keep(items, "items3"), keep(listings, "listings3")
@@ -248,7 +248,7 @@ def run_match(
     items, listings, candidates, gone = reclaim_singletons(listings, items, candidates, higher)
     items, listings, candidates, gone = keep(items, "items4"), keep(listings, "listings4"), keep(candidates, "candidates4"), keep(gone, "gone")
     fresh = F.col("chain") == "FreshChoice"
-    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths"), brand_vocabulary(items, "woolworths"), candidates, policy, keep)
+    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths"), brand_vocabulary(items, "woolworths"), candidates, policy, keep, 3)
     listings, candidates = keep(listings.where(~fresh).unionByName(other), "listings5"), keep(candidates, "candidates5")
     items, listings = tier4_singletons(listings, items, higher)
     items, listings = keep(items, "items6"), keep(listings, "listings6")

@@ -792,11 +792,15 @@ def m13_match_run_summary(t):
 
 def _matched(t):
     """The whole cascade from nothing, lineage cut in the shared folder."""
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    t.spark.sparkContext.setCheckpointDir(root)
+    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/match-{uuid.uuid4().hex}"
+
+    def keep(df, name):
+        df.write.parquet(f"{root}/{name}", mode="overwrite")
+        return t.spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
     empty = t.spark.createDataFrame([], "candidate_id string, product_id string, item_id string, score double, reason string, status string")
     cats = t.store_categories
-    return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats)
+    return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats, keep=keep)
 
 
 @query()
