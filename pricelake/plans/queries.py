@@ -992,3 +992,22 @@ def s1_tables_round_trip(t):
     root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/tables-{uuid.uuid4().hex}"
     write_table(t.listings, root, "listings")
     return read_table(t.spark, root, "listings").select("product_id", "current_price", "unit_price", "is_available", "last_seen_at")
+
+
+@query(None)
+def g5_apply_crawl_run(t):
+    """The last run of each store applied to the replay of those before it: equals the replay of all."""
+    from pyspark.sql import Window as W
+
+    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    runs = t.runs.where("status is null")
+    last = runs.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc()))).where("rn = 1")
+    state = ingest.availability(t.observations, runs.join(last.select("run_id"), "run_id", "left_anti")).select(*ingest.STATE)
+    for i, r in enumerate(last.select("run_id").orderBy("run_id").collect()):
+        state, _, _ = ingest.apply_crawl_run(state, t.observations.where(F.col("run_id") == r.run_id), runs.where(F.col("run_id") == r.run_id))
+        state.write.parquet(f"{root}/{i}")
+        state = t.spark.read.schema(state.schema).parquet(f"{root}/{i}")
+    return state.select("store_id", "sku", "misses", "missing_since", "is_available", "price", "promo_type", "was_price")
+
+
+ORACLES["g5_apply_crawl_run"] = ORACLES["g4_availability"]
