@@ -9,7 +9,7 @@ count as well. The overlap of a pair is counted fragment by fragment and summed
 
 Equal sets are one node from the start. In a bucket every set first meets one pivot only; links found merge
 components, and buckets that lie in one component are done. Pivots change from round to round. When few
-pairs are left, all pairs of a bucket that still lie in different components are counted, so no link
+pairs are left, or a round finds no link, all pairs of a bucket that still lie in different components are counted, so no link
 between components is missed. A large group of near copies thus costs a few passes, not its square.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
@@ -198,7 +198,7 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
     """
     links = tested = comp = None
     left = members.select("bucket", "id", "info", F.col("id").alias("comp"))
-    last = None
+    found = None
     for turn in range(pivot_rounds + 1):
         if comp is not None:
             left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", "info", F.coalesce("comp", "id").alias("comp"))
@@ -209,8 +209,7 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
         if not rows:
             break
         left = scratch.keep(left.join(spread.select("bucket"), "bucket", "left_semi"), "left")
-        final = turn == pivot_rounds or pairs_left <= 2 * rows or last is not None and pairs_left > 0.7 * last
-        last = pairs_left
+        final = turn == pivot_rounds or pairs_left <= 2 * rows or found == 0
         close = near(F.col("info_a"), F.col("info_b")) if near else F.lit(True)
         side = lambda c: left.select("bucket", F.col("id").alias(c), F.col("info").alias(f"info_{c}"), F.col("comp").alias(f"comp_{c}"))
         if final:
@@ -229,6 +228,7 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
         pairs = scratch.keep(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         new = scratch.keep(verify(pairs).select("a", "b"), "links")
+        found = new.count()
         links = new if links is None else links.union(new)
         comp = components(spark, links, scratch)
         if final:
