@@ -95,7 +95,7 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
         linked = F.when(within(50), True).otherwise(within(5))
         return near.join(text("a"), "a").join(text("b"), "b").where(linked).select("a", "b")
 
-    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= BITS_APART
+    apart = lambda a, b: F.bit_count(F.col(f"info_{a}").bitwiseXOR(F.col(f"info_{b}"))) <= BITS_APART
     comp = linked_components(spark, met, verify, scratch, near=apart).withColumnRenamed("id", "line_id")
     firsts = told.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     grouped = scratch.keep(firsts.join(comp, "line_id", "left").withColumn("group_id", F.coalesce("comp", "line_id")).drop("comp"), "grouped")

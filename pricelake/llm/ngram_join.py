@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, Scratch, components, table, tune
@@ -33,6 +33,7 @@ from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signe
 SLICES = 4
 #: Rounds of pivots at most, before all pairs that are left are counted.
 PIVOT_ROUNDS = 6
+SKETCH = ("k0", "k1", "k2", "k3")
 
 
 class Classes:
@@ -61,6 +62,15 @@ class Classes:
         c = int(np.searchsorted(self.lows, size, "right")) - 1
         return [(k, *self.shape(k)) for k in (c, c + 1) if k >= 0 and (k == c or size * 100 // self.percent >= self.lows[k])]
 
+    def near(self, a: str, b: str) -> Column:
+        """Whether sets a and b may link by their sizes and sketches: no linked pair differs in more parities than n-grams."""
+        n_a, n_b = F.shiftright(f"info_{a}", 24), F.shiftright(f"info_{b}", 24)
+        apart = F.lit(0)
+        for k in SKETCH:
+            apart = apart + F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}")))
+        differ = F.floor((n_a + n_b) * (100 - self.percent) / (100 + self.percent))
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (apart <= differ)
+
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, info_a, info_b, shared) those that share as many fragments as a linked pair of their sizes must.
 
@@ -98,19 +108,30 @@ def node(grams: np.ndarray) -> int:
     return int(k >> U(1)) or 1
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """256 parities: bit i tells whether an odd number of the set's n-grams fall on it.
+
+    Two sketches differ in no more bits than the sets differ in n-grams.
+    """
+    odd = np.bincount((mix(grams + U(41)) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def keyed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of each row."""
+    """(doc_id, n_shingles, node, k0 to k3: the set's sketch) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            size, key = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            size, key, bits = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros((len(b), 4), np.int64)
             for row, found in sets(b, n):
                 size[row : row + len(found)] = [len(x) for x in found]
                 key[row : row + len(found)] = [node(x) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(key)], ["doc_id", "n_shingles", "node"])
+                bits[row : row + len(found)] = [sketch(x) for x in found]
+            sketches = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(key), *sketches], ["doc_id", "n_shingles", "node", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, " + ", ".join(f"{k} bigint" for k in SKETCH))
 
 
 def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -190,18 +211,20 @@ def overlaps(pairs: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, plausible=None, near=None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id, info).
+    """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id, info, ...).
 
-    ``near`` is a condition on both infos that linked pairs meet; ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
+    ``near`` gives a condition that linked pairs meet, on the
+    columns of members with ``_a`` and ``_b`` after their names; ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
     common buckets; ``verify`` keeps of pairs (a, b) those that link. No link between components stays unseen: at the end
     every pair of a bucket either lies in one component or has been verified not to link.
     """
     links = tested = comp = None
-    left = members.select("bucket", "id", "info", F.col("id").alias("comp"))
+    more = [c for c in members.columns if c not in ("bucket", "id", "info")]
+    left = members.select("bucket", "id", "info", *more, F.col("id").alias("comp"))
     found = None
     for turn in range(pivot_rounds + 1):
         if comp is not None:
-            left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", "info", F.coalesce("comp", "id").alias("comp"))
+            left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", "info", *more, F.coalesce("comp", "id").alias("comp"))
         sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         spread = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         spread = scratch.keep(spread.where("comps > 1"), "spread")
@@ -210,14 +233,14 @@ def linked_components(spark: SparkSession, members: DataFrame, verify, scratch:
             break
         left = scratch.keep(left.join(spread.select("bucket"), "bucket", "left_semi"), "left")
         final = turn == pivot_rounds or pairs_left <= 2 * rows or found == 0
-        close = near(F.col("info_a"), F.col("info_b")) if near else F.lit(True)
-        side = lambda c: left.select("bucket", F.col("id").alias(c), F.col("info").alias(f"info_{c}"), F.col("comp").alias(f"comp_{c}"))
+        close = near("a", "b") if near else F.lit(True)
+        side = lambda c: left.select("bucket", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("info", *more, "comp")])
         if final:
             met = side("a").join(side("b"), "bucket").where("a < b and comp_a <> comp_b").where(close)
         else:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("p"), F.col("info").alias("info_p"), F.col("comp").alias("comp_p")))
-            pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.p", "p.info_p", "p.comp_p")
-            met = side("a").join(pivots.toDF("bucket", "b", "info_b", "comp_b"), "bucket").where("comp_a <> comp_b").where(close)
+            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("info", *more, "comp")]))
+            pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.*").drop("h")
+            met = side("a").join(pivots, "bucket").where("comp_a <> comp_b").where(close)
         pairs = met.groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
         pairs = plausible(pairs) if plausible else pairs
         if not final:  # of its pivots an id first meets the one with which it shares most buckets
@@ -251,6 +274,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     all_ = buckets(docs, n, percent)
     shared = scratch.keep(all_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
     members = scratch.keep(all_.join(shared, "bucket").select("bucket", F.col("node").alias("id"), "info").distinct(), "members")
+    sketches = keys.where("n_shingles > 0").groupBy(F.col("node").alias("id")).agg(*[F.first(k).alias(k) for k in SKETCH])
 
     stands = keys.groupBy("node").agg(F.min("doc_id").alias("pick")).withColumnRenamed("node", "want")
     need = stands.join(members.select(F.col("id").alias("want")).distinct(), "want", "left_semi")
@@ -260,8 +284,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     def verify(pairs: DataFrame) -> DataFrame:
         return overlaps(pairs, slices).where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
-    comp = linked_components(spark, members, verify, scratch, Classes(percent).plausible).withColumnRenamed("id", "node")
-    placed = keys.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = Classes(percent)
+    comp = linked_components(spark, members.join(sketches, "id"), verify, scratch, classes.plausible, classes.near).withColumnRenamed("id", "node")
+    placed = keys.drop(*SKETCH).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.keep(placed, "placed")
     least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "comp", "left")
