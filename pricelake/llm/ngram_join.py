@@ -33,7 +33,8 @@ from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signe
 SLICES = 4
 #: Rounds of pivots at most, before all pairs that are left are counted.
 PIVOT_ROUNDS = 6
-SKETCH = ("k0", "k1", "k2", "k3")
+#: Columns of a sketch, 64 parities each.
+SKETCH = tuple(f"k{i}" for i in range(8))
 
 
 class Classes:
@@ -109,26 +110,26 @@ def node(grams: np.ndarray) -> int:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """256 parities: bit i tells whether an odd number of the set's n-grams fall on it.
+    """512 parities: bit i tells whether an odd number of the set's n-grams fall on it.
 
     Two sketches differ in no more bits than the sets differ in n-grams.
     """
-    odd = np.bincount((mix(grams + U(41)) >> U(56)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((mix(grams + U(41)) >> U(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def keyed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, k0 to k3: the set's sketch) of each row."""
+    """(doc_id, n_shingles, node, k0 to k7: the set's sketch) of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            size, key, bits = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros((len(b), 4), np.int64)
+            size, key, bits = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros((len(b), len(SKETCH)), np.int64)
             for row, found in sets(b, n):
                 size[row : row + len(found)] = [len(x) for x in found]
                 key[row : row + len(found)] = [node(x) for x in found]
                 bits[row : row + len(found)] = [sketch(x) for x in found]
-            sketches = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)]
+            sketches = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SKETCH))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(key), *sketches], ["doc_id", "n_shingles", "node", *SKETCH])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, " + ", ".join(f"{k} bigint" for k in SKETCH))
