@@ -33,6 +33,8 @@ from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signe
 SLICES = 4
 #: Rounds of pivots at most, before all pairs that are left are counted.
 PIVOT_ROUNDS = 6
+#: The bit of info that tells whether a set lists its empty fragments; the class is below it.
+LISTED = 0x80
 #: Columns of a sketch, 64 parities each.
 SKETCH = tuple(f"k{i}" for i in range(8))
 
@@ -65,7 +67,7 @@ class Classes:
 
     def near(self, a: str, b: str) -> Column:
         """Whether sets a and b may link by their sizes and sketches: no linked pair differs in more parities than n-grams."""
-        n_a, n_b = F.shiftright(f"info_{a}", 24), F.shiftright(f"info_{b}", 24)
+        n_a, n_b = F.shiftright(f"info_{a}", 32), F.shiftright(f"info_{b}", 32)
         apart = F.lit(0)
         for k in SKETCH:
             apart = apart + F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}")))
@@ -76,19 +78,22 @@ class Classes:
         """Of pairs (a, b, info_a, info_b, shared) those that share as many fragments as a linked pair of their sizes must.
 
         A linked pair differs in few n-grams, hence in no more fragments; the others are equal, and of these
-        only the ones empty on both sides are not listed. A pair is judged in the class of its larger set.
+        only the ones empty on both sides may be missing from the shared ones: they are, unless both sets list
+        their empty fragments. A pair is judged in the class of its larger set.
         """
         n_classes = len(self.lows) - 1
         of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("kind") + 1).cast("int"))
-        n = lambda c: F.shiftright(c, 24)
-        spare = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit(0xFFFF))
+        n = lambda c: F.shiftright(c, 32)
+        empty = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit(0xFFFFFF))
+        listed = F.col("info_a").bitwiseAND(F.col("info_b")).bitwiseAND(F.lit(LISTED)) > 0
+        unseen = F.when(listed, 0).otherwise(F.least(empty("info_a"), empty("info_b")))
         both, larger = n("info_a") + n("info_b"), F.greatest(n("info_a"), n("info_b"))
         differ = F.floor(both * (100 - self.percent) / (100 + self.percent))
-        need = of([self.shape(c)[0] for c in range(n_classes)]) - differ - F.least(spare("info_a"), spare("info_b"))
+        need = of([self.shape(c)[0] for c in range(n_classes)]) - differ - unseen
         home = (larger >= of(self.lows[:-1])) & (larger < of(self.lows[1:]))
         small = F.least(n("info_a"), n("info_b"))
         near = small * 100 >= larger * self.percent
-        return pairs.withColumn("kind", F.col("info_a").bitwiseAND(F.lit(0xFF))).where(home & near & (F.col("shared") >= need)).select("a", "b", "shared")
+        return pairs.withColumn("kind", F.col("info_a").bitwiseAND(F.lit(LISTED - 1))).where(home & near & (F.col("shared") >= need)).select("a", "b", "shared")
 
 
 def sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -138,7 +143,7 @@ def keyed_sets(docs: DataFrame, n: int) -> DataFrame:
 def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(bucket, node, info) of each row's set: the fragments of its classes.
 
-    info packs the size of the set, its empty fragments that are not listed, and the class.
+    info packs the size of the set, the number of its empty fragments, whether it lists them, and the class.
     """
 
     def run(batches):
@@ -155,12 +160,14 @@ def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         part = ((grams >> U(32)) * U(fragments)) >> U(32)
                         first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
                         held, total = part[first], np.add.reduceat(mixed, first)
+                        info = len(grams) << 32 | (fragments - len(held)) << 8 | c
                         if len(held) <= d:
+                            info |= LISTED
                             empty = np.setdiff1d(np.arange(fragments, dtype=U), held)
                             held, total = np.concatenate((held, empty)), np.concatenate((total, np.zeros(len(empty), U)))
                         keys.append(mix(total + mix(held + U(c << 40))))
                         nodes.append(np.full(len(held), k, np.int64))
-                        infos.append(np.full(len(held), len(grams) << 24 | min(fragments - len(held), 0xFFFF) << 8 | c, np.int64))
+                        infos.append(np.full(len(held), info, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(infos))], ["bucket", "node", "info"]

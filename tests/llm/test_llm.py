@@ -143,6 +143,24 @@ def test_linked_sets_always_share_a_bucket():
             assert held(cut(a)) & held(cut(b)) or any(sum(1 for x in held(cut(a)) if x[0] == c) <= d[c] for c in d)
 
 
+def test_linked_sets_are_always_plausible(spark):
+    """Also where only one of two sets lists its empty fragments."""
+    rng, rows, n = random.Random(11), [], 4000
+    for i in range(n):
+        a = [f"a{i}x{j}" for j in range(rng.randrange(4, 14))]
+        less, more = rng.choice([(0, 1), (1, 0), (1, 1), (0, 2), (2, 0)])
+        b = a[less:] + [f"b{i}x{j}" for j in range(more)]
+        if 100 * (len(a) - less) < 80 * (len(a) + more):
+            b = [*a, "one"] if len(a) < 5 else a[1:]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    docs = spark.createDataFrame(rows, DOCS)
+    of = ngram_join.keyed_sets(docs, 1).select("node", F.expr("doc_id div 2").alias("pair"), (F.col("doc_id") % 2).alias("side"))
+    each = ngram_join.buckets(docs, 1, 80).join(of, "node")
+    side = lambda c, k: each.where(F.col("side") == k).select("bucket", "pair", F.col("node").alias(c), F.col("info").alias(f"info_{c}"))
+    pairs = side("a", 0).join(side("b", 1), ["bucket", "pair"]).groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
+    assert ngram_join.Classes(80).plausible(pairs).select("a", "b").distinct().count() == n
+
+
 def test_url_rules(spark):
     urls = ["http://A.Net/x", "https://example.net/en/1", "http://www.example.net/de/1", "http://example.com/de/", "x://example.com/d", "http://b.org/fr/?x", "http://borg/fr/", "http://net", None, "", "no scheme", "a://b://net/", "http://net:80/", "http://net/", "http://net/"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
