@@ -2,10 +2,10 @@
 
 Base spans stand alone: assignments to a secret's name, access keys, long hexadecimal strings. Weak parts
 do not: identifiers (``user=...``), endpoints (``scheme://host``) and bare random-looking tokens occur in
-clean text. Each weak part opens a scope, the text within ``REACH`` code points around it in the same
-block (blocks are parted by blank lines). An interval join of scopes with all parts, on the row and on
-bins of positions, reports a weak part only if a complementary part lies in its scope: a secret for an
-identifier or an endpoint, one of these for a bare token.
+clean text. The scope of a weak part is its block, of any length (blocks are parted by blank lines). A weak
+part is reported only if a complementary part meets its scope: a secret for an identifier or an endpoint,
+one of these for a bare token. Blocks do not overlap, so the interval join is one on the row and the number
+of the block; of each block only the roles that it holds are joined.
 
 Defined cases: a null text is empty and has no spans; of equal starts the kinds go in the order of KINDS;
 a weak part that overlaps a base span is not reported; repeated rows give repeated results; very long
@@ -28,9 +28,6 @@ from .common import Scratch, table, tune
 
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "secret")
 ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
-#: Code points around a weak part that its scope covers at most, and the width of a bin of the join.
-REACH = 400
-BIN = 1024
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,8 +64,8 @@ def random_looking(token: str) -> bool:
     return bool(re.search("[0-9]", token) and re.search("[a-z]", token) and re.search("[A-Z]", token)) and len(set(token)) >= 10
 
 
-def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
-    """Weak parts and the bounds of their scopes."""
+def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Weak parts, without those that overlap a base span and tokens inside an endpoint."""
     found = []
     if ":" in text or "=" in text:
         found += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
@@ -79,20 +76,20 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         return []
     strong = Covered((s, e) for _, s, e in base)
     urls = Covered((s, e) for k, s, e in found if k == "endpoint")
+    return [(k, s, e) for k, s, e in found if not strong.meets(s, e) and not (k == "secret" and urls.meets(s, e))]
+
+
+def in_blocks(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """The spans with the numbers of the first and last block that they meet."""
+    if not spans:
+        return []
     blanks = [(m.start(), m.end()) for m in BLANK.finditer(text)]
-    opens, closes = [0, *(b for _, b in blanks)], [*(a for a, _ in blanks), len(text)]
-    out = []
-    for kind, s, e in found:
-        if strong.meets(s, e) or kind == "secret" and urls.meets(s, e):
-            continue
-        lo = max(s - REACH, opens[bisect_right(opens, s) - 1])
-        hi = min(e + REACH, closes[bisect_left(closes, e)])
-        out.append((kind, s, e, lo, hi))
-    return out
+    opens, closes = [b for _, b in blanks], [a for a, _ in blanks]
+    return [(k, s, e, (first := bisect_right(opens, s)), max(first, bisect_left(closes, e))) for k, s, e in spans]
 
 
-PART = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-WEAK = pa.struct([*PART, pa.field("lo", pa.int64()), pa.field("hi", pa.int64())])
+FIELDS = ("kind", "start", "end", "first", "last")
+PART = pa.struct([("kind", pa.string()), *((x, pa.int64()) for x in FIELDS[1:])])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,15 +97,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, weak = [], []
         for text in b.column("text"):
             t = text.as_py() or ""
-            base.append(found := base_spans(t))
-            weak.append(weak_spans(t, found))
-        named = lambda rows, names: [[dict(zip(names, x, strict=True)) for x in r] for r in rows]
+            found = base_spans(t)
+            weak.append(in_blocks(t, weak_spans(t, found)))
+            base.append(in_blocks(t, found) if weak[-1] else [(*x, 0, 0) for x in found])
+        named = lambda rows: pa.array([[dict(zip(FIELDS, x, strict=True)) for x in r] for r in rows], pa.list_(PART))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"),
                 b.column("row_key"),
-                pa.array(named(base, ("kind", "start", "end")), pa.list_(PART)),
-                pa.array(named(weak, ("kind", "start", "end", "lo", "hi")), pa.list_(WEAK)),
+                named(base),
+                named(weak),
             ],
             ["doc_id", "row_key", "base", "weak"],
         )
@@ -116,25 +114,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, base, weak) of each row of ``docs`` (doc_id, text): the parts found in its whole text."""
-    part = "array<struct<kind: string, start: bigint, end: bigint{}>>"
+    part = "array<struct<kind: string, start: bigint, end: bigint, first: bigint, last: bigint>>"
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_extract, f"doc_id {kind}, row_key bigint, base {part.format('')}, weak {part.format(', lo: bigint, hi: bigint')}")
+    return rows.mapInArrow(_extract, f"doc_id {kind}, row_key bigint, base {part}, weak {part}")
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(row_key, linked): the weak parts of each row in whose scope a complementary part lies."""
+    """(row_key, linked): the weak parts of each row whose scope a complementary part meets."""
     some = found.where("size(weak) > 0").select("row_key", "base", "weak").dropDuplicates(["row_key"])
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor(F.col(hi) / BIN))).alias("bin")
-    scopes = some.select("row_key", F.explode("weak").alias("w")).select("row_key", "w.*").withColumn("role", role_of("kind"))
-    scopes = scopes.select("*", bins("lo", "hi"))
-    plain = F.transform("weak", lambda w: F.struct(w.kind.alias("kind"), w.start.alias("start"), w.end.alias("end")))
-    every = some.select("row_key", F.explode(F.concat("base", plain)).alias("p")).select(
-        "row_key", role_of("p.kind").alias("p_role"), F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"), F.floor(F.col("p.start") / BIN).alias("bin")
-    )
-    complementary = F.when(F.col("role") == "secret", F.col("p_role") != "secret").otherwise(F.col("p_role") == "secret")
-    inside = (F.col("p_start") >= F.col("lo")) & (F.col("p_end") <= F.col("hi"))
-    hits = scopes.join(every, ["row_key", "bin"]).where(inside & complementary)
+    blocks = F.explode(F.sequence("first", "last")).alias("block")
+    scopes = some.select("row_key", F.explode("weak").alias("w")).select("row_key", "w.*").select("*", blocks).withColumn("role", role_of("kind"))
+    every = some.select("row_key", F.explode(F.concat("base", "weak")).alias("p")).select("row_key", "p.*").select("row_key", blocks, role_of("kind").alias("p_role"))
+    held = every.groupBy("row_key", "block").agg(F.bool_or(F.col("p_role") == "secret").alias("secret"), F.bool_or(F.col("p_role") != "secret").alias("other"))
+    complementary = F.when(F.col("role") == "secret", F.col("other")).otherwise(F.col("secret"))
+    hits = scopes.join(held, ["row_key", "block"]).where(complementary)
     return hits.select("row_key", "kind", "start", "end").distinct().groupBy("row_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
 
 
@@ -152,8 +146,9 @@ def scan(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -
         lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")),
     )
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
+    plain = lambda c: F.transform(c, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
     both = found.join(linked(found), "row_key", "left")
-    return both.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("linked", none))).alias("spans"))
+    return both.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat(plain(F.col("base")), F.coalesce("linked", none))).alias("spans"))
 
 
 def joined(spans):

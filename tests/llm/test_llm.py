@@ -80,6 +80,14 @@ def test_secrets(spark):
         assert [(x.start, secret_scans.KINDS.index(x.kind), x.end) for x in r.base] == secret_scans.brute_force(text)[0]
 
 
+def test_secrets_link_over_a_whole_block(spark):
+    key = "Zx9kLm3QpTr8vWy2AbCd" * 40
+    far = "user=bob\n" + "port: 1\n" * 200 + "token=hunter22"
+    rows = [(1, f"user=bob token={key}"), (2, f"token={key} https://db.example.com"), (3, far), (4, far.replace("port: 1\n" * 200, "\n")), (5, f"{key} user=bob")]
+    said = {r.doc_id: [x.kind for x in r.spans] for r in secret_scans.scan(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert said == {1: ["identifier", "assign"], 2: ["assign", "endpoint"], 3: ["identifier", "assign"], 4: ["assign"], 5: ["secret", "identifier"]}
+
+
 def test_secret_query_matches_brute_force(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     for r in secret_scans.op1(spark, SF).collect():
