@@ -2,7 +2,8 @@
 
 Terms are the distinct words of a text and the first four and five letters of longer ones, hashed to a
 fixed space. The machine has a weight for each term and a short vector for each, whose products weigh
-pairs of terms, so that a pair can count for more than its words. It is fitted on a bounded sample of
+pairs of terms, so that a pair can count for more than its words. Every term of the rows it is fitted on
+takes part, whether or not it tells the labels apart by itself. It is fitted on a bounded sample of
 labelled rows and sent to all tasks; its size is that of the hash space, whatever the input.
 
 Defined cases: a null or empty text has no terms and gets the score of none; without rows of both labels
@@ -24,8 +25,6 @@ from .labelled import held_out, sample
 
 #: Bits of the hash space, length of a term's vector, and rows of each class that the fit sees at most.
 BITS, FACTORS, ROWS_PER_CLASS = 18, 4, 4000
-#: Standard errors by which a term's share of texts must differ between the labels for it to be weighed.
-TELLING = 5.0
 THRESHOLD = 0.7
 #: ASCII that parts words: all but letters and digits.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -46,15 +45,6 @@ def terms(column, bits: int = BITS) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate([f[a:b] for f in found]))
 
 
-def telling(rows: list[np.ndarray], label: np.ndarray, space: int) -> np.ndarray:
-    """The terms whose shares of texts differ between the labels by more than chance would make them differ."""
-    n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
-    count = lambda c: np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, label, strict=True) if y == c)]), minlength=space)
-    in1, in0 = count(1), count(0)
-    p = (in1 + in0 + 1) / (n1 + n0 + 2)
-    return np.abs(in1 / n1 - in0 / n0) >= TELLING * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-
-
 class Machine:
     """bias + sum of weights + pairwise products of vectors; scores are calibrated so that THRESHOLD is the best cut."""
 
@@ -93,10 +83,11 @@ class Machine:
         """Adagrad on the logistic loss; a tenth of the rows sets the cut and slope."""
         rng = np.random.Generator(np.random.PCG64(3))
         check = rng.random(len(rows)) < 0.1
-        told = telling([r for r, c in zip(rows, check, strict=True) if not c], label[~check], len(self.weight))
-        self.vector[~told] = 0
-        rows = [r[told[r]] for r in rows]
         train = np.flatnonzero(~check)
+        unseen = np.ones(len(self.weight), bool)
+        for i in train:
+            unseen[rows[i]] = False
+        self.vector[unseen] = 0
         g_w, g_v, g_b = np.full_like(self.weight, 1e-3), np.full_like(self.vector, 1e-3), 1e-3
         for _ in range(epochs):
             rng.shuffle(train)
@@ -109,7 +100,7 @@ class Machine:
                 self.bias -= rate * err.mean() / np.sqrt(g_b := g_b + err.mean() ** 2)
                 size = np.array([len(r) for r in part])
                 ids, each = np.concatenate(part), np.repeat(err, size) / len(part)
-                sums = np.stack([self.vector[r].sum(0) for r in part])
+                sums = np.add.reduceat(self.vector[ids], np.concatenate(([0], np.cumsum(size)[:-1])))
                 used, inverse = np.unique(ids, return_inverse=True)
                 d_w = np.bincount(inverse, each).astype(np.float32) + decay * self.weight[used]
                 per = each[:, None] * (np.repeat(sums, size, 0) - self.vector[ids])
