@@ -290,26 +290,6 @@ def test_factorization_machine_learns_a_pair():
     assert ((m.score(rows) >= 0.7) == label).mean() > 0.97
 
 
-def test_factorization_machine_learns_a_balanced_pair():
-    """Both words, or none of them: each word alone is as common in either label."""
-    rng = np.random.Generator(np.random.PCG64(2))
-    kinds = [rng.permutation(4) for _ in range(1000)]
-    rows = [np.concatenate(([0] * (k & 1), [1] * (k >> 1), 2 + np.flatnonzero(rng.random(10) < 0.3))).astype(np.int32) for four in kinds for k in four.tolist()]
-    label = np.array([float(k in (0, 3)) for four in kinds for k in four.tolist()])
-    m = toxicity.Machine(bits=8)
-    m.fit(rows, label)
-    assert ((m.score(rows) >= 0.7) == label).mean() > 0.97
-
-
-def test_rare_toxic_term_counts_in_a_large_sample():
-    """A term of 20 among 4,000 toxic rows and of no clean row."""
-    rng = np.random.Generator(np.random.PCG64(4))
-    rows = [np.concatenate(([0] * (i < 20), [1] * (20 <= i < 4000), 2 + np.flatnonzero(rng.random(30) < 0.3))).astype(np.int32) for i in range(8000)]
-    m = toxicity.Machine(bits=8)
-    m.fit(rows, np.array([float(i < 4000) for i in range(8000)]))
-    assert (m.score(rows[:20]) >= 0.7).all() and (m.score(rows[4000:]) < 0.7).all()
-
-
 def plain_leaks(text, items, size=10):
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER))
     words, hit, ids = find(text), set(), set()
