@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii, table, tune
-from .ngram_join import linked_components
+from .pivots import linked_components
 
 MIN_WORDS, BITS_APART, SIMILARITY = 5, 3, 0.8
 LANE = 16

@@ -3,18 +3,24 @@
 The n-grams of all texts have one global order, that of their hashes. It is cut into K fragments, and each
 set with it. Sets that differ in at most d n-grams agree in at least K - d fragments, so with K > d two
 linked sets share a fragment as a whole: sets meet in the buckets (size class, fragment, hash of the set's
-part in that fragment). K follows the sizes of a class, so that no cap or prefix is needed; a set joins the
-next class too if a linked set may lie there. Where fewer fragments than d hold any n-gram, the empty ones
-count as well. The overlap of a pair is counted fragment by fragment and summed per pair.
-
-Equal sets are one node from the start. In a bucket every set first meets one pivot only; links found merge
-components, and buckets that lie in one component are done. Pivots change from round to round. When few
-pairs are left, or a round finds no link, all pairs of a bucket that still lie in different components are counted, so no link
-between components is missed. A large group of near copies thus costs a few passes, not its square.
+part in that fragment). K follows the sizes of a class, so that no cap or prefix is needed; a set joins each
+larger class in which a linked set may lie. Where no more fragments than d hold any n-gram, the empty ones
+count as well.
+
+A linked pair shares not one bucket but as many as the set's fragments exceed its differences. A set with
+fewer shared buckets links with nothing; any other one leaves out its most frequent buckets, one less than
+it must share, so that passages which many texts hold draw no texts together. Sets that still share a bucket
+form a block. The sets of a block are dealt over chunks of bounded size and every two chunks meet in one
+unit of work: there the overlaps of all their pairs are counted fragment by fragment of the order, summed
+per pair and compared with the threshold. A unit gives only a spanning forest of its links, so neither a
+large group of near copies nor one just under the threshold makes more rows than it has sets a unit.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
-words than n make one n-gram; repeated rows and equal texts are one node and lie in one component; an empty
-table gives an empty result; other columns are ignored. N-grams are compared by 64-bit hashes.
+words than n make one n-gram; repeated rows and equal texts are one set and lie in one component; a null id
+is an id that comes before all others only if its whole component has none; a repeated id is judged by each
+of its texts; texts of any length are read whole, one is one piece of work; an empty table gives an empty
+result; other columns, whatever their names, are ignored. N-grams are compared by 64-bit hashes, sets are
+told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,31 +29,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, Scratch, components, table, tune
 from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signed, texts, word_bounds
 
-#: Slices of the order in which the overlaps of a pair are counted one by one.
-SLICES = 4
-#: Rounds of pivots at most, before all pairs that are left are counted.
-PIVOT_ROUNDS = 6
-#: The bit of info that tells whether a set lists its empty fragments; the class is below it.
-LISTED = 0x80
-#: Columns of a sketch, 64 parities each.
-SKETCH = tuple(f"k{i}" for i in range(8))
+#: Bits of a bucket's owner that hold the size class; the others are the set's.
+CLASS_BITS = 7
+#: A chunk of a block has about so many sets at most, and so many n-grams.
+CHUNK_SETS, CHUNK_GRAMS = 1024, 1 << 19
+#: N-grams of a fragment in which overlaps are counted at once.
+FRAGMENT = 2048
 
 
 class Classes:
     """Size classes for sets linked when 100 * intersection >= percent * union."""
 
     def __init__(self, percent: int, top: int = 1 << 40) -> None:
+        if not 0 < percent <= 100:
+            raise ValueError("percent must lie in 1 to 100")
         self.percent = percent
+        self.lows: list[int] = []
+        if percent == 100:  # only equal sets link
+            return
         low = 1
         while self.differences(2 * low + 1) < 1:
             low += 1
-        self.lows = [low]
+        self.lows.append(low)
         while self.lows[-1] < top:
             self.lows.append(max(self.lows[-1] + 2, self.lows[-1] * 3 // 2))
 
@@ -55,6 +64,10 @@ class Classes:
         """The most n-grams in which linked sets with that sum of sizes differ."""
         return both * (100 - self.percent) // (100 + self.percent)
 
+    def own_differences(self, size: int) -> int:
+        """The most n-grams in which a set of that size differs from any linked one."""
+        return self.differences(size + size * 100 // self.percent)
+
     def shape(self, c: int) -> tuple[int, int]:
         """(fragments, most differences) of a class."""
         d = self.differences(2 * (self.lows[c + 1] - 1))
@@ -62,38 +75,9 @@ class Classes:
 
     def of(self, size: int) -> list[tuple[int, int, int]]:
         """(class, fragments, differences) of the classes that a set of that size joins."""
-        c = int(np.searchsorted(self.lows, size, "right")) - 1
-        return [(k, *self.shape(k)) for k in (c, c + 1) if k >= 0 and (k == c or size * 100 // self.percent >= self.lows[k])]
-
-    def near(self, a: str, b: str) -> Column:
-        """Whether sets a and b may link by their sizes and sketches: no linked pair differs in more parities than n-grams."""
-        n_a, n_b = F.shiftright(f"info_{a}", 32), F.shiftright(f"info_{b}", 32)
-        apart = F.lit(0)
-        for k in SKETCH:
-            apart = apart + F.bit_count(F.col(f"{k}_{a}").bitwiseXOR(F.col(f"{k}_{b}")))
-        differ = F.floor((n_a + n_b) * (100 - self.percent) / (100 + self.percent))
-        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent) & (apart <= differ)
-
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, info_a, info_b, shared) those that share as many fragments as a linked pair of their sizes must.
-
-        A linked pair differs in few n-grams, hence in no more fragments; the others are equal, and of these
-        only the ones empty on both sides may be missing from the shared ones: they are, unless both sets list
-        their empty fragments. A pair is judged in the class of its larger set.
-        """
-        n_classes = len(self.lows) - 1
-        of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("kind") + 1).cast("int"))
-        n = lambda c: F.shiftright(c, 32)
-        empty = lambda c: F.shiftright(c, 8).bitwiseAND(F.lit(0xFFFFFF))
-        listed = F.col("info_a").bitwiseAND(F.col("info_b")).bitwiseAND(F.lit(LISTED)) > 0
-        unseen = F.when(listed, 0).otherwise(F.least(empty("info_a"), empty("info_b")))
-        both, larger = n("info_a") + n("info_b"), F.greatest(n("info_a"), n("info_b"))
-        differ = F.floor(both * (100 - self.percent) / (100 + self.percent))
-        need = of([self.shape(c)[0] for c in range(n_classes)]) - differ - unseen
-        home = (larger >= of(self.lows[:-1])) & (larger < of(self.lows[1:]))
-        small = F.least(n("info_a"), n("info_b"))
-        near = small * 100 >= larger * self.percent
-        return pairs.withColumn("kind", F.col("info_a").bitwiseAND(F.lit(LISTED - 1))).where(home & near & (F.col("shared") >= need)).select("a", "b", "shared")
+        first = max(0, int(np.searchsorted(self.lows, size, "right")) - 1)
+        last = int(np.searchsorted(self.lows, size * 100 // self.percent, "right")) - 1
+        return [(c, *self.shape(c)) for c in range(first, last + 1)]
 
 
 def sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -106,167 +90,198 @@ def sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]
         yield row, [np.unique(grams[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def node(grams: np.ndarray) -> int:
-    """A 63-bit id of a set; 0 only for the empty one."""
-    if not len(grams):
-        return 0
-    k = mix(np.full(1, np.add.reduce(mix(grams + U(11)), dtype=U) + U(len(grams)), U))[0]
-    return int(k >> U(1)) or 1
+def identity(grams: np.ndarray) -> bytes:
+    """128 bits of a set that is not empty."""
+    sums = [np.add.reduce(mix(grams + U(k)), dtype=U) + U(len(grams)) for k in (11, 17)]
+    return mix(np.array(sums, U)).tobytes()
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """512 parities: bit i tells whether an odd number of the set's n-grams fall on it.
+def owner(identity_: bytes, c: int) -> int:
+    """64 bits of a set and a size class. Sets that share them only meet more often than they must."""
+    return int(np.frombuffer(identity_[:8], np.int64)[0]) >> CLASS_BITS << CLASS_BITS | c
 
-    Two sketches differ in no more bits than the sets differ in n-grams.
-    """
-    odd = np.bincount((mix(grams + U(41)) >> U(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
+def fragments(grams: np.ndarray, c: int, k: int, d: int) -> tuple[np.ndarray, int]:
+    """(the buckets of a set in a class of k fragments and d differences, how many of them hold n-grams)."""
+    part = ((grams >> U(32)) * U(k)) >> U(32)
+    first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+    held, total = part[first], np.add.reduceat(mix(grams + U(29)), first)
+    full = len(held)
+    if full <= d:
+        empty = np.setdiff1d(np.arange(k, dtype=U), held)
+        held, total = np.concatenate((held, empty)), np.concatenate((total, np.zeros(len(empty), U)))
+    return signed(mix(total + mix(held + U(c << 40)))), full
 
-def keyed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, k0 to k7: the set's sketch) of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            size, key, bits = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), np.zeros((len(b), len(SKETCH)), np.int64)
-            for row, found in sets(b, n):
-                size[row : row + len(found)] = [len(x) for x in found]
-                key[row : row + len(found)] = [node(x) for x in found]
-                bits[row : row + len(found)] = [sketch(x) for x in found]
-            sketches = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SKETCH))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(key), *sketches], ["doc_id", "n_shingles", "node", *SKETCH])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, " + ", ".join(f"{k} bigint" for k in SKETCH))
+PARTS = pa.struct([("owner", pa.int64()), ("need", pa.int32()), ("buckets", pa.list_(pa.int64()))])
 
 
-def buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(bucket, node, info) of each row's set: the fragments of its classes.
+def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, parts) of each row: its set, and for each class the set's buckets.
 
-    info packs the size of the set, the number of its empty fragments, whether it lists them, and the class.
+    need is the number of buckets that any linked set must share. A set that comes again in a task has no
+    parts; an empty set has neither id nor parts.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        classes = Classes(percent)
+        classes, seen = Classes(percent), set()
         for b in batches:
-            keys, nodes, infos, seen = [], [], [], set()
-            for _, found in sets(b, n):
-                for grams in found:
-                    if len(grams) < 2 or (k := node(grams)) in seen:
+            size, ids, parts = np.zeros(len(b), np.int64), [None] * len(b), [None] * len(b)
+            for row, found in sets(b, n):
+                for i, grams in enumerate(found, row):
+                    if not len(grams):
+                        continue
+                    size[i], ids[i] = len(grams), identity(grams)
+                    if ids[i] in seen:
                         continue
-                    seen.add(k)
-                    mixed = mix(grams + U(29))
-                    for c, fragments, d in classes.of(len(grams)):
-                        part = ((grams >> U(32)) * U(fragments)) >> U(32)
-                        first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-                        held, total = part[first], np.add.reduceat(mixed, first)
-                        info = len(grams) << 32 | (fragments - len(held)) << 8 | c
-                        if len(held) <= d:
-                            info |= LISTED
-                            empty = np.setdiff1d(np.arange(fragments, dtype=U), held)
-                            held, total = np.concatenate((held, empty)), np.concatenate((total, np.zeros(len(empty), U)))
-                        keys.append(mix(total + mix(held + U(c << 40))))
-                        nodes.append(np.full(len(held), k, np.int64))
-                        infos.append(np.full(len(held), info, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(infos))], ["bucket", "node", "info"]
-                )
-
-    return docs.select("text").mapInArrow(run, "bucket bigint, node bigint, info bigint")
-
-
-def sliced(rows: DataFrame, n: int, slices: int = SLICES) -> DataFrame:
-    """(node, n_shingles, slice, grams) of rows (text, want): the slices of a set as sorted 64-bit values."""
+                    seen.add(ids[i])
+                    own = classes.own_differences(len(grams)) if classes.lows else 0
+                    parts[i] = []
+                    for c, k, d in classes.of(len(grams)):
+                        keys, full = fragments(grams, c, k, d)
+                        parts[i].append((owner(ids[i], c), full - own, keys))
+            flat = [p for row in parts if row for p in row]
+            lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([0 if r is None else len(r) for r in rows], dtype=np.int64))), pa.int32()), values)
+            keys = lists([p[2] for p in flat], pa.array(np.concatenate([np.zeros(0, np.int64), *(p[2] for p in flat)])))
+            each = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int64()), pa.array([p[1] for p in flat], pa.int32()), keys], fields=list(PARTS))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(size), pa.array(ids, pa.binary()), lists(parts, each)], ["doc_id", "n_shingles", "set_id", "parts"]
+            )
+
+    schema = f"doc_id {kind}, n_shingles bigint, set_id binary, parts array<struct<owner: bigint, need: int, buckets: array<bigint>>>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def blocks(spark: SparkSession, sets_: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp): the sets (64 bits less the class) that may link with others, and their block."""
+    parts = sets_.select(F.explode("parts").alias("p")).select("p.*")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange serves the counts of buckets and the rows that they are joined with.
+    rows = parts.select("owner", F.explode("buckets").alias("bucket")).repartition(spread, "bucket")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+    shared = counts.where("low < high").select("bucket", "n")
+    met = scratch.keep(rows.join(shared.hint("shuffle_hash"), "bucket").select("owner", "bucket", "n"), "met")
+    needs = parts.groupBy("owner").agg(F.greatest(F.min("need"), F.lit(1)).alias("need"))
+    held = met.groupBy("owner").agg(F.array_sort(F.collect_set(F.struct("n", "bucket"))).alias("held")).join(needs, "owner")
+    rare = F.slice("held", F.lit(1), F.size("held") - F.col("need") + 1)
+    kept = held.where(F.size("held") >= F.col("need")).select("owner", F.explode(rare).alias("h")).select("owner", "h.bucket")
+    kept = scratch.keep(kept, "kept")
+    scratch.drop(met)
+    pivots = kept.groupBy("bucket").agg(F.min("owner").alias("pivot"), F.max("owner").alias("high")).where("pivot < high")
+    whole = lambda c: F.shiftleft(F.shiftright(c, CLASS_BITS), CLASS_BITS)
+    edges = kept.join(pivots, "bucket").select(whole("owner").alias("a"), whole("pivot").alias("b")).where("a <> b").distinct()
+    out = components(spark, edges, scratch)
+    scratch.drop(kept)
+    return out
+
+
+def gathered(rows: DataFrame, n: int) -> DataFrame:
+    """Rows (text, set_id, ...) with ``grams``, the set's sorted 64-bit values, in place of the text; other sets' texts are left out."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for b in batches:
-            want, out = b.column("want").to_numpy(), []
+            want, grams = b.column("set_id").to_pylist(), [None] * len(b)
             for row, found in sets(b, n):
-                for i, grams in enumerate(found):
-                    if len(grams) and node(grams) == want[row + i]:
-                        cut = np.searchsorted(grams, [U(s << 62) for s in range(1, slices)] if slices == 4 else [U((s << 64) // slices) for s in range(1, slices)])
-                        out += [(int(want[row + i]), len(grams), s, g.tobytes()) for s, g in enumerate(np.split(grams, cut))]
-            if out:
-                a, size, s, g = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(size, pa.int64()), pa.array(s, pa.int32()), pa.array(g, pa.binary())], ["node", "n_shingles", "slice", "grams"]
-                )
-
-    return rows.mapInArrow(run, "node bigint, n_shingles bigint, slice int, grams binary")
-
-
-def overlaps(pairs: DataFrame, slices: DataFrame) -> DataFrame:
-    """(a, b, overlap, n_a, n_b) of pairs (a, b) of nodes: counted in each slice, then summed."""
-
-    def count(batches):
-        for x in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(p.as_py(), U), np.frombuffer(q.as_py(), U), assume_unique=True))
-                for p, q in zip(x.column("grams_a"), x.column("grams_b"), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(x.column(c) for c in ("a", "b", "slice", "n_a", "n_b")), pa.array(common, pa.int64())], ["a", "b", "slice", "n_a", "n_b", "common"]
-            )
+                for i, g in enumerate(found, row):
+                    if len(g) and identity(g) == want[i]:
+                        grams[i] = g.tobytes()
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(grams, pa.binary())], [*names, "grams"])
+            yield out.filter(pa.array([g is not None for g in grams], pa.bool_()))
+
+    schema = rows.select(*names).withColumn("grams", F.lit(None).cast("binary")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of sets a with sets b, counted in each fragment of the order and summed."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    if len(a) * len(b) <= 16:
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    side = lambda s: (np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s]))
+    (ga, ra), (gb, rb) = side(a), side(b)
+    both = np.intersect1d(ga, gb)
+
+    def known(g, r):
+        at = np.minimum(np.searchsorted(both, g), max(len(both) - 1, 0))
+        hit = both[at] == g if len(both) else np.zeros(len(g), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], r[hit][order]
+
+    (ga, ra), (gb, rb) = known(ga, ra), known(gb, rb)
+    for low in range(0, len(both), FRAGMENT):
+        cut = lambda g, r: (g[(s := slice(*np.searchsorted(g, (low, low + FRAGMENT))))] - low, r[s])  # noqa: E731, B023
+        (fa, xa), (fb, xb) = cut(ga, ra), cut(gb, rb)
+        size_a, size_b = np.bincount(fa, minlength=FRAGMENT), np.bincount(fb, minlength=FRAGMENT)
+        if (size_a * size_b).sum() < 4_000_000:  # few sets share each n-gram: count the pairs themselves
+            start = np.cumsum(size_b) - size_b
+            many = size_b[fa]
+            left = np.repeat(xa, many)
+            right = xb[np.repeat(start[fa] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            out += np.bincount(left * len(b) + right, minlength=out.size).reshape(out.shape)
+        else:
+            dense = lambda f, x, rows: (m := np.zeros((rows, FRAGMENT), np.float32), m.__setitem__((x, f), 1))[0]
+            out += np.rint(dense(fa, xa, len(a)) @ dense(fb, xb, len(b)).T).astype(np.int64)
+    return out
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the bipartite graph of rows and columns that ``near`` joins: (row, column)."""
+    out, rows, columns = [], np.zeros(near.shape[0], bool), np.zeros(near.shape[1], bool)
+    for first in np.flatnonzero(near.any(1)):
+        if rows[first]:
+            continue
+        rows[first], todo = True, [(0, int(first))]
+        while todo:
+            side, x = todo.pop()
+            fresh = np.flatnonzero((near[x] & ~columns) if side == 0 else (near[:, x] & ~rows))
+            (columns if side == 0 else rows)[fresh] = True
+            out += [(x, int(y)) if side == 0 else (int(y), x) for y in fresh]
+            todo += [(1 - side, int(y)) for y in fresh]
+    return out
+
+
+def unit_links(i: int, j: int, chunk: list[int], ids: list[bytes], grams: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between chunks i and j, or within one."""
+    rows = {id_: (c, np.frombuffer(g, U)) for c, id_, g in zip(chunk, ids, grams, strict=True)}
+    a = [(id_, g) for id_, (c, g) in rows.items() if c == i]
+    b = a if i == j else [(id_, g) for id_, (c, g) in rows.items() if c == j]
+    if not a or not b or len(rows) < 2:
+        return []
+    common = overlaps([g for _, g in a], [g for _, g in b])
+    size = lambda s: np.array([len(g) for _, g in s], np.int64)
+    near = 100 * common >= percent * (size(a)[:, None] + size(b)[None, :] - common)
+    if i == j:
+        np.fill_diagonal(near, False)
+    return [(a[x][0], b[y][0]) for x, y in forest(near)]
+
+
+def units(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets of rows (comp, i, j, chunk, set_id, grams) that are sorted by comp, i, j in each partition."""
 
-    left = slices.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), "slice", F.col("grams").alias("grams_a"))
-    right = slices.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), "slice", F.col("grams").alias("grams_b"))
-    met = pairs.join(left, "a").join(right, ["b", "slice"]).select("a", "b", "slice", "n_a", "n_b", "grams_a", "grams_b")
-    counted = met.mapInArrow(count, "a bigint, b bigint, slice int, n_a bigint, n_b bigint, common bigint")
-    # A repeated id may bring a set twice; the greatest count of a slice is its count.
-    counted = counted.groupBy("a", "b", "slice").agg(F.max("common").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return counted.groupBy("a", "b").agg(F.sum("common").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    def run(batches):
+        key, held = None, ([], [], [])
 
+        def done():
+            links = unit_links(*key[1:], *held, percent) if key else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-def linked_components(spark: SparkSession, members: DataFrame, verify, scratch: Scratch, plausible=None, near=None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Components (id, comp) over all links between ids that share a bucket of ``members`` (bucket, id, info, ...).
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
+            values = list(zip(*(b.column(c).to_pylist() for c in ("chunk", "set_id", "grams")), strict=True))
+            for k, v in zip(keys, values, strict=True):
+                if k != key:
+                    yield done()
+                    key, held = k, ([], [], [])
+                for x, y in zip(held, v, strict=True):
+                    x.append(y)
+        yield done()
 
-    ``near`` gives a condition that linked pairs meet, on the
-    columns of members with ``_a`` and ``_b`` after their names; ``plausible`` drops pairs (a, b, info_a, info_b, shared) that cannot link, shared being the number of
-    common buckets; ``verify`` keeps of pairs (a, b) those that link. No link between components stays unseen: at the end
-    every pair of a bucket either lies in one component or has been verified not to link.
-    """
-    links = tested = comp = None
-    more = [c for c in members.columns if c not in ("bucket", "id", "info")]
-    left = members.select("bucket", "id", "info", *more, F.col("id").alias("comp"))
-    found = None
-    for turn in range(pivot_rounds + 1):
-        if comp is not None:
-            left = left.drop("comp").join(comp, "id", "left").select("bucket", "id", "info", *more, F.coalesce("comp", "id").alias("comp"))
-        sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        spread = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        spread = scratch.keep(spread.where("comps > 1"), "spread")
-        rows, pairs_left = spread.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("(n * n - squares) / 2")), F.lit(0))).first()
-        if not rows:
-            break
-        left = scratch.keep(left.join(spread.select("bucket"), "bucket", "left_semi"), "left")
-        final = turn == pivot_rounds or pairs_left <= 2 * rows or found == 0
-        close = near("a", "b") if near else F.lit(True)
-        side = lambda c: left.select("bucket", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("info", *more, "comp")])
-        if final:
-            met = side("a").join(side("b"), "bucket").where("a < b and comp_a <> comp_b").where(close)
-        else:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("info", *more, "comp")]))
-            pivots = left.groupBy("bucket").agg(pick.alias("p")).select("bucket", "p.*").drop("h")
-            met = side("a").join(pivots, "bucket").where("comp_a <> comp_b").where(close)
-        pairs = met.groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
-        pairs = plausible(pairs) if plausible else pairs
-        if not final:  # of its pivots an id first meets the one with which it shares most buckets
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = scratch.keep(verify(pairs).select("a", "b"), "links")
-        found = new.count()
-        links = new if links is None else links.union(new)
-        comp = components(spark, links, scratch)
-        if final:
-            break
-    if comp is None:
-        return members.select("id", F.col("id").alias("comp")).limit(0)
-    return comp
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -276,29 +291,31 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     lower-cased in A-Z and parted by ASCII whitespace); component_id is the smallest doc_id reachable.
     """
     tune(spark)
+    Classes(percent)
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
-    keys = scratch.keep(keyed_sets(docs, n), "keys")
-    all_ = buckets(docs, n, percent)
-    shared = scratch.keep(all_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
-    members = scratch.keep(all_.join(shared, "bucket").select("bucket", F.col("node").alias("id"), "info").distinct(), "members")
-    sketches = keys.where("n_shingles > 0").groupBy(F.col("node").alias("id")).agg(*[F.first(k).alias(k) for k in SKETCH])
-
-    stands = keys.groupBy("node").agg(F.min("doc_id").alias("pick")).withColumnRenamed("node", "want")
-    need = stands.join(members.select(F.col("id").alias("want")).distinct(), "want", "left_semi")
-    picked = docs.join(need, F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "want")
-    slices = scratch.keep(sliced(picked, n), "slices")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return overlaps(pairs, slices).where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
-
-    classes = Classes(percent)
-    comp = linked_components(spark, members.join(sketches, "id"), verify, scratch, classes.plausible, classes.near).withColumnRenamed("id", "node")
-    placed = keys.drop(*SKETCH).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = scratch.keep(placed, "placed")
-    least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "comp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = scratch.keep(described(docs, n, percent), "sets")
+    block = blocks(spark, rows, scratch)
+
+    some = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("pick"), F.max("n_shingles").alias("size"), F.max(F.get("parts", F.lit(0))["owner"]).alias("owner"))
+    some = some.withColumn("id", F.shiftleft(F.shiftright("owner", CLASS_BITS), CLASS_BITS)).join(block, "id").select("set_id", "pick", "size", "comp")
+    some = scratch.keep(some, "members")
+    shapes = some.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS)).cast("int").alias("chunks"), F.count("*").alias("m"))
+    want = some.join(shapes.where("m > 1"), "comp").select("set_id", "pick", "comp", "chunks", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"))
+    want = scratch.keep(want, "want")
+    picked = docs.join(want, F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "set_id", "comp", "chunk", "chunks")
+    meets = gathered(picked, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meets = meets.select("comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id", "grams")
+    meets = meets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    links = scratch.keep(units(meets, percent), "links")
+    comp = components(spark, links, scratch)
+
+    least = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"))
+    least = scratch.keep(least.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left"), "least")
+    of = least.where("comp is not null").groupBy("comp").agg(F.min("own").alias("least"))
+    least = least.join(of, "comp", "left").select("set_id", F.coalesce("least", "own").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "set_id").join(least, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
