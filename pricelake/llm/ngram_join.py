@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACE_BYTES, Scratch, components, table, tune
 from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signed, texts, word_bounds
@@ -245,11 +247,11 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def unit_links(i: int, j: int, chunk: list[int], ids: list[bytes], grams: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
+def unit_links(i: int, j: int, chunk: list[int], nodes: list[dict], grams: list[bytes], percent: int) -> list[tuple[dict, dict]]:
     """A spanning forest of the links between chunks i and j, or within one."""
-    rows = {id_: (c, np.frombuffer(g, U)) for c, id_, g in zip(chunk, ids, grams, strict=True)}
-    a = [(id_, g) for id_, (c, g) in rows.items() if c == i]
-    b = a if i == j else [(id_, g) for id_, (c, g) in rows.items() if c == j]
+    rows = {x["set_id"]: (c, x, np.frombuffer(g, U)) for c, x, g in zip(chunk, nodes, grams, strict=True)}
+    a = [(x, g) for c, x, g in rows.values() if c == i]
+    b = a if i == j else [(x, g) for c, x, g in rows.values() if c == j]
     if not a or not b or len(rows) < 2:
         return []
     common = overlaps([g for _, g in a], [g for _, g in b])
@@ -261,18 +263,20 @@ def unit_links(i: int, j: int, chunk: list[int], ids: list[bytes], grams: list[b
 
 
 def units(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between sets of rows (comp, i, j, chunk, set_id, grams) that are sorted by comp, i, j in each partition."""
+    """(a, b): links between nodes of rows (comp, i, j, chunk, node, grams) that are sorted by comp, i, j in each partition."""
+    kind = rows.schema["node"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         key, held = None, ([], [], [])
 
         def done():
             links = unit_links(*key[1:], *held, percent) if key else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], arrow) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
-            values = list(zip(*(b.column(c).to_pylist() for c in ("chunk", "set_id", "grams")), strict=True))
+            values = list(zip(*(b.column(c).to_pylist() for c in ("chunk", "node", "grams")), strict=True))
             for k, v in zip(keys, values, strict=True):
                 if k != key:
                     yield done()
@@ -281,7 +285,7 @@ def units(rows: DataFrame, percent: int) -> DataFrame:
                     x.append(y)
         yield done()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -303,18 +307,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     shapes = some.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS)).cast("int").alias("chunks"), F.count("*").alias("m"))
     want = some.join(shapes.where("m > 1"), "comp").select("set_id", "pick", "comp", "chunks", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"))
     want = scratch.keep(want, "want")
-    picked = docs.join(want, F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "set_id", "comp", "chunk", "chunks")
+    # The wanted sets grow with the input, so they are never broadcast.
+    picked = docs.join(want.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "set_id", "pick", "comp", "chunk", "chunks")
     meets = gathered(picked, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    meets = meets.select("comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id", "grams")
+    # The order of nodes makes the smallest id the name of a component.
+    node = F.struct(F.col("pick").isNull().alias("none"), "pick", "set_id").alias("node")
+    meets = meets.select("comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", node, "grams")
     meets = meets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = scratch.keep(units(meets, percent), "links")
-    comp = components(spark, links, scratch)
-
-    least = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"))
-    least = scratch.keep(least.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left"), "least")
-    of = least.where("comp is not null").groupBy("comp").agg(F.min("own").alias("least"))
-    least = least.join(of, "comp", "left").select("set_id", F.coalesce("least", "own").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(least, "set_id", "left")
+    comp = components(spark, scratch.keep(units(meets, percent), "links"), scratch).select("id.set_id", F.col("comp.pick").alias("least"), F.lit(True).alias("linked"))
+
+    own = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"))
+    names = own.join(comp, "set_id", "left").select("set_id", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "set_id").join(names, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

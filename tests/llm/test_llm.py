@@ -132,41 +132,67 @@ def test_ngram_join_pivots_reach_all_links(spark):
     assert ngram_join.jaccard_components(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_linked_sets_always_share_a_bucket():
-    classes = ngram_join.Classes(85)
-    rng = random.Random(2)
-    for size in [6, 7, 8, 13, 20, 50, 200]:
-        for _ in range(60):
-            a = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
-            b = a.copy()
-            for _ in range(rng.randrange(1, 2 + size // 8)):
-                b[rng.randrange(size)] = rng.getrandbits(64)
-            if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_linked_sets_share_as_many_buckets_as_they_need(percent):
+    """Also where one set or both list their empty fragments."""
+    classes, rng, linked = ngram_join.Classes(percent), random.Random(2), 0
+    for size in [1, 2, 4, 6, 7, 8, 13, 20, 50, 200]:
+        for _ in range(200):
+            a = [rng.getrandbits(64) for _ in range(size)]
+            b = [x for x in a if rng.random() > 0.05] + [rng.getrandbits(64) for _ in range(rng.randrange(0, 2 + size // 8))]
+            a, b = (np.unique(np.array(x, np.uint64)) for x in (a, b))
+            if not len(b) or len(a) == len(b) and (a == b).all() or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
                 continue
-            cut = lambda x: {
-                (c, f, tuple(sorted(g for g in x.tolist() if (g >> 32) * k >> 32 == f))) for c, k, _ in classes.of(len(x)) for f in range(k)
-            }
-            d = {c: d for c, _, d in classes.of(size)}
-            held = lambda s: {x for x in s if x[2]}
-            assert held(cut(a)) & held(cut(b)) or any(sum(1 for x in held(cut(a)) if x[0] == c) <= d[c] for c in d)
-
-
-def test_linked_sets_are_always_plausible(spark):
-    """Also where only one of two sets lists its empty fragments."""
-    rng, rows, n = random.Random(11), [], 4000
-    for i in range(n):
-        a = [f"a{i}x{j}" for j in range(rng.randrange(4, 14))]
-        less, more = rng.choice([(0, 1), (1, 0), (1, 1), (0, 2), (2, 0)])
-        b = a[less:] + [f"b{i}x{j}" for j in range(more)]
-        if 100 * (len(a) - less) < 80 * (len(a) + more):
-            b = [*a, "one"] if len(a) < 5 else a[1:]
-        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-    docs = spark.createDataFrame(rows, DOCS)
-    of = ngram_join.keyed_sets(docs, 1).select("node", F.expr("doc_id div 2").alias("pair"), (F.col("doc_id") % 2).alias("side"))
-    each = ngram_join.buckets(docs, 1, 80).join(of, "node")
-    side = lambda c, k: each.where(F.col("side") == k).select("bucket", "pair", F.col("node").alias(c), F.col("info").alias(f"info_{c}"))
-    pairs = side("a", 0).join(side("b", 1), ["bucket", "pair"]).groupBy("a", "b", "info_a", "info_b").agg(F.count("*").alias("shared"))
-    assert ngram_join.Classes(80).plausible(pairs).select("a", "b").distinct().count() == n
+            linked += 1
+            met = False
+            for c, k, d in set(classes.of(len(a))) & set(classes.of(len(b))):
+                (ka, fa), (kb, fb) = ngram_join.fragments(a, c, k, d), ngram_join.fragments(b, c, k, d)
+                shared = len(np.intersect1d(ka, kb))
+                if classes.lows[c] <= max(len(a), len(b)) and (c + 1 == len(classes.lows) or max(len(a), len(b)) < classes.lows[c + 1]):
+                    met = True
+                    assert shared >= max(1, fa - classes.own_differences(len(a)), fb - classes.own_differences(len(b)))
+            assert met
+    assert linked > 300
+    with pytest.raises(ValueError):
+        ngram_join.Classes(0)
+
+
+def test_overlaps_of_chunks_match_plain_intersections():
+    rng = np.random.Generator(np.random.PCG64(4))
+    draw = lambda m, v: [np.unique(rng.integers(0, v, rng.integers(1, min(v, 200))).astype(np.uint64) << np.uint64(40)) for _ in range(m)]
+    for m, k, v in [(3, 4, 40), (60, 50, 300), (300, 200, 150), (20, 30, 9000)]:
+        a, b = draw(m, v), draw(k, v)
+        assert (ngram_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    near = rng.random((40, 50)) < 0.03
+    edges = ngram_join.forest(near)
+    assert all(near[x, y] for x, y in edges) and len(edges) < near.any(1).sum() + near.any(0).sum()
+
+
+def test_ngram_join_in_many_chunks(spark, monkeypatch):
+    """A block cut into chunks of three sets gives the same components."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 3)
+    rng, rows = random.Random(12), []
+    base = prose(rng, 60).split()
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), 4, 85).collect()
+    assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
+
+
+def test_ngram_join_of_null_ids_and_clashing_columns(spark):
+    text = prose(random.Random(1), 30)
+    rows = [(None, text, 1), (7, text, 2), (None, "alone " + prose(random.Random(2), 20), 3), (9, None, 4)]
+    docs = spark.createDataFrame(rows, DOCS + ", component_id int")
+    got = ngram_join.jaccard_components(spark, docs, 4, 85).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("7", "7"), ("9", "9"), ("None", "7"), ("None", "None")]
+
+
+def test_ngram_join_query_matches_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, ngram_join.op2(spark, SF).collect())) == plain_components(rows, 4, 85)
 
 
 def test_url_rules(spark):
