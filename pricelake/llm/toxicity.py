@@ -2,11 +2,18 @@
 
 Terms are the distinct words of a text and the first four and five letters of longer ones, hashed to a
 fixed space. The machine has a weight for each term and a short vector for each, whose products weigh
-pairs of terms, so that a pair can count for more than its words. It is fitted on a bounded sample of
-labelled rows and sent to all tasks; its size is that of the hash space, whatever the input.
+pairs of terms, so that a pair can count for more than its words, also where neither word tells anything
+alone. It is fitted on a bounded sample of labelled rows and sent to all tasks; its size is that of the hash
+space, whatever the input. No term is left out for being common in both labels: weights pay an absolute
+penalty, a smaller one the further a term's shares of texts lie apart (an adaptive lasso), and vectors one
+on their length that is the same for all terms. Only terms of fewer rows than ``ROWS_TO_WEIGH`` and
+``ROWS_TO_PAIR`` have no weight and no vector, however large the sample is.
 
 Defined cases: a null or empty text has no terms and gets the score of none; without rows of both labels
-every score is 0; repeated rows get equal scores; other columns are ignored.
+every score is 0; of repeated labels of an id the greatest counts; repeated rows and rows with equal terms
+get equal scores; a score that equals the threshold is toxic; texts are read whole, of any length, one text
+being one piece of work; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from .labelled import held_out, sample
 
 #: Bits of the hash space, length of a term's vector, and rows of each class that the fit sees at most.
 BITS, FACTORS, ROWS_PER_CLASS = 18, 4, 4000
-#: Standard errors by which a term's share of texts must differ between the labels for it to be weighed.
-TELLING = 5.0
+#: Rows of the sample that must hold a term for it to have a weight, and a vector.
+ROWS_TO_WEIGH, ROWS_TO_PAIR = 2, 10
+#: Penalties on weights and on the length of vectors, and the standard errors from which on a weight pays less.
+SPARSE, SHORT, TELLING = 0.03, 0.006, 1.5
 THRESHOLD = 0.7
 #: ASCII that parts words: all but letters and digits.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -46,13 +55,14 @@ def terms(column, bits: int = BITS) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate([f[a:b] for f in found]))
 
 
-def telling(rows: list[np.ndarray], label: np.ndarray, space: int) -> np.ndarray:
-    """The terms whose shares of texts differ between the labels by more than chance would make them differ."""
+def penalties(rows: list[np.ndarray], label: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold each term, the penalty on its weight): less where its shares of the labels' texts lie far apart."""
     n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
     count = lambda c: np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, label, strict=True) if y == c)]), minlength=space)
     in1, in0 = count(1), count(0)
     p = (in1 + in0 + 1) / (n1 + n0 + 2)
-    return np.abs(in1 / n1 - in0 / n0) >= TELLING * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    apart = np.abs(in1 / n1 - in0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    return in1 + in0, (SPARSE * np.minimum(1, (TELLING / np.maximum(apart, 1e-9)) ** 2)).astype(np.float32)
 
 
 class Machine:
@@ -61,7 +71,7 @@ class Machine:
     def __init__(self, bits: int = BITS, factors: int = FACTORS) -> None:
         self.bias = 0.0
         self.weight = np.zeros(1 << bits, np.float32)
-        self.vector = np.random.Generator(np.random.PCG64(5)).normal(0, 0.01, (1 << bits, factors)).astype(np.float32)
+        self.vector = np.random.Generator(np.random.PCG64(5)).normal(0, 0.05, (1 << bits, factors)).astype(np.float32)
         self.cut, self.slope = 0.0, 1.0
 
     @classmethod
@@ -89,35 +99,40 @@ class Machine:
         z = (self.raw(rows) - self.cut) * self.slope + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], label: np.ndarray, epochs: int = 25, rate: float = 0.2, decay: float = 1e-5) -> None:
-        """Adagrad on the logistic loss; a tenth of the rows sets the cut and slope."""
+    def fit(self, rows: list[np.ndarray], label: np.ndarray, epochs: int = 25, rate: float = 0.2) -> None:
+        """Adagrad on the logistic loss with the penalties taken off after each step; a tenth of the rows sets the cut and slope."""
         rng = np.random.Generator(np.random.PCG64(3))
         check = rng.random(len(rows)) < 0.1
-        told = telling([r for r, c in zip(rows, check, strict=True) if not c], label[~check], len(self.weight))
-        self.vector[~told] = 0
-        rows = [r[told[r]] for r in rows]
+        held, sparse = penalties([r for r, c in zip(rows, check, strict=True) if not c], label[~check], len(self.weight))
+        self.vector[held < ROWS_TO_PAIR] = 0
+        rows = [r[held[r] >= ROWS_TO_WEIGH] for r in rows]
         train = np.flatnonzero(~check)
         g_w, g_v, g_b = np.full_like(self.weight, 1e-3), np.full_like(self.vector, 1e-3), 1e-3
         for _ in range(epochs):
             rng.shuffle(train)
             for batch in np.array_split(train, max(1, len(train) // 64)):
-                part = [rows[i] for i in batch if len(rows[i])]
                 batch = np.array([i for i in batch if len(rows[i])], np.int64)
                 if not len(batch):
                     continue
+                part = [rows[i] for i in batch]
                 err = 1 / (1 + np.exp(-np.clip(self.raw(part), -30, 30))) - label[batch]
                 self.bias -= rate * err.mean() / np.sqrt(g_b := g_b + err.mean() ** 2)
                 size = np.array([len(r) for r in part])
                 ids, each = np.concatenate(part), np.repeat(err, size) / len(part)
-                sums = np.stack([self.vector[r].sum(0) for r in part])
+                sums = np.add.reduceat(self.vector[ids], np.concatenate(([0], np.cumsum(size)[:-1])))
                 used, inverse = np.unique(ids, return_inverse=True)
-                d_w = np.bincount(inverse, each).astype(np.float32) + decay * self.weight[used]
+                d_w = np.bincount(inverse, each).astype(np.float32)
                 per = each[:, None] * (np.repeat(sums, size, 0) - self.vector[ids])
-                d_v = np.stack([np.bincount(inverse, per[:, k]) for k in range(per.shape[1])], 1).astype(np.float32) + decay * self.vector[used]
+                d_v = np.stack([np.bincount(inverse, per[:, k]) for k in range(per.shape[1])], 1).astype(np.float32)
                 g_w[used] += d_w**2
                 g_v[used] += d_v**2
-                self.weight[used] -= rate * d_w / np.sqrt(g_w[used])
-                self.vector[used] -= 0.2 * rate * d_v / np.sqrt(g_v[used])
+                step = rate / np.sqrt(g_w[used])
+                w = self.weight[used] - step * d_w
+                self.weight[used] = np.sign(w) * np.maximum(np.abs(w) - step * sparse[used], 0)
+                step = 0.2 * rate / np.sqrt(g_v[used])
+                v = self.vector[used] - step * d_v
+                length = np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12
+                self.vector[used] = v * np.maximum(1 - step.mean(1, keepdims=True) * SHORT / length, 0)
         self.calibrate(self.raw([rows[i] for i in np.flatnonzero(check)]), label[check])
 
     def calibrate(self, raw: np.ndarray, label: np.ndarray) -> None:

@@ -316,6 +316,40 @@ def test_factorization_machine_learns_a_pair():
     assert ((m.score(rows) >= 0.7) == label).mean() > 0.97
 
 
+def test_factorization_machine_learns_pairs_whose_words_tell_nothing_alone():
+    """Toxic and clean texts hold the same words as often; only which of them come together tells."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    rows, label = [], []
+    for _ in range(3000):
+        toxic, a = rng.random() < 0.5, rng.integers(2)
+        rows.append(np.unique(np.concatenate(([a, 2 + (a if toxic else 1 - a)], rng.choice(200, 20, replace=False) + 10))).astype(np.int32))
+        label.append(float(toxic))
+    m = toxicity.Machine(bits=10)
+    m.fit(rows[:2000], np.array(label[:2000]))
+    assert ((m.score(rows[2000:]) >= 0.7) == np.array(label[2000:])).mean() > 0.95
+
+
+def test_machine_scores_equal_the_plain_sum_over_pairs():
+    rng = np.random.Generator(np.random.PCG64(2))
+    m = toxicity.Machine(bits=6)
+    m.weight, m.bias = rng.normal(0, 1, 64).astype(np.float32), 0.3
+    for n in (0, 1, 2, 9):
+        row = np.sort(rng.choice(64, n, replace=False)).astype(np.int32)
+        plain = m.bias + sum(m.weight[i] for i in row) + sum(float(m.vector[i] @ m.vector[j]) for i in row for j in row if i < j)
+        assert abs(m.raw([row])[0] - plain) < 1e-4
+
+
+def test_toxicity_query_is_right_on_held_out_rows(spark):
+    """Of the given tables, of whose toxic rows about a sixth hold no toxic word."""
+    sf = "/root/testdata/sf0.1"
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in toxicity.op7(spark, sf).collect() if r.held_out and r.doc_id in known]
+    caught = [r.predicted for r in rows if known[r.doc_id] == 1]
+    clean = [1 - r.predicted for r in rows if known[r.doc_id] == 0]
+    assert sum(caught) >= 0.8 * len(caught) and sum(clean) >= 0.99 * len(clean)
+    assert all((r.score >= 0.7) == bool(r.predicted) and 0 <= r.score <= 1 for r in rows)
+
+
 def plain_leaks(text, items, size=10):
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(UPPER))
     words, hit, ids = find(text), set(), set()
