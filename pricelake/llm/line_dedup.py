@@ -1,18 +1,22 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are normalised (lower-cased, runs of other than letters and digits become one space). Equal lines are
-one line from the start. Of each distinct line of at least ``MIN_WORDS`` words a 64-bit SimHash of its
-distinct words is summed in 16 longs, four counters in each (repeated words would draw unlike lines of junk
-together). Hashes that differ in at most three bits agree in two
-of five blocks, so lines meet in the buckets (length class, two blocks, their bits). A pair links if its
-hashes differ in at most ``BITS_APART`` bits and its edit similarity, 1 - distance / longer length, is at
-least ``SIMILARITY``. Of each connected group only the first occurrence, by doc_id and line number, stays.
-Large groups of near copies meet pivots first, as in the n-gram join. All of it is DataFrame code.
-
-Defined cases: a null text has no lines; lines of fewer words, empty ones too, always stay; rows that share
-an id are counted together, and occurrences that share id and number are decided alike; null ids come
-first; of lines with over 65,535 distinct words the SimHash is any fixed function of the words; other
-columns are ignored.
+Lines are normalised (lower-cased, runs of other than letters and digits become one space). Equal lines, of
+any length, are one line from the start; two hashes tell lines apart. Of each distinct line of at least
+``MIN_WORDS`` words a 64-bit SimHash of its distinct words is summed in longs, four counters of 16 bits in
+each, or two of 32 bits for lines long enough to overflow them (repeated words would draw unlike lines of
+junk together). Hashes that differ in at most three bits agree in two of five blocks, so lines meet in the
+buckets (length class, two blocks, their bits). A pair links if its hashes differ in at most ``BITS_APART``
+bits and its edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``. Of each connected
+group only the first occurrence, by doc_id and line number, stays.
+
+Large groups of near copies first meet the least hash of each bucket and become one component; then every
+pair of a bucket that lies in two components is compared, inside the join. All of it is DataFrame code.
+
+Defined cases: a null text has no lines; lines without letters and digits always stay; lines of fewer words
+only group with equal ones; rows that share an id are counted together, and occurrences that share id and
+number are decided alike; null ids are one id and come first; two lines of equal first and unequal second
+hash take no part in fuzzy links; texts and lines are read whole, of any length; repeated rows repeat their
+lines; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,53 +26,84 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, table, tune
-from .pivots import linked_components
+from .common import Scratch, components, table, tune
 
 MIN_WORDS, BITS_APART, SIMILARITY = 5, 3, 0.8
-LANE = 16
+#: Letters of a line that may hold more distinct words than a counter of 16 bits can count.
+LONG = 2 * 65_535
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, line_id, norm) of every line; line_id and norm are null for lines that always stay."""
+    """(doc_id, line_no, line_id, check, fuzzy, size, norm) of every line; line_id is null for lines that always stay, norm for those without fuzzy links."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = F.trim(F.regexp_replace(F.lower("line"), "[^\\p{L}\\p{Nd}]+", " "))
-    each = each.select("doc_id", "line_no", norm.alias("norm"))
+    each = each.select("doc_id", "line_no", norm.alias("norm")).withColumn("size", F.length("norm"))
+    some = F.col("size") > 0
     # A line of n words has n - 1 spaces.
-    long_ = F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1
-    return each.select("doc_id", "line_no", F.when(long_, F.xxhash64("norm")).alias("line_id"), F.when(long_, F.col("norm")).alias("norm"))
-
-
-def simhashes(distinct: DataFrame) -> DataFrame:
-    """(line_id, simhash, size) of distinct lines (line_id, norm)."""
-    mask = 1 | 1 << LANE | 1 << 2 * LANE | 1 << 3 * LANE
-    words = distinct.select("line_id", F.length("norm").alias("size"), F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    fuzzy = F.col("size") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1
+    return each.select(
+        "doc_id", "line_no", F.when(some, F.xxhash64("norm")).alias("line_id"), F.when(some, F.xxhash64(F.lit(1), "norm")).alias("check"), fuzzy.alias("fuzzy"), "size", F.when(fuzzy, F.col("norm")).alias("norm")
+    )
+
+
+def simhashes(told: DataFrame, lane: int = 16) -> DataFrame:
+    """(line_id, simhash, size) of the distinct lines of ``told`` (line_id, check, size, norm); counters have ``lane`` bits."""
+    distinct = told.groupBy("line_id").agg(F.first("norm").alias("norm"), F.first("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")).where("low = high")
+    per = 64 // lane
+    mask = sum(1 << lane * k for k in range(per))
+    words = distinct.select("line_id", "size", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
     words = words.select("line_id", "size", F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(LANE)]
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(lane)]
     counted = words.groupBy("line_id").agg(F.max("size").alias("size"), F.count("*").alias("n"), *sums)
 
     def bit(i: int) -> Column:
-        lane, j = divmod(i, LANE)
-        count = F.shiftrightunsigned(f"s{j}", lane * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+        at, j = divmod(i, lane)
+        count = F.shiftrightunsigned(f"s{j}", at * lane).bitwiseAND(F.lit((1 << lane) - 1))
         return F.when(count * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
 
     total = bit(0)
-    for i in range(1, 4 * LANE):
+    for i in range(1, 64):
         total = total.bitwiseOR(bit(i))
     return counted.select("line_id", total.cast("long").alias("simhash"), "size")
 
 
 def members(hashes: DataFrame) -> DataFrame:
-    """(bucket, id, info): each line under each pair of its blocks, in its length class and the next if that may hold a partner."""
+    """``hashes`` (line_id, simhash, size, ...) with a bucket for each pair of blocks, in the line's length class and the next if that may hold a partner."""
     own = F.floor(F.log2("size")).cast("long")
     partner = F.floor(F.log2(F.col("size") / F.lit(SIMILARITY))).cast("long")
-    classes = F.explode(F.array_distinct(F.array(own, partner)))
     part = lambda i: F.shiftrightunsigned("simhash", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1))
     key = [F.struct(F.lit(10 * i + j).alias("t"), part(i).alias("x"), part(j).alias("y")) for i, j in combinations(range(len(BLOCKS)), 2)]
-    each = hashes.select("line_id", "simhash", classes.alias("c"))
-    each = each.select("line_id", "simhash", "c", F.explode(F.array(*key)).alias("k"))
-    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), F.col("line_id").alias("id"), F.col("simhash").alias("info"))
+    each = hashes.withColumn("c", F.explode(F.array_distinct(F.array(own, partner)))).withColumn("k", F.explode(F.array(*key)))
+    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), *hashes.columns)
+
+
+def apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def pivot_pairs(spark: SparkSession, hashes: DataFrame) -> DataFrame:
+    """(a, b): each line with a line of the least hash of each of its buckets, and with one of its own hash, where these are near."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange serves the least hashes and the rows that they are joined with.
+    rows = members(hashes.select("line_id", "simhash", "size")).select("bucket", "line_id", "simhash").repartition(spread, "bucket")
+    least = rows.groupBy("bucket").agg(F.min("simhash").alias("least"), F.max("simhash").alias("most")).where("least < most").select("bucket", "least")
+    near = (F.col("simhash") != F.col("least")) & (apart("simhash", "least") <= BITS_APART)
+    met = rows.join(least.hint("shuffle_hash"), (rows["bucket"] == least["bucket"]) & near).select("line_id", "least")
+    met = met.union(hashes.select("line_id", "simhash")).distinct()
+    stands = hashes.groupBy(F.col("simhash").alias("least")).agg(F.min("line_id").alias("b"))
+    pairs = met.join(stands, "least").where("line_id <> b")
+    return pairs.select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b")).distinct()
+
+
+def cross_pairs(hashes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): all near pairs of a bucket that lie in two components."""
+    rows = hashes.join(comp, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
+    rows = members(rows).select("bucket", "line_id", "simhash", "comp")
+    side = lambda c: rows.select("bucket", F.col("line_id").alias(c), F.col("simhash").alias(f"h_{c}"), F.col("comp").alias(f"comp_{c}"))
+    a, b = side("a"), side("b")
+    close = (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (apart("h_a", "h_b") <= BITS_APART)
+    return a.join(b, close).select("a", "b").distinct()
 
 
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -76,42 +111,48 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     tune(spark)
     scratch = scratch or Scratch(spark, "line-dedup")
     every = scratch.keep(lines(docs.select("doc_id", "text")), "lines")
-    told = every.where("line_id is not null")
-    hashes = scratch.keep(simhashes(told.groupBy("line_id").agg(F.first("norm").alias("norm"))), "hashes")
-    all_ = members(hashes)
-    shared = all_.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    met = scratch.keep(all_.join(scratch.keep(shared, "shared"), "bucket").select("bucket", "id", "info"), "members")
-    texts = told.join(met.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi")
-    texts = scratch.keep(texts.groupBy("line_id").agg(F.first("norm").alias("norm")), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: hashes.select(F.col("line_id").alias(c), F.col("size").alias(f"n_{c}"))
-        text = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"t_{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
+    told = every.where("fuzzy").select("line_id", "check", "size", "norm")
+    hashes = scratch.keep(simhashes(told.where(F.col("size") <= LONG)).union(simhashes(told.where(F.col("size") > LONG), 32)), "hashes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.keep(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
+        texts = told.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("norm").alias("norm"), F.first("size").alias("n"))
+        texts = scratch.keep(texts, "texts")
+        side = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"t_{c}"), F.col("n").alias(f"n_{c}"))
         longer = F.greatest("n_a", "n_b")
-        near = near.where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * longer).select("a", "b", longer.alias("longer"))
-        # Within a fifth of the longer length. Most pairs lie far nearer, which a narrow band shows at once.
-        within = lambda part: F.expr(f"levenshtein(t_a, t_b, cast(floor(longer / {part}) as int)) >= 0")
-        linked = F.when(within(50), True).otherwise(within(5))
-        return near.join(text("a"), "a").join(text("b"), "b").where(linked).select("a", "b")
-
-    apart = lambda a, b: F.bit_count(F.col(f"info_{a}").bitwiseXOR(F.col(f"info_{b}"))) <= BITS_APART
-    comp = linked_components(spark, met, verify, scratch, near=apart).withColumnRenamed("id", "line_id")
-    firsts = told.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    grouped = scratch.keep(firsts.join(comp, "line_id", "left").withColumn("group_id", F.coalesce("comp", "line_id")).drop("comp"), "grouped")
-    heads = grouped.groupBy("group_id").agg(F.min("at").alias("head"))
-    groups = grouped.join(heads, "group_id").select("line_id", "group_id", "head")
-    out = every.drop("norm").join(groups, "line_id", "left")
+        # Within a fifth of the longer length. Most pairs lie far nearer, which narrow bands show at less cost.
+        within = lambda part: F.expr(f"levenshtein(t_a, t_b, cast(floor(greatest(n_a, n_b) / {part}) as int)) >= 0")
+        linked = F.when(within(100), True).when(within(25), True).otherwise(within(5))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * longer)
+        return scratch.keep(both.where(linked).select("a", "b"), name)
+
+    links = verified(pivot_pairs(spark, hashes), "links")
+    comp = components(spark, links, scratch).withColumnRenamed("id", "line_id")
+    more = verified(cross_pairs(hashes, comp), "more")
+    comp = components(spark, links.union(more), scratch).withColumnRenamed("id", "line_id")
+
+    known = every.where("line_id is not null")
+    firsts = known.groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("fuzzy").alias("fuzzy"))
+    grouped = firsts.join(comp, "line_id", "left").withColumn("group_id", F.when(F.col("fuzzy"), F.coalesce("comp", "line_id")).otherwise(F.col("line_id")))
+    grouped = scratch.keep(grouped.select("line_id", "check", "group_id", "at"), "grouped")
+    # Lines that share a group only by their first hash keep their own firsts.
+    joint = grouped.join(comp.select("line_id").distinct(), "line_id", "left_semi").groupBy("group_id").agg(F.min("at").alias("head"))
+    groups = grouped.join(joint, "group_id", "left").select("line_id", "check", "group_id", F.coalesce("head", "at").alias("head"))
+    out = known.select("doc_id", "line_no", "line_id", "check").join(groups, ["line_id", "check"])
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
-    return out.select("doc_id", "line_no", "group_id", (F.col("line_id").isNull() | same).alias("kept"))
+    free = every.where("line_id is null").select("doc_id", "line_no", F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("kept"))
+    return out.select("doc_id", "line_no", "group_id", same.alias("kept")).union(free)
 
 
 def cleaned(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``docs`` with the lines that do not stay cut from ``text``."""
-    gone = decisions.where("not kept").groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set("line_no").alias("gone_"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone_", i))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")), "left")
-    return both.withColumn("text", F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    """``docs`` with the lines that do not stay cut from ``text``; all its columns pass."""
+    gone = decisions.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    both = docs.select(row).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +160,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decide(spark, docs)
     gone = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), lambda x: x.cast("string")), ",")
     told = decided.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), gone.alias("removed_lines"))
-    none = docs.where("text is null").select("doc_id").distinct().join(told, "doc_id", "left_anti")
-    return told.union(none.select("doc_id", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit("")))
+    ids = docs.select(F.col("doc_id").alias("id")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return ids.join(told, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), zero("n_lines"), zero("n_kept"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))

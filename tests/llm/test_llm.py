@@ -435,54 +435,87 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(spark, docs.limit(0), [docs.limit(0)]).count() == 0
 
 
+def plain_simhash(norm, hashes):
+    """The SimHash by its definition, from the hashes of words alone."""
+    words = set(norm.split())
+    return sum(1 << i for i in range(64) if 2 * sum(hashes[w] >> i & 1 for w in words) > len(words))
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_lines(spark, rows):
+    """{(id, line): whether it stays}, by comparing every two distinct lines."""
+    norm = {}
+    for d, t in rows:
+        for i, x in enumerate(t.split("\n") if t is not None else []):
+            norm[d, i] = " ".join(re.findall(r"[^\W_]+", x.lower()))
+    words = sorted({w for x in norm.values() for w in x.split()})
+    df = spark.createDataFrame([(w,) for w in words] or [("x",)], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashes = {r.w: r.h & 0xFFFFFFFFFFFFFFFF for r in df.collect()}
+    distinct = sorted(set(norm.values()) - {""})
+    sim = {x: plain_simhash(x, hashes) for x in distinct}
+    group = {x: x for x in distinct}
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if min(len(a.split()), len(b.split())) >= 5 and (sim[a] ^ sim[b]).bit_count() <= 3 and 5 * plain_distance(a, b) <= max(len(a), len(b)):
+                group[find(a)] = find(b)
+    head = {}
+    for k in sorted(norm, key=lambda k: (k[0] is not None, k[0] or 0, k[1])):
+        if norm[k]:
+            head.setdefault(find(norm[k]), k)
+    return {k: not norm[k] or head[find(norm[k])] == k for k in norm}
+
+
 def test_line_dedup(spark):
     rng = random.Random(9)
     base = [prose(rng, 60) for _ in range(6)]
-    rows = [(0, None), (1, ""), (2, "short line\nshort line")]
+    rows = [(0, None), (1, ""), (2, "short line\nshort line\nShort: LINE!\n---\n---"), (None, None), (None, "null id\n" + base[0])]
     for i in range(25):
         line = rng.choice(base).split()
         if i % 2:
             line[rng.randrange(60)] += "e"
         rows.append((3 + i, "\n".join([" ".join(line), prose(rng, 30), rng.choice(base).upper() + "!"])))
-    docs = spark.createDataFrame(rows, DOCS)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", line_id string")
     got = line_dedup.decide(spark, docs).collect()
-    norm = {}
-    for d, t in rows:
-        for i, x in enumerate(t.split("\n") if t is not None else []):
-            w = re.findall(r"[^\W_]+", x.lower())
-            norm[d, i] = " ".join(w) if len(w) >= 5 else None
-    told = line_dedup.lines(docs).where("line_id is not null").select("line_id", "norm").distinct()
-    hashes = {told_.norm: told_.simhash for told_ in line_dedup.simhashes(told).join(told, "line_id").collect()}
-
-    def linked(a, b):
-        if a == b:
-            return True
-        if (hashes[a] ^ hashes[b]).bit_count() > 3:
-            return False
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1] * 5 <= max(len(a), len(b))
-
-    at = [k for k in sorted(norm) if norm[k]]
-    group = {k: k for k in at}
-    find = lambda k: k if group[k] == k else find(group[k])
-    for i, a in enumerate(at):
-        for b in at[:i]:
-            x, y = find(a), find(b)
-            if x != y and linked(norm[a], norm[b]):
-                group[max(x, y)] = min(x, y)
-    for r in got:
-        k = (r.doc_id, r.line_no)
-        assert r.kept == (norm[k] is None or find(k) == k)
-    left = line_dedup.cleaned(docs, line_dedup.decide(spark, docs)).collect()
+    want = plain_lines(spark, rows)
+    assert {(r.doc_id, r.line_no): r.kept for r in got} == want and len(got) == len(want)
+    left = line_dedup.cleaned(docs.withColumn("gone", F.lit(1)), line_dedup.decide(spark, docs)).collect()
     assert sum(len(r.text.split("\n")) for r in left if r.text is not None) == sum(r.kept for r in got)
     assert line_dedup.decide(spark, docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_rows_counts_each(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six")], DOCS)
+    assert sorted((r.doc_id, r.kept) for r in line_dedup.decide(spark, docs).collect()) == [(1, True), (1, True), (2, False)]
+
+
+def test_simhash_of_lines_with_very_many_words(spark):
+    line = " ".join(f"w{i}" for i in range(66_000))
+    told = spark.createDataFrame([(1, 1, len(line), line)], "line_id long, check long, size long, norm string")
+    words = spark.createDataFrame([(w,) for w in line.split()], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashes = {r.w: r.h & 0xFFFFFFFFFFFFFFFF for r in words.collect()}
+    assert line_dedup.simhashes(told, 32).first().simhash & 0xFFFFFFFFFFFFFFFF == plain_simhash(line, hashes)
+
+
+def test_line_dedup_query_matches_brute_force_on_a_small_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 700").limit(40)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain_lines(spark, rows)
+    for r in line_dedup.op10(spark, str(tmp_path)).collect():
+        own = {i: k for (d, i), k in want.items() if d == r.doc_id}
+        assert (r.n_lines, r.n_kept, r.removed_lines) == (len(own), sum(own.values()), ",".join(str(i) for i in sorted(own) if not own[i]))
+
+
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
