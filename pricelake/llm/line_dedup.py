@@ -9,8 +9,8 @@ buckets (length class, two blocks, their bits). A pair links if its hashes diffe
 bits and its edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``. Of each connected
 group only the first occurrence, by doc_id and line number, stays.
 
-Large groups of near copies first meet the least hash of each bucket and become one component; then every
-pair of a bucket that lies in two components is compared, inside the join. All of it is DataFrame code.
+Large groups of near copies first meet one line of each bucket and become one component; then every pair of a
+bucket that lies in two components is compared, inside the join. All of it is DataFrame code.
 
 Defined cases: a null text has no lines; lines without letters and digits always stay; lines of fewer words
 only group with equal ones; rows that share an id are counted together, and occurrences that share id and
@@ -82,24 +82,26 @@ def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def pivot_pairs(spark: SparkSession, hashes: DataFrame) -> DataFrame:
-    """(a, b): each line with a line of the least hash of each of its buckets, and with one of its own hash, where these are near."""
+def crowds(spark: SparkSession, hashes: DataFrame) -> DataFrame:
+    """(bucket, line_id, simhash) of the buckets of three lines or more, and of those of two near ones."""
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange serves the least hashes and the rows that they are joined with.
-    rows = members(hashes.select("line_id", "simhash", "size")).select("bucket", "line_id", "simhash").repartition(spread, "bucket")
-    least = rows.groupBy("bucket").agg(F.min("simhash").alias("least"), F.max("simhash").alias("most")).where("least < most").select("bucket", "least")
-    near = (F.col("simhash") != F.col("least")) & (apart("simhash", "least") <= BITS_APART)
-    met = rows.join(least.hint("shuffle_hash"), (rows["bucket"] == least["bucket"]) & near).select("line_id", "least")
-    met = met.union(hashes.select("line_id", "simhash")).distinct()
-    stands = hashes.groupBy(F.col("simhash").alias("least")).agg(F.min("line_id").alias("b"))
-    pairs = met.join(stands, "least").where("line_id <> b")
-    return pairs.select(F.least("line_id", "b").alias("a"), F.greatest("line_id", "b").alias("b")).distinct()
-
-
-def cross_pairs(hashes: DataFrame, comp: DataFrame) -> DataFrame:
+    # One exchange serves the figures of buckets and the rows that they are joined with.
+    rows = members(hashes).select("bucket", "line_id", "simhash").repartition(spread, "bucket")
+    figures = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("simhash").alias("least"), F.max("simhash").alias("most"))
+    some = figures.where((F.col("n") > 2) | (F.col("n") == 2) & (apart("least", "most") <= BITS_APART)).select("bucket")
+    return rows.join(some.hint("shuffle_hash"), "bucket")
+
+
+def pivot_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b): each line with the line of the least id of each of its buckets, where they are near."""
+    pivots = crowd.groupBy("bucket").agg(F.min(F.struct(F.col("line_id").alias("a"), F.col("simhash").alias("h"))).alias("p")).select("bucket", "p.*")
+    near = (crowd["bucket"] == pivots["bucket"]) & (F.col("a") != F.col("line_id")) & (apart("simhash", "h") <= BITS_APART)
+    return crowd.join(pivots, near).select("a", F.col("line_id").alias("b")).distinct()
+
+
+def cross_pairs(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b): all near pairs of a bucket that lie in two components."""
-    rows = hashes.join(comp, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
-    rows = members(rows).select("bucket", "line_id", "simhash", "comp")
+    rows = crowd.join(comp, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
     side = lambda c: rows.select("bucket", F.col("line_id").alias(c), F.col("simhash").alias(f"h_{c}"), F.col("comp").alias(f"comp_{c}"))
     a, b = side("a"), side("b")
     close = (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (apart("h_a", "h_b") <= BITS_APART)
@@ -127,9 +129,10 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * longer)
         return scratch.keep(both.where(linked).select("a", "b"), name)
 
-    links = verified(pivot_pairs(spark, hashes), "links")
+    crowd = scratch.keep(crowds(spark, hashes), "crowds")
+    links = verified(pivot_pairs(crowd), "links")
     comp = components(spark, links, scratch).withColumnRenamed("id", "line_id")
-    more = verified(cross_pairs(hashes, comp), "more")
+    more = verified(cross_pairs(crowd, comp), "more")
     comp = components(spark, links.union(more), scratch).withColumnRenamed("id", "line_id")
 
     known = every.where("line_id is not null")
