@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import comparable_unit_price
 
-GROUP = F.coalesce
-
-
 def with_store(listings: DataFrame, stores: DataFrame, active: bool = True) -> DataFrame:
     """Listings with chain, store_name and suburb; by default of active stores only."""
     s = stores.where("is_active") if active else stores
@@ -89,6 +86,19 @@ def sort_keys(sort: str | None) -> list[Column]:
     return [F.coalesce("min_unit_price", "min_price").asc_nulls_last(), *name]
 
 
+def placed(df: DataFrame, order: list[Column], keep) -> DataFrame:
+    """``df`` with ``place``, its row's number from 1 in that order over the whole table.
+
+    Rows are dealt over ranges of the order and sorted there; a range starts after the rows of those before it,
+    so no task sees all rows. ``keep(df, name)`` writes the ranges, for they must not be dealt anew.
+    """
+    ranges = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ranges")
+    ranges = ranges.withColumn("range_", F.shiftright("at_", 33))
+    before = ranges.groupBy("range_").agg(F.count("*").alias("n")).withColumn("before_", F.sum("n").over(W.orderBy("range_")) - F.col("n"))
+    place = F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.join(F.broadcast(before.drop("n")), "range_").withColumn("place", place).drop("range_", "at_", "before_")
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
     """(rows of a page, its figures): size within 1 to 100, numbers from 1. Only the rows up to the page's end are gathered."""
     size, number = max(1, min(100, size)), max(1, number)

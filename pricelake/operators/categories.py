@@ -75,14 +75,22 @@ def category_map_summary(categories: DataFrame, store_categories: DataFrame, ite
     return n(categories, "nodes").union(n(store_categories.where("category_id is not null"), "mapped")).union(n(items.where("category_id is not null"), "categorised"))
 
 
-def closure(categories: DataFrame) -> DataFrame:
-    """(ancestor_id, category_id) of live nodes, each its own ancestor too: two joins for three levels, live all the way."""
-    live = categories.where("not is_archived").select("category_id", "parent_id")
-    one = live.select(F.col("parent_id").alias("ancestor_id"), "category_id").where("ancestor_id is not null")
-    one = one.join(live.select(F.col("category_id").alias("ancestor_id")), "ancestor_id", "left_semi")
-    two = one.select(F.col("ancestor_id"), F.col("category_id").alias("mid")).join(one.select(F.col("ancestor_id").alias("mid"), "category_id"), "mid").select("ancestor_id", "category_id")
-    self_ = live.select(F.col("category_id").alias("ancestor_id"), "category_id")
-    return self_.union(one.select("ancestor_id", "category_id")).union(two)
+def closure(categories: DataFrame, live_only: bool = True) -> DataFrame:
+    """(ancestor_id, category_id) of nodes of a tree of any depth, each its own ancestor too.
+
+    Pairs double in reach until none is new, so a tree of depth d takes log2(d) joins; a cycle of parents ends
+    as well. By default archived nodes are no nodes, so a branch below one is cut off.
+    """
+    nodes = (categories.where("not is_archived") if live_only else categories).select("category_id", "parent_id")
+    own = nodes.select(F.col("category_id").alias("ancestor_id"), "category_id")
+    up = nodes.select(F.col("parent_id").alias("ancestor_id"), "category_id").where("ancestor_id is not null")
+    pairs = own.union(up.join(own.select("ancestor_id"), "ancestor_id", "left_semi")).distinct()
+    n, more = pairs.count(), -1
+    while n != more:
+        below = pairs.select(F.col("ancestor_id").alias("mid"), F.col("category_id").alias("leaf"))
+        longer = pairs.join(below, F.col("category_id") == F.col("mid")).select("ancestor_id", F.col("leaf").alias("category_id")).distinct()
+        n, more, pairs = longer.count(), n, longer
+    return pairs
 
 
 def category_subtree(categories: DataFrame, root: str) -> DataFrame:

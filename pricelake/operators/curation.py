@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
-from .categories import closure
+from .categories import LEVELS, closure
 from .matching import ITEM, resolve_merges
 
 
@@ -18,10 +18,13 @@ def apply_review_decisions(candidates: DataFrame, listings: DataFrame, items: Da
     """(candidates, listings, outcomes) of decisions (candidate_id, approve): only pending ones change, others are conflicts.
 
     An approval links the listing to the item's survivor and deletes its other pending candidates. Of two
-    approvals for one listing that with the lower id counts.
+    approvals for one listing that with the lower id counts; of several decisions on one candidate an approval
+    counts, or else one rejection, and the others are conflicts: each request has one outcome.
     """
+    again = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.col("approve").desc())) > 1
+    decisions = decisions.select("candidate_id", F.coalesce("approve", F.lit(False)).alias("approve")).withColumn("again", again)
     rows = decisions.join(candidates.select("candidate_id", "product_id", "item_id", "status"), "candidate_id", "left")
-    pending = F.coalesce(F.col("status") == "Pending", F.lit(False))
+    pending = F.coalesce(F.col("status") == "Pending", F.lit(False)) & ~F.col("again")
     first = F.row_number().over(W.partitionBy("product_id", F.col("approve") & pending).orderBy("candidate_id")) == 1
     rows = rows.withColumn("outcome", F.when(F.col("status").isNull(), "unknown").when(~pending | (F.col("approve") & ~first), "conflict").when(F.col("approve"), "approved").otherwise("rejected"))
     done = rows.where("outcome in ('approved', 'rejected')").select("candidate_id", F.initcap("outcome").alias("new_status"))
@@ -34,13 +37,18 @@ def apply_review_decisions(candidates: DataFrame, listings: DataFrame, items: Da
 
 
 def apply_manual_links(listings: DataFrame, candidates: DataFrame, items: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(listings, candidates, outcomes) of links (product_id, item_id or null to clear): the item must exist unmerged."""
+    """(listings, candidates, outcomes) of links (product_id, item_id or null to clear): the item must exist unmerged.
+
+    Of several valid requests for one listing that with the lowest item counts (a clearing one first), the others
+    are conflicts.
+    """
     live = items.where("merged_into_id is null").select("item_id", F.lit(True).alias("live"))
     known = listings.select("product_id", F.lit(True).alias("known"))
     rows = links.join(live, "item_id", "left").join(known, "product_id", "left")
     ok = F.col("known").isNotNull() & (F.col("item_id").isNull() | F.col("live").isNotNull())
-    rows = rows.withColumn("outcome", F.when(~ok, "rejected").when(F.col("item_id").isNull(), "cleared").otherwise("linked"))
-    done = rows.where("outcome <> 'rejected'").select("product_id", F.col("item_id").alias("new_item"), F.lit(True).alias("hit"))
+    first = F.row_number().over(W.partitionBy("product_id", ok).orderBy("item_id")) == 1
+    rows = rows.withColumn("outcome", F.when(~ok, "rejected").when(~first, "conflict").when(F.col("item_id").isNull(), "cleared").otherwise("linked"))
+    done = rows.where("outcome in ('cleared', 'linked')").select("product_id", F.col("item_id").alias("new_item"), F.lit(True).alias("hit"))
     after = listings.join(done, "product_id", "left").withColumn("item_id", F.when(F.col("hit"), F.col("new_item")).otherwise(F.col("item_id"))).select(*listings.columns)
     linked = done.where("new_item is not null").select("product_id")
     left = candidates.where("status <> 'Pending'").unionByName(candidates.where("status = 'Pending'").join(linked, "product_id", "left_anti"))
@@ -67,7 +75,9 @@ def apply_item_merges(items: DataFrame, listings: DataFrame, candidates: DataFra
     )
     rows = rows.withColumn("outcome", outcome)
     done = rows.where("outcome = 'merged'").select(F.col("source_id").alias("item_id"), F.col("target_live").alias("to_id"))
-    moved = lambda df: df.join(done, "item_id", "left").withColumn("item_id", F.coalesce("to_id", "item_id"))
+    none = F.lit(None).cast("string").alias("to_id")
+    # Rows without an item stay out of the join, so that nulls do not meet in one task.
+    moved = lambda df: df.where("item_id is not null").join(done, "item_id", "left").withColumn("item_id", F.coalesce("to_id", "item_id")).unionByName(df.where("item_id is null").select("*", none))
     after = items.join(done, "item_id", "left").withColumn("merged_into_id", F.coalesce("to_id", "merged_into_id")).select(*items.columns)
     # A pair that the survivor already has stays; of two moved ones the first by id.
     w = W.partitionBy("product_id", "item_id").orderBy(F.col("to_id").isNotNull(), "candidate_id")
@@ -76,23 +86,32 @@ def apply_item_merges(items: DataFrame, listings: DataFrame, candidates: DataFra
 
 
 def create_manual_items(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, outcomes) of requests (request_id, name, description, brand, size, category): a name is required."""
+    """(items, outcomes) of requests (request_id, name, description, brand, size, category): a name is required.
+
+    A request whose item exists already, from this batch or one before, makes none again: it is unchanged.
+    """
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     rows = requests.select("request_id", *[text(c).alias(c) for c in ("name", "description", "brand", "size", "category")])
     rows = rows.withColumn("item_id", F.substring(F.sha2(F.concat(F.lit("manual:"), "request_id"), 256), 1, 32))
     none = F.lit(None).cast("string")
-    new = rows.where("name is not null").select(
+    named = F.col("name").isNotNull()
+    first = F.row_number().over(W.partitionBy("request_id", named).orderBy("name", "description", "brand", "size", "category")) == 1
+    rows = rows.join(items.select("item_id", F.lit(True).alias("known")), "item_id", "left")
+    rows = rows.withColumn("outcome", F.when(~named, "rejected").when(F.col("known").isNotNull() | ~first, "unchanged").otherwise("created"))
+    new = rows.where("outcome = 'created'").select(
         "item_id", F.concat(F.lit("manual:"), "item_id").alias("match_key"), "name", F.coalesce("description", "name").alias("description"), "brand", "size", none.alias("unit_of_measure"),
         F.coalesce("category", F.lit("Uncategorised")).alias("category"), none.alias("category_id"), none.alias("gtin"), none.alias("merged_into_id"),
     )
-    return items.unionByName(new.select(*ITEM)), rows.select("request_id", F.when(F.col("name").isNull(), "rejected").otherwise("created").alias("outcome"))
+    return items.unionByName(new.select(*ITEM)), rows.select("request_id", "outcome")
 
 
 def apply_category_edits(categories: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(categories, outcomes) of edits (edit_id, op: create | rename | archive, category_id, parent_id, kind, name).
 
-    Edits are judged against the tree before the batch. A new node's slug and path follow from its name; its
-    parent must be live and its path new. A rename changes the name only. An archive takes all descendants along.
+    Edits are judged against the tree before the batch. A new node's slug and path follow from its name; its kind
+    must be known, its parent live and its path new. A rename changes the name only. An archive takes all
+    descendants along, also those below nodes that were archived before; ``flipped`` of an outcome is the number
+    of nodes that it archives, none where all of them were.
     """
     live = categories.where("not is_archived")
     parents = live.select(F.col("category_id").alias("parent_id"), F.col("path").alias("parent_path"))
@@ -100,16 +119,22 @@ def apply_category_edits(categories: DataFrame, edits: DataFrame) -> tuple[DataF
     new = new.withColumn("path", F.concat_ws("/", "parent_path", "slug"))
     new = new.join(categories.select("path", F.lit(True).alias("taken")), "path", "left")
     first = F.row_number().over(W.partitionBy("path").orderBy("edit_id")) == 1
-    bad = F.coalesce(F.col("slug") == "", F.lit(True)) | F.col("taken").isNotNull() | (F.col("parent_id").isNotNull() & F.col("parent_path").isNull()) | ~first
+    kinds = F.create_map(*[F.lit(x) for k in LEVELS for x in (k.lower(), k)])
+    new = new.withColumn("kind", F.element_at(kinds, F.lower("kind")))
+    bad = F.col("kind").isNull() | F.coalesce(F.col("slug") == "", F.lit(True)) | F.col("taken").isNotNull() | (F.col("parent_id").isNotNull() & F.col("parent_path").isNull()) | ~first
     new = new.withColumn("outcome", F.when(bad, "rejected").otherwise("created"))
     known = categories.select("category_id", F.lit(True).alias("known"))
     named = edits.where("op = 'rename'").join(known, "category_id", "left")
     named = named.withColumn("outcome", F.when(F.col("known").isNull() | (F.coalesce(F.trim("name"), F.lit("")) == ""), "rejected").otherwise("renamed"))
-    shut = edits.where("op = 'archive'").join(live.select("category_id", F.lit(True).alias("known")), "category_id", "left").withColumn("outcome", F.when(F.col("known").isNull(), "rejected").otherwise("archived"))
-    gone = closure(categories).join(shut.where("outcome = 'archived'").select(F.col("category_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("category_id", F.lit(True).alias("gone")).distinct()
+    shut = edits.where("op = 'archive'").join(known, "category_id", "left").withColumn("outcome", F.when(F.col("known").isNull(), "rejected").otherwise("archived"))
+    roots = shut.where("outcome = 'archived'").select("edit_id", F.col("category_id").alias("ancestor_id"))
+    below = closure(categories, live_only=False).join(roots, "ancestor_id").join(live.select("category_id"), "category_id", "left_semi")
+    flipped = below.groupBy("edit_id").agg(F.count("*").alias("flipped"))
+    gone = below.select("category_id", F.lit(True).alias("gone")).distinct()
     names = named.where("outcome = 'renamed'").groupBy("category_id").agg(F.max_by(F.trim("name"), "edit_id").alias("new_name"))
     out = categories.join(gone, "category_id", "left").join(names, "category_id", "left")
     out = out.withColumns({"is_archived": F.col("is_archived") | F.col("gone").isNotNull(), "name": F.coalesce("new_name", "name")}).select(*categories.columns)
     added = new.where("outcome = 'created'").select(F.col("path").alias("category_id"), "kind", F.trim("name").alias("name"), "slug", "path", "parent_id", F.lit(False).alias("is_archived"))
     outcomes = new.select("edit_id", "outcome").union(named.select("edit_id", "outcome")).union(shut.select("edit_id", "outcome"))
+    outcomes = outcomes.join(flipped, "edit_id", "left").withColumn("flipped", F.coalesce("flipped", F.lit(0)))
     return out.unionByName(added.select(*categories.columns)), outcomes

@@ -195,7 +195,9 @@ def reclaim_singletons(listings: DataFrame, items: DataFrame, candidates: DataFr
     own = listings.where("chain = 'FreshChoice' and item_id is not null").join(singles, "item_id", "left_semi")
     gone = own.join(infer_brand(own, vocabulary), "product_id").select("product_id", "item_id")
     dead = gone.select("item_id").distinct()
-    cleared = listings.join(dead.withColumn("gone", F.lit(True)), "item_id", "left").withColumn("item_id", F.when(F.col("gone").isNull(), F.col("item_id"))).drop("gone")
+    # Unlinked listings stay out of the join, so that nulls do not meet in one task.
+    linked = listings.where("item_id is not null").join(dead.withColumn("gone", F.lit(True)), "item_id", "left")
+    cleared = linked.withColumn("item_id", F.when(F.col("gone").isNull(), F.col("item_id"))).select(*listings.columns).unionByName(listings.where("item_id is null"))
     return items.join(dead, "item_id", "left_anti"), cleared.select(*listings.columns), candidates.join(dead, "item_id", "left_anti"), gone
 
 
@@ -217,11 +219,7 @@ def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candida
     decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy), policy), f"decided{stage}")
     auto = decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("new_item"))
     queued = queue_candidates(decided, candidates)
-    return _link_all(listings, auto), candidates.unionByName(queued, allowMissingColumns=True)
-
-
-def _link_all(listings: DataFrame, pairs: DataFrame) -> DataFrame:
-    return _link(listings, pairs)
+    return _link(listings, auto), candidates.unionByName(queued, allowMissingColumns=True)
 
 
 def run_match(

@@ -148,11 +148,14 @@ def with_tables(query: str) -> str:
         if n in TABLES:
             order += [x for x in closure(n) if x not in order]
     duck = lambda text: re.sub(r"EPOCH\((\w+)\)", r"CAST(epoch(\1) AS BIGINT)", re.sub(r"\{(\w+)\}", r"\1", text))
-    head = ",\n".join(f"{n} AS ({duck(TABLES[n])})" for n in order)
     body = duck(query).strip()
-    if body.upper().startswith("WITH "):
-        body = body[5:]
-        return f"WITH {head},\n{body}" if head else f"WITH {body}"
+    start = re.match("WITH (RECURSIVE )?", body)
+    # Tables that a recursion reads are made once, not once a step.
+    once = " MATERIALIZED" if start and start[1] else ""
+    head = ",\n".join(f"{n} AS{once} ({duck(TABLES[n])})" for n in order)
+    if start:
+        body = body[start.end() :]
+        return f"{start[0]}{head},\n{body}" if head else f"{start[0]}{body}"
     return f"WITH {head}\n{body}" if head else body
 
 

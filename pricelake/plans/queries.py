@@ -15,7 +15,7 @@ from ..operators.matching import ITEM
 from ..sources.archive import from_path, retained_runs
 from ..sources.coverage import crawl_coverage
 from ..sources.parsers import parse_foodstuffs, parse_freshchoice, parse_woolworths
-from ..sources.tables import read_table, write_table
+from ..sources.tables import read_table, scratch_root, write_table
 from .derive import NOW, Tables, flat, with_tables
 
 CLOCK = datetime.fromtimestamp(NOW, UTC)
@@ -36,6 +36,17 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _keep(t):
+    """A function that writes a table to the shared folder and reads it back, which cuts lineage."""
+    root = f"{scratch_root(t.spark)}/kept-{uuid.uuid4().hex}"
+
+    def keep(df, name):
+        df.write.parquet(f"{root}/{name}", mode="overwrite")
+        return t.spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return keep
+
+
 # ---- scalar functions -------------------------------------------------------------------------------------------
 
 NORM_BRAND = "nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), '')"
@@ -169,10 +180,19 @@ def r4_store_span(t):
     return catalog.store_span(t.listings, t.stores)
 
 
-@query(f"WITH {GROUPS} SELECT group_id, row_number() OVER (ORDER BY min_price, lower(name), group_id) AS place FROM g ORDER BY place LIMIT 200")
-def r5_sort_groups(t):
-    top = _groups(t).orderBy(*catalog.sort_keys("priceAsc")).limit(200)
-    return top.select("group_id", F.row_number().over(catalog.W.orderBy(*catalog.sort_keys("priceAsc"))).alias("place"))
+PLACES = {"priceAsc": "min_price", "nameAsc": "0", "discountDesc": "max_saving DESC", "unitPriceAsc": "round(coalesce(unit_raw, min_price), 6)"}
+
+
+def _placed_groups(sort):
+    def places(t):
+        return catalog.placed(_groups(t), catalog.sort_keys(sort), _keep(t)).select("group_id", "place")
+
+    return places
+
+
+for _sort, _key in PLACES.items():
+    _name = "r5_sort_groups" if _sort == "priceAsc" else f"r5_sort_groups_{_sort}"
+    query(f"WITH {GROUPS} SELECT group_id, row_number() OVER (ORDER BY {_key} NULLS LAST, lower(name), group_id) AS place FROM g", _name)(_placed_groups(_sort))
 
 
 @query(f"WITH {GROUPS} SELECT group_id, min_price FROM g ORDER BY max_saving DESC NULLS LAST, lower(name), group_id LIMIT 40 OFFSET 80")
@@ -239,14 +259,14 @@ def r11_deals_page(t):
     return catalog.page(_deals(t), deals.deal_order(), 2, 50)[0].select("product_id", "saving")
 
 
-@query(f"WITH {DEALS} SELECT product_id, share_off, real_saving FROM deal ORDER BY share_off DESC, saving DESC NULLS LAST, product_id LIMIT 100")
+@query(f"WITH {DEALS} SELECT product_id, share_off, real_saving, row_number() OVER (ORDER BY round(share_off, 12) DESC, saving DESC NULLS LAST, product_id) AS place FROM deal")
 def r12_rank_deals_percent(t):
-    return deals.ranked(_deals(t)).orderBy(*deals.rank_order("percent")).limit(100).select("product_id", "share_off", "real_saving")
+    return catalog.placed(deals.ranked(_deals(t)), deals.rank_order("percent"), _keep(t)).select("product_id", "share_off", "real_saving", "place")
 
 
-@query(f"WITH {DEALS} SELECT product_id, share_off, real_saving FROM deal ORDER BY real_saving DESC, share_off DESC, product_id LIMIT 100")
+@query(f"WITH {DEALS} SELECT product_id, share_off, real_saving, row_number() OVER (ORDER BY real_saving DESC, round(share_off, 12) DESC, product_id) AS place FROM deal")
 def r12_rank_deals_saving(t):
-    return deals.ranked(_deals(t)).orderBy(*deals.rank_order("saving")).limit(100).select("product_id", "share_off", "real_saving")
+    return catalog.placed(deals.ranked(_deals(t)), deals.rank_order("saving"), _keep(t)).select("product_id", "share_off", "real_saving", "place")
 
 
 @query(f"WITH {DEALS} SELECT product_id, saving FROM deal WHERE share_off >= 0.3 AND saving >= 1 ORDER BY share_off DESC, saving DESC, product_id LIMIT 30")
@@ -570,10 +590,9 @@ def g9_close_crawl_runs(t):
 
 # ---- categories -------------------------------------------------------------------------------------------------
 
-LIVE = """live AS (SELECT * FROM {categories} WHERE NOT is_archived), up1 AS (SELECT p.category_id AS ancestor_id, c.category_id FROM live c JOIN live p ON c.parent_id = p.category_id),
-up2 AS (SELECT a.ancestor_id, b.category_id FROM up1 a JOIN up1 b ON a.category_id = b.ancestor_id),
-closure AS (SELECT category_id AS ancestor_id, category_id FROM live UNION ALL SELECT * FROM up1 UNION ALL SELECT * FROM up2)"""
-COUNTS = """counts AS (SELECT category_id, count(*) AS n FROM (SELECT category_id FROM {items} WHERE category_id IS NOT NULL UNION ALL
+LIVE = """live AS MATERIALIZED (SELECT * FROM {categories} WHERE NOT is_archived),
+closure AS (SELECT category_id AS ancestor_id, category_id FROM live UNION SELECT c.ancestor_id, l.category_id FROM closure c JOIN live l ON l.parent_id = c.category_id)"""
+COUNTS = """counts AS MATERIALIZED (SELECT category_id, count(*) AS n FROM (SELECT category_id FROM {items} WHERE category_id IS NOT NULL UNION ALL
   SELECT category_id FROM (SELECT DISTINCT l.product_id, c.category_id FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id AND s.is_active JOIN {product_store_categories} k ON l.product_id = k.product_id
    JOIN {store_categories} c ON k.store_category_id = c.store_category_id WHERE l.item_id IS NULL AND l.is_available AND l.current_price IS NOT NULL AND c.category_id IS NOT NULL) x) y GROUP BY category_id)"""
 
@@ -622,7 +641,7 @@ def c4_category_map_summary(t):
     return categories.category_map_summary(t.categories, t.store_categories, t.items)
 
 
-@query(f"WITH {LIVE} SELECT category_id FROM closure WHERE ancestor_id = 'ECONOMY'")
+@query(f"WITH RECURSIVE {LIVE} SELECT category_id FROM closure WHERE ancestor_id = 'ECONOMY'")
 def c5_category_subtree(t):
     return categories.category_subtree(t.categories, "ECONOMY")
 
@@ -633,7 +652,7 @@ def c6_category_counts(t):
 
 
 @query(
-    f"""WITH {LIVE}, {COUNTS}, tot AS (SELECT ancestor_id AS category_id, CAST(sum(n) AS BIGINT) AS total FROM closure JOIN counts ON closure.category_id = counts.category_id GROUP BY 1)
+    f"""WITH RECURSIVE {LIVE}, {COUNTS}, tot AS (SELECT ancestor_id AS category_id, CAST(sum(n) AS BIGINT) AS total FROM closure JOIN counts ON closure.category_id = counts.category_id GROUP BY 1)
 SELECT c.category_id, c.parent_id, c.kind, c.name, c.path, coalesce(counts.n, 0) AS n, coalesce(tot.total, 0) AS total FROM live c LEFT JOIN counts ON c.category_id = counts.category_id LEFT JOIN tot ON c.category_id = tot.category_id WHERE c.kind IN ('Department', 'Aisle')"""
 )
 def c7_category_tree(t):
@@ -792,15 +811,9 @@ def m13_match_run_summary(t):
 
 def _matched(t):
     """The whole cascade from nothing, lineage cut in the shared folder."""
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/match-{uuid.uuid4().hex}"
-
-    def keep(df, name):
-        df.write.parquet(f"{root}/{name}", mode="overwrite")
-        return t.spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
     empty = t.spark.createDataFrame([], "candidate_id string, product_id string, item_id string, score double, reason string, status string")
     cats = t.store_categories
-    return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats, keep=keep)
+    return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats, keep=_keep(t))
 
 
 @query()
@@ -876,7 +889,7 @@ def t13_create_manual_items(t):
 
 
 @query(
-    f"""WITH {LIVE}, e AS (SELECT category_id FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 0)
+    f"""WITH RECURSIVE {LIVE}, e AS (SELECT category_id FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 0)
 SELECT c.category_id, CASE WHEN c.kind = 'Shelf' THEN concat(c.name, ' new') ELSE c.name END AS name, c.is_archived OR c.category_id IN (SELECT closure.category_id FROM closure JOIN e ON closure.ancestor_id = e.category_id) AS is_archived FROM {{categories}} c
 UNION ALL SELECT concat(path, '/extra-shelf'), 'Extra Shelf', false FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 1"""
 )
@@ -989,7 +1002,7 @@ def s3_retained_runs(t):
 
 @query("SELECT product_id, CAST(current_price AS DOUBLE) AS current_price, CAST(unit_price AS DOUBLE) AS unit_price, is_available, last_seen_at FROM {listings}")
 def s1_tables_round_trip(t):
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/tables-{uuid.uuid4().hex}"
+    root = f"{scratch_root(t.spark)}/tables-{uuid.uuid4().hex}"
     write_table(t.listings, root, "listings")
     return read_table(t.spark, root, "listings").select("product_id", "current_price", "unit_price", "is_available", "last_seen_at")
 
@@ -999,7 +1012,7 @@ def g5_apply_crawl_run(t):
     """The last run of each store applied to the replay of those before it: equals the replay of all."""
     from pyspark.sql import Window as W
 
-    root = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    root = f"{scratch_root(t.spark)}/ingest-{uuid.uuid4().hex}"
     runs = t.runs.where("status is null")
     last = runs.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc()))).where("rn = 1")
     state = ingest.availability(t.observations, runs.join(last.select("run_id"), "run_id", "left_anti")).select(*ingest.STATE)

@@ -166,61 +166,82 @@ CARD_COLUMNS = ["seq", "sku", "classes", *CARD_TEXT.values(), "href", "image", "
 
 
 class Cards(HTMLParser):
-    """The texts of a page's product cards; what they mean is left to columns."""
+    """The texts of a page's product cards; what they mean is left to columns.
+
+    Open elements are a stack. An end tag closes the nearest open element of its name with all that is open
+    inside, or is ignored where there is none, so elements left open lose nothing. A card that is still open
+    where the next one starts, or at the end of the page, counts up to there.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.cards: list[dict] = []
         self.next: str | None = None
-        self.depth = 0
-        self.card: tuple[int, dict] | None = None
+        self.open: list[str] = []
+        self.card: dict | None = None
+        self.card_at = 0
         self.parts: list[tuple[int, str]] = []
         self.image_at: int | None = None
 
+    def flush(self) -> None:
+        if self.card is not None:
+            self.cards.append(self.card)
+        self.card, self.parts, self.image_at = None, [], None
+
+    def shrink(self, size: int) -> None:
+        """Close all open elements beyond the first ``size``."""
+        del self.open[size:]
+        if self.card is not None and self.card_at > size:
+            self.flush()
+        self.parts = [p for p in self.parts if p[0] <= size]
+        if self.image_at is not None and self.image_at > size:
+            self.image_at = None
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
         if tag == "a" and "next" in (a.get("rel") or "").split() and self.next is None:
             self.next = a.get("href")
+        starts = tag == "div" and "talker" in classes and (a.get("id") or "").startswith("line_")
+        if starts and self.card is not None:
+            self.shrink(self.card_at - 1)
+        elif tag in ("p", "div", "ul", "table") and self.open and self.open[-1] == "p":
+            self.shrink(len(self.open) - 1)  # a paragraph ends where a block starts
         if tag not in VOID:
-            self.depth += 1
-        if self.card is None and tag == "div" and "talker" in classes and (a.get("id") or "").startswith("line_"):
-            self.card = (self.depth, {"sku": a["id"][5:], "classes": " ".join(classes)})
+            self.open.append(tag)
+        depth = len(self.open)
+        if starts:
+            self.card, self.card_at = {"sku": a["id"][5:], "classes": " ".join(classes)}, depth
             return
         if self.card is None:
             return
-        card = self.card[1]
         for c in classes:
             part = CARD_TEXT.get(c)
-            if part and CARD_TAG.get(part, tag) == tag and part not in card:
-                card[part] = ""
-                self.parts.append((self.depth, part))
+            if part and CARD_TAG.get(part, tag) == tag and part not in self.card:
+                self.card[part] = ""
+                self.parts.append((depth, part))
         if "talker__section--image" in classes:
-            self.image_at = self.depth
+            self.image_at = depth
         if tag == "a" and (a.get("href") or "").startswith("/lines/"):
-            card.setdefault("href", a["href"])
+            self.card.setdefault("href", a["href"])
         if tag == "img" and self.image_at is not None:
-            card.setdefault("image", a.get("src"))
+            self.card.setdefault("image", a.get("src"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        if self.card and self.depth == self.card[0]:
-            self.cards.append(self.card[1])
-            self.card, self.parts, self.image_at = None, [], None
-        self.parts = [p for p in self.parts if p[0] < self.depth]
-        if self.image_at is not None and self.image_at >= self.depth:
-            self.image_at = None
-        self.depth = max(0, self.depth - 1)
+        if tag not in VOID and tag in self.open:
+            self.shrink(len(self.open) - 1 - self.open[::-1].index(tag))
 
     def handle_data(self, data):
         for _, part in self.parts:
-            self.card[1][part] += data
+            self.card[part] += data
+
+    def close(self):
+        super().close()
+        self.flush()
 
 
 def freshchoice_cards(raw: DataFrame) -> DataFrame:

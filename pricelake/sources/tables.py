@@ -55,3 +55,8 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
         out.write.mode(mode).partitionBy("captured_on").parquet(f"{root}/{name}")
     else:
         out.write.mode(mode).parquet(f"{root}/{name}")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, or where none is named one in the warehouse, which they share as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
