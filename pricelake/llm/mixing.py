@@ -69,30 +69,38 @@ def targets(spark: SparkSession, sources: DataFrame, scratch: Scratch, weights=W
     )
 
 
-def copies(spark: SparkSession, docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, **options) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target and the number of copies the mix takes."""
+ADDED = ("size", "source_size", "target", "n_copies")
+
+
+def _taken(spark: SparkSession, docs: DataFrame, seed: int, scratch: Scratch, **options) -> DataFrame:
+    """(row: all columns of ``docs``, size, source_size, target, n_copies): names of columns cannot clash."""
     tune(spark)
-    scratch = scratch or Scratch(spark, "mixing")
-    rows = docs.withColumn("size", n_words(F.col("text")))
-    sources = scratch.keep(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    t = targets(spark, sources, scratch, **options).withColumnRenamed("source", "of")
-    same = F.col("source").eqNullSafe(F.col("of"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"))
+    sources = scratch.keep(rows.groupBy(F.col("row.source").alias("source")).agg(F.sum("size").alias("source_size")), "sources")
+    t = targets(spark, sources, scratch, **options)
+    same = F.col("row.source").eqNullSafe(F.col("source"))
     if sources.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(t), same)
     else:
         salted = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, same & (F.col("salt_") == F.col("salt"))).drop("salt", "salt_")
+        left = rows.withColumn("own_salt", F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, same & (F.col("own_salt") == F.col("salt")))
     whole = F.floor("rate").cast("long")
-    extra = (uniform(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("n_copies", whole + extra).drop("of", "rate")
+    extra = (uniform(F.col("row.doc_id"), seed) < F.col("rate") - whole).cast("long")
+    return joined.select("row", "size", "source_size", "target", (whole + extra).alias("n_copies"))
+
+
+def copies(spark: SparkSession, docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target and the number of copies the mix takes; columns of these names are replaced."""
+    taken = _taken(spark, docs, seed, scratch or Scratch(spark, "mixing"), **options)
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as the mix takes it, with copy numbered from 0."""
-    taken = copies(spark, docs, **options).where("n_copies > 0")
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 17, scratch: Scratch | None = None, **options) -> DataFrame:
+    """The mixed documents: each row of ``docs`` as often as the mix takes it, with copy numbered from 0; an existing copy is replaced."""
+    taken = _taken(spark, docs, seed, scratch or Scratch(spark, "mixing"), **options).where("n_copies > 0")
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies").cast("int") - 1)))
-    return taken.select(*docs.columns, "copy")
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copy"], "copy")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

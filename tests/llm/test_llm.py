@@ -275,19 +275,81 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(spark, docs, None).collect()} == {"und"}
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    text = "abra cadabra abracadabra bar cab"
-    chars, of, _ = language_id.characters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), language_id.folding())
-    g, n = np.unique(language_id.grams(chars, of)[0], return_counts=True)
-    m = language_id.Models(["x"], np.zeros(len(g), np.int64), g, n)
-    letters = np.unique(chars).astype(np.uint64)
-    for context in ("abr", "cad", "zzz", " ba"):
-        head = np.uint64(0)
-        for c in context:
-            head = head << np.uint64(16) | np.uint64(ord(c))
-        p = np.exp(m.log_prob((head << np.uint64(16)) | letters, 4)).sum()
-        rest = (1 - len(letters) * np.exp(m.floor)) if True else 0
-        assert p <= 1 + 1e-6 and p >= 0.5 - rest
+def plain_kneser_ney(counted, order):
+    """p(last character | those before) of one language by the textbook recursion over dictionaries."""
+    tables = {order: dict(counted)}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    alphabet = max(2, len({g for g in tables[1]}))
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (alphabet + 1)
+        t = tables[k]
+        once, twice = sum(c == 1 for c in t.values()), sum(c == 2 for c in t.values())
+        d = min(max(once / max(1, once + 2 * twice) if once else 0.5, 0.1), 0.9)
+        own = [c for h, c in t.items() if h[:-1] == g[:-1]]
+        below = p(g[1:])
+        return (max(t.get(g, 0) - d, 0) + d * len(own) * below) / sum(own) if own else below
+
+    return p
+
+
+def test_kneser_ney_matches_the_textbook_in_every_language():
+    texts = ["abra cadabra abracadabra bar cab", "kel mok kelmok lomek kel"]
+    fold, langs, grams, counts = language_id.folding(), [], [], []
+    for i, t in enumerate(texts):
+        chars, of, _ = language_id.characters(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), fold)
+        g, n = np.unique(language_id.grams(chars, of)[0], return_counts=True)
+        langs.append(np.full(len(g), i)), grams.append(g), counts.append(n)
+    m = language_id.Models(["x", "y"], np.concatenate(langs), np.concatenate(grams), np.concatenate(counts))
+    split = lambda g: tuple(int(g) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
+    join = lambda t: sum(c << 16 * k for c, k in zip(t, (3, 2, 1, 0)))
+    letters = sorted({split(g)[3] for x in grams for g in x})
+    alone = [language_id.Models([n], np.zeros(len(g), np.int64), g, c) for n, g, c in zip("xy", grams, counts)]
+    for i, model in enumerate(alone):
+        p = plain_kneser_ney({split(g): c for g, c in zip(grams[i], counts[i])}, 4)
+        own = sorted({split(g)[3] for g in grams[i]})
+        for context in [split(g)[:3] for g in grams[i][:6]] + [(99, 98, 97), (122, 122, 122)]:
+            asked = np.array([join((*context, c)) for c in [*own, 0xFFFE]], np.uint64)
+            got = np.exp(model.log_prob(asked, 4))[:, 0]
+            assert np.allclose(got, [p((*context, c)) for c in [*own, 0xFFFE]], rtol=1e-4) and abs(got.sum() - 1) < 1e-4
+    # Side by side, each language keeps its own discounts; only the alphabet is shared.
+    asked = np.array([join((97, 98, 114, c)) for c in letters], np.uint64)
+    assert np.exp(m.log_prob(asked, 4)).sum(0).max() <= 1 + 1e-4
+
+
+def test_alphabet_is_bounded_and_counts_are_whole(spark):
+    fold = language_id.folding()
+    assert len(np.unique(fold)) == language_id.ALPHABET + 1 and (fold[97:123] == np.arange(97, 123)).all()
+    docs = spark.createDataFrame([("abcabc", "x"), ("ABC!", "x"), ("\u4e2d\u6587", "z")], "text string, lang string")
+    assert {r.lang: r.n for r in language_id.counts(docs).groupBy("lang").agg(F.sum("n").alias("n")).collect()} == {"x": 7 + 5, "z": 3}
+
+
+def test_language_query_is_right_on_held_out_rows(spark):
+    known = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").collect()}
+    rows = [r for r in language_id.op6(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in known]
+    right = sum(r.lang_pred == known[r.doc_id] for r in rows)
+    assert right >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_mixing_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "w w w", "a", 1, 2, 3, 4, 5) for i in range(9)], DOCS + ", source string, rate int, of int, target int, size int, copy int")
+    assert mixing.mix(spark, docs).columns == ["doc_id", "text", "source", "rate", "of", "target", "size", "copy"]
+    got = mixing.copies(spark, docs)
+    assert got.columns == ["doc_id", "text", "source", "rate", "of", "copy", "size", "source_size", "target", "n_copies"] and {r.size for r in got.collect()} == {3}
+
+
+def test_pipeline_stages_take_clashing_columns_and_repeated_ids(spark):
+    text = prose(random.Random(3), 40)
+    rows = [(1, text, "x", 0, 0), (1, text, "x", 0, 0), (1, "other " + prose(random.Random(4), 40), "y", 0, 0), (2, text + " more", "z", 0, 0), (None, text.upper(), "n", 0, 0)]
+    docs = spark.createDataFrame(rows, DOCS + ", text_sha256 string, k0 int, id_ int")
+    exact = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert sorted(r.text_sha256 for r in exact.collect()) == ["x", "y", "z"] and exact.columns == docs.columns
+    near = corpus_pipeline.drop_near_copies(spark, exact, SF)
+    assert sorted(r.text_sha256 for r in near.collect()) == ["x", "y"] and near.columns == docs.columns
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
 
 
 def test_toxicity(spark):
