@@ -12,6 +12,7 @@ of a key are copied to each salt.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,8 +24,9 @@ from ..functions.pricing import in_foodstuffs
 from ..functions.text import infer_brand, normalize_brand, normalize_size, token_overlap, tokenize
 
 ITEM = ["item_id", "match_key", "name", "description", "brand", "size", "unit_of_measure", "category", "category_id", "gtin", "merged_into_id"]
-HOPS = 32
 SALTS = 8
+#: Writes a table under a name and reads it back, which cuts lineage.
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -38,15 +40,20 @@ class Policy:
     score: Callable[[Column, Column], Column] = token_overlap
 
 
-def resolve_merges(items: DataFrame) -> DataFrame:
+def resolve_merges(items: DataFrame, keep: Keep | None = None) -> DataFrame:
     """(item_id, live_id): the survivor of each item's chain of merges, at most 32 hops, cycles cut there.
 
-    Pointers double, so five joins of the merged items follow 32 hops.
+    Pointers double, so five joins of the merged items follow 32 hops. With ``keep``, which writes a table, each
+    doubling reads the last one's rows instead of planning it twice, and the first that moves no pointer ends it.
     """
     at = items.where("merged_into_id is not null").select("item_id", F.col("merged_into_id").alias("live_id"))
+    at = keep(at, f"merges-{uuid.uuid4().hex}") if keep else at
     for _ in range(5):
         nxt = at.select(F.col("item_id").alias("live_id"), F.col("live_id").alias("next_id"))
+        if keep and not at.join(nxt, "live_id", "left_semi").limit(1).count():
+            break
         at = at.join(nxt, "live_id", "left").select("item_id", F.coalesce("next_id", "live_id").alias("live_id"))
+        at = keep(at, f"merges-{uuid.uuid4().hex}") if keep else at
     return items.select("item_id").join(at, "item_id", "left").select("item_id", F.coalesce("live_id", "item_id").alias("live_id"))
 
 
@@ -62,13 +69,15 @@ def finest_category(listings: DataFrame, links: DataFrame, store_categories: Dat
     return rows.groupBy("product_id").agg(F.min_by("category", F.struct(rank, "store_category_id")).alias("category"))
 
 
-def _upsert(items: DataFrame, minted: DataFrame) -> DataFrame:
-    """Items with the minted ones (ITEM columns but ids and merges): names stay, brand, size and unit are refreshed, categories kept where new ones are unknown.
+def _upsert(items: DataFrame, minted: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, keys): items with the minted ones (ITEM columns but ids and merges), and the live item (new_item) of each minted match_key.
 
-    A key whose item was merged refreshes the survivor; of several such keys the highest wins.
+    Names stay, brand, size and unit are refreshed, categories kept where new ones are unknown. A key whose item was
+    merged refreshes the survivor; of several such keys the highest wins.
     """
     new = minted.withColumn("new_id", id_of(F.col("match_key")))
-    live = resolve_merges(items)
+    new = keep(new, f"minted-{uuid.uuid4().hex}") if keep else new
+    live = resolve_merges(items, keep)
     known = new.join(items.where("match_key is not null").select("match_key", "item_id"), "match_key").join(live, "item_id")
     fresh = known.groupBy("live_id").agg(F.max_by(F.struct("brand", "size", "unit_of_measure", "category"), "match_key").alias("new")).withColumnRenamed("live_id", "item_id")
     kept = items.join(fresh, "item_id", "left")
@@ -79,7 +88,8 @@ def _upsert(items: DataFrame, minted: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     added = new.join(items.where("match_key is not null").select("match_key"), "match_key", "left_anti")
     added = added.withColumns({"item_id": F.col("new_id"), "description": F.col("name"), "category": F.coalesce("category", F.lit("Uncategorized")), "category_id": none, "gtin": none, "merged_into_id": none})
-    return kept.unionByName(added.select(*ITEM))
+    keys = known.select("match_key", F.col("live_id").alias("new_item")).union(added.select("match_key", "item_id"))
+    return kept.unionByName(added.select(*ITEM)), keys
 
 
 def _link(listings: DataFrame, pairs: DataFrame, override: bool = False) -> DataFrame:
@@ -89,13 +99,12 @@ def _link(listings: DataFrame, pairs: DataFrame, override: bool = False) -> Data
     return both.withColumn("item_id", new).drop("new_item")
 
 
-def keyed_links(listings: DataFrame, items: DataFrame, key: Column) -> DataFrame:
-    """(product_id, new_item): the live item of each listing's own key."""
-    own = items.where("match_key is not null").select("match_key", "item_id").join(resolve_merges(items), "item_id").select("match_key", F.col("live_id").alias("new_item"))
-    return listings.select("product_id", key.alias("match_key")).join(own, "match_key").select("product_id", "new_item")
+def keyed_links(listings: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """(product_id, new_item): the live item of each listing's own key, from (match_key, new_item)."""
+    return listings.select("product_id", key.alias("match_key")).join(keys, "match_key").select("product_id", "new_item")
 
 
-def tier1_items(listings: DataFrame, items: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def tier1_items(listings: DataFrame, items: DataFrame, categories: DataFrame | None = None, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, listings): an item of each Foodstuffs SKU, named by its longest raw name; all branches' listings link to it."""
     own = listings.where(in_foodstuffs(F.col("chain")))
     if categories is not None:
@@ -105,14 +114,23 @@ def tier1_items(listings: DataFrame, items: DataFrame, categories: DataFrame | N
     first = F.struct(-F.length("raw_name"), "store_id", "product_id")
     pick = F.min_by(F.struct(F.col("raw_name").alias("name"), F.col("raw_brand").alias("brand"), F.col("raw_size").alias("size"), "unit_of_measure", "category"), first)
     minted = own.groupBy("sku").agg(pick.alias("p")).select(F.concat(F.lit("foodstuffs:"), "sku").alias("match_key"), "p.*")
-    items = _upsert(items, minted)
-    return items, _link(listings, keyed_links(listings.where(in_foodstuffs(F.col("chain"))), items, F.concat(F.lit("foodstuffs:"), F.col("sku"))), override=True)
+    items, keys = _upsert(items, minted, keep)
+    return items, _link(listings, keyed_links(listings.where(in_foodstuffs(F.col("chain"))), keys, F.concat(F.lit("foodstuffs:"), F.col("sku"))), override=True)
 
 
-def match_index(items: DataFrame, scheme: str | None = None) -> DataFrame:
-    """Live keyed items with brand and size: (item_id, match_key, name, brand_norm, size_norm, item_tokens)."""
-    live = items.where("merged_into_id is null and match_key is not null")
-    live = live.where(F.col("match_key").startswith(f"{scheme}:")) if scheme else live
+def match_index(items: DataFrame, scheme: str | None = None, keep: Keep | None = None) -> DataFrame:
+    """Live items with brand and size: (item_id, match_key, name, brand_norm, size_norm, item_tokens).
+
+    With a scheme those whose key is of it; without one those with a key, and those without that a merged item
+    with a key leads to.
+    """
+    live = items.where("merged_into_id is null")
+    if scheme:
+        live = live.where(F.col("match_key").startswith(f"{scheme}:"))
+    else:
+        absorbed = items.where("merged_into_id is not null and match_key is not null").select("item_id").join(resolve_merges(items, keep), "item_id")
+        bare = live.where("match_key is null").join(absorbed.select(F.col("live_id").alias("item_id")), "item_id", "left_semi")
+        live = live.where("match_key is not null").unionByName(bare)
     out = live.select("item_id", "match_key", "name", normalize_brand(F.col("brand")).alias("brand_norm"), normalize_size(F.col("size")).alias("size_norm"), tokenize(F.col("name"), F.col("brand")).alias("item_tokens"))
     return out.where("brand_norm is not null and size_norm is not null")
 
@@ -129,12 +147,14 @@ def apply_approved(listings: DataFrame, candidates: DataFrame, items: DataFrame)
     return _link(listings, pairs, override=True)
 
 
-def score_candidates(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def score_candidates(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy = Policy(), by_name: bool = False) -> DataFrame:
     """(product_id, item_id, match_key, score, inferred): scored pairs of unlinked listings and index items of their brand and size.
 
-    A listing without a brand takes the vocabulary's brand that its name starts with. Rejected pairs do not come back.
+    A listing without a brand takes the vocabulary's brand that its name starts with; with ``by_name`` every listing
+    does, whatever brand it states. Rejected pairs do not come back.
     """
     open_ = listings.where("item_id is null")
+    open_ = open_.withColumn("raw_brand", F.lit(None).cast("string")) if by_name else open_
     guess = infer_brand(open_.where("raw_brand is null or trim(raw_brand) = ''"), vocabulary)
     rows = open_.select("product_id", "raw_name", "raw_brand", normalize_size(F.col("raw_size")).alias("size_norm")).join(guess, "product_id", "left")
     brand = F.coalesce(F.when(F.trim("raw_brand") != "", F.col("raw_brand")), F.col("inferred"))
@@ -148,7 +168,7 @@ def score_candidates(listings: DataFrame, index: DataFrame, vocabulary: DataFram
 
 def decide(scored: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The shortlist of each listing with its place, the number of candidates and whether the first is linked at once."""
-    w = W.partitionBy("product_id").orderBy(F.col("score").desc(), "match_key")
+    w = W.partitionBy("product_id").orderBy(F.col("score").desc(), F.col("match_key").asc_nulls_last(), "item_id")
     rows = scored.withColumns({"place": F.row_number().over(w), "second": F.lead("score").over(w), "n_scored": F.count("*").over(W.partitionBy("product_id"))})
     clear = F.col("second").isNull() | (F.col("score") - F.col("second") > policy.margin)
     auto = (F.col("place") == 1) & clear & (F.col("score") >= policy.auto)
@@ -174,19 +194,19 @@ def queue_candidates(decided: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def tier3_anchors(listings: DataFrame, items: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tier3_anchors(listings: DataFrame, items: DataFrame, vocabulary: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, listings): an item of each unlinked Woolworths listing with a brand that Foodstuffs does not have."""
     own = listings.where("chain = 'Woolworths' and item_id is null").withColumn("brand", normalize_brand(F.col("raw_brand"))).where("brand is not null")
     own = own.join(vocabulary, "brand", "left_anti").drop("brand")
-    return _singletons(listings, own, items, "woolworths")
+    return _singletons(listings, own, items, "woolworths", keep)
 
 
-def _singletons(listings: DataFrame, own: DataFrame, items: DataFrame, scheme: str) -> tuple[DataFrame, DataFrame]:
+def _singletons(listings: DataFrame, own: DataFrame, items: DataFrame, scheme: str, keep: Keep | None) -> tuple[DataFrame, DataFrame]:
     key = F.concat(F.lit(f"{scheme}:"), F.col("sku"))
     pick = F.min_by(F.struct(F.col("raw_name").alias("name"), F.col("raw_brand").alias("brand"), F.col("raw_size").alias("size"), "unit_of_measure"), F.struct("store_id", "product_id"))
     minted = own.groupBy(key.alias("match_key")).agg(pick.alias("p")).select("match_key", "p.*").withColumn("category", F.lit(None).cast("string"))
-    items = _upsert(items, minted)
-    return items, _link(listings, keyed_links(own, items, key))
+    items, keys = _upsert(items, minted, keep)
+    return items, _link(listings, keyed_links(own, keys, key))
 
 
 def reclaim_singletons(listings: DataFrame, items: DataFrame, candidates: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -201,11 +221,11 @@ def reclaim_singletons(listings: DataFrame, items: DataFrame, candidates: DataFr
     return items.join(dead, "item_id", "left_anti"), cleared.select(*listings.columns), candidates.join(dead, "item_id", "left_anti"), gone
 
 
-def tier4_singletons(listings: DataFrame, items: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tier4_singletons(listings: DataFrame, items: DataFrame, vocabulary: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, listings): an item of each unlinked FreshChoice listing that starts with no brand of a higher tier; the others are held."""
     own = listings.where("chain = 'FreshChoice' and item_id is null")
     own = own.join(infer_brand(own, vocabulary), "product_id", "left_anti")
-    return _singletons(listings, own, items, "freshchoice")
+    return _singletons(listings, own, items, "freshchoice", keep)
 
 
 def drop_resolved_candidates(candidates: DataFrame, listings: DataFrame) -> DataFrame:
@@ -214,16 +234,16 @@ def drop_resolved_candidates(candidates: DataFrame, listings: DataFrame) -> Data
     return candidates.where("status <> 'Pending'").unionByName(candidates.where("status = 'Pending'").join(linked, "product_id", "left_anti"))
 
 
-def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep, stage: int) -> tuple[DataFrame, DataFrame]:
+def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep: Keep, stage: int, by_name: bool = False) -> tuple[DataFrame, DataFrame]:
     """(listings, candidates) after one scoring pass: clear winners linked, others queued."""
-    decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy), policy), f"decided{stage}")
+    decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy, by_name), policy), f"decided{stage}")
     auto = decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("new_item"))
     queued = queue_candidates(decided, candidates)
     return _link(listings, auto), candidates.unionByName(queued, allowMissingColumns=True)
 
 
 def run_match(
-    listings: DataFrame, items: DataFrame, candidates: DataFrame, links: DataFrame | None = None, store_categories: DataFrame | None = None, policy: Policy = Policy(), keep=None
+    listings: DataFrame, items: DataFrame, candidates: DataFrame, links: DataFrame | None = None, store_categories: DataFrame | None = None, policy: Policy = Policy(), keep: Keep | None = None
 ) -> dict[str, DataFrame]:
     """The whole cascade over listings of active stores (with chain): items, listings, candidates, reclaimed, summary.
 
@@ -233,22 +253,22 @@ def run_match(
     keep = keep or (lambda df, name: df.checkpoint())
     before = listings
     finest = finest_category(listings, links, store_categories) if links is not None else None
-    items, listings = tier1_items(listings, items, finest)
+    items, listings = tier1_items(listings, items, finest, keep)
     items = keep(items, "items1")
     listings = keep(apply_approved(listings, candidates, items), "listings1")
     foodstuffs = keep(brand_vocabulary(items, "foodstuffs"), "foodstuffs")
     rest = ~in_foodstuffs(F.col("chain"))
-    other, linked = attach(listings.where(rest), match_index(items), foodstuffs, candidates, policy, keep, 2)
+    other, linked = attach(listings.where(rest), match_index(items, keep=keep), foodstuffs, candidates, policy, keep, 2)
     listings, candidates = keep(listings.where(~rest).unionByName(other), "listings2"), keep(linked, "candidates2")
-    items, listings = tier3_anchors(listings, items, foodstuffs)
+    items, listings = tier3_anchors(listings, items, foodstuffs, keep)
     items, listings = keep(items, "items3"), keep(listings, "listings3")
     higher = keep(foodstuffs.union(brand_vocabulary(items, "woolworths")).distinct(), "higher")
     items, listings, candidates, gone = reclaim_singletons(listings, items, candidates, higher)
     items, listings, candidates, gone = keep(items, "items4"), keep(listings, "listings4"), keep(candidates, "candidates4"), keep(gone, "gone")
     fresh = F.col("chain") == "FreshChoice"
-    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths"), brand_vocabulary(items, "woolworths"), candidates, policy, keep, 3)
+    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths", keep), brand_vocabulary(items, "woolworths"), candidates, policy, keep, 3, by_name=True)
     listings, candidates = keep(listings.where(~fresh).unionByName(other), "listings5"), keep(candidates, "candidates5")
-    items, listings = tier4_singletons(listings, items, higher)
+    items, listings = tier4_singletons(listings, items, higher, keep)
     items, listings = keep(items, "items6"), keep(listings, "listings6")
     candidates = keep(drop_resolved_candidates(candidates, listings), "candidates6")
     return {"items": items, "listings": listings, "candidates": candidates, "reclaimed": gone, "summary": match_run_summary(before, listings, items, candidates, gone)}

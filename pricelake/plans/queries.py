@@ -691,17 +691,18 @@ t1 AS (SELECT sku, concat('foodstuffs:', sku) AS match_key, arg_min(struct_pack(
 
 @query(f"WITH {TIER1} SELECT match_key, p.n AS name, p.b AS brand, p.z AS size, (SELECT count(*) FROM own WHERE own.sku = t1.sku) AS n_listings FROM t1")
 def m2_tier1_items(t):
-    items, listings = matching.tier1_items(_open(t), _no_items(t))
+    items, listings = matching.tier1_items(_open(t), _no_items(t), keep=_keep(t))
     n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
     return items.join(n, "item_id").select("match_key", "name", "brand", "size", "n_listings")
 
 
-INDEX = f"""ix AS (SELECT item_id, match_key, {NORM_BRAND.format('brand')} AS brand_norm, {NORM_SIZE.format('size')} AS size_norm, {TOKENS.format('name', NORM_BRAND.format('brand'))} AS tokens FROM {{items}} WHERE merged_into_id IS NULL AND match_key IS NOT NULL)"""
+INDEX = f"""{MERGED}, led AS (SELECT live_id FROM merged JOIN {{items}} k ON merged.item_id = k.item_id WHERE k.match_key IS NOT NULL),
+ix AS (SELECT item_id, match_key, {NORM_BRAND.format('brand')} AS brand_norm, {NORM_SIZE.format('size')} AS size_norm, {TOKENS.format('name', NORM_BRAND.format('brand'))} AS tokens FROM {{items}} WHERE merged_into_id IS NULL AND (match_key IS NOT NULL OR item_id IN (SELECT live_id FROM led)))"""
 
 
 @query(f"WITH {INDEX} SELECT item_id, match_key, brand_norm, size_norm, array_to_string(list_sort(tokens), ' ') AS tokens FROM ix WHERE brand_norm IS NOT NULL AND size_norm IS NOT NULL")
 def m3_match_index(t):
-    return matching.match_index(t.items).select("item_id", "match_key", "brand_norm", "size_norm", F.array_join(F.array_sort("item_tokens"), " ").alias("tokens"))
+    return matching.match_index(t.items, keep=_keep(t)).select("item_id", "match_key", "brand_norm", "size_norm", F.array_join(F.array_sort("item_tokens"), " ").alias("tokens"))
 
 
 @query(
@@ -723,7 +724,7 @@ scored AS (SELECT * FROM sc WHERE score >= 0.3)"""
 
 
 def _scored(t):
-    return matching.score_candidates(t.listings, matching.match_index(t.items), matching.brand_vocabulary(t.items, "foodstuffs"), t.candidates)
+    return matching.score_candidates(t.listings, matching.match_index(t.items, keep=_keep(t)), matching.brand_vocabulary(t.items, "foodstuffs"), t.candidates)
 
 
 @query(f"WITH {SCORED} SELECT product_id, item_id, score, inferred FROM scored")
@@ -731,7 +732,7 @@ def m5_score_candidates(t):
     return _scored(t).select("product_id", "item_id", "score", "inferred")
 
 
-DECIDED = f"""{SCORED}, d1 AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) OVER (PARTITION BY product_id) AS n_scored FROM scored WINDOW w AS (PARTITION BY product_id ORDER BY score DESC, match_key)),
+DECIDED = f"""{SCORED}, d1 AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) OVER (PARTITION BY product_id) AS n_scored FROM scored WINDOW w AS (PARTITION BY product_id ORDER BY score DESC, match_key NULLS LAST, item_id)),
 decided AS (SELECT *, bool_or(place = 1 AND score >= 0.8 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS auto FROM d1)"""
 
 
@@ -762,7 +763,7 @@ def _short(t):
 SELECT concat('woolworths:', sku) AS match_key, arg_min(raw_name, (store_id, product_id)) AS name, arg_min(raw_brand, (store_id, product_id)) AS brand, count(*) AS n_listings FROM own GROUP BY 1"""
 )
 def m8_tier3_anchors(t):
-    items, listings = matching.tier3_anchors(_open(t), _no_items(t), _short(t))
+    items, listings = matching.tier3_anchors(_open(t), _no_items(t), _short(t), _keep(t))
     n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
     return items.join(n, "item_id").select("match_key", "name", "brand", "n_listings")
 
@@ -780,12 +781,12 @@ def m9_reclaim_singletons(t):
 
 
 @query(
-    f"""WITH {DECIDED.replace("op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {listings} WHERE item_id IS NULL)", "op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE item_id IS NULL AND s.chain = 'FreshChoice')").replace("merged_into_id IS NULL AND match_key IS NOT NULL)", "merged_into_id IS NULL AND match_key LIKE 'woolworths:%')").replace("LIKE 'foodstuffs:%'", "LIKE 'woolworths:%'")}
+    f"""WITH {DECIDED.replace("op AS (SELECT product_id, raw_name, raw_brand, raw_size FROM {listings} WHERE item_id IS NULL)", "op AS (SELECT product_id, raw_name, CAST(NULL AS VARCHAR) AS raw_brand, raw_size FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE item_id IS NULL AND s.chain = 'FreshChoice')").replace("merged_into_id IS NULL AND (match_key IS NOT NULL OR item_id IN (SELECT live_id FROM led)))", "merged_into_id IS NULL AND match_key LIKE 'woolworths:%')").replace("LIKE 'foodstuffs:%'", "LIKE 'woolworths:%'")}
 SELECT product_id, item_id AS linked_to FROM decided WHERE auto AND place = 1"""
 )
 def m10_tier3b_attach(t):
     rows = t.listings.join(t.stores.where("chain = 'FreshChoice'").select("store_id"), "store_id", "left_semi")
-    decided = matching.decide(matching.score_candidates(rows, matching.match_index(t.items, "woolworths"), matching.brand_vocabulary(t.items, "woolworths"), t.candidates))
+    decided = matching.decide(matching.score_candidates(rows, matching.match_index(t.items, "woolworths"), matching.brand_vocabulary(t.items, "woolworths"), t.candidates, by_name=True))
     return decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("linked_to"))
 
 
@@ -793,7 +794,7 @@ def m10_tier3b_attach(t):
     f"""WITH {ACTIVE}, {LEADS} SELECT concat('freshchoice:', sku) AS match_key, arg_min(raw_name, (store_id, product_id)) AS name, count(*) AS n_listings FROM act WHERE chain = 'FreshChoice' AND product_id NOT IN (SELECT product_id FROM ld) GROUP BY 1"""
 )
 def m11_tier4_singletons(t):
-    items, listings = matching.tier4_singletons(_open(t), _no_items(t), _short(t))
+    items, listings = matching.tier4_singletons(_open(t), _no_items(t), _short(t), _keep(t))
     n = listings.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_listings"))
     return items.join(n, "item_id").select("match_key", "name", "n_listings")
 
@@ -804,7 +805,45 @@ def m12_drop_resolved_candidates(t):
     return matching.drop_resolved_candidates(t.candidates, linked).select("candidate_id", "status")
 
 
-@query()
+def _pass_sql(p, listings, index, brands):
+    """CTEs of one scoring pass over unlinked listings: {p}_dec has the shortlists, auto and place."""
+    brand = NORM_BRAND.format("coalesce(raw_brand, inferred)")
+    return f"""{p}_ph AS (SELECT product_id, n, array_to_string(w[1:n], ' ') AS phrase FROM (SELECT product_id, regexp_split_to_array(raw_name, ' ') AS w FROM {listings} WHERE raw_brand IS NULL) x, (VALUES (1), (2), (3)) y(n) WHERE len(w) >= n),
+{p}_gu AS (SELECT product_id, max_by(phrase, n) AS inferred FROM {p}_ph JOIN {brands} v ON {NORM_BRAND.format('phrase')} = v.brand GROUP BY product_id),
+{p}_li AS (SELECT o.product_id, {NORM_SIZE.format('raw_size')} AS size_norm, {brand} AS brand_norm, {TOKENS.format('raw_name', brand)} AS t FROM {listings} o LEFT JOIN {p}_gu ON o.product_id = {p}_gu.product_id),
+{p}_ix AS (SELECT match_key, {NORM_BRAND.format('brand')} AS brand_norm, {NORM_SIZE.format('size')} AS size_norm, {TOKENS.format('name', NORM_BRAND.format('brand'))} AS tokens FROM {index}),
+{p}_sc AS (SELECT li.product_id, ix.match_key, CASE WHEN least(len(t), len(tokens)) > 0 THEN len(list_intersect(t, tokens)) / least(len(t), len(tokens))::DOUBLE ELSE 0 END AS score FROM {p}_li li JOIN {p}_ix ix ON li.brand_norm = ix.brand_norm AND li.size_norm = ix.size_norm),
+{p}_d1 AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM {p}_sc WHERE score >= 0.3 WINDOW w AS (PARTITION BY product_id ORDER BY score DESC, match_key)),
+{p}_dec AS MATERIALIZED (SELECT *, bool_or(place = 1 AND score >= 0.8 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS auto FROM {p}_d1)"""
+
+
+_BRANDS = lambda items: f"(SELECT DISTINCT {NORM_BRAND.format('brand')} AS brand FROM {items} WHERE brand IS NOT NULL)"
+_MINTED = "arg_min(raw_name, {0}) AS name, arg_min(struct_pack(b := raw_brand), {0}).b AS brand, arg_min(struct_pack(z := raw_size), {0}).z AS size"
+#: The tiers one after the other, from no items and no candidates; an item goes by its key.
+CASCADE = f"""WITH {ACTIVE},
+t1 AS MATERIALIZED (SELECT concat('foodstuffs:', sku) AS match_key, {_MINTED.format('(-length(raw_name), store_id, product_id)')} FROM act WHERE chain IN ('NewWorld', 'PaknSave') GROUP BY sku),
+rest2 AS (SELECT product_id, raw_name, raw_brand, raw_size FROM act WHERE chain NOT IN ('NewWorld', 'PaknSave')),
+{_pass_sql('p2', 'rest2', 't1', _BRANDS('t1'))},
+open3 AS MATERIALIZED (SELECT * FROM act WHERE chain NOT IN ('NewWorld', 'PaknSave') AND product_id NOT IN (SELECT product_id FROM p2_dec WHERE auto)),
+own3 AS (SELECT * FROM open3 WHERE chain = 'Woolworths' AND raw_brand IS NOT NULL AND {NORM_BRAND.format('raw_brand')} NOT IN (SELECT brand FROM {_BRANDS('t1')} v)),
+t3 AS MATERIALIZED (SELECT concat('woolworths:', sku) AS match_key, {_MINTED.format('(store_id, product_id)')} FROM own3 GROUP BY sku),
+rest3 AS (SELECT product_id, raw_name, CAST(NULL AS VARCHAR) AS raw_brand, raw_size FROM open3 WHERE chain = 'FreshChoice'),
+{_pass_sql('p3', 'rest3', 't3', _BRANDS('t3'))},
+open4 AS (SELECT * FROM open3 WHERE chain = 'FreshChoice' AND product_id NOT IN (SELECT product_id FROM p3_dec WHERE auto)),
+lead4 AS (SELECT product_id FROM (SELECT product_id, array_to_string(w[1:n], ' ') AS phrase FROM (SELECT product_id, regexp_split_to_array(raw_name, ' ') AS w FROM open4) x, (VALUES (1), (2), (3)) y(n) WHERE len(w) >= n) z
+  WHERE {NORM_BRAND.format('phrase')} IN (SELECT brand FROM {_BRANDS('t1')} v UNION SELECT brand FROM {_BRANDS('t3')} v2)),
+own4 AS (SELECT * FROM open4 WHERE product_id NOT IN (SELECT product_id FROM lead4)),
+linked AS (SELECT product_id, chain, sku, concat('foodstuffs:', sku) AS match_key FROM act WHERE chain IN ('NewWorld', 'PaknSave')
+  UNION ALL SELECT act.product_id, chain, sku, match_key FROM act JOIN (SELECT product_id, match_key FROM p2_dec WHERE auto AND place = 1 UNION ALL SELECT product_id, match_key FROM p3_dec WHERE auto AND place = 1) p ON act.product_id = p.product_id
+  UNION ALL SELECT product_id, chain, sku, concat('woolworths:', sku) FROM own3 UNION ALL SELECT product_id, chain, sku, concat('freshchoice:', sku) FROM own4)"""
+
+
+@query(
+    f"""{CASCADE} SELECT 'live_items' AS measure, (SELECT count(*) FROM t1) + (SELECT count(*) FROM t3) + (SELECT count(DISTINCT sku) FROM own4) AS n
+UNION ALL SELECT 'auto_linked', count(*) FROM linked WHERE match_key <> concat(CASE chain WHEN 'Woolworths' THEN 'woolworths:' WHEN 'FreshChoice' THEN 'freshchoice:' ELSE '-' END, sku)
+UNION ALL SELECT 'pending', count(*) FROM (SELECT product_id FROM p2_dec WHERE place <= 3 AND NOT auto UNION ALL SELECT product_id FROM p3_dec WHERE place <= 3 AND NOT auto) x WHERE product_id NOT IN (SELECT product_id FROM linked)
+UNION ALL SELECT 'decided', 0 UNION ALL SELECT 'reclaimed', 0"""
+)
 def m13_match_run_summary(t):
     return _matched(t)["summary"]
 
@@ -816,7 +855,7 @@ def _matched(t):
     return matching.run_match(_open(t).withColumn("unit_of_measure", F.lit("1kg")), _no_items(t), empty, t.product_store_categories, cats, keep=_keep(t))
 
 
-@query()
+@query(f"{CASCADE} SELECT act.product_id, act.chain, linked.match_key FROM act LEFT JOIN linked ON act.product_id = linked.product_id")
 def m14_run_match(t):
     out = _matched(t)
     keys = out["items"].select("item_id", "match_key")
