@@ -107,7 +107,7 @@ def apply_crawl_run(state: DataFrame, scraped: DataFrame, run: DataFrame) -> tup
     """One run at a time: (new state, snapshots, run row). ``run`` has one row; the result equals a replay.
 
     The old state stands before the run's rows as an observation, so duplicates inside the run go through
-    the same windows.
+    the same windows. ``state`` may be that of the run's store alone; rows of other stores pass beside the join.
     """
     # One run a call: its store and time are scalars of a one-row table.
     r = run.select("run_id", "store_id", "started_at", F.col("complete").alias("ok"), F.coalesce("status", F.lit("")).alias("status")).first()
@@ -115,14 +115,16 @@ def apply_crawl_run(state: DataFrame, scraped: DataFrame, run: DataFrame) -> tup
         return state, state.sparkSession.createDataFrame([], snapshot_schema(state, scraped)), close_crawl_runs(scraped.limit(0), None, run)
     zero = F.lit(0).cast("long")
     at = F.lit(r.started_at).cast("timestamp")
-    old = state.where(F.col("store_id") == r.store_id).select(*KEY, *TUPLE, F.lit(None).cast("string").alias("run_id"), zero.alias("run_no"), zero.alias("seq"))
+    mine = F.col("store_id").eqNullSafe(F.lit(r.store_id))
+    others, state = state.where(~mine), state.where(mine)
+    old = state.select(*KEY, *TUPLE, F.lit(None).cast("string").alias("run_id"), zero.alias("run_no"), zero.alias("seq"))
     new = scraped.select(*KEY, *TUPLE, "run_id", F.lit(1).cast("long").alias("run_no"), F.col("seq").cast("long").alias("seq"))
     rows = _step(old.unionByName(new).withColumns({"c_incl": zero, "c_before": zero})).where("run_no = 1")
     snaps = rows.where("changed").select(*KEY, "run_id", "seq", at.alias("captured_at"), *TUPLE, (F.col("promo_type") == SPECIAL).alias("is_on_special"), F.lit("NZD").alias("currency"))
     seen = rows.groupBy(*KEY).agg(F.max_by(F.struct(*TUPLE), "seq").alias("now"), F.max("changed").alias("moved"))
     both = state.join(seen, KEY, "full_outer")
     here = F.col("now").isNotNull()
-    missed = ~here & (F.col("store_id") == r.store_id) & F.lit(bool(r.ok))
+    missed = ~here & F.lit(bool(r.ok))
     misses = F.when(here, 0).when(missed, F.col("misses") + 1).otherwise(F.col("misses"))
     out = both.select(
         *KEY,
@@ -134,7 +136,7 @@ def apply_crawl_run(state: DataFrame, scraped: DataFrame, run: DataFrame) -> tup
         F.when(here, F.lit(None)).when(missed, F.coalesce("missing_since", at)).otherwise(F.col("missing_since")).cast("timestamp").alias("missing_since"),
         (misses < MISSES).alias("is_available"),
     )
-    return retire(out), snaps, close_crawl_runs(scraped, snaps, run)
+    return retire(out).unionByName(others.select(*STATE)), snaps, close_crawl_runs(scraped, snaps, run)
 
 
 def snapshot_schema(state: DataFrame, scraped: DataFrame) -> str:
@@ -193,6 +195,7 @@ def sync_tags(scraped: DataFrame, runs: DataFrame, stores: DataFrame) -> tuple[D
 def close_crawl_runs(scraped: DataFrame, snapshots: DataFrame | None, runs: DataFrame) -> DataFrame:
     """Runs with products_found (rows, duplicates included), snapshots_written, status and the error cut to 2000 characters."""
     found = scraped.groupBy("run_id").agg(F.count("*").alias("products_found"))
+    runs = runs.drop("products_found", "snapshots_written")
     out = runs.join(found, "run_id", "left")
     if snapshots is not None:
         out = out.join(snapshots.groupBy("run_id").agg(F.count("*").alias("snapshots_written")), "run_id", "left")

@@ -1,13 +1,22 @@
-"""Ingest as a stream: each micro-batch of observations is applied to the stored listings.
+"""Ingest as a stream: observations go to an inbox, and each run is applied once all its rows are there.
 
-Runs must come in order; late ones are recovered by a replay of the batch operators. The state is one row
-a listing. Without a table format that merges, each batch writes a new version of the state and then the
-pointer to it, so a batch that is repeated after a failure starts from the version before it.
+A run is due when it is closed (it has a row in the runs table), as many of its rows have come as the crawler
+found (``products_found``), and no earlier run of its store waits. So a run may come in several micro-batches,
+and a complete run that found nothing still counts as a miss of every listing of its store. Runs that failed
+are closed without their rows. Runs of one store go by (started_at, run_id); one that is closed after a later
+one was applied is left to a replay of the batch operators. A run without ``products_found`` waits.
+
+Under ``root`` lie the inbox (by batch and run), the snapshots and the state that each run leaves of its own
+store, and last of all the closed run, which marks it as applied. What is written twice after a failure is
+written to the same place from the same input.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,41 +27,90 @@ TYPES = {
     "multibuy_total": "decimal(10,2)", "first_seen_at": "timestamp", "last_seen_at": "timestamp", "price_updated_at": "timestamp", "misses": "int", "missing_since": "timestamp", "is_available": "boolean",
 }
 STATE_SCHEMA = ", ".join(f"{c} {TYPES[c]}" for c in STATE)
+ROWS_SCHEMA = ", ".join([*(f"{c} {TYPES[c]}" for c in [*KEY, *TUPLE]), "run_id string", "seq long"])
+CLOSED_SCHEMA = "run_id string, store_id string, started_at timestamp, products_found int, snapshots_written int, status string, error_message string"
+ORDER = ["started_at", "run_id"]
+
+
+def _read(spark: SparkSession, path: str, schema: str, nested: bool = True) -> DataFrame:
+    """The table below ``path``, its folders partitions or not (nested); empty where nothing was written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).option("recursiveFileLookup", str(nested).lower()).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def closed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The runs that were applied, with what they found."""
+    return _read(spark, f"{root}/runs", CLOSED_SCHEMA)
+
+
+def _last(spark: SparkSession, root: str) -> DataFrame:
+    """(store_id, run_id): the run that wrote each store's present state."""
+    return closed_runs(spark, root).where("status <> 'Failed'").groupBy("store_id").agg(F.max_by("run_id", F.struct(*ORDER)).alias("run_id"))
+
 
+def _state(spark: SparkSession, root: str, store_id: str, run_id: str | None) -> DataFrame:
+    at = f"{root}/state/{quote(store_id, '')}/{quote(run_id or '', '')}"
+    return spark.read.schema(STATE_SCHEMA).parquet(at) if run_id else spark.createDataFrame([], STATE_SCHEMA)
 
-def read_state(spark: SparkSession, root: str, version: int) -> DataFrame:
-    if version < 0:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{root}/state/v{version}")
+
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """The present listings of all stores."""
+    # One path a store, of which there are few.
+    paths = [f"{root}/state/{quote(r.store_id, '')}/{quote(r.run_id, '')}" for r in _last(spark, root).collect()]
+    return spark.read.schema(STATE_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], STATE_SCHEMA)
+
+
+def _inbox(spark: SparkSession, root: str) -> DataFrame:
+    """All rows that came, with the partition ``r`` that repeats their run's id, so that a run is read alone."""
+    return _read(spark, f"{root}/inbox", f"{ROWS_SCHEMA}, batch long, r string", nested=False)
+
+
+def due_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
+    """Runs to apply now, by the rules above."""
+    closed = closed_runs(spark, root)
+    newest = closed.groupBy("store_id").agg(F.max(F.struct(*ORDER)).alias("newest"))
+    waiting = runs.join(closed.select("run_id"), "run_id", "left_anti").join(newest, "store_id", "left").where(F.col("newest").isNull() | (F.struct(*ORDER) > F.col("newest")))
+    came = _inbox(spark, root).join(waiting.select(F.col("run_id").alias("r")), "r", "left_semi").groupBy(F.col("r").alias("run_id")).agg(F.count("*").alias("came"))
+    failed = F.coalesce(F.col("status") == "Failed", F.lit(False))
+    whole = failed | F.coalesce(F.coalesce("came", F.lit(0)) >= F.col("products_found"), F.lit(False))
+    so_far = W.partitionBy("store_id").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return waiting.join(came, "run_id", "left").withColumn("ready", F.min(whole).over(so_far)).where("ready").select(*runs.columns)
+
+
+def apply_due(spark: SparkSession, root: str, runs_path: str) -> None:
+    """Apply all runs that are due, those of a store in their order. Each step reads and writes one store only."""
+    runs = spark.read.parquet(runs_path)
+    last = {r.store_id: r.run_id for r in _last(spark, root).collect()}
+    # Few runs are due at a time; what is listed here are their ids.
+    for r in due_runs(spark, root, runs).select("store_id", *ORDER).orderBy(*ORDER).collect():
+        name = quote(r.run_id, "")
+        rows = _inbox(spark, root).where(F.col("r") == r.run_id)
+        state, snaps, closed = apply_crawl_run(_state(spark, root, r.store_id, last.get(r.store_id)), rows, runs.where(F.col("run_id") == r.run_id))
+        snaps.write.mode("overwrite").parquet(f"{root}/snapshots/{name}")
+        (status,) = closed.select("status").first()
+        if status != "Failed":
+            state.write.mode("overwrite").parquet(f"{root}/state/{quote(r.store_id, '')}/{name}")
+            last[r.store_id] = r.run_id
+        closed.write.mode("overwrite").parquet(f"{root}/runs/{name}")
 
 
 def apply_batch(root: str, runs_path: str):
-    """A ``foreachBatch`` function; the runs of a batch are applied one after the other, in order of their start."""
+    """A ``foreachBatch`` function: the batch's rows to the inbox, then all runs that are due."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            runs = spark.read.parquet(runs_path)
-            state = read_state(spark, root, batch_id - 1)
-            # A batch holds few runs; what is listed here are their ids.
-            due = runs.join(batch.select("run_id").distinct(), "run_id", "left_semi").orderBy("started_at", "run_id")
-            for i, r in enumerate(due.collect()):
-                one = runs.where(F.col("run_id") == r.run_id)
-                state, snaps, closed = apply_crawl_run(state, batch.where(F.col("run_id") == r.run_id), one)
-                at = f"batch={batch_id}/part={i}"
-                snaps.write.mode("overwrite").parquet(f"{root}/snapshots/{at}")
-                closed.write.mode("overwrite").parquet(f"{root}/runs/{at}")
-                state.write.mode("overwrite").parquet(f"{root}/steps/v{batch_id}-{i}")
-                state = spark.read.schema(STATE_SCHEMA).parquet(f"{root}/steps/v{batch_id}-{i}")
-            state.write.mode("overwrite").parquet(f"{root}/state/v{batch_id}")
-        finally:
-            batch.unpersist()
+        rows = batch.select(*[F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in ROWS_SCHEMA.split(", "))], F.col("run_id").alias("r"))
+        rows.write.mode("overwrite").partitionBy("r").parquet(f"{root}/inbox/batch={batch_id}")
+        apply_due(batch.sparkSession, root, runs_path)
 
     return run
 
 
 def stream_ingest(observations: DataFrame, root: str, runs_path: str, checkpoint: str) -> StreamingQuery:
-    """Start the ingest of a stream of observations (store_id, sku, run_id, seq and the price tuple); ends when all is read."""
+    """Start the ingest of a stream of observations (store_id, sku, run_id, seq and the price tuple); ends when all is read.
+
+    ``runs_path`` holds the closed runs, with products_found. Runs that are closed after the last rows came are
+    applied by the next batch, or by ``apply_due``.
+    """
     cols = [*KEY, "run_id", "seq", *TUPLE]
     return observations.select(*cols).writeStream.foreachBatch(apply_batch(root, runs_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import functions as F
 
 from pricelake.operators import ingest
-from pricelake.streaming.ingest import STATE_SCHEMA, stream_ingest
+from pricelake.streaming.ingest import apply_batch, apply_due, closed_runs, read_state, stream_ingest
 
 OBS = "store_id string, sku string, run_id string, seq long, price decimal(10,2), promo_type string, was_price decimal(10,2), unit_price decimal(12,4), member_price decimal(10,2), multibuy_quantity int, multibuy_total decimal(10,2)"
 RUNS = "run_id string, store_id string, started_at timestamp, complete boolean, status string"
@@ -79,17 +79,35 @@ def test_replay_equals_fold(spark):
 
 
 def test_stream_equals_replay(spark, tmp_path):
-    o, r = history(7, stores=1, skus=4, runs=4)
+    o, r = history(7, stores=2, skus=4, runs=5)
+    r += [(f"s0e{n}", "s0", T0 + timedelta(hours=100 + n), True, None) for n in range(2)]
     obs, runs = frames(spark, o, r)
-    runs.write.parquet(f"{tmp_path}/runs")
-    obs.write.parquet(f"{tmp_path}/obs")
-    source = spark.readStream.schema(obs.schema).parquet(f"{tmp_path}/obs")
-    q = stream_ingest(source, f"{tmp_path}/out", f"{tmp_path}/runs", f"{tmp_path}/check")
-    q.awaitTermination()
-    state, _ = fold(o, r)
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    got = spark.read.schema(STATE_SCHEMA).parquet(f"{tmp_path}/out/state/v{last}").collect()
-    assert {(x.store_id, x.sku): (text(x.price), x.promo_type, text(x.was_price)) for x in got if x.misses == 0} == {k: s["tuple"][:3] for k, s in state.items() if s["misses"] == 0}
+    found = obs.groupBy("run_id").agg(F.count("*").cast("int").alias("products_found"))
+    runs.join(found, "run_id", "left").fillna(0, ["products_found"]).write.parquet(f"{tmp_path}/runs")
+    # Every run's rows come in three files, so in three batches.
+    obs.repartition(3, "seq").write.parquet(f"{tmp_path}/obs")
+    source = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/obs")
+    stream_ingest(source, f"{tmp_path}/out", f"{tmp_path}/runs", f"{tmp_path}/check").awaitTermination()
+    state, snaps = fold(o, r)
+    now = read_state(spark, f"{tmp_path}/out").collect()
+    assert {(x.store_id, x.sku): (x.misses, x.misses < 2, text(x.price), x.promo_type, text(x.was_price)) for x in now} == {k: (s["misses"], s["misses"] < 2, *s["tuple"][:3]) for k, s in state.items()}
+    assert all(x.misses == 0 or x.missing_since for x in now) and {x.is_available for x in now if x.store_id == "s0"} == {False}
+    got = spark.read.parquet(f"{tmp_path}/out/snapshots/*").collect()
+    assert sorted((x.run_id, x.store_id, x.sku, x.seq, text(x.price), x.promo_type, text(x.was_price)) for x in got) == sorted(snaps, key=lambda s: s[:4])
+    apply_due(spark, f"{tmp_path}/out", f"{tmp_path}/runs")
+    assert closed_runs(spark, f"{tmp_path}/out").count() == len(r)
+
+
+def test_a_run_waits_for_all_its_rows(spark, tmp_path):
+    o = [("s", "a", "r1", n, "3.00", "None", None, None, None, None, None) for n in range(2)]
+    obs, runs = frames(spark, o, [("r1", "s", T0, True, None), ("r2", "s", T0 + timedelta(hours=1), True, None)])
+    runs.withColumn("products_found", F.when(F.col("run_id") == "r1", 2).otherwise(0)).write.parquet(f"{tmp_path}/runs")
+    run = apply_batch(f"{tmp_path}/out", f"{tmp_path}/runs")
+    run(obs.where("seq = 0"), 0)
+    assert read_state(spark, f"{tmp_path}/out").count() == 0
+    for _ in range(2):  # a batch that is repeated changes nothing
+        run(obs.where("seq = 1"), 1)
+        assert [x.misses for x in read_state(spark, f"{tmp_path}/out").collect()] == [1]
 
 
 def test_runs_close(spark):
