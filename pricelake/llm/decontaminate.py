@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tune
+from .common import Scratch, table, tune
 from .kernel import U, byte_table, lowered, segment_hashes, texts, word_bounds
 
 #: Bytes below 128 that part words, once A-Z is lower-cased.
@@ -278,15 +278,24 @@ def searcher(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (text, ...) with ``leak``: its words, the merged spans of words that occur in items, and these items' ids."""
+    """``docs`` (text, ...) with ``leak``: its words, the merged spans of words that occur in items, and these items' ids.
+
+    A benchmark of more than ``block_words`` words is searched in blocks. The result of each block is written
+    before the next one is read, so the driver and the tasks hold one block's windows at a time.
+    """
     tune(spark)
+    scratch = Scratch(spark, "leaks")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     words = F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     blocks = max(1, -(-(items.agg(F.sum(words)).first()[0] or 0) // block_words))
     out = docs.withColumn("leak", F.lit(None).cast(LEAK))
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        out = out.mapInArrow(searcher(Windows([tuple(r) for r in part.collect()], window)), out.schema)
+        old, out = out, out.mapInArrow(searcher(Windows([tuple(r) for r in part.collect()], window)), out.schema)
+        if i < blocks - 1:
+            out = scratch.keep(out, "block")
+            if i:
+                scratch.drop(old)
     return out
 
 

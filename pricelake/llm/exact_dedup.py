@@ -140,9 +140,10 @@ def exact_dedup(spark: SparkSession, incoming: DataFrame, snapshots: list[DataFr
     new = len(snapshots)
     rows = [scratch.keep(digests(b).withColumn("batch", F.lit(i)), "digests") for i, b in enumerate(batches)]
     fresh = rows[new].groupBy("digest").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    confirmed = None
+    confirmed, incoming_rows = None, rows[new].count()
     for i in range(new):
-        count = rows[i].count()
+        # Shards bound what one task holds of either side.
+        count = max(rows[i].count(), incoming_rows)
         shards = max(1, -(-count // shard_rows), spark.sparkContext.defaultParallelism if count > 100_000 else 1)
         positives = screen(fresh, snapshot_filters(rows[i], shards), shards)
         same = scratch.keep(byte_checked(batches[i], rows[i], batches[new], rows[new], positives), "same")
