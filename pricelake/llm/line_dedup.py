@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (lower-cased, runs of other than letters and digits become one space). Equal lines, of
-any length, are one line from the start; two hashes tell lines apart. Of each distinct line of at least
-``MIN_WORDS`` words a 64-bit SimHash of its distinct words is summed in longs, four counters of 16 bits in
-each, or two of 32 bits for lines long enough to overflow them (repeated words would draw unlike lines of
-junk together). Hashes that differ in at most three bits agree in two of five blocks, so lines meet in the
+any length, are one line from the start; two hashes tell lines apart. Of each line of at least ``MIN_WORDS``
+words a 64-bit SimHash of its distinct words is summed within its row, in longs of counters as wide as its
+number of words needs (repeated words would draw unlike lines of junk together). So texts of lines are neither
+written nor shuffled; those of pairs to verify are read again. Hashes that differ in at most three bits agree in two of five blocks, so lines meet in the
 buckets (length class, two blocks, their bits). A pair links if its hashes differ in at most ``BITS_APART``
 bits and its edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``. Of each connected
 group only the first occurrence, by doc_id and line number, stays.
@@ -29,43 +29,61 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, table, tune
 
 MIN_WORDS, BITS_APART, SIMILARITY = 5, 3, 0.8
-#: Letters of a line that may hold more distinct words than a counter of 16 bits can count.
-LONG = 2 * 65_535
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Letters of the pieces whose edit distances bound that of a pair from above.
+PIECE = 128
+#: Runs of other than letters and digits, but for a single space, which stays as it is.
+OTHER = "[^a-z\\p{L}\\p{Nd} ][^a-z\\p{L}\\p{Nd}]*| [^a-z\\p{L}\\p{Nd}]+"
+
+
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), OTHER, " "))
+
+
+def ids(norm: Column) -> tuple[Column, Column]:
+    """The two hashes that tell normalised lines apart."""
+    return F.xxhash64(norm), F.xxhash64(F.lit(1), norm)
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, line_id, check, fuzzy, size, norm) of every line; line_id is null for lines that always stay, norm for those without fuzzy links."""
+    """(doc_id, line_no, line_id, check, size, norm) of every line; line_id is null for lines that always stay, norm for those without fuzzy links."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), "[^\\p{L}\\p{Nd}]+", " "))
-    each = each.select("doc_id", "line_no", norm.alias("norm")).withColumn("size", F.length("norm"))
+    each = each.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("size", F.length("norm"))
     some = F.col("size") > 0
+    line_id, check = ids(F.col("norm"))
     # A line of n words has n - 1 spaces.
     fuzzy = F.col("size") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1
-    return each.select(
-        "doc_id", "line_no", F.when(some, F.xxhash64("norm")).alias("line_id"), F.when(some, F.xxhash64(F.lit(1), "norm")).alias("check"), fuzzy.alias("fuzzy"), "size", F.when(fuzzy, F.col("norm")).alias("norm")
-    )
+    return each.select("doc_id", "line_no", F.when(some, line_id).alias("line_id"), F.when(some, check).alias("check"), "size", F.when(fuzzy, F.col("norm")).alias("norm"))
 
 
-def simhashes(told: DataFrame, lane: int = 16) -> DataFrame:
-    """(line_id, simhash, size) of the distinct lines of ``told`` (line_id, check, size, norm); counters have ``lane`` bits."""
-    distinct = told.groupBy("line_id").agg(F.first("norm").alias("norm"), F.first("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")).where("low = high")
+def majority(words: Column, n: Column, lane: int) -> Column:
+    """The bits that more than half of the ``n`` words' hashes have, ``n`` below 1 << (lane - 2), counted in lanes of ``lane`` bits."""
     per = 64 // lane
-    mask = sum(1 << lane * k for k in range(per))
-    words = distinct.select("line_id", "size", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    words = words.select("line_id", "size", F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"s{j}") for j in range(lane)]
-    counted = words.groupBy("line_id").agg(F.max("size").alias("size"), F.count("*").alias("n"), *sums)
+    ones = sum(1 << lane * k for k in range(per))
+    top = 1 << (lane - 2)
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(lane)])
+    add = lambda acc, h: F.struct(*[(acc[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(lane)])
+
+    def bits(acc: Column) -> Column:
+        # A count beyond n / 2 carries into the second highest bit of its lane; no sum reaches the highest.
+        fill = (F.lit(top - 1) - F.floor(n / 2)).cast("long") * F.lit(ones)
+        out = F.lit(0).cast("long")
+        for j in range(lane):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + fill, lane - 2).bitwiseAND(F.lit(ones)), j))
+        return out
 
-    def bit(i: int) -> Column:
-        at, j = divmod(i, lane)
-        count = F.shiftrightunsigned(f"s{j}", at * lane).bitwiseAND(F.lit((1 << lane) - 1))
-        return F.when(count * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, bits)
 
-    total = bit(0)
-    for i in range(1, 64):
-        total = total.bitwiseOR(bit(i))
-    return counted.select("line_id", total.cast("long").alias("simhash"), "size")
+
+def simhashes(told: DataFrame, lane: int | None = None) -> DataFrame:
+    """``told`` with the SimHash of the distinct words of ``norm``, null for a null one; lanes follow the number of words unless given."""
+    words = told.withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("n_words", F.size("words"))
+    w, n = F.col("words"), F.col("n_words")
+    if lane is None:
+        value = F.when(n < 1 << 6, majority(w, n, 8)).when(n < 1 << 14, majority(w, n, 16)).otherwise(majority(w, n, 32))
+    else:
+        value = majority(w, n, lane)
+    return words.withColumn("simhash", F.when(F.col("norm").isNotNull(), value)).drop("words", "n_words")
 
 
 def members(hashes: DataFrame) -> DataFrame:
@@ -108,26 +126,61 @@ def cross_pairs(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     return a.join(b, close).select("a", "b").distinct()
 
 
+def texts_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(line_id, norm, n) of the lines at ``spots`` (line_id, check, doc_id, line_no); only texts that hold one are split."""
+    wanted = spots.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("line_id").alias("i"), "check")
+    held = docs.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    each = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = each.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("i", "check", normal(F.col("line")).alias("norm"))
+    # Rows that share an id have several lines of one number.
+    line_id, check = ids(F.col("norm"))
+    each = each.where((line_id == F.col("i")) & (check == F.col("check")))
+    return each.groupBy(F.col("i").alias("line_id")).agg(F.first("norm").alias("norm")).withColumn("n", F.length("norm"))
+
+
+def similar(both: DataFrame) -> DataFrame:
+    """The pairs of ``both`` (t_a, t_b, n_a, n_b: different lines and their lengths) of edit similarity ``SIMILARITY`` or more.
+
+    Common words at both ends go first, which changes no distance. The distances of pieces, added up, are an
+    upper bound of what is left; the whole distance is computed only where that bound is too high.
+    """
+    first_apart = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    cut = both.withColumn("w_a", F.split("t_a", " ")).withColumn("w_b", F.split("t_b", " ")).withColumn("head", first_apart(F.col("w_a"), F.col("w_b")))
+    for c in ("a", "b"):
+        cut = cut.withColumn(f"r_{c}", F.reverse(F.slice(f"w_{c}", F.col("head"), F.size(f"w_{c}"))))
+    cut = cut.withColumn("tail", first_apart(F.col("r_a"), F.col("r_b")))
+    for c in ("a", "b"):
+        cut = cut.withColumn(f"m_{c}", F.array_join(F.reverse(F.slice(f"r_{c}", F.col("tail"), F.size(f"r_{c}"))), " "))
+    cut = cut.withColumn("len_a", F.length("m_a")).withColumn("len_b", F.length("m_b"))
+    longest = F.greatest("len_a", "len_b")
+    # Where one line holds nothing between the ends, the other has one space more.
+    limit = F.floor(F.greatest("n_a", "n_b") * F.lit(round(100 * (1 - SIMILARITY))) / 100) - F.when(F.least("len_a", "len_b") == 0, 1).otherwise(0)
+    cut = cut.withColumn("limit", limit.cast("int"))
+    piece = lambda c, i: F.substr(F.col(c), i * PIECE + 1, F.lit(PIECE))
+    bound = F.aggregate(F.sequence(F.lit(0), F.floor(longest / PIECE).cast("int")), F.lit(0), lambda acc, i: acc + F.levenshtein(piece("m_a", i), piece("m_b", i)))
+    linked = F.when(longest <= F.col("limit"), True).when(bound <= F.col("limit"), True).otherwise(F.expr("levenshtein(m_a, m_b, limit) >= 0"))
+    return cut.where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b")).where(linked)
+
+
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no, group_id, kept) of every line of ``docs`` (doc_id, text); group_id is null for lines that always stay."""
     tune(spark)
     scratch = scratch or Scratch(spark, "line-dedup")
-    every = scratch.keep(lines(docs.select("doc_id", "text")), "lines")
-    told = every.where("fuzzy").select("line_id", "check", "size", "norm")
-    hashes = scratch.keep(simhashes(told.where(F.col("size") <= LONG)).union(simhashes(told.where(F.col("size") > LONG), 32)), "hashes")
+    docs = docs.select("doc_id", "text")
+    # Texts of lines are neither written nor shuffled, but for those of the pairs to verify.
+    every = scratch.keep(simhashes(lines(docs)).select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size")), "lines")
+    known = every.where("line_id is not null")
+    figures = [F.first(c).alias(c) for c in ("simhash", "size")]
+    firsts = scratch.keep(known.groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *figures), "firsts")
+    hashes = firsts.groupBy("line_id").agg(F.count("*").alias("n"), *figures).where("n = 1 and simhash is not null").drop("n")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-        texts = told.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("norm").alias("norm"), F.first("size").alias("n"))
-        texts = scratch.keep(texts, "texts")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
+        spots = scratch.keep(firsts.join(members, "line_id", "left_semi").select("line_id", "check", "at.doc_id", "at.line_no"), "spots")
+        texts = scratch.keep(texts_of(docs, spots), "texts")
         side = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"t_{c}"), F.col("n").alias(f"n_{c}"))
-        longer = F.greatest("n_a", "n_b")
-        # Within a fifth of the longer length. Most pairs lie far nearer, which narrow bands show at less cost.
-        within = lambda part: F.expr(f"levenshtein(t_a, t_b, cast(floor(greatest(n_a, n_b) / {part}) as int)) >= 0")
-        linked = F.when(within(100), True).when(within(25), True).otherwise(within(5))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * longer)
-        return scratch.keep(both.where(linked).select("a", "b"), name)
+        return scratch.keep(similar(pairs.join(side("a"), "a").join(side("b"), "b")).select("a", "b"), name)
 
     crowd = scratch.keep(crowds(spark, hashes), "crowds")
     links = verified(pivot_pairs(crowd), "links")
@@ -135,10 +188,8 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     more = verified(cross_pairs(crowd, comp), "more")
     comp = components(spark, links.union(more), scratch).withColumnRenamed("id", "line_id")
 
-    known = every.where("line_id is not null")
-    firsts = known.groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("fuzzy").alias("fuzzy"))
-    grouped = firsts.join(comp, "line_id", "left").withColumn("group_id", F.when(F.col("fuzzy"), F.coalesce("comp", "line_id")).otherwise(F.col("line_id")))
-    grouped = scratch.keep(grouped.select("line_id", "check", "group_id", "at"), "grouped")
+    group = F.when(F.col("simhash").isNotNull(), F.coalesce("comp", "line_id")).otherwise(F.col("line_id"))
+    grouped = scratch.keep(firsts.join(comp, "line_id", "left").select("line_id", "check", group.alias("group_id"), "at"), "grouped")
     # Lines that share a group only by their first hash keep their own firsts.
     joint = grouped.join(comp.select("line_id").distinct(), "line_id", "left_semi").groupBy("group_id").agg(F.min("at").alias("head"))
     groups = grouped.join(joint, "group_id", "left").select("line_id", "check", "group_id", F.coalesce("head", "at").alias("head"))
