@@ -139,10 +139,11 @@ def texts_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
 
 
 def similar(both: DataFrame) -> DataFrame:
-    """The pairs of ``both`` (t_a, t_b, n_a, n_b: different lines and their lengths) of edit similarity ``SIMILARITY`` or more.
+    """(a, b, linked) of the pairs ``both`` (a, b, t_a, t_b, n_a, n_b: different lines and their lengths), linked at edit similarity ``SIMILARITY`` or more.
 
     Common words at both ends go first, which changes no distance. The distances of pieces, added up, are an
-    upper bound of what is left; the whole distance is computed only where that bound is too high.
+    upper bound of what is left; the whole distance is computed only where that bound is too high. A filter by
+    ``linked`` belongs behind a written table: pushed down, it would evaluate the columns it needs anew at each use.
     """
     first_apart = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
     cut = both.withColumn("w_a", F.split("t_a", " ")).withColumn("w_b", F.split("t_b", " ")).withColumn("head", first_apart(F.col("w_a"), F.col("w_b")))
@@ -158,8 +159,10 @@ def similar(both: DataFrame) -> DataFrame:
     cut = cut.withColumn("limit", limit.cast("int"))
     piece = lambda c, i: F.substr(F.col(c), i * PIECE + 1, F.lit(PIECE))
     bound = F.aggregate(F.sequence(F.lit(0), F.floor(longest / PIECE).cast("int")), F.lit(0), lambda acc, i: acc + F.levenshtein(piece("m_a", i), piece("m_b", i)))
-    linked = F.when(longest <= F.col("limit"), True).when(bound <= F.col("limit"), True).otherwise(F.expr("levenshtein(m_a, m_b, limit) >= 0"))
-    return cut.where(F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b")).where(linked)
+    linked = F.when(longest <= F.col("limit"), True).when(bound <= F.col("limit"), True)
+    linked = linked.when(F.expr("levenshtein(m_a, m_b, cast(floor(limit / 8) as int)) >= 0"), True).otherwise(F.expr("levenshtein(m_a, m_b, limit) >= 0"))
+    alike = F.least("n_a", "n_b") >= F.lit(SIMILARITY) * F.greatest("n_a", "n_b")
+    return cut.select("a", "b", F.when(alike, linked).otherwise(False).alias("linked"))
 
 
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -180,7 +183,9 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
         spots = scratch.keep(firsts.join(members, "line_id", "left_semi").select("line_id", "check", "at.doc_id", "at.line_no"), "spots")
         texts = scratch.keep(texts_of(docs, spots), "texts")
         side = lambda c: texts.select(F.col("line_id").alias(c), F.col("norm").alias(f"t_{c}"), F.col("n").alias(f"n_{c}"))
-        return scratch.keep(similar(pairs.join(side("a"), "a").join(side("b"), "b")).select("a", "b"), name)
+        # Pairs are few bytes and much work, so they are spread before their texts join them.
+        spread = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+        return scratch.keep(similar(spread.join(side("a"), "a").join(side("b"), "b")), name).where("linked").select("a", "b")
 
     crowd = scratch.keep(crowds(spark, hashes), "crowds")
     links = verified(pivot_pairs(crowd), "links")
