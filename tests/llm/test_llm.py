@@ -555,6 +555,24 @@ def test_line_dedup(spark):
     assert line_dedup.decide(spark, docs.limit(0)).count() == 0
 
 
+def test_similar_lines_are_those_of_the_whole_edit_distance(spark):
+    """Words cut, added and changed at the ends and within, near the limit as well, against Spark's distance of the whole lines."""
+    rng = random.Random(12)
+    rows = [("a b c d e f g h i j", "a b c d e g h i j"), ("aa bb cc dd ee", "aa bb cc dd ee ff"), ("aa bb cc dd ee", "zz aa bb cc dd ee")]
+    for _ in range(400):
+        words = prose(rng, rng.randrange(5, 120)).split()
+        other = list(words)
+        for _ in range(rng.randrange(1, 2 + len(words) // 3)):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[], ["é" * rng.randrange(1, 9)], [other[at], "more"], [other[at][::-1]]]) if len(other) > 5 else [other[at] + "x"]
+        if other != words:
+            rows.append((" ".join(words), " ".join(other)))
+    pairs = spark.createDataFrame([(i, -i, a, b) for i, (a, b) in enumerate(rows)], "a long, b long, t_a string, t_b string")
+    both = pairs.withColumn("n_a", F.length("t_a")).withColumn("n_b", F.length("t_b"))
+    want = {r.a: 5 * r.d <= max(r.n_a, r.n_b) for r in both.withColumn("d", F.levenshtein("t_a", "t_b")).collect()}
+    assert {r.a: r.linked for r in line_dedup.similar(both).collect()} == want and {True, False} == set(want.values())
+
+
 def test_line_dedup_of_repeated_rows_counts_each(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six")], DOCS)
     assert sorted((r.doc_id, r.kept) for r in line_dedup.decide(spark, docs).collect()) == [(1, True), (1, True), (2, False)]
