@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scans, toxicity, url_filters
+from . import alignment, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, mixing, ngram_join, packing, quality, secret_scans, toxicity, url_filters
 
 OP9_SQL = r"""
 WITH d AS (
@@ -24,10 +24,14 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_tokenizer_alignment": alignment.op12,
+    "op13_packing": packing.op13,
 }
 
 ORACLES = {
     "op3_url_filters": url_filters.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
