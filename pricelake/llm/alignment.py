@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, tune
-from .tokens import BYTE_BPE, MARK, PIECE_BPE, Words, byte_tokens, flat_words, ids_of, piece_pairs, piece_tokens, pieces_of, sums
+from .tokens import BYTE_BPE, MARK, PIECE_BPE, Distinct, byte_sizes, byte_tokens, byte_words, bytes_of, data_of, gathered, piece_pairs, piece_tokens, piece_words, pieces_of, sizes_of, slices, sums, text_ids
 
 #: Characters of a range of a long document, fragments of one composition, pairs of one block.
 RANGE, FAN, BLOCK = 1 << 15, 8, 6_000_000
@@ -74,32 +74,51 @@ EMPTY = Fragment()
 START = Fragment(cut=True)
 
 
-def links(a: Side, b: Side) -> np.ndarray:
+def both_ends(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Common ends, and all ends."""
+    ends = np.concatenate((a.ends, b.ends))
+    ends.sort(kind="stable")
+    new = np.append(True, ends[1:] != ends[:-1])[: len(ends)]
+    return ends[~new], ends[new]
+
+
+def links(a: Side, b: Side, ends: np.ndarray | None = None) -> np.ndarray:
     """Codes (a's id, b's id) of all pairs that overlap: one for each stretch between neighbouring ends of either side."""
-    ends = np.union1d(a.ends, b.ends)
+    ends = both_ends(a, b)[1] if ends is None else ends
     return (a.ids[np.searchsorted(a.ends, ends)] << 32) | b.ids[np.searchsorted(b.ends, ends)]
 
 
+_TEXT: list[np.ndarray] = []
+
+
+def texts_of(ids: np.ndarray, last: np.ndarray, stop: str) -> np.ndarray:
+    """Decimal ids, each with a comma behind it, or with ``stop`` where it is the last."""
+    if not _TEXT or len(_TEXT[0]) <= ids.max(initial=0):
+        _TEXT[:] = [np.array([f"{i}{end}" for i in range(max(1 << 16, 2 * int(ids.max(initial=0))))], object) for end in ",|;"]
+    return np.where(last, _TEXT[",|;".index(stop)][ids], _TEXT[0][ids])
+
+
 def group_text(a: Side, b: Side, common: np.ndarray) -> str:
     """``a1,a2|b1;a3|b2,b3`` of tokens whose groups end at ``common``."""
     ga, gb = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
     last = lambda g: np.append(g[1:] != g[:-1], True)
-    text = np.concatenate((a.ids, b.ids)).astype("U").astype(object)
-    stop = np.concatenate((np.where(last(ga), "|", ","), np.where(last(gb), ";", ","))).astype(object)
+    text = np.concatenate((texts_of(a.ids, last(ga), "|"), texts_of(b.ids, last(gb), ";")))
     order = np.argsort(np.concatenate((2 * ga, 2 * gb + 1)), kind="stable")
-    return "".join((text + stop)[order].tolist())[:-1]
+    return "".join(text[order].tolist())[:-1]
 
 
 def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(codes, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, at, times)
-    return distinct, total
+    if not len(codes):
+        return codes, times
+    order = np.argsort(codes)
+    codes = codes[order]
+    begin = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[begin], np.add.reduceat(times[order], begin)
 
 
 def fragment(a: Side, b: Side, closed: bool = False) -> Fragment:
     """The fragment of neighbouring tokens; ``closed``: a common end lies right before them."""
-    common = np.intersect1d(a.ends, b.ends, assume_unique=True)
+    common = both_ends(a, b)[0]
     if not len(common):
         return Fragment(closed, tail=(a, b))
     head = (NONE, NONE)
@@ -131,8 +150,6 @@ def joined(x: Fragment, y: Fragment) -> Fragment:
     )
 
 
-def side(ids: list[int], tokens: list[bytes], begin: int = 0) -> Side:
-    return Side(np.array(ids, np.int64), begin + np.cumsum([len(tokens[i]) for i in ids], dtype=np.int64))
 
 
 _PLACE_A = re.compile("(?<=\\S)(?=[ \\n\\t\\r])|(?<=[ぁ-ゖァ-ヺ一-龥])(?=[，。、！？；：])")
@@ -172,62 +189,49 @@ class Pair:
     def sides(self, text_a: str, byte_a: int, text_b: str, byte_b: int) -> tuple[Side, Side] | None:
         """Tokens of a range, or None where a side does not give back its text."""
         out = []
-        for text, begin, ids, tokens in ((text_a, byte_a, ids_of([text_a], self.a)[0], byte_tokens(self.a)), (text_b, byte_b, pieces_of([text_b], self.b)[0], piece_tokens(self.b))):
-            if b"".join([tokens[i] for i in ids]) != text.encode():
+        for text, begin, ids, tokens, sizes in (
+            (text_a, byte_a, text_ids(text_a, self.a), byte_tokens(self.a), sizes_of("a", self.a)),
+            (text_b, byte_b, pieces_of([text_b], self.b)[0], piece_tokens(self.b), sizes_of("b", self.b)),
+        ):
+            if b"".join(map(tokens.__getitem__, ids)) != text.encode():
                 return None
-            out.append(side(ids, tokens, begin))
+            ids = np.array(ids, np.int64)
+            out.append(Side(ids, begin + np.cumsum(sizes[ids])))
         return out[0], out[1]
 
 
-class Lexicon(Words):
+class Lexicon:
     """Closed fragments of words, each with the space before it: numbers of tokens, groups and links, their text, and the links' codes."""
 
-    def __init__(self, pair: Pair, blocks: tuple[np.ndarray, np.ndarray] | None = None, most: int = 300_000) -> None:
-        super().__init__(most)
-        self.pair, self.blocks = pair, blocks
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.n = np.zeros((7, 0), np.int64)  # tokens, groups, links, best links, sum of counts, whether it is bad
-        self.text: list[str] = []
-        self.codes: list[np.ndarray] = []
-
-    def add(self, new: list[str]) -> None:
-        spaced = [" " + w for w in new]
-        sizes = []
-        for ids, tokens in ((ids_of(spaced, self.pair.a), byte_tokens(self.pair.a)), (pieces_of(spaced, self.pair.b), piece_tokens(self.pair.b))):
-            bad = np.array([b"".join([tokens[i] for i in x]) != w.encode() for x, w in zip(ids, spaced)], bool)
-            sizes.append((ids, tokens, bad))
-        bad = sizes[0][2] | sizes[1][2]
-        n = np.zeros((7, len(new)), np.int64)
-        n[6] = bad
+    def __init__(self, spaced: pa.Array, pair: Pair, text: bool = True) -> None:
+        length, data = byte_sizes(spaced), data_of(spaced)
+        found, bad = [], np.zeros(len(spaced), bool)
+        for side, name, (ids, n) in (("a", pair.a, byte_words(spaced, pair.a)), ("b", pair.b, piece_words(spaced, pair.b))):
+            sizes = sizes_of(side, name)
+            if not np.array_equal(sums(sizes[ids], np.concatenate(([0], np.cumsum(n)))), length) or not np.array_equal(bytes_of(ids, side, name), data):
+                at = np.concatenate(([0], np.cumsum(n))).tolist()
+                bad |= np.array([bytes_of(ids[i:j], side, name).tobytes().decode(errors="replace") != w for w, i, j in zip(spaced.to_pylist(), at, at[1:])], bool)
+            found.append((ids, n, sizes))
+        words = len(spaced)
+        self.bad, self.n = bad, np.zeros((4, words), np.int64)  # tokens of both sides, groups, links
         good = np.flatnonzero(~bad)
-        text = [""] * len(new)
-        if len(good):
-            # All words one after the other: their ends are common ends, so they are one closed fragment.
-            flat = [side([i for w in good for i in ids[w]], tokens) for ids, tokens, _ in sizes]
-            a, b = flat
-            bounds = np.concatenate(([0], np.cumsum([len(spaced[w].encode()) for w in good])))
-            common, every = np.intersect1d(a.ends, b.ends, assume_unique=True), np.union1d(a.ends, b.ends)
-            for k, ends in enumerate((a.ends, b.ends, common, every)):
-                n[k, good] = np.diff(np.searchsorted(ends, bounds, "right"))
-            code = links(a, b)
-            self.codes.append(code)
+        # All words one after the other: their ends are common ends, so they are one closed fragment.
+        a, b = (Side(ids, np.cumsum(sizes[ids])) for ids, sizes in ((ids[np.repeat(~bad, n)], sizes) for ids, n, sizes in found))
+        bounds = np.concatenate(([0], np.cumsum(length[good])))
+        common, every = both_ends(a, b)
+        for k, ends in enumerate((a.ends, b.ends, common, every)):
+            self.n[k, good] = np.diff(np.searchsorted(ends, bounds, "right"))
+        self.codes = links(a, b, every)
+        self.text = [""] * words
+        if text and len(good):
             groups = group_text(a, b, common).split(";")
-            at = np.concatenate(([0], np.cumsum(n[2, good]))).tolist()
+            at = np.concatenate(([0], np.cumsum(self.n[2, good]))).tolist()
             for w, i, j in zip(good.tolist(), at, at[1:]):
-                text[w] = ";".join(groups[i:j])
-            if self.blocks is not None:
-                count, best = self.looked_up(code)
-                first = np.concatenate(([0], np.cumsum(n[3, good])))
-                n[4, good], n[5, good] = sums(best, first), sums(count, first)
-        self.n = np.concatenate((self.n, n), axis=1)
-        self.text += text
+                self.text[w] = ";".join(groups[i:j])
 
-    def looked_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block's count of each link, and whether it is the best of its id of the other side; 0 where another block has it."""
-        return counted(code, self.blocks)
+    def per_word(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values of links over each word's links."""
+        return sums(values, np.concatenate(([0], np.cumsum(self.n[3]))))
 
 
 def counted(code: np.ndarray, block: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,27 +251,14 @@ def pair_counts_of_words(docs: DataFrame, pair: Pair) -> DataFrame:
     """(code, n): how often each pair of ids is linked in these documents, by parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, times = Lexicon(pair), np.zeros(0, np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if lexicon.codes:
-                each = np.repeat(times, lexicon.n[3])
-                codes, total = summed(np.concatenate(lexicon.codes), each)
-                seen = total > 0
-                yield pa.RecordBatch.from_arrays([pa.array(codes[seen]), pa.array(total[seen])], ["code", "n"])
-
-        for batch in batches:
-            flat, bounds = flat_words(batch.column("text"))
-            if lexicon.number and lexicon.full(len(set(flat) - lexicon.number.keys())):
-                yield from flush()
-                lexicon.clear()
-                times = np.zeros(0, np.int64)
-            at = lexicon.look_up(flat)
-            bad = np.repeat(sums(lexicon.n[6][at], bounds) > 0, np.diff(bounds))
-            more = np.bincount(at[~bad], minlength=len(lexicon.number))
-            more[: len(times)] += times
-            times = more
-        yield from flush()
+        for batch in slices(batches):
+            d = Distinct(batch.column("text"))
+            lexicon = Lexicon(d.spaced(), pair, text=False)
+            good = d.sums(lexicon.bad) == 0
+            times = np.bincount(d.at[gathered(d.begin[good], d.n[good])], minlength=len(d.words))
+            codes, total = summed(lexicon.codes, np.repeat(times, lexicon.n[3]))
+            seen = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(codes[seen]), pa.array(total[seen])], ["code", "n"])
 
     return docs.select("text").mapInArrow(run, "code long, n long")
 
@@ -278,16 +269,15 @@ def aligned_words(docs: DataFrame, pair: Pair, block) -> DataFrame:
     fields = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(pair, block.value)
-        for batch in batches:
-            flat, bounds = flat_words(batch.column("text"))
-            at = lexicon.look_up(flat)
-            n = np.stack([sums(x[at], bounds) for x in lexicon.n]) if len(flat) else np.zeros((7, len(batch)), np.int64)
-            none = (n[6] > 0) | (np.diff(bounds) == 0)
-            n[:, none] = 0
-            text, where = lexicon.text, at.tolist()
-            digest = ["" if none[i] else sha256(";".join([text[w] for w in where[bounds[i] : bounds[i + 1]]])) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, n[:6]), pa.array(digest, pa.string())], ["doc_id", *fields, "groups_sha256"])
+        for batch in slices(batches):
+            d = Distinct(batch.column("text"))
+            lexicon = Lexicon(d.spaced(), pair)
+            count, best = counted(lexicon.codes, block.value)
+            none = (d.sums(lexicon.bad) > 0) | (d.n == 0)
+            n = [np.where(none, 0, d.sums(x)) for x in (*lexicon.n, lexicon.per_word(best), lexicon.per_word(count))]
+            text, word = lexicon.text, d.at.tolist()
+            digest = ["" if no else sha256(";".join([text[w] for w in word[i : i + k]])) for no, i, k in zip(none.tolist(), d.begin.tolist(), d.n.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, n), pa.array(digest, pa.string())], ["doc_id", *fields, "groups_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, OUT.format(id=kind))
 

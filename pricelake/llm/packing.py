@@ -30,30 +30,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, tune
-from .tokens import BYTE_BPE, Words, byte_bpe, flat_words, ids_of, sums
+from .tokens import BYTE_BPE, Distinct, byte_bpe, byte_words, gathered, slices
 
 WINDOW, QUANTUM, CLOSE = 1024, 64, 0
 #: Quanta of one row of the table that unfolds into them, and of one range of their order.
 RUN, RANGE_ROWS = 100_000, 1_000_000
-
-
-class Ids(Words):
-    """The ids of words as bytes, two or four an id."""
-
-    def __init__(self, tokenizer: str, most: int = 400_000) -> None:
-        super().__init__(most)
-        self.tokenizer, self.type = tokenizer, width(tokenizer)
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.ids: list[bytes] = []
-        self.n = np.zeros(0, np.int64)
-
-    def add(self, new: list) -> None:
-        found = ids_of([w[0] if isinstance(w, tuple) else " " + w for w in new], self.tokenizer)
-        self.ids += [np.array(x, self.type).tobytes() for x in found]
-        self.n = np.concatenate((self.n, np.array([len(x) for x in found], np.int64)))
+#: Rows of the table of queues and parts; a larger one meets the documents in a shuffle.
+BROADCAST_PARTS = 200_000
 
 
 def width(tokenizer: str) -> type:
@@ -70,21 +53,24 @@ def tokenised(docs: DataFrame, tokenizer: str, close: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, so_far = TaskContext.get().partitionId(), Ids(tokenizer), {}
-        end = np.array([close], words.type).tobytes()
-        for batch in batches:
-            flat, bounds = flat_words(batch.column("text"))
-            for i in np.unique(bounds[:-1][bounds[:-1] < bounds[1:]]).tolist():
-                flat[i] = (flat[i],)  # no space before the first word
-            at = words.look_up(flat)
-            n = sums(words.n[at], bounds) + 1
-            where, ids = at.tolist(), words.ids
-            data = [b"".join([ids[w] for w in where[i:j]]) + end for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        part, so_far, kind = TaskContext.get().partitionId(), {}, width(tokenizer)
+        for batch in slices(batches):
+            d = Distinct(batch.column("text"), first=True)
+            known, size = byte_words(d.spaced(), tokenizer)
+            n = d.sums(size) + 1
+            ends = np.cumsum(n)
+            ids = np.full(int(ends[-1]), close, kind)
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            word = d.at[gathered(d.begin, d.n)]
+            ids[inner] = known[gathered((np.cumsum(size) - size)[word], size[word])]
+            each = ids.itemsize * np.concatenate(([0], ends))
+            data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(each), pa.py_buffer(ids)]).cast(pa.binary())
             before = []
             for q, k in zip(batch.column("queue").to_pylist(), n.tolist()):
                 before.append(so_far.get(q, 0))
                 so_far[q] = before[-1] + k
-            cols = [pa.array([part] * len(batch), pa.int32()), batch.column("doc_id"), batch.column("queue"), pa.array(before, pa.int64()), pa.array(n), pa.array(data, pa.binary())]
+            cols = [pa.array([part] * len(batch), pa.int32()), batch.column("doc_id"), batch.column("queue"), pa.array(before, pa.int64()), pa.array(n), data]
             yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "queue", "before", "n", "ids"])
 
     rows = docs.select("doc_id", queue_of(F.col("source")).alias("queue"), "text")
@@ -187,6 +173,8 @@ def pack(
     # A queue has one row a part, so this window is bounded by the number of parts.
     first = F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     base = parts.withColumn("base", F.coalesce(first, F.lit(0))).join(queues.select("queue", "quanta"), "queue").join(rests, "queue").select("queue", "part", "base", "quanta", "tail")
+    if parts.count() <= BROADCAST_PARTS:
+        base = F.broadcast(base)
     rows = rows.join(base, ["queue", "part"]).withColumn("first", F.col("base") + F.col("before"))
     cut = scratch.keep(pieces(rows, window, quantum, total), "pieces")
     placed = cut.where("j is not null").join(ordered(queues, quantum, scratch), ["queue", "j"]).withColumn("at", F.col("place") * quantum + F.col("at")).drop("place")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pricelake.llm import alignment as al
@@ -22,10 +23,35 @@ def test_words_are_tokenised_as_in_their_text():
         w = T.words(s)
         assert T.ids_of([s])[0] == sum(T.ids_of([w[0], *[" " + x for x in w[1:]]]), [])
         assert T.piece_bpe().encode(s) == sum(T.pieces_of([" " + x for x in w]), [])
+        spaced = [" " + x for x in w]
+        arrow = pa.array(spaced, pa.large_string())
+        for one, (ids, n) in ((T.ids_of, T.byte_words(arrow)), (T.pieces_of, T.piece_words(arrow))):
+            assert ids.tolist() == sum(one(spaced), []) and n.tolist() == [len(x) for x in one(spaced)]
     with pytest.raises(ValueError):
         T.check_pieces(["a▁b"])
 
 
+def test_both_libraries_part_texts_alike():
+    """Each character of the first 200,000 between letters, numbers, marks and spaces."""
+    each = [f"a{c}a 1{c}1 {c}.{c}. {c}{c} x{c} {c}" for c in map(chr, [*range(0xD800), *range(0xE000, 200_000)])]
+    for i in range(0, len(each), 10_000):
+        assert T.ids_of(each[i : i + 10_000]) == T.ranked().encode_ordinary_batch(each[i : i + 10_000])
+
+
+def test_distinct_words_of_texts():
+    rng = random.Random(9)
+    texts = [None, "", " ", "a  b", *[mixed(rng, rng.randrange(20)) for _ in range(200)]]
+    for first in (False, True):
+        d = T.Distinct(pa.array(texts), first)
+        for i, s in enumerate(texts):
+            own = d.at[d.begin[i] : d.begin[i] + d.n[i]].tolist()
+            assert [d.words[w].as_py() for w in own] == (T.words(s) if s else [])
+            assert [w >= d.heads for w in own] == [first] * bool(own) + [False] * (len(own) - 1)
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 30]}) for i in range(0, len(texts), 30)]
+    for size in (1, 50, 10_000):
+        assert [x for b in T.slices(iter(batches), size) for x in b.column("text").to_pylist()] == texts
+
+
 def same(x, y):
     flat = lambda f: [f.cut, f.groups, f.n, *[p.tolist() for s in (*f.head, *f.tail) for p in (s.ids, s.ends)], f.codes.tolist(), f.times.tolist()]
     return flat(x) == flat(y)
