@@ -101,48 +101,57 @@ def retire(listings: DataFrame) -> DataFrame:
 
 
 STATE = [*KEY, *TUPLE, "first_seen_at", "last_seen_at", "price_updated_at", "misses", "missing_since", "is_available"]
+#: What an observation says besides its price; a listing shows that of its last one.
+RAW = ["name", "brand", "size", "gtin", "url", "image_url", "unit_of_measure"]
 
 
-def apply_crawl_run(state: DataFrame, scraped: DataFrame, run: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One run at a time: (new state, snapshots, run row). ``run`` has one row; the result equals a replay.
+def apply_runs(state: DataFrame, scraped: DataFrame, runs: DataFrame, extra: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Any new runs of any stores at once: (new state, snapshots, run rows), as a replay of all runs would give them.
 
-    The old state stands before the run's rows as an observation, so duplicates inside the run go through
-    the same windows. ``state`` may be that of the run's store alone; rows of other stores pass beside the join.
+    A listing's old state stands before its new rows as an observation that missed as many complete runs as it
+    counts, so the windows of the replay go on from it. ``state`` holds at least the listings of the stores that have
+    runs; ``extra`` names columns, such as those in RAW, that it carries along. Runs are later than those in the state.
     """
-    # One run a call: its store and time are scalars of a one-row table.
-    r = run.select("run_id", "store_id", "started_at", F.col("complete").alias("ok"), F.coalesce("status", F.lit("")).alias("status")).first()
-    if r.status == "Failed":
-        return state, state.sparkSession.createDataFrame([], snapshot_schema(state, scraped)), close_crawl_runs(scraped.limit(0), None, run)
-    zero = F.lit(0).cast("long")
-    at = F.lit(r.started_at).cast("timestamp")
-    mine = F.col("store_id").eqNullSafe(F.lit(r.store_id))
-    others, state = state.where(~mine), state.where(mine)
-    old = state.select(*KEY, *TUPLE, F.lit(None).cast("string").alias("run_id"), zero.alias("run_no"), zero.alias("seq"))
-    new = scraped.select(*KEY, *TUPLE, "run_id", F.lit(1).cast("long").alias("run_no"), F.col("seq").cast("long").alias("seq"))
-    rows = _step(old.unionByName(new).withColumns({"c_incl": zero, "c_before": zero})).where("run_no = 1")
-    snaps = rows.where("changed").select(*KEY, "run_id", "seq", at.alias("captured_at"), *TUPLE, (F.col("promo_type") == SPECIAL).alias("is_on_special"), F.lit("NZD").alias("currency"))
-    seen = rows.groupBy(*KEY).agg(F.max_by(F.struct(*TUPLE), "seq").alias("now"), F.max("changed").alias("moved"))
-    both = state.join(seen, KEY, "full_outer")
+    numbered = numbered_runs(runs)
+    r = numbered.select("run_id", "run_no", "c_incl", "c_before", F.col("started_at").alias("captured_at"))
+    cols = [*KEY, *TUPLE, *extra]
+    # An old misses counter is a number of complete runs before the first new one.
+    old = state.select(
+        *cols, F.lit(None).cast("string").alias("run_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("run_no"), (-F.col("misses")).cast("long").alias("c_incl"), F.lit(0).cast("long").alias("c_before"),
+        F.lit(None).cast("timestamp").alias("captured_at"),
+    )
+    new = scraped.select(*cols, "run_id", F.col("seq").cast("long").alias("seq")).join(r, "run_id")
+    rows = _step(old.unionByName(new)).where("run_no > 0")
+    snaps = rows.where("changed").select(*KEY, "run_id", "seq", "captured_at", *TUPLE, (F.col("promo_type") == SPECIAL).alias("is_on_special"), F.lit("NZD").alias("currency"))
+    seen = rows.groupBy(*KEY).agg(
+        F.max_by(F.struct(*TUPLE, *extra, "c_incl"), F.struct("run_no", "seq")).alias("now"), F.min("captured_at").alias("first_now"), F.max("captured_at").alias("last_now"),
+        F.max(F.when(F.col("changed"), F.col("captured_at"))).alias("moved_at"),
+    )
+    total = numbered.groupBy("store_id").agg(F.max("c_incl").alias("c_total"))
+    missed = numbered.where("complete").select("store_id", (F.col("c_incl") - 1).alias("since"), F.col("started_at").alias("missed_at"))
     here = F.col("now").isNotNull()
-    missed = ~here & F.lit(bool(r.ok))
-    misses = F.when(here, 0).when(missed, F.col("misses") + 1).otherwise(F.col("misses"))
+    both = state.join(seen, KEY, "full_outer").withColumn("since", F.when(here, F.col("now.c_incl")).otherwise(0).cast("long"))
+    both = both.join(total, "store_id", "left").join(missed, ["store_id", "since"], "left")
+    misses = F.coalesce(F.col("c_total"), F.lit(0)) - F.when(here, F.col("now.c_incl")).otherwise(-F.col("misses"))
     out = both.select(
         *KEY,
         *[F.when(here, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in TUPLE],
-        F.coalesce("first_seen_at", at).alias("first_seen_at"),
-        F.when(here, at).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        F.when(F.col("moved"), at).otherwise(F.col("price_updated_at")).alias("price_updated_at"),
+        F.coalesce("first_seen_at", "first_now").alias("first_seen_at"),
+        F.coalesce("last_now", "last_seen_at").alias("last_seen_at"),
+        F.coalesce("moved_at", "price_updated_at").alias("price_updated_at"),
         misses.cast("int").alias("misses"),
-        F.when(here, F.lit(None)).when(missed, F.coalesce("missing_since", at)).otherwise(F.col("missing_since")).cast("timestamp").alias("missing_since"),
+        F.when(here, F.col("missed_at")).otherwise(F.coalesce("missing_since", "missed_at")).alias("missing_since"),
         (misses < MISSES).alias("is_available"),
+        *[F.when(here, F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) for c in extra],
     )
-    return retire(out).unionByName(others.select(*STATE)), snaps, close_crawl_runs(scraped, snaps, run)
+    return retire(out), snaps, close_crawl_runs(scraped, snaps, runs)
 
 
-def snapshot_schema(state: DataFrame, scraped: DataFrame) -> str:
-    types = dict(state.dtypes)
-    fields = [*((c, types[c]) for c in KEY), ("run_id", "string"), ("seq", "bigint"), ("captured_at", "timestamp"), *((c, types[c]) for c in TUPLE), ("is_on_special", "boolean"), ("currency", "string")]
-    return ", ".join(f"{n} {t}" for n, t in fields)
+def apply_crawl_run(state: DataFrame, scraped: DataFrame, run: DataFrame, extra: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of one store: ``apply_runs`` on that store's listings, the others as they are."""
+    mine = run.select("store_id")
+    new, snaps, closed = apply_runs(state.join(F.broadcast(mine), "store_id", "left_semi"), scraped, run, extra)
+    return new.unionByName(state.join(F.broadcast(mine), "store_id", "left_anti").select(*new.columns)), snaps, closed
 
 
 def category_nodes(scraped: DataFrame) -> DataFrame:
@@ -182,18 +191,41 @@ def product_category_links(scraped: DataFrame, runs: DataFrame) -> DataFrame:
     return kept.select(*KEY, F.explode("category_path").alias("n")).select(*KEY, "n.kind", "n.external_id").distinct()
 
 
-def sync_tags(scraped: DataFrame, runs: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tags, links): tags by (chain, source, code) with their first label; each listing's links are those of its last run."""
+def merge_category_links(links: DataFrame, scraped: DataFrame, runs: DataFrame) -> DataFrame:
+    """``links`` (store_id, sku, kind, external_id) after new runs, later than those that made them.
+
+    What a complete run saw loses its old links, other listings that were seen gain some, the rest stays as it is.
+    """
+    done = scraped.select(*KEY, "run_id").join(numbered_runs(runs).where("complete").select("run_id"), "run_id", "left_semi").select(*KEY).distinct()
+    kept = links.join(done, KEY, "left_anti").select(*KEY, "kind", "external_id")
+    return kept.unionByName(product_category_links(scraped, runs)).distinct()
+
+
+def merge_tags(tags: DataFrame, links: DataFrame, scraped: DataFrame, runs: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tags with times, links) after new runs: a tag has its earliest label, whichever store's run comes first; a listing that was seen has the tags of its last run alone."""
+    new_tags, new_links = sync_tags(scraped, runs, stores, times=True)
+    key = ["chain", "source", "code"]
+    every = tags.select(new_tags.columns).unionByName(new_tags).groupBy(*key).agg(F.min_by(F.struct("label", "labelled_at", "labelled_by"), F.struct("labelled_at", "labelled_by")).alias("first"))
+    seen = scraped.select(*KEY, "run_id").join(numbered_runs(runs).select("run_id"), "run_id", "left_semi").select(*KEY).distinct()
+    return every.select(*key, "first.*"), links.join(seen, KEY, "left_anti").select(*KEY, *key).unionByName(new_links.select(*KEY, *key))
+
+
+def sync_tags(scraped: DataFrame, runs: DataFrame, stores: DataFrame, times: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(tags, links): tags by (chain, source, code) with their first label; each listing's links are those of its last run.
+
+    With ``times`` tags also tell when and by which run they were labelled, which ``merge_tags`` needs.
+    """
     r = numbered_runs(runs).select("run_id", F.col("run_no").alias("no"), "started_at")
     rows = scraped.join(r, "run_id").join(stores.select("store_id", "chain"), "store_id")
     each = rows.select(*KEY, "chain", "no", "started_at", "run_id", "seq", F.explode("tags").alias("t")).select("*", "t.source", "t.code", "t.label")
-    tags = each.groupBy("chain", "source", "code").agg(F.min_by("label", F.struct("started_at", "run_id", "seq")).alias("label"))
+    first = F.min(F.struct(F.col("started_at").alias("labelled_at"), F.col("run_id").alias("labelled_by"), "seq", "label")).alias("first")
+    tags = each.groupBy("chain", "source", "code").agg(first).select("chain", "source", "code", "first.label", *(["first.labelled_at", "first.labelled_by"] if times else []))
     last = rows.groupBy(*KEY).agg(F.max("no").alias("no"))
     return tags, each.join(last, [*KEY, "no"]).select(*KEY, "chain", "source", "code").distinct()
 
 
 def close_crawl_runs(scraped: DataFrame, snapshots: DataFrame | None, runs: DataFrame) -> DataFrame:
-    """Runs with products_found (rows, duplicates included), snapshots_written, status and the error cut to 2000 characters."""
+    """Runs with their finished_at, products_found (rows, duplicates included), snapshots_written, status and the error cut to 2000 characters."""
     found = scraped.groupBy("run_id").agg(F.count("*").alias("products_found"))
     runs = runs.drop("products_found", "snapshots_written")
     out = runs.join(found, "run_id", "left")
@@ -208,6 +240,7 @@ def close_crawl_runs(scraped: DataFrame, snapshots: DataFrame | None, runs: Data
         "run_id",
         "store_id",
         "started_at",
+        (F.col("finished_at") if "finished_at" in runs.columns else F.lit(None)).cast("timestamp").alias("finished_at"),
         F.when(failed, 0).otherwise(F.coalesce("products_found", F.lit(0))).cast("int").alias("products_found"),
         F.when(failed, 0).otherwise(F.coalesce("snapshots_written", F.lit(0))).cast("int").alias("snapshots_written"),
         F.when(failed, F.lit("Failed")).when(F.col("complete"), F.lit("Succeeded")).otherwise(F.lit("Partial")).alias("status"),
