@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pricing import in_foodstuffs
 from ..functions.text import slugify
+from ..sources.tables import scratch_keep
 
 LEVELS = ("Department", "Aisle", "Shelf")
 # Departments of other chains by slug, and the shared department that each stands for.
@@ -75,21 +79,26 @@ def category_map_summary(categories: DataFrame, store_categories: DataFrame, ite
     return n(categories, "nodes").union(n(store_categories.where("category_id is not null"), "mapped")).union(n(items.where("category_id is not null"), "categorised"))
 
 
-def closure(categories: DataFrame, live_only: bool = True) -> DataFrame:
+def closure(categories: DataFrame, live_only: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(ancestor_id, category_id) of nodes of a tree of any depth, each its own ancestor too.
 
     Pairs double in reach until none is new, so a tree of depth d takes log2(d) joins; a cycle of parents ends
-    as well. By default archived nodes are no nodes, so a branch below one is cut off.
+    as well. ``keep`` writes the pairs of each round, by default to the scratch folder, so no round plans or runs
+    those before it again. By default archived nodes are no nodes, so a branch below one is cut off.
     """
+    keep = keep or scratch_keep(categories.sparkSession)
     nodes = (categories.where("not is_archived") if live_only else categories).select("category_id", "parent_id")
     own = nodes.select(F.col("category_id").alias("ancestor_id"), "category_id")
     up = nodes.select(F.col("parent_id").alias("ancestor_id"), "category_id").where("ancestor_id is not null")
-    pairs = own.union(up.join(own.select("ancestor_id"), "ancestor_id", "left_semi")).distinct()
-    n, more = pairs.count(), -1
+    name = f"closure-{uuid.uuid4().hex}"
+    pairs = keep(own.union(up.join(own.select("ancestor_id"), "ancestor_id", "left_semi")).distinct(), f"{name}-0")
+    n, more, step = pairs.count(), -1, 0
     while n != more:
         below = pairs.select(F.col("ancestor_id").alias("mid"), F.col("category_id").alias("leaf"))
         longer = pairs.join(below, F.col("category_id") == F.col("mid")).select("ancestor_id", F.col("leaf").alias("category_id")).distinct()
-        n, more, pairs = longer.count(), n, longer
+        step += 1
+        pairs = keep(longer, f"{name}-{step}")
+        n, more = pairs.count(), n
     return pairs
 
 
@@ -114,13 +123,21 @@ def category_counts(items: DataFrame, listings: DataFrame, links: DataFrame, sto
     return own.select("category_id").unionByName(loose).groupBy("category_id").agg(F.count("*").alias("n"))
 
 
-def category_tree(categories: DataFrame, counts: DataFrame, kind: str | None = None) -> DataFrame:
-    """Live nodes with their own count and that of their whole subtree; nodes below the kind's level are cut after the sum."""
-    total = closure(categories).join(counts, "category_id").groupBy(F.col("ancestor_id").alias("category_id")).agg(F.sum("n").alias("total"))
-    out = categories.where("not is_archived").join(counts, "category_id", "left").join(total, "category_id", "left")
-    depth = {"Department": 1, "Aisle": 2}.get(kind, 3)
+def category_tree(categories: DataFrame, counts: DataFrame, kind: str | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Live nodes with their depth, their own count and that of their whole subtree.
+
+    A node without a live parent is at depth 0. After the sum the tree is cut at depth 0 for Department, 1 for Aisle and
+    2 otherwise, whatever the kinds of its nodes. Nodes that no root reaches, in a cycle, are left out.
+    """
+    pairs = closure(categories, keep=keep)
+    live = categories.where("not is_archived")
+    roots = live.select("category_id", "parent_id").join(live.select(F.col("category_id").alias("parent_id")), "parent_id", "left_anti").select(F.col("category_id").alias("ancestor_id"), F.lit(True).alias("root"))
+    depth = pairs.join(roots, "ancestor_id", "left").groupBy("category_id").agg((F.count("*") - 1).alias("depth"), F.max("root").alias("root")).where("root").drop("root")
+    depth = depth.where(F.col("depth") <= {"department": 0, "aisle": 1}.get((kind or "").lower(), 2))
+    total = pairs.join(counts, "category_id").groupBy(F.col("ancestor_id").alias("category_id")).agg(F.sum("n").alias("total"))
+    out = live.join(depth, "category_id").join(counts, "category_id", "left").join(total, "category_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.where(F.col("kind").isin(*LEVELS[:depth])).select("category_id", "parent_id", "kind", "name", "path", zero("n").alias("n"), zero("total").alias("total"))
+    return out.select("category_id", "parent_id", "kind", "name", "path", "depth", zero("n").alias("n"), zero("total").alias("total"))
 
 
 def category_counts_view(categories: DataFrame, items: DataFrame) -> DataFrame:

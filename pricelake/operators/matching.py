@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import in_foodstuffs
 from ..functions.text import infer_brand, normalize_brand, normalize_size, token_overlap, tokenize
+from ..sources.tables import scratch_keep
 
 ITEM = ["item_id", "match_key", "name", "description", "brand", "size", "unit_of_measure", "category", "category_id", "gtin", "merged_into_id"]
 SALTS = 8
@@ -43,17 +45,16 @@ class Policy:
 def resolve_merges(items: DataFrame, keep: Keep | None = None) -> DataFrame:
     """(item_id, live_id): the survivor of each item's chain of merges, at most 32 hops, cycles cut there.
 
-    Pointers double, so five joins of the merged items follow 32 hops. With ``keep``, which writes a table, each
-    doubling reads the last one's rows instead of planning it twice, and the first that moves no pointer ends it.
+    Pointers double, so five joins of the merged items follow 32 hops. ``keep`` writes a table, by default to the
+    scratch folder: each doubling reads the last one's rows, and the first that moves no pointer ends it.
     """
-    at = items.where("merged_into_id is not null").select("item_id", F.col("merged_into_id").alias("live_id"))
-    at = keep(at, f"merges-{uuid.uuid4().hex}") if keep else at
+    keep = keep or scratch_keep(items.sparkSession)
+    at = keep(items.where("merged_into_id is not null").select("item_id", F.col("merged_into_id").alias("live_id")), f"merges-{uuid.uuid4().hex}")
     for _ in range(5):
         nxt = at.select(F.col("item_id").alias("live_id"), F.col("live_id").alias("next_id"))
-        if keep and not at.join(nxt, "live_id", "left_semi").limit(1).count():
+        if not at.join(nxt, "live_id", "left_semi").limit(1).count():
             break
-        at = at.join(nxt, "live_id", "left").select("item_id", F.coalesce("next_id", "live_id").alias("live_id"))
-        at = keep(at, f"merges-{uuid.uuid4().hex}") if keep else at
+        at = keep(at.join(nxt, "live_id", "left").select("item_id", F.coalesce("next_id", "live_id").alias("live_id")), f"merges-{uuid.uuid4().hex}")
     return items.select("item_id").join(at, "item_id", "left").select("item_id", F.coalesce("live_id", "item_id").alias("live_id"))
 
 
@@ -141,9 +142,9 @@ def brand_vocabulary(items: DataFrame, *schemes: str) -> DataFrame:
     return items.where("merged_into_id is null").where(of).select(normalize_brand(F.col("brand")).alias("brand")).where("brand is not null").distinct()
 
 
-def apply_approved(listings: DataFrame, candidates: DataFrame, items: DataFrame) -> DataFrame:
+def apply_approved(listings: DataFrame, candidates: DataFrame, items: DataFrame, keep: Keep | None = None) -> DataFrame:
     """Listings linked to the live item of their approved candidate (the lowest id where there are several)."""
-    pairs = candidates.where("status = 'Approved'").join(resolve_merges(items), "item_id").groupBy("product_id").agg(F.min("live_id").alias("new_item"))
+    pairs = candidates.where("status = 'Approved'").join(resolve_merges(items, keep), "item_id").groupBy("product_id").agg(F.min("live_id").alias("new_item"))
     return _link(listings, pairs, override=True)
 
 
@@ -167,30 +168,30 @@ def score_candidates(listings: DataFrame, index: DataFrame, vocabulary: DataFram
 
 
 def decide(scored: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The shortlist of each listing with its place, the number of candidates and whether the first is linked at once."""
+    """The shortlist of each listing with its place, the number of candidates, whether the first is a clear winner and whether it is linked at once."""
     w = W.partitionBy("product_id").orderBy(F.col("score").desc(), F.col("match_key").asc_nulls_last(), "item_id")
     rows = scored.withColumns({"place": F.row_number().over(w), "second": F.lead("score").over(w), "n_scored": F.count("*").over(W.partitionBy("product_id"))})
     clear = F.col("second").isNull() | (F.col("score") - F.col("second") > policy.margin)
-    auto = (F.col("place") == 1) & clear & (F.col("score") >= policy.auto)
-    rows = rows.withColumn("auto", F.max(auto).over(W.partitionBy("product_id")))
+    first, each = F.col("place") == 1, W.partitionBy("product_id")
+    rows = rows.withColumns({"clear": F.max(first & clear).over(each), "auto": F.max(first & clear & (F.col("score") >= policy.auto)).over(each)})
     return rows.where(F.col("place") <= policy.shortlist).drop("second")
 
 
-def reason(inferred: Column, score: Column, n: Column) -> Column:
-    text = F.concat(
+def reason(inferred: Column, score: Column, n: Column, clear: Column) -> Column:
+    """Why a pair is queued; it is ambiguous where no candidate is a clear winner."""
+    return F.concat(
         F.when(inferred.isNotNull(), F.concat(F.lit("brand '"), inferred, F.lit("' inferred from name; "))).otherwise(F.lit("")),
         F.format_string("brand+size match; name overlap %.2f", score),
-        F.when(n > 1, F.format_string("; ambiguous (%d candidates)", n)).otherwise(F.lit("")),
+        F.when(~clear, F.format_string("; ambiguous (%d candidates)", n)).otherwise(F.lit("")),
     )
-    return text
 
 
-def queue_candidates(decided: DataFrame, candidates: DataFrame) -> DataFrame:
-    """New pending candidates of listings that were not linked at once; known pairs do not come twice."""
+def queue_candidates(decided: DataFrame, candidates: DataFrame, now: datetime | None = None) -> DataFrame:
+    """New pending candidates, created ``now``, of listings that were not linked at once; known pairs do not come twice."""
     new = decided.where("not auto").join(candidates.select("product_id", "item_id"), ["product_id", "item_id"], "left_anti")
     return new.select(
         F.substring(F.sha2(F.concat_ws(">", "product_id", "item_id"), 256), 1, 32).alias("candidate_id"), "product_id", "item_id", F.bround("score", 3).alias("score"),
-        reason(F.col("inferred"), F.col("score"), F.col("n_scored")).alias("reason"), F.lit("Pending").alias("status"),
+        reason(F.col("inferred"), F.col("score"), F.col("n_scored"), F.col("clear")).alias("reason"), F.lit("Pending").alias("status"), F.lit(now).cast("timestamp").alias("created_at"),
     )
 
 
@@ -234,31 +235,32 @@ def drop_resolved_candidates(candidates: DataFrame, listings: DataFrame) -> Data
     return candidates.where("status <> 'Pending'").unionByName(candidates.where("status = 'Pending'").join(linked, "product_id", "left_anti"))
 
 
-def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep: Keep, stage: int, by_name: bool = False) -> tuple[DataFrame, DataFrame]:
+def attach(listings: DataFrame, index: DataFrame, vocabulary: DataFrame, candidates: DataFrame, policy: Policy, keep: Keep, stage: int, by_name: bool = False, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """(listings, candidates) after one scoring pass: clear winners linked, others queued."""
     decided = keep(decide(score_candidates(listings, index, vocabulary, candidates, policy, by_name), policy), f"decided{stage}")
     auto = decided.where("auto and place = 1").select("product_id", F.col("item_id").alias("new_item"))
-    queued = queue_candidates(decided, candidates)
+    queued = queue_candidates(decided, candidates, now)
     return _link(listings, auto), candidates.unionByName(queued, allowMissingColumns=True)
 
 
 def run_match(
-    listings: DataFrame, items: DataFrame, candidates: DataFrame, links: DataFrame | None = None, store_categories: DataFrame | None = None, policy: Policy = Policy(), keep: Keep | None = None
+    listings: DataFrame, items: DataFrame, candidates: DataFrame, links: DataFrame | None = None, store_categories: DataFrame | None = None, policy: Policy = Policy(), keep: Keep | None = None, now: datetime | None = None
 ) -> dict[str, DataFrame]:
     """The whole cascade over listings of active stores (with chain): items, listings, candidates, reclaimed, summary.
 
-    ``keep(df, name)`` cuts lineage after each tier, for instance by writing a table; by default a checkpoint.
+    ``keep(df, name)`` cuts lineage after each tier, by default by writing a table to the scratch folder. New
+    candidates are created ``now``.
     A second run over its own result changes nothing.
     """
-    keep = keep or (lambda df, name: df.checkpoint())
+    keep = keep or scratch_keep(listings.sparkSession)
     before = listings
     finest = finest_category(listings, links, store_categories) if links is not None else None
     items, listings = tier1_items(listings, items, finest, keep)
     items = keep(items, "items1")
-    listings = keep(apply_approved(listings, candidates, items), "listings1")
+    listings = keep(apply_approved(listings, candidates, items, keep), "listings1")
     foodstuffs = keep(brand_vocabulary(items, "foodstuffs"), "foodstuffs")
     rest = ~in_foodstuffs(F.col("chain"))
-    other, linked = attach(listings.where(rest), match_index(items, keep=keep), foodstuffs, candidates, policy, keep, 2)
+    other, linked = attach(listings.where(rest), match_index(items, keep=keep), foodstuffs, candidates, policy, keep, 2, now=now)
     listings, candidates = keep(listings.where(~rest).unionByName(other), "listings2"), keep(linked, "candidates2")
     items, listings = tier3_anchors(listings, items, foodstuffs, keep)
     items, listings = keep(items, "items3"), keep(listings, "listings3")
@@ -266,7 +268,7 @@ def run_match(
     items, listings, candidates, gone = reclaim_singletons(listings, items, candidates, higher)
     items, listings, candidates, gone = keep(items, "items4"), keep(listings, "listings4"), keep(candidates, "candidates4"), keep(gone, "gone")
     fresh = F.col("chain") == "FreshChoice"
-    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths", keep), brand_vocabulary(items, "woolworths"), candidates, policy, keep, 3, by_name=True)
+    other, candidates = attach(listings.where(fresh), match_index(items, "woolworths", keep), brand_vocabulary(items, "woolworths"), candidates, policy, keep, 3, by_name=True, now=now)
     listings, candidates = keep(listings.where(~fresh).unionByName(other), "listings5"), keep(candidates, "candidates5")
     items, listings = tier4_singletons(listings, items, higher, keep)
     items, listings = keep(items, "items6"), keep(listings, "listings6")

@@ -15,7 +15,8 @@ from ..operators.matching import ITEM
 from ..sources.archive import from_path, retained_runs
 from ..sources.coverage import crawl_coverage
 from ..sources.parsers import parse_foodstuffs, parse_freshchoice, parse_woolworths
-from ..sources.tables import read_table, scratch_root, write_table
+from ..sources.tables import SCHEMAS, conform, read_table, scratch_keep, scratch_root, write_table
+from ..sources.versions import read_parts, replace_parts
 from .derive import NOW, Tables, flat, with_tables
 
 CLOCK = datetime.fromtimestamp(NOW, UTC)
@@ -37,14 +38,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _keep(t):
-    """A function that writes a table to the shared folder and reads it back, which cuts lineage."""
-    root = f"{scratch_root(t.spark)}/kept-{uuid.uuid4().hex}"
-
-    def keep(df, name):
-        df.write.parquet(f"{root}/{name}", mode="overwrite")
-        return t.spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return keep
+    return scratch_keep(t.spark)
 
 
 # ---- scalar functions -------------------------------------------------------------------------------------------
@@ -652,12 +646,17 @@ def c6_category_counts(t):
 
 
 @query(
-    f"""WITH RECURSIVE {LIVE}, {COUNTS}, tot AS (SELECT ancestor_id AS category_id, CAST(sum(n) AS BIGINT) AS total FROM closure JOIN counts ON closure.category_id = counts.category_id GROUP BY 1)
-SELECT c.category_id, c.parent_id, c.kind, c.name, c.path, coalesce(counts.n, 0) AS n, coalesce(tot.total, 0) AS total FROM live c LEFT JOIN counts ON c.category_id = counts.category_id LEFT JOIN tot ON c.category_id = tot.category_id WHERE c.kind IN ('Department', 'Aisle')"""
+    f"""WITH RECURSIVE {LIVE}, {COUNTS}, tot AS (SELECT ancestor_id AS category_id, CAST(sum(n) AS BIGINT) AS total FROM closure JOIN counts ON closure.category_id = counts.category_id GROUP BY 1),
+deep AS (SELECT category_id, count(*) - 1 AS depth FROM closure GROUP BY 1)
+SELECT c.category_id, c.parent_id, CASE length(c.path) % 4 WHEN 0 THEN 'Shelf' WHEN 1 THEN 'Department' ELSE c.kind END AS kind, c.name, c.path, depth, coalesce(counts.n, 0) AS n, coalesce(tot.total, 0) AS total
+FROM live c JOIN deep ON c.category_id = deep.category_id LEFT JOIN counts ON c.category_id = counts.category_id LEFT JOIN tot ON c.category_id = tot.category_id WHERE depth <= 1"""
 )
 def c7_category_tree(t):
+    """Nodes whose kind is not that of their depth stay or go by their depth."""
     counts = categories.category_counts(t.items, t.listings, t.product_store_categories, t.store_categories, t.stores)
-    return categories.category_tree(t.categories, counts, "Aisle")
+    odd = F.length("path") % 4
+    tree = t.categories.withColumn("kind", F.when(odd == 0, "Shelf").when(odd == 1, "Department").otherwise(F.col("kind")))
+    return categories.category_tree(tree, counts, "Aisle")
 
 
 @query("SELECT c.category_id, c.kind, c.path, c.name, count(i.item_id) AS products FROM {categories} c LEFT JOIN {items} i ON i.category_id = c.category_id GROUP BY ALL")
@@ -733,7 +732,8 @@ def m5_score_candidates(t):
 
 
 DECIDED = f"""{SCORED}, d1 AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) OVER (PARTITION BY product_id) AS n_scored FROM scored WINDOW w AS (PARTITION BY product_id ORDER BY score DESC, match_key NULLS LAST, item_id)),
-decided AS (SELECT *, bool_or(place = 1 AND score >= 0.8 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS auto FROM d1)"""
+decided AS (SELECT *, bool_or(place = 1 AND score >= 0.8 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS auto,
+  bool_or(place = 1 AND (second IS NULL OR score - second > 0.001)) OVER (PARTITION BY product_id) AS clear FROM d1)"""
 
 
 @query(f"WITH {DECIDED} SELECT product_id, item_id, place, n_scored, auto FROM decided WHERE place <= 3")
@@ -743,10 +743,10 @@ def m6_decide(t):
 
 @query(
     f"""WITH {DECIDED} SELECT product_id, item_id, round_even(score, 3) AS score, concat(CASE WHEN inferred IS NOT NULL THEN concat('brand ''', inferred, ''' inferred from name; ') ELSE '' END, 'brand+size match; name overlap ', printf('%.2f', score),
- CASE WHEN n_scored > 1 THEN printf('; ambiguous (%d candidates)', n_scored) ELSE '' END) AS reason FROM decided WHERE place <= 3 AND NOT auto AND NOT EXISTS (SELECT 1 FROM {{candidates}} c WHERE c.product_id = decided.product_id AND c.item_id = decided.item_id)"""
+ CASE WHEN clear THEN '' ELSE printf('; ambiguous (%d candidates)', n_scored) END) AS reason, {NOW} AS created_at FROM decided WHERE place <= 3 AND NOT auto AND NOT EXISTS (SELECT 1 FROM {{candidates}} c WHERE c.product_id = decided.product_id AND c.item_id = decided.item_id)"""
 )
 def m7_queue_candidates(t):
-    return matching.queue_candidates(matching.decide(_scored(t)), t.candidates).select("product_id", "item_id", "score", "reason")
+    return matching.queue_candidates(matching.decide(_scored(t)), t.candidates, CLOCK).select("product_id", "item_id", "score", "reason", "created_at")
 
 
 ACTIVE = """act AS (SELECT l.*, s.chain FROM {listings} l JOIN {stores} s ON l.store_id = s.store_id WHERE s.is_active)"""
@@ -883,12 +883,13 @@ def t15_zero_candidate_breakdown(t):
 @query(
     f"""WITH {MERGED}, d AS (SELECT candidate_id, product_id, item_id, status, length(item_id) % 2 = 0 AS approve FROM {{candidates}}),
 r AS (SELECT *, CASE WHEN status <> 'Pending' OR (approve AND row_number() OVER (PARTITION BY product_id, approve AND status = 'Pending' ORDER BY candidate_id) > 1) THEN 'conflict' WHEN approve THEN 'approved' ELSE 'rejected' END AS outcome FROM d)
-SELECT c.candidate_id, CASE r.outcome WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected' ELSE c.status END AS status FROM {{candidates}} c JOIN r ON c.candidate_id = r.candidate_id
+SELECT c.candidate_id, CASE r.outcome WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected' ELSE c.status END AS status, CASE WHEN r.outcome IN ('approved', 'rejected') THEN {NOW} END AS reviewed_at FROM {{candidates}} c JOIN r ON c.candidate_id = r.candidate_id
 WHERE NOT (CASE r.outcome WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected' ELSE c.status END = 'Pending' AND c.product_id IN (SELECT product_id FROM r WHERE outcome = 'approved'))"""
 )
 def t10_apply_review_decisions(t):
     d = t.candidates.select("candidate_id", (F.length("item_id") % 2 == 0).alias("approve"))
-    return curation.apply_review_decisions(t.candidates, t.listings, t.items, d)[0].select("candidate_id", "status")
+    candidates = t.candidates.withColumn("reviewed_at", F.lit(None).cast("timestamp"))
+    return curation.apply_review_decisions(candidates, t.listings, t.items, d, CLOCK)[0].select("candidate_id", "status", "reviewed_at")
 
 
 @query(
@@ -913,6 +914,24 @@ def t12_apply_item_merges(t):
     return curation.apply_item_merges(_full_items(t), t.listings, t.candidates, pairs)[3].select("source_id", "target_id", "outcome")
 
 
+@query(
+    """WITH RECURSIVE k AS (SELECT CAST(substr(item_id, 2) AS BIGINT) AS id FROM {items}),
+q AS (SELECT k.id, CASE WHEN k.id % 4 < 3 THEN k.id + 1 ELSE k.id - 3 END AS target FROM k),
+-- Of four in a row the first three follow one another and the last one would close the circle.
+w AS (SELECT id, CASE WHEN target IN (SELECT id FROM k) THEN CASE WHEN id % 4 < 3 THEN 'merged' WHEN id - 3 IN (SELECT id FROM k) THEN 'cycle' END ELSE 'unknown' END AS outcome, target FROM q),
+e AS (SELECT id, target FROM w WHERE outcome = 'merged'),
+m(id, live, hops) AS (SELECT id, id, 0 FROM k UNION ALL SELECT m.id, e.target, hops + 1 FROM m JOIN e ON m.live = e.id)
+SELECT concat('i', w.id) AS source_id, outcome, concat('i', arg_max(live, hops)) AS survivor FROM w JOIN m ON w.id = m.id GROUP BY w.id, outcome"""
+)
+def t12_merge_chains(t):
+    """Requests that follow one another, each fourth one closing a circle: all sources of a chain lead to its end."""
+    k = F.substring("item_id", 2, 20).cast("long")
+    fresh = _full_items(t).withColumn("merged_into_id", F.lit(None).cast("string"))
+    pairs = fresh.select(F.col("item_id").alias("source_id"), F.concat(F.lit("i"), F.when(k % 4 < 3, k + 1).otherwise(k - 3).cast("string")).alias("target_id"), k.alias("request_no"))
+    items, _, _, outcomes = curation.apply_item_merges(fresh, t.listings, t.candidates, pairs)
+    return outcomes.join(matching.resolve_merges(items).withColumnRenamed("item_id", "source_id"), "source_id").select("source_id", "outcome", F.col("live_id").alias("survivor"))
+
+
 def _full_items(t):
     have = t.items.columns
     return t.items.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ITEM])
@@ -930,7 +949,8 @@ def t13_create_manual_items(t):
 @query(
     f"""WITH RECURSIVE {LIVE}, e AS (SELECT category_id FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 0)
 SELECT c.category_id, CASE WHEN c.kind = 'Shelf' THEN concat(c.name, ' new') ELSE c.name END AS name, c.is_archived OR c.category_id IN (SELECT closure.category_id FROM closure JOIN e ON closure.ancestor_id = e.category_id) AS is_archived FROM {{categories}} c
-UNION ALL SELECT concat(path, '/extra-shelf'), 'Extra Shelf', false FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 1"""
+UNION ALL SELECT concat(path, '/extra-shelf'), 'Extra Shelf', false FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 1
+UNION ALL SELECT concat(path, '/extra-shelf/inner'), 'Inner', false FROM live WHERE kind = 'Aisle' AND length(path) % 2 = 1"""
 )
 def t14_apply_category_edits(t):
     live, null = t.categories.where("not is_archived"), F.lit(None).cast("string")
@@ -939,6 +959,8 @@ def t14_apply_category_edits(t):
     edits = (
         edit(aisles.where("length(path) % 2 = 0"), "archive", F.col("category_id"), null, null, null)
         .union(edit(aisles.where("length(path) % 2 = 1"), "create", null, F.col("category_id"), F.lit("Shelf"), F.lit(" Extra Shelf ")))
+        # A child of a node that the same batch makes.
+        .union(edit(aisles.where("length(path) % 2 = 1"), "create", null, F.concat("path", F.lit("/extra-shelf")), F.lit("shelf"), F.lit("Inner")).withColumn("edit_id", F.concat(F.lit("inner"), "edit_id")))
         .union(edit(t.categories.where("kind = 'Shelf'"), "rename", F.col("category_id"), null, null, F.concat("name", F.lit(" new"))))
     )
     return curation.apply_category_edits(t.categories, edits)[0].select("category_id", "name", "is_archived")
@@ -1048,18 +1070,52 @@ def s1_tables_round_trip(t):
 
 @query(None)
 def g5_apply_crawl_run(t):
-    """The last run of each store applied to the replay of those before it: equals the replay of all."""
+    """The last run of each store, of all stores at once, applied to the replay of those before it: equals the replay of all."""
+    state, new, rows = _last_runs(t)
+    state = ingest.availability(t.observations, state).select(*ingest.STATE)
+    return ingest.apply_runs(state, rows, new)[0].select("store_id", "sku", "misses", "missing_since", "is_available", "price", "promo_type", "was_price")
+
+
+def _last_runs(t):
+    """(runs before the last two of each store, these, their observations)."""
     from pyspark.sql import Window as W
 
-    root = f"{scratch_root(t.spark)}/ingest-{uuid.uuid4().hex}"
     runs = t.runs.where("status is null")
-    last = runs.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc()))).where("rn = 1")
-    state = ingest.availability(t.observations, runs.join(last.select("run_id"), "run_id", "left_anti")).select(*ingest.STATE)
-    for i, r in enumerate(last.select("run_id").orderBy("run_id").collect()):
-        state, _, _ = ingest.apply_crawl_run(state, t.observations.where(F.col("run_id") == r.run_id), runs.where(F.col("run_id") == r.run_id))
-        state.write.parquet(f"{root}/{i}")
-        state = t.spark.read.schema(state.schema).parquet(f"{root}/{i}")
-    return state.select("store_id", "sku", "misses", "missing_since", "is_available", "price", "promo_type", "was_price")
+    new = runs.withColumn("rn", F.row_number().over(W.partitionBy("store_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc()))).where("rn <= 2").drop("rn")
+    return runs.join(new.select("run_id"), "run_id", "left_anti"), new, _scraped(t).join(new.select("run_id"), "run_id", "left_semi")
+
+
+@query(None)
+def g7_merge_category_links(t):
+    """Links of the earlier runs, merged with those of the last two of each store: equals the replay of all."""
+    earlier, new, rows = _last_runs(t)
+    return ingest.merge_category_links(ingest.product_category_links(_scraped(t), earlier), rows, new)
+
+
+@query(None)
+def g8_merge_tag_links(t):
+    earlier, new, rows = _last_runs(t)
+    return ingest.merge_tags(*ingest.sync_tags(_scraped(t), earlier, t.stores, times=True), rows, new, t.stores)[1]
+
+
+@query(None)
+def g8_merge_tags(t):
+    earlier, new, rows = _last_runs(t)
+    return ingest.merge_tags(*ingest.sync_tags(_scraped(t), earlier, t.stores, times=True), rows, new, t.stores)[0].select("chain", "source", "code", "label")
+
+
+@query(
+    "SELECT product_id, CAST(CASE WHEN store_id IN ('1', '2') THEN current_price + 1 ELSE current_price END AS DOUBLE) AS current_price FROM {listings}"
+)
+def s1_replace_parts(t):
+    """All stores' listings, then those of two stores again under the next version."""
+    root = f"{scratch_root(t.spark)}/versions-{uuid.uuid4().hex}"
+    replace_parts(t.spark, root, "listings", conform(t.listings, "listings"))
+    raised = t.listings.where("store_id in ('1', '2')").withColumn("current_price", (F.col("current_price") + 1).cast("decimal(10,2)"))
+    replace_parts(t.spark, root, "listings", conform(raised, "listings"))
+    return read_parts(t.spark, root, "listings", SCHEMAS["listings"]).select("product_id", "current_price")
 
 
+for _merged, _replayed in (("g7_merge_category_links", "g7_product_category_links"), ("g8_merge_tag_links", "g8_tag_links"), ("g8_merge_tags", "g8_sync_tags")):
+    ORACLES[_merged] = ORACLES[_replayed]
 ORACLES["g5_apply_crawl_run"] = ORACLES["g4_availability"]

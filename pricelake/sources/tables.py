@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,3 +63,14 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, or where none is named one in the warehouse, which they share as well."""
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
+
+
+def scratch_keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table to the shared folder and reads it back, which cuts lineage."""
+    root = f"{scratch_root(spark)}/kept-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}", mode="overwrite")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return keep

@@ -1,5 +1,8 @@
 """Batches of decisions, repeated ones too, and trees of any depth."""
 
+import random
+from datetime import datetime
+
 from pricelake.operators import catalog, categories, curation
 from pricelake.operators.matching import ITEM
 
@@ -22,7 +25,13 @@ def test_subtrees_reach_any_depth(spark):
     assert of(tree(spark), "a") == ["a", "a/b", "a/b/c", "a/b/c/d", "a/b/c/d/e"]
     assert of(tree(spark, ["a/b/c"]), "a") == ["a", "a/b"] and of(tree(spark, ["a"]), "a") == [] and of(tree(spark), "?") == []
     counts = spark.createDataFrame([("a/b/c/d/e", 3), ("a/b", 2)], "category_id string, n long")
-    assert {r.category_id: r.total for r in categories.category_tree(tree(spark), counts).collect()} == {"a": 5, "a/b": 5, "a/b/c": 3, "a/b/c/d": 3, "a/b/c/d/e": 3, "z": 0}
+    shown = lambda df, kind=None: {r.category_id: (r.depth, r.total) for r in categories.category_tree(df, counts, kind).collect()}
+    # All nodes are of one kind here; the cut is by depth, and sums count what it hides.
+    assert shown(tree(spark)) == {"a": (0, 5), "a/b": (1, 5), "a/b/c": (2, 3), "z": (0, 0)}
+    assert shown(tree(spark), "aisle") == {"a": (0, 5), "a/b": (1, 5), "z": (0, 0)} and shown(tree(spark), "Department") == {"a": (0, 5), "z": (0, 0)}
+    assert shown(tree(spark, ["a/b"]), "Department") == {"a": (0, 0), "a/b/c": (0, 3), "z": (0, 0)}
+    round_ = spark.createDataFrame([("p", "Shelf", "p", "p", "p", "q", False), ("q", "Shelf", "q", "q", "q", "p", False)], NODES)
+    assert shown(round_) == {}
 
 
 def test_category_edits(spark):
@@ -34,6 +43,60 @@ def test_category_edits(spark):
     assert got == {**{i: (True, "Shelf") for i in ("a", "a/b", "a/b/c", "a/b/c/d", "a/b/c/d/e")}, "z": (False, "Shelf"), "z/new-one": (False, "Aisle")}
 
 
+def test_nested_edits_of_one_batch(spark):
+    rows = [("4", "z/a/b", " C "), ("1", "z", "A"), ("2", "z/a", "B"), ("3", "z/a", "b"), ("5", "z/?", "X"), ("6", None, "New")]
+    edits = spark.createDataFrame([(i, "create", None, p, "shelf", n) for i, p, n in rows], "edit_id string, op string, category_id string, parent_id string, kind string, name string")
+    after, outcomes = curation.apply_category_edits(tree(spark), edits)
+    assert {r.edit_id: r.outcome for r in outcomes.collect()} == {"1": "created", "2": "created", "3": "rejected", "4": "created", "5": "rejected", "6": "created"}
+    assert {"z/a", "z/a/b", "z/a/b/c", "new"} <= {r.path for r in after.where("not is_archived").collect()}
+
+
+def test_reviews_tell_when(spark):
+    candidates = spark.createDataFrame([("c1", "p1", "i1", "Pending", None), ("c2", "p2", "i2", "Pending", None)], CANDIDATES + ", reviewed_at timestamp")
+    now = datetime(2026, 2, 3)
+    left, _, _ = curation.apply_review_decisions(candidates, spark.createDataFrame([("p1", None)], LISTINGS), items(spark, ["i1", "i2"]), spark.createDataFrame([("c1", True)], "candidate_id string, approve boolean"), now)
+    assert {r.candidate_id: r.reviewed_at for r in left.collect()} == {"c1": now, "c2": None}
+
+
+def sequential(ids, requests):
+    """One merge after another."""
+    into, out = {}, []
+    for s, t in requests:
+        if s not in ids or t not in ids:
+            out.append("unknown")
+        elif s == t:
+            out.append("self")
+        else:
+            while t in into:
+                t = into[t]
+            if s in into:
+                out.append("again")
+            elif t == s:
+                out.append("cycle")
+            else:
+                into[s] = t
+                out.append("merged")
+    return into, out
+
+
+def test_merges_follow_one_another(spark):
+    ids = [f"i{n}" for n in range(12)]
+    cases = [[("i0", "i1"), ("i1", "i2")], [("i1", "i2"), ("i0", "i1")], [("i0", "i1"), ("i1", "i0"), ("i1", "i3"), ("i3", "i0")], [("i2", "i2"), ("i2", "gone"), ("gone", "i2")]]
+    rng = random.Random(5)
+    cases += [[(rng.choice(ids), rng.choice(ids)) for _ in range(15)] for _ in range(3)]
+    for requests in cases:
+        pairs = spark.createDataFrame([(n, *r) for n, r in enumerate(requests)], "request_no long, source_id string, target_id string")
+        listings = spark.createDataFrame([(f"p{i}", i) for i in ids], LISTINGS)
+        after, moved, _, outcomes = curation.apply_item_merges(items(spark, ids), listings, spark.createDataFrame([], CANDIDATES), pairs)
+        into, want = sequential(ids, requests)
+        end = lambda i: end(into[i]) if i in into else i
+        assert {r.item_id: end(r.item_id) for r in after.collect()} == {r.item_id: end(r.merged_into_id or r.item_id) for r in after.collect()}
+        assert {r.item_id for r in after.where("merged_into_id is not null").collect()} == set(into)
+        assert {r.product_id: r.item_id for r in moved.collect()} == {f"p{i}": end(i) for i in ids}
+        got = sorted((r.source_id, r.target_id, "again" if r.outcome in ("conflict", "unchanged") else r.outcome) for r in outcomes.collect())
+        assert got == sorted((*r, w) for r, w in zip(requests, want))
+
+
 def test_repeated_review_decisions_have_one_effect(spark):
     candidates = spark.createDataFrame([("c1", "p1", "i1", "Pending"), ("c2", "p1", "i2", "Pending")], CANDIDATES)
     listings = spark.createDataFrame([("p1", None)], LISTINGS)
