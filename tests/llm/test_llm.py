@@ -275,12 +275,11 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(spark, docs, None).collect()} == {"und"}
 
 
-def plain_kneser_ney(counted, order):
+def plain_kneser_ney(counted, order, alphabet):
     """p(last character | those before) of one language by the textbook recursion over dictionaries."""
     tables = {order: dict(counted)}
     for k in range(order - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
-    alphabet = max(2, len({g for g in tables[1]}))
 
     def p(g):
         k = len(g)
@@ -296,35 +295,47 @@ def plain_kneser_ney(counted, order):
     return p
 
 
-def test_kneser_ney_matches_the_textbook_in_every_language():
-    texts = ["abra cadabra abracadabra bar cab", "kel mok kelmok lomek kel"]
-    fold, langs, grams, counts = language_id.folding(), [], [], []
-    for i, t in enumerate(texts):
-        chars, of, _ = language_id.characters(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), fold)
-        g, n = np.unique(language_id.grams(chars, of)[0], return_counts=True)
-        langs.append(np.full(len(g), i)), grams.append(g), counts.append(n)
-    m = language_id.Models(["x", "y"], np.concatenate(langs), np.concatenate(grams), np.concatenate(counts))
+def test_kneser_ney_matches_the_textbook_in_every_language(spark):
+    said = {"x": "abra cadabra abracadabra bar cab", "y": "kel mok kelmok lomek kel", "z": "\u0430\u0431\u0440\u0430 \u0431\u0430\u0440 \u4e2d\u6587\u4e2d \U00010330\U00010331\U00010330"}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(said.items())], DOCS + ", lang string")
+    scratch, low = Scratch(spark, "t"), language_id.lowering()
+    models = [language_id.train(spark, docs, shard) for shard in (1 << 30, 40)]
+    assert models[0].shards == 1 and models[1].shards > 3
     split = lambda g: tuple(int(g) >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
     join = lambda t: sum(c << 16 * k for c, k in zip(t, (3, 2, 1, 0)))
-    letters = sorted({split(g)[3] for x in grams for g in x})
-    alone = [language_id.Models([n], np.zeros(len(g), np.int64), g, c) for n, g, c in zip("xy", grams, counts)]
-    for i, model in enumerate(alone):
-        p = plain_kneser_ney({split(g): c for g, c in zip(grams[i], counts[i])}, 4)
-        own = sorted({split(g)[3] for g in grams[i]})
-        for context in [split(g)[:3] for g in grams[i][:6]] + [(99, 98, 97), (122, 122, 122)]:
-            asked = np.array([join((*context, c)) for c in [*own, 0xFFFE]], np.uint64)
-            got = np.exp(model.log_prob(asked, 4))[:, 0]
-            assert np.allclose(got, [p((*context, c)) for c in [*own, 0xFFFE]], rtol=1e-4) and abs(got.sum() - 1) < 1e-4
-    # Side by side, each language keeps its own discounts; only the alphabet is shared.
-    asked = np.array([join((97, 98, 114, c)) for c in letters], np.uint64)
-    assert np.exp(m.log_prob(asked, 4)).sum(0).max() <= 1 + 1e-4
-
-
-def test_alphabet_is_bounded_and_counts_are_whole(spark):
-    fold = language_id.folding()
-    assert len(np.unique(fold)) == language_id.ALPHABET + 1 and (fold[97:123] == np.arange(97, 123)).all()
-    docs = spark.createDataFrame([("abcabc", "x"), ("ABC!", "x"), ("\u4e2d\u6587", "z")], "text string, lang string")
-    assert {r.lang: r.n for r in language_id.counts(docs).groupBy("lang").agg(F.sum("n").alias("n")).collect()} == {"x": 7 + 5, "z": 3}
+    counted = {}
+    for x, t in said.items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        g = language_id.grams(*language_id.characters(data, np.array([0, len(data)]), low)[:2])[0]
+        counted[x] = Counter(map(split, g.tolist()))
+    letters = {g[3] for c in counted.values() for g in c}
+    for m in models:
+        shards = [m.shard(i) for i in range(m.shards)]
+        for i, x in enumerate(m.langs):
+            p = plain_kneser_ney(counted[x], 4, max(2, len(letters)))
+            for context in [g[:3] for g in list(counted[x])[:9]] + [(99, 98, 97), (122, 122, 122)]:
+                asked = np.array([join((*context, c)) for c in [*sorted(letters), 0xFFFE]], np.uint64)
+                own = shards[int(language_id.shard_of(np.array([context[2]]), m.shards)[0])][i]
+                got = np.exp(own.log_prob(asked, m.floor))
+                assert np.allclose(got, [p((*context, c)) for c in [*sorted(letters), 0xFFFE]], rtol=1e-4) and abs(got.sum() - 1) < 1e-4
+    # Whatever the shards, texts have the same entropies.
+    each = [sorted((r.lang, [round(x, 6) for x in r.nats], r.size) for r in language_id.entropies(spark, docs.select("text", "lang"), m, scratch).collect()) for m in models]
+    assert each[0] == each[1]
+
+
+def test_languages_of_one_script_without_a_common_letter(spark):
+    rng = random.Random(12)
+    pairs = [("\u0430\u0431\u0432", "\u0438\u0439\u043a"), ("\u3042\u3044", "\u304b\u304d"), ("\u00e9\u00ea", "\u00f1\u00f3"), ("\u03b1\u03b2", "\u03b3\u03b4"), ("\U00010330\U00010331", "\U00010333\U00010334")]
+    for one, two in pairs:
+        text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(8))
+        docs = spark.createDataFrame([(i, text(two if i % 2 else one), "two" if i % 2 else "one") for i in range(200)], DOCS + ", lang string")
+        got = language_id.identify(spark, docs, language_id.train(spark, docs.where("doc_id < 100"))).collect()
+        assert sum(r.lang_pred == ("two" if r.doc_id % 2 else "one") for r in got) == 200
+
+
+def test_counts_are_whole(spark):
+    docs = spark.createDataFrame([("abcabc", "x"), ("ABC!", "x"), ("\u4e2d\u6587", "z"), ("\U00010330", "w")], "text string, lang string")
+    assert {r.lang: r.n for r in language_id.counts(docs).groupBy("lang").agg(F.sum("n").alias("n")).collect()} == {"x": 7 + 5, "z": 3, "w": 3}
 
 
 def test_language_query_is_right_on_held_out_rows(spark):
