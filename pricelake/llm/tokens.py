@@ -204,9 +204,8 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``size`` bytes of text, short ones put together and long ones parted."""
-    gc.disable()  # lists of many numbers, and no cycles
     held, so_far = [], 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -218,10 +217,19 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator
             so_far += int(ends[end - 1]) - start
             row = end
             if so_far >= size or row < len(batch):
-                yield pa.concat_batches(held)
+                yield from alone(pa.concat_batches(held))
                 held, so_far = [], 0
     if held:
-        yield pa.concat_batches(held)
+        yield from alone(pa.concat_batches(held))
+
+
+def alone(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch, without searches for cycles among its many lists of numbers; what it took is given back after it."""
+    gc.disable()
+    yield batch
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 class Distinct:
