@@ -5,9 +5,9 @@ and size by token overlap, or queues candidates. Tier 3 makes items of Woolworth
 Foodstuffs does not have; tier 3b links FreshChoice listings to these, tier 4 makes items of the rest
 whose name starts with no brand of a higher tier. Order matters between tiers only, so each is a few joins.
 
-Heavy step: listings and items meet on (brand, size). Only ids and token arrays go there, tokenised once.
-A private label in a common size may fill one key; the key is salted on the listings' side and the items
-of a key are copied to each salt.
+Heavy step: listings and items meet on (brand, size, token). Only ids and token arrays go there, tokenised once.
+A private label in a common size may fill one key; keys are measured, and large ones are spread on the
+listings' side while their items are copied to each part.
 """
 
 from __future__ import annotations
@@ -26,20 +26,22 @@ from ..functions.text import infer_brand, normalize_brand, normalize_size, token
 from ..sources.tables import scratch_keep
 
 ITEM = ["item_id", "match_key", "name", "description", "brand", "size", "unit_of_measure", "category", "category_id", "gtin", "merged_into_id"]
-SALTS = 8
+#: Listings of one key that meet its items in one task.
+PER_SALT = 10_000
 #: Writes a table under a name and reads it back, which cuts lineage.
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Policy:
-    """How pairs are scored and decided; ``score`` may be any function of two token arrays."""
+    """How pairs are scored and decided; ``score`` may be any function of two token arrays, ``common`` tells that it is below ``queue`` where they share no token."""
 
     auto: float = 0.8
     queue: float = 0.3
     margin: float = 0.001
     shortlist: int = 3
     score: Callable[[Column, Column], Column] = token_overlap
+    common: bool = True
 
 
 def resolve_merges(items: DataFrame, keep: Keep | None = None) -> DataFrame:
@@ -160,13 +162,31 @@ def score_candidates(listings: DataFrame, index: DataFrame, vocabulary: DataFram
     rows = open_.select("product_id", "raw_name", "raw_brand", normalize_size(F.col("raw_size")).alias("size_norm")).join(guess, "product_id", "left")
     brand = F.coalesce(F.when(F.trim("raw_brand") != "", F.col("raw_brand")), F.col("inferred"))
     rows = rows.select("product_id", "inferred", "size_norm", normalize_brand(brand).alias("brand_norm"), tokenize(F.col("raw_name"), brand).alias("tokens"))
-    rows = rows.where("brand_norm is not null and size_norm is not null").withColumn("salt", F.pmod(F.xxhash64("product_id"), F.lit(SALTS)))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = rows.join(salted, ["brand_norm", "size_norm", "salt"])
+    rows = rows.where("brand_norm is not null and size_norm is not null")
+    met = _met(rows, index, policy.common)
     met = met.join(candidates.where("status = 'Rejected'").select("product_id", "item_id"), ["product_id", "item_id"], "left_anti")
     return met.select("product_id", "item_id", "match_key", policy.score(F.col("tokens"), F.col("item_tokens")).alias("score"), "inferred").where(F.col("score") >= policy.queue)
 
 
+def _met(rows: DataFrame, index: DataFrame, common: bool) -> DataFrame:
+    """Pairs of listings and items of one brand and size, each once; with ``common`` only those that share a token.
+
+    The index lists items under each of their tokens. A pair meets under all tokens that it shares and stays under the
+    first of them, so pairs without one are never made. Keys with over PER_SALT listings are measured and spread over as
+    many parts as that takes, the items of such a key copied to each; all other keys are one part.
+    """
+    word = lambda c: F.explode(F.array_distinct(c)) if common else F.lit("")
+    key = ["brand_norm", "size_norm", "word"]
+    left, right = rows.withColumn("word", word(F.col("tokens"))), index.withColumn("word", word(F.col("item_tokens")))
+    # At most one key for each PER_SALT listings.
+    hot = left.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > PER_SALT).select(*key, F.ceil(F.col("n") / PER_SALT).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("product_id"), parts)).drop("parts")
+    right = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    met = left.join(right, [*key, "part"])
+    return met.where(F.get(F.array_sort(F.array_intersect("tokens", "item_tokens")), F.lit(0)) == F.col("word")) if common else met
+
+
 def decide(scored: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The shortlist of each listing with its place, the number of candidates, whether the first is a clear winner and whether it is linked at once."""
     w = W.partitionBy("product_id").orderBy(F.col("score").desc(), F.col("match_key").asc_nulls_last(), "item_id")

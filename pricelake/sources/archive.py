@@ -25,6 +25,23 @@ def read_raw_archive(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.col("value").alias("payload"), *from_path(F.col("path"))).where("chain is not null")
 
 
+def archive_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, chain, run_ts, scope, page, format) of every archived file: a listing, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return files.select("path", "length", *from_path(F.col("path"))).where("chain is not null")
+
+
+def read_retained(spark: SparkSession, root: str, now: datetime, days: int = 7) -> DataFrame:
+    """As ``read_raw_archive``, of the runs of the last days alone: they are chosen from the listing, and only their folders are read."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    # Two runs a day and chain, so these are few.
+    folders = sorted(r.folder for r in retained_runs(archive_files(spark, root), now, days).select(folder.alias("folder")).distinct().collect())
+    if not folders:
+        return read_raw_archive(spark, root).where("false")
+    files = spark.read.text(folders, wholetext=True).withColumn("path", F.input_file_name())
+    return files.select(F.col("value").alias("payload"), *from_path(F.col("path"))).where("chain is not null")
+
+
 def retained_runs(df: DataFrame, now: datetime, days: int = 7) -> DataFrame:
     """Rows of runs within the last days, the boundary kept."""
     return df.where(F.col("run_ts") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))

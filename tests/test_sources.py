@@ -5,6 +5,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from pricelake.sources import archive
 from pricelake.sources.archive import read_raw_archive, retained_runs
 from pricelake.sources.coverage import crawl_coverage
 from pricelake.sources.parsers import parse_foodstuffs, parse_freshchoice, parse_woolworths
@@ -78,3 +79,18 @@ def test_archive_and_coverage(spark, tmp_path):
     got = {(r.chain, r.run_ts.day): list(r.gaps) for r in crawl_coverage(raw).collect()}
     assert got == {("NewWorld", 19): ["frozen: page 1 missing"], ("Woolworths", 19): ["fish__fresh-fish: not archived"], ("Woolworths", 1): []}
     assert retained_runs(raw, datetime(2026, 7, 20, tzinfo=UTC)).select(F.countDistinct("run_ts")).first()[0] == 1
+
+
+def test_runs_that_are_not_retained_are_never_opened(spark, tmp_path):
+    for run, scope in (("20260101T000000Z", "old"), ("20260110T060000Z", "edge case"), ("20260116T060000Z", "new")):
+        folder = tmp_path / "NewWorld" / run
+        folder.mkdir(parents=True)
+        (folder / f"{scope.replace(' ', '%20')}_p3.json").write_text(f'{{"scope": "{scope}"}}')
+    root, now = str(tmp_path), datetime(2026, 1, 17, 6, tzinfo=UTC)
+    assert archive.archive_files(spark, root).count() == 3
+    df = archive.read_retained(spark, root, now)
+    assert not [f for f in df.inputFiles() if "20260101" in f] and len(df.inputFiles()) == 2
+    for f in (tmp_path / "NewWorld/20260101T000000Z").iterdir():
+        f.unlink()  # whoever opens it now fails
+    assert sorted((r.payload, r.page) for r in df.collect()) == [('{"scope": "edge case"}', 3), ('{"scope": "new"}', 3)]
+    assert archive.read_retained(spark, root, datetime(2027, 1, 1, tzinfo=UTC)).count() == 0
