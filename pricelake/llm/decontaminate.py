@@ -38,7 +38,7 @@ LEAK = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -46,7 +46,7 @@ LEAK = T.StructType(
 class Windows:
     """The distinct windows of a block of items: their words as numbers from 1, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], size: int) -> None:
         space, rows = byte_table(SEPARATORS), {}
         for _, offsets, data in texts(pa.array([t for _, t in items], pa.string()), 1 << 60):
             data = lowered(data)
@@ -247,7 +247,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 LEAK_ARROW = pa.struct(
-    [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.int64()))]
+    [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))]
 )
 
 
@@ -278,14 +278,14 @@ def searcher(windows: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (text, ...) with ``leak``: its words, the merged spans of words that occur in items, and these items' ids.
+    """``docs`` (text, ...) with ``leak``: its words, the merged spans of words that occur in items, and these items' ids as text.
 
     A benchmark of more than ``block_words`` words is searched in blocks. The result of each block is written
     before the next one is read, so the driver and the tasks hold one block's windows at a time.
     """
     tune(spark)
     scratch = Scratch(spark, "leaks")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     words = F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     blocks = max(1, -(-(items.agg(F.sum(words)).first()[0] or 0) // block_words))
     out = docs.withColumn("leak", F.lit(None).cast(LEAK))
@@ -331,7 +331,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = leaks(spark, docs, table(spark, sf_dir, "benchmark"))
     hit = n_hit(F.col("leak.spans"))
-    ids = F.array_join(F.array_sort(F.transform("leak.items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("leak.items"), ",")
     return found.select(
         "doc_id",
         F.col("leak.n_words").alias("n_words"),

@@ -191,7 +191,10 @@ def byte_checked(old: DataFrame, old_rows: DataFrame, new: DataFrame, new_rows:
 
 
 def split_by_arrival(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An older half (the snapshot) and a newer half (the incoming batch) by doc_id; a null id is new."""
+    """An older half (the snapshot) and a newer half (the incoming batch) by doc_id, by a hash of it where it is no whole number; a null id is new."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        old = F.coalesce((F.xxhash64("doc_id") < 0) & F.col("doc_id").isNotNull(), F.lit(False))
+        return docs.where(old), docs.where(~old)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if low is None else (low + high) // 2
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
