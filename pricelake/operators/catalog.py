@@ -6,6 +6,7 @@ key is the item or else the listing.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pricing import comparable_unit_price
+from .ranges import Keep, fresh
+
 
 def with_store(listings: DataFrame, stores: DataFrame, active: bool = True) -> DataFrame:
     """Listings with chain, store_name and suburb; by default of active stores only."""
@@ -33,6 +36,51 @@ def find_listings(listings: DataFrame, stores: DataFrame, q: str | None = None,
     return out.where(F.col("store_id").isin(store_ids)) if store_ids else out
 
 
+#: Letters of a posting's key.
+GRAM = 3
+
+
+def name_postings(listings: DataFrame) -> DataFrame:
+    """(gram, product_id, field) for all runs of three letters in lower case of names and brands: write it sorted by gram, and a search reads its grams only."""
+
+    def of(field: str) -> DataFrame:
+        low = F.lower(F.col(field))
+        grams = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substr(low, i, F.lit(GRAM)))
+        some = listings.where(F.length(low) >= GRAM)
+        return some.select(F.explode(F.array_distinct(grams)).alias("gram"), "product_id", F.lit(field).alias("field"))
+
+    return of("raw_name").unionByName(of("raw_brand"))
+
+
+def write_postings(listings: DataFrame, keep: Keep) -> DataFrame:
+    """The postings in ranges of grams, so that statistics of files and row groups prune all but a search's own."""
+    return keep(name_postings(listings).repartitionByRange("gram", "product_id").sortWithinPartitions("gram", "product_id"), fresh("postings"))
+
+
+def needle_grams(q: str) -> list[str]:
+    """The runs of three letters that every match of ``%q%`` holds as they are.
+
+    ``%`` and ``_`` part runs, a backslash makes the next letter plain. Runs with letters beyond ASCII are left to
+    the exact filter, because their lower case may depend on what stands beside them.
+    """
+    parts = re.findall(r"(?s)\\.|.", q)
+    plain = "".join("\x00" if x in ("%", "_") else x[-1] for x in parts).lower()
+    runs = {plain[i : i + GRAM] for i in range(len(plain) - GRAM + 1)}
+    return sorted(g for g in runs if g.isascii() and "\x00" not in g)
+
+
+def search_listings(listings: DataFrame, stores: DataFrame, postings: DataFrame, q: str, store_ids: list[str] | None = None) -> DataFrame:
+    """``find_listings`` by way of the postings: only listings whose name or brand holds all runs of the needle meet the exact filter.
+
+    A needle without a run of three plain letters (short, or all wildcards) has nothing to look up and filters all listings.
+    """
+    grams = needle_grams(q.strip())
+    if grams:
+        held = postings.where(F.col("gram").isin(grams)).groupBy("product_id", "field").agg(F.countDistinct("gram").alias("n"))
+        listings = listings.join(held.where(F.col("n") == len(grams)).select("product_id"), "product_id", "left_semi")
+    return find_listings(listings, stores, q, store_ids)
+
+
 def in_category(listings: DataFrame, ids: DataFrame, items: DataFrame, links: DataFrame, store_categories: DataFrame) -> DataFrame:
     """Matched listings by their item's category, others by any of their own store categories mapped into ``ids`` (category_id)."""
     own_items = items.join(ids, "category_id", "left_semi").select("item_id")
@@ -108,6 +156,42 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) ->
     return df.orderBy(*order).offset((number - 1) * size).limit(size), figures
 
 
+class PageIndex:
+    """Pages of one order over a table, each read from the ranges that hold it.
+
+    ``write(df, name, by)`` writes a table in folders of the columns ``by`` and reads it back. Rows lie in a folder for each
+    range of the order; what the driver holds is one number a range, the rows before it. So page n costs what
+    page 1 does: the folders of one range, or of a few where ranges are smaller than a page.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], write, ranges: int | None = None) -> None:
+        dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+        at = F.monotonically_increasing_id()
+        rows = dealt.sortWithinPartitions(*order).select("*", F.shiftright(at, 33).cast("int").alias("range_"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at_"))
+        self.rows, self.columns = write(rows, fresh("pages"), ["range_"]), df.columns
+        sizes = self.rows.groupBy("range_").count().orderBy("range_").collect()
+        self.starts, self.total = [], 0
+        for r in sizes:
+            self.starts.append((r["range_"], self.total, self.total + r["count"]))
+            self.total += r["count"]
+
+    def figures(self, number: int = 1, size: int = 20) -> tuple[int, int, bool]:
+        """(total, total_pages, has_more)."""
+        size, number = max(1, min(100, size)), max(1, number)
+        pages = -(-self.total // size)
+        return self.total, pages, number < pages
+
+    def page(self, number: int = 1, size: int = 20) -> DataFrame:
+        """The rows of a page with their ``place`` from 1: size within 1 to 100, numbers from 1, none beyond the last page."""
+        size, number = max(1, min(100, size)), max(1, number)
+        low, high = (number - 1) * size, number * size
+        held = [(r, a) for r, a, b in self.starts if a < high and b > low]
+        before = F.coalesce(*[F.when(F.col("range_") == r, F.lit(a)) for r, a in held]) if held else F.lit(0)
+        out = self.rows.where(F.col("range_").isin([r for r, _ in held]) if held else F.lit(False))
+        out = out.withColumn("place", (before + F.col("at_") + 1).cast("long"))
+        return out.where((F.col("place") > low) & (F.col("place") <= high)).orderBy("place").select(*[F.col(f"`{c}`") for c in self.columns], "place")
+
+
 def group_for(listings: DataFrame, product_id: str) -> DataFrame:
     """The available, priced listings of the group that the listing belongs to."""
     keyed = listings.withColumn("group_id", group_key())

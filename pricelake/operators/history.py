@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .catalog import group_key, hours_before, with_store
+from .ranges import Keep, last_over, ranged
 
 
 def price_history_view(snapshots: DataFrame, listings: DataFrame, stores: DataFrame, zone: str = "Pacific/Auckland") -> DataFrame:
@@ -37,15 +38,22 @@ def price_intervals(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("valid_until", F.lead("captured_at").over(w))
 
 
-def price_as_of(queries: DataFrame, snapshots: DataFrame) -> DataFrame:
+def price_as_of(queries: DataFrame, snapshots: DataFrame, keep: Keep | None = None, ranges: int | None = None) -> DataFrame:
     """For each query (product_id, at, ...) the last price at or before its time: a backward as-of join by one sorted pass.
 
-    Queries and snapshots share one shuffle on the listing; no pair of a query and a snapshot is made.
+    Queries and snapshots share one shuffle on the listing; no pair of a query and a snapshot is made. With
+    ``keep``, which writes a table, a listing's history is cut into ranges of time, so that a listing with very
+    many rows is several tasks.
     """
     q = queries.withColumns({"kind_": F.lit(1), "state_": F.lit(None).cast("struct<price: decimal(10,2), since: timestamp>")})
     s = snapshots.select("product_id", F.col("captured_at").alias("at"), F.lit(0).alias("kind_"), F.struct(F.col("price").cast("decimal(10,2)").alias("price"), F.col("captured_at").alias("since")).alias("state_"))
+    both = q.unionByName(s, allowMissingColumns=True)
+    if keep is not None:
+        order = ["at", "kind_"]
+        both = last_over(ranged(both, ["product_id"], order, keep, ranges), ["product_id"], order, F.col("state_"), "found_")
+        return both.where("kind_ = 1").select(*queries.columns, F.col("found_.price").alias("price"), F.col("found_.since").alias("since"))
     w = W.partitionBy("product_id").orderBy("at", "kind_").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = q.unionByName(s, allowMissingColumns=True).withColumn("state_", F.last("state_", ignorenulls=True).over(w))
+    both = both.withColumn("state_", F.last("state_", ignorenulls=True).over(w))
     return both.where("kind_ = 1").select(*queries.columns, F.col("state_.price").alias("price"), F.col("state_.since").alias("since"))
 
 

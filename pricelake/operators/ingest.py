@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import Keep, fresh, lag_over, last_over, ranged
+
 KEY = ["store_id", "sku"]
 #: What makes a price row: it differs in one of these or is not written.
 TUPLE = ["price", "promo_type", "was_price", "unit_price", "member_price", "multibuy_quantity", "multibuy_total"]
@@ -57,15 +59,48 @@ def _step(rows: DataFrame) -> DataFrame:
     return rows.withColumn("changed", (F.row_number().over(w) == 1) | ~same).drop("own_was", "prev_on", "prev_price", "island", "seed", "retired")
 
 
-def reconstruct_was_price(obs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Observations with run_no, captured_at, the reconstructed was_price, and whether their tuple changed."""
+def _step_ranged(rows: DataFrame, keep: Keep, ranges: int | None) -> DataFrame:
+    """``_step`` over ranges of a listing's observations, each a task of its own, with three things carried into a range.
+
+    These are the fields that the row before showed; the last mark of a promotion, which is its start or a later
+    row that gives a was price; and the was price that the row before came to.
+    """
+    order = ["run_no", "seq"]
+    rows = ranged(rows.withColumn("own_was", F.col("was_price")), KEY, order, keep, ranges)
+    shown = [c for c in TUPLE if c != "was_price"]
+    rows = lag_over(rows, KEY, order, F.struct(*shown, "c_incl"), "prev_")
+    on = F.col("promo_type") == SPECIAL
+    rows = rows.withColumn("retired", F.coalesce(F.col("c_before") - F.col("prev_.c_incl") >= MISSES, F.lit(False)))
+    goes_on = on & F.coalesce(F.col("prev_.promo_type") == SPECIAL, F.lit(False)) & ~F.col("retired")
+    dearer = ~F.coalesce(goes_on, F.lit(False)) & (F.col("prev_.price") > F.col("price"))
+    seed = F.when(~on | F.col("own_was").isNotNull(), F.col("own_was")).when(dearer, F.col("prev_.price"))
+    rows = rows.withColumn("mark_", F.when(~F.coalesce(goes_on, F.lit(False)) | seed.isNotNull(), F.struct(seed.alias("was"))))
+    rows = last_over(rows, KEY, order, F.col("mark_"), "found_").withColumn("was_price", F.when(on, F.col("found_.was")).otherwise(F.col("own_was")))
+    rows = lag_over(keep(rows.drop("mark_", "found_"), fresh("was")), KEY, order, F.struct("was_price"), "prev_was_")
+
+    def before(c: str) -> Column:
+        old = F.col("prev_was_.was_price") if c == "was_price" else F.col(f"prev_.{c}")
+        if c == "promo_type":
+            return F.when(F.col("retired"), F.lit("None")).otherwise(old)
+        return F.when(~F.col("retired"), old) if c in CLEARED else old
+
+    same = F.struct(*TUPLE).eqNullSafe(F.struct(*[before(c).alias(c) for c in TUPLE]))
+    return rows.withColumn("changed", F.col("prev_was_").isNull() | ~same).drop("own_was", "prev_", "prev_was_", "retired", "range_")
+
+
+def reconstruct_was_price(obs: DataFrame, runs: DataFrame, keep: Keep | None = None, ranges: int | None = None) -> DataFrame:
+    """Observations with run_no, captured_at, the reconstructed was_price, and whether their tuple changed.
+
+    With ``keep``, which writes a table, a listing's observations are cut into ranges, so that one with very many is several tasks.
+    """
     r = numbered_runs(runs).select("run_id", "run_no", "c_incl", "c_before", F.col("started_at").alias("captured_at"))
-    return _step(obs.join(r, "run_id"))
+    rows = obs.join(r, "run_id")
+    return _step(rows) if keep is None else _step_ranged(rows, keep, ranges)
 
 
-def price_snapshots(obs: DataFrame, runs: DataFrame) -> DataFrame:
+def price_snapshots(obs: DataFrame, runs: DataFrame, keep: Keep | None = None, ranges: int | None = None) -> DataFrame:
     """One row for each change of a listing's price tuple, the first sighting included."""
-    return reconstruct_was_price(obs, runs).where("changed").select(*KEY, "run_id", "seq", "captured_at", *TUPLE, (F.col("promo_type") == SPECIAL).alias("is_on_special"), F.lit("NZD").alias("currency"))
+    return reconstruct_was_price(obs, runs, keep, ranges).where("changed").select(*KEY, "run_id", "seq", "captured_at", *TUPLE, (F.col("promo_type") == SPECIAL).alias("is_on_special"), F.lit("NZD").alias("currency"))
 
 
 def current_listings(obs: DataFrame, runs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -144,6 +144,12 @@ def r1_find_listings(t):
     return catalog.find_listings(t.listings, t.stores, " RING ", ["1", "2", "3"]).select("product_id", "chain", F.col("current_price").alias("price"))
 
 
+@query(f"WITH {FOUND} SELECT product_id, chain, CAST(current_price AS DOUBLE) AS price FROM found WHERE raw_name ILIKE '%an_que%o%' OR raw_brand ILIKE '%an_que%o%'")
+def r1_search_listings(t):
+    postings = catalog.write_postings(t.listings, _keep(t))
+    return catalog.search_listings(t.listings, t.stores, postings, "AN_que%o").select("product_id", "chain", F.col("current_price").alias("price"))
+
+
 @query(
     """WITH ids AS (SELECT category_id FROM {categories} WHERE path LIKE 'economy%')
 SELECT l.product_id FROM {listings} l WHERE (item_id IS NOT NULL AND EXISTS (SELECT 1 FROM {items} i WHERE i.item_id = l.item_id AND i.category_id IN (SELECT category_id FROM ids)))
@@ -200,6 +206,12 @@ def r6_page_figures(t):
     return catalog.page(_groups(t), catalog.sort_keys(None), 3, 40)[1]
 
 
+@query(f"WITH {GROUPS}, o AS (SELECT group_id, min_price, row_number() OVER (ORDER BY max_saving DESC NULLS LAST, lower(name), group_id) AS place FROM g) SELECT * FROM o WHERE place > (SELECT (max(place) - 1) // 40 * 40 FROM o)")
+def r6_last_page(t):
+    index = catalog.PageIndex(_groups(t).select("group_id", "name", "min_price", "max_saving"), catalog.sort_keys("discountDesc"), _keep(t))
+    return index.page(index.figures(size=40)[1], 40).select("group_id", "min_price", "place")
+
+
 @query(f"WITH {FOUND} SELECT product_id, CAST(current_price AS DOUBLE) AS price FROM {{listings}} WHERE is_available AND current_price IS NOT NULL AND coalesce(item_id, product_id) = (SELECT coalesce(item_id, product_id) FROM {{listings}} WHERE product_id = (SELECT min(product_id) FROM {{listings}} WHERE item_id IS NOT NULL))")
 def r7_group_for(t):
     first = t.listings.where("item_id is not null").agg(F.min("product_id")).first()[0]
@@ -341,16 +353,25 @@ def h3_price_intervals(t):
     return history.price_intervals(t.snapshots).select("product_id", "captured_at", "price", "valid_until")
 
 
-@query(
-    """WITH q AS (SELECT o_orderkey AS q, concat(CAST(l_partkey AS STRING), '@', CAST(l_suppkey % 10 AS STRING)) AS product_id, EPOCH(o_orderdate) + 86400 * (l_linenumber * 40) AS at, l_linenumber AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)
+AS_OF = """WITH q AS (SELECT o_orderkey AS q, concat(CAST(l_partkey AS STRING), '@', CAST(l_suppkey % 10 AS STRING)) AS product_id, EPOCH(o_orderdate) + 86400 * (l_linenumber * 40) AS at, l_linenumber AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)
 SELECT q.q, q.n, q.product_id, q.at, CAST(s.price AS DOUBLE) AS price, s.captured_at AS since FROM q ASOF LEFT JOIN {snapshots} s ON q.product_id = s.product_id AND q.at >= s.captured_at"""
-)
-def h4_price_as_of(t):
-    q = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+
+
+def _moments(t):
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("q"), F.col("l_linenumber").alias("n"), F.concat(F.col("l_partkey").cast("string"), F.lit("@"), (F.col("l_suppkey") % 10).cast("string")).alias("product_id"),
         F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 86400 * 40 * F.col("l_linenumber")).alias("at"),
     )
-    return history.price_as_of(q, t.snapshots)
+
+
+@query(AS_OF)
+def h4_price_as_of(t):
+    return history.price_as_of(_moments(t), t.snapshots)
+
+
+@query(AS_OF)
+def h4_price_as_of_in_ranges(t):
+    return history.price_as_of(_moments(t), t.snapshots, _keep(t))
 
 
 @query(
@@ -502,6 +523,12 @@ def g1_reconstruct_was_price(t):
     return ingest.reconstruct_was_price(t.observations, t.runs).select("store_id", "sku", "run_id", "seq", "price", "promo_type", "was_price", "changed")
 
 
+@query(f"WITH {STATE} SELECT store_id, sku, run_id, seq, CAST(price AS DOUBLE) AS price, promo_type, CAST(was AS DOUBLE) AS was_price, changed FROM st")
+def g1_reconstruct_was_price_in_ranges(t):
+    out = ingest.reconstruct_was_price(t.observations, t.runs, _keep(t))
+    return out.select("store_id", "sku", "run_id", "seq", "price", "promo_type", "was_price", "changed")
+
+
 @query(f"WITH {STATE} SELECT store_id, sku, run_id, seq, captured_at, CAST(price AS DOUBLE) AS price, promo_type, CAST(was AS DOUBLE) AS was_price, CAST(unit_price AS DOUBLE) AS unit_price, CAST(member_price AS DOUBLE) AS member_price, on_ AS is_on_special, 'NZD' AS currency FROM st WHERE changed")
 def g2_price_snapshots(t):
     return ingest.price_snapshots(t.observations, t.runs).drop("multibuy_quantity", "multibuy_total")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +65,12 @@ def scratch_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
-def scratch_keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """A function that writes a table to the shared folder and reads it back, which cuts lineage."""
+def scratch_keep(spark: SparkSession) -> Callable[..., DataFrame]:
+    """A function that writes a table to the shared folder and reads it back, which cuts lineage; in folders of the columns ``by``, if given."""
     root = f"{scratch_root(spark)}/kept-{uuid.uuid4().hex}"
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}", mode="overwrite")
+    def keep(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        df.write.parquet(f"{root}/{name}", mode="overwrite", partitionBy=list(by) or None)
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     return keep

@@ -5,7 +5,9 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from pricelake.operators import history as prices
 from pricelake.operators import ingest
+from pricelake.sources.tables import scratch_keep
 from pricelake.sources.versions import Version, Versions, part_name, read_parts, replace_parts
 from pricelake.streaming.ingest import apply_batch, apply_due, closed_runs, read, read_state, stream_ingest
 
@@ -198,3 +200,30 @@ def test_runs_close(spark):
     rows = ingest.close_crawl_runs(obs, ingest.price_snapshots(obs, runs), runs).collect()
     assert all(len(x.error_message) == 2000 for x in rows)
     assert {x.status for x in rows} <= {"Succeeded", "Partial", "Failed"} and sum(x.snapshots_written for x in rows) == ingest.price_snapshots(obs, runs).count()
+
+
+def test_ranges_of_long_histories_equal_whole_listings(spark):
+    """Two listings of many hundred observations over ranges of about 100 rows."""
+    for seed in (1, 2):
+        o, r = history(seed, stores=1, skus=2, runs=400)
+        obs, runs = frames(spark, o, r)
+        names = ["store_id", "sku", "run_id", "seq", "promo_type", "was_price", "changed"]
+        plain = ingest.reconstruct_was_price(obs, runs).select(*names)
+        parts = ingest.reconstruct_was_price(obs, runs, scratch_keep(spark), len(o) // 100).select(*names)
+        rows = lambda df: sorted(tuple(map(text, x)) for x in df.collect())
+        assert rows(parts) == rows(plain) and len(o) > 500
+    small = frames(spark, *history(3))
+    assert rows(ingest.price_snapshots(*small, scratch_keep(spark), 9)) == rows(ingest.price_snapshots(*small))
+    assert ingest.price_snapshots(small[0].limit(0), small[1], scratch_keep(spark)).count() == 0
+
+
+def test_prices_as_of_in_ranges(spark):
+    rng = random.Random(6)
+    at = lambda: T0 + timedelta(minutes=rng.randrange(5000))
+    key = lambda: rng.choice(["hot", "hot", "hot", "b", "c", None])
+    moments = sorted({at() for _ in range(900)})
+    snaps = spark.createDataFrame([(rng.choice(["hot", "b"]) if i % 9 else "c", m, rng.choice(["1.00", "2.00", None])) for i, m in enumerate(moments)], "product_id string, captured_at timestamp, price string")
+    asked = spark.createDataFrame([(i, key(), at()) for i in range(500)], "q long, product_id string, at timestamp")
+    rows = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
+    ranged = prices.price_as_of(asked, snaps, scratch_keep(spark), 13)
+    assert rows(ranged) == rows(prices.price_as_of(asked, snaps)) and ranged.where("since is not null").count() > 300

@@ -6,7 +6,7 @@ import pytest
 from pricelake.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["cheapest_by_product", "g4_availability", "m7_queue_candidates", "h4_price_as_of", "t3_product_status_report", "c7_category_tree"]
+SOME = ["cheapest_by_product", "g4_availability", "m7_queue_candidates", "h4_price_as_of", "h4_price_as_of_in_ranges", "g1_reconstruct_was_price_in_ranges", "r1_search_listings", "r6_last_page", "t3_product_status_report", "c7_category_tree"]
 
 
 @pytest.mark.parametrize("name", SOME)
