@@ -9,11 +9,16 @@ count as well.
 
 A linked pair shares not one bucket but as many as the set's fragments exceed its differences. A set with
 fewer shared buckets links with nothing; any other one leaves out its most frequent buckets, one less than
-it must share, so that passages which many texts hold draw no texts together. Sets that still share a bucket
-form a block. The sets of a block are dealt over chunks of bounded size and every two chunks meet in one
-unit of work: there the overlaps of all their pairs are counted fragment by fragment of the order, summed
-per pair and compared with the threshold. A unit gives only a spanning forest of its links, so neither a
-large group of near copies nor one just under the threshold makes more rows than it has sets a unit.
+it must share, so that passages which many texts hold draw no texts together. Each bucket's sets first meet
+its least one, the pivot, and these pairs join the sets of a block.
+
+Overlaps are counted by fragments everywhere: each set is cut into ``FRAGMENTS`` stretches of the global
+order, a row each; one task counts what pairs share in one fragment and knows no other one; the partial
+overlaps are summed per pair and the sums compared with the threshold. The pairs with pivots come first, as
+many as there are kept buckets. A block whose pairs they have not all joined or all tried is open: its sets
+are dealt over chunks of bounded size and every two chunks meet, for each fragment in a unit of its own. Such
+a unit gives the partial overlaps of its pairs as one matrix; the sum gives a spanning forest of the links.
+So a large group of near copies makes few rows, and only sets around the threshold meet in chunks.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 words than n make one n-gram; repeated rows and equal texts are one set and lie in one component; a null id
@@ -25,7 +30,10 @@ told apart by 128 bits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +47,12 @@ from .kernel import U, byte_table, lowered, mix, segment_hashes, shingles, signe
 
 #: Bits of a bucket's owner that hold the size class; the others are the set's.
 CLASS_BITS = 7
+#: Stretches of the global order in which overlaps are counted apart.
+FRAGMENTS = 4
 #: A chunk of a block has about so many sets at most, and so many n-grams.
-CHUNK_SETS, CHUNK_GRAMS = 1024, 1 << 19
-#: N-grams of a fragment in which overlaps are counted at once.
-FRAGMENT = 2048
+CHUNK_SETS, CHUNK_GRAMS = 512, 1 << 19
+#: Shared n-grams whose columns are multiplied at once.
+COLUMNS = 2048
 
 
 class Classes:
@@ -155,8 +165,8 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def blocks(spark: SparkSession, sets_: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, comp): the sets (64 bits less the class) that may link with others, and their block."""
+def blocks(spark: SparkSession, sets_: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and (id, comp): sets (64 bits less the class) that may link with pivots b, and the blocks that these pairs join."""
     parts = sets_.select(F.explode("parts").alias("p")).select("p.*")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange serves the counts of buckets and the rows that they are joined with.
@@ -172,14 +182,23 @@ def blocks(spark: SparkSession, sets_: DataFrame, scratch: Scratch) -> DataFrame
     scratch.drop(met)
     pivots = kept.groupBy("bucket").agg(F.min("owner").alias("pivot"), F.max("owner").alias("high")).where("pivot < high")
     whole = lambda c: F.shiftleft(F.shiftright(c, CLASS_BITS), CLASS_BITS)
-    edges = kept.join(pivots, "bucket").select(whole("owner").alias("a"), whole("pivot").alias("b")).where("a <> b").distinct()
+    edges = kept.join(pivots, "bucket").select(whole("owner").alias("a"), whole("pivot").alias("b")).where("a <> b")
+    # A pair is one pair whichever of the two is the pivot.
+    edges = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pivots")
     out = components(spark, edges, scratch)
     scratch.drop(kept)
-    return out
+    return edges, out
+
+
+def cut(grams: np.ndarray) -> list[bytes]:
+    """The fragments of a set's sorted n-grams."""
+    step = (1 << 64) // FRAGMENTS
+    at = np.searchsorted(grams, np.array([step * k for k in range(1, FRAGMENTS)], U))
+    return [x.tobytes() for x in np.split(grams, at)]
 
 
 def gathered(rows: DataFrame, n: int) -> DataFrame:
-    """Rows (text, set_id, ...) with ``grams``, the set's sorted 64-bit values, in place of the text; other sets' texts are left out."""
+    """Rows (text, set_id, ...) with ``parts``, the fragments of the set's sorted 64-bit values, in place of the text; other sets' texts are left out."""
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches):
@@ -188,22 +207,17 @@ def gathered(rows: DataFrame, n: int) -> DataFrame:
             for row, found in sets(b, n):
                 for i, g in enumerate(found, row):
                     if len(g) and identity(g) == want[i]:
-                        grams[i] = g.tobytes()
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(grams, pa.binary())], [*names, "grams"])
+                        grams[i] = cut(g)
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(grams, pa.list_(pa.binary()))], [*names, "parts"])
             yield out.filter(pa.array([g is not None for g in grams], pa.bool_()))
 
-    schema = rows.select(*names).withColumn("grams", F.lit(None).cast("binary")).schema
+    schema = rows.select(*names).withColumn("parts", F.lit(None).cast("array<binary>")).schema
     return rows.mapInArrow(run, schema)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """The sizes of the intersections of sets a with sets b, counted in each fragment of the order and summed."""
+    """The sizes of the intersections of sets a with sets b."""
     out = np.zeros((len(a), len(b)), np.int64)
-    if len(a) * len(b) <= 16:
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                out[i, j] = len(np.intersect1d(x, y, assume_unique=True))
-        return out
     side = lambda s: (np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s]))
     (ga, ra), (gb, rb) = side(a), side(b)
     both = np.intersect1d(ga, gb)
@@ -215,10 +229,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return at[hit][order], r[hit][order]
 
     (ga, ra), (gb, rb) = known(ga, ra), known(gb, rb)
-    for low in range(0, len(both), FRAGMENT):
-        cut = lambda g, r: (g[(s := slice(*np.searchsorted(g, (low, low + FRAGMENT))))] - low, r[s])  # noqa: E731, B023
+    for low in range(0, len(both), COLUMNS):
+        cut = lambda g, r: (g[(s := slice(*np.searchsorted(g, (low, low + COLUMNS))))] - low, r[s])  # noqa: E731, B023
         (fa, xa), (fb, xb) = cut(ga, ra), cut(gb, rb)
-        size_a, size_b = np.bincount(fa, minlength=FRAGMENT), np.bincount(fb, minlength=FRAGMENT)
+        size_a, size_b = np.bincount(fa, minlength=COLUMNS), np.bincount(fb, minlength=COLUMNS)
         if (size_a * size_b).sum() < 4_000_000:  # few sets share each n-gram: count the pairs themselves
             start = np.cumsum(size_b) - size_b
             many = size_b[fa]
@@ -226,7 +240,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             right = xb[np.repeat(start[fa] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             out += np.bincount(left * len(b) + right, minlength=out.size).reshape(out.shape)
         else:
-            dense = lambda f, x, rows: (m := np.zeros((rows, FRAGMENT), np.float32), m.__setitem__((x, f), 1))[0]
+            dense = lambda f, x, rows: (m := np.zeros((rows, COLUMNS), np.float32), m.__setitem__((x, f), 1))[0]
             out += np.rint(dense(fa, xa, len(a)) @ dense(fb, xb, len(b)).T).astype(np.int64)
     return out
 
@@ -247,47 +261,128 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def unit_links(i: int, j: int, chunk: list[int], nodes: list[dict], grams: list[bytes], percent: int) -> list[tuple[dict, dict]]:
-    """A spanning forest of the links between chunks i and j, or within one."""
-    rows = {x["set_id"]: (c, x, np.frombuffer(g, U)) for c, x, g in zip(chunk, nodes, grams, strict=True)}
-    a = [(x, g) for c, x, g in rows.values() if c == i]
-    b = a if i == j else [(x, g) for c, x, g in rows.values() if c == j]
-    if not a or not b or len(rows) < 2:
-        return []
-    common = overlaps([g for _, g in a], [g for _, g in b])
-    size = lambda s: np.array([len(g) for _, g in s], np.int64)
-    near = 100 * common >= percent * (size(a)[:, None] + size(b)[None, :] - common)
-    if i == j:
-        np.fill_diagonal(near, False)
-    return [(a[x][0], b[y][0]) for x, y in forest(near)]
+def groups(batches: Iterator[pa.RecordBatch], key: list[str], values: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(key, rows) of rows that are sorted by key; the rows of a key must be used up before the next one is asked for."""
+    rows = ((k, v) for b in batches for k, v in zip(zip(*(b.column(c).to_pylist() for c in key), strict=True), zip(*(b.column(c).to_pylist() for c in values), strict=True), strict=True))
+    return ((k, (v for _, v in same)) for k, same in groupby(rows, itemgetter(0)))
 
 
-def units(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between nodes of rows (comp, i, j, chunk, node, grams) that are sorted by comp, i, j in each partition."""
+def pivot_overlaps(rows: DataFrame) -> DataFrame:
+    """(a, b, size_a, size_b, common): what sets share with their pivots in each fragment, of rows (pivot, part, fragment, is_pivot, node, size, grams) with pivots first."""
     kind = rows.schema["node"].dataType
     arrow = to_arrow_type(kind)
+    fields = [T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.LongType()) for c in ("size_a", "size_b", "common"))]
+    kinds = [arrow, arrow, pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        key, held = None, ([], [], [])
+        out = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], [f.name for f in fields])
+        for _, own in groups(batches, ["pivot", "part", "fragment"], ["is_pivot", "node", "size", "grams"]):
+            heads, last = [], None
+            for is_pivot, node, size, grams in own:
+                if node["set_id"] == last:  # rows that share id and text
+                    continue
+                last, g = node["set_id"], np.frombuffer(grams, U)
+                if is_pivot:
+                    heads.append((node, size, g))
+                    continue
+                for b, size_b, h in heads:
+                    if len(g) and len(h):
+                        at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+                        out.append((node, b, size, size_b, int(np.count_nonzero(h[at] == g))))
+            if len(out) >= 2000:
+                yield pack()
+                out = []
+        yield pack()
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def chunk_overlaps(rows: DataFrame) -> DataFrame:
+    """(comp, i, j, fragment, a, b, common): what the sets of two chunks share in each fragment, as a packed matrix, of rows (comp, i, j, fragment, chunk, node, size, grams) in a fixed order.
+
+    a and b are the nodes and sizes of its rows and columns, told with the first fragment only.
+    """
+    kind = rows.schema["node"].dataType
+    member = T.StructType([T.StructField("node", kind), T.StructField("size", T.LongType())])
+    side = T.ArrayType(member)
+    fields = [*(rows.schema[c] for c in ("comp", "i", "j", "fragment")), T.StructField("a", side), T.StructField("b", side), T.StructField("common", T.BinaryType())]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
 
-        def done():
-            links = unit_links(*key[1:], *held, percent) if key else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], arrow) for k in (0, 1)], ["a", "b"])
+    def run(batches):
+        for key, own in groups(batches, ["comp", "i", "j", "fragment"], ["chunk", "node", "size", "grams"]):
+            _, i, j, fragment = key
+            # Rows that share id and text are one set.
+            once = {node["set_id"]: (c, {"node": node, "size": size}, np.frombuffer(g, U)) for c, node, size, g in own}
+            held = list(once.values())
+            a = [x for x in held if x[0] == i]
+            b = a if i == j else [x for x in held if x[0] == j]
+            if not a or not b:
+                continue
+            common = overlaps([x[2] for x in a], [x[2] for x in b]).astype(np.int32)
+            names = ([x[1] for x in a], [x[1] for x in b]) if fragment == 0 else (None, None)
+            row = (*key, *names, zlib.compress(common.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.name for f in fields])
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def summed(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of each two chunks, of the rows of ``chunk_overlaps`` sorted by comp, i, j, fragment."""
+    kind = rows.schema["a"].dataType.elementType["node"].dataType
+    arrow = to_arrow_type(kind)
 
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
-            values = list(zip(*(b.column(c).to_pylist() for c in ("chunk", "node", "grams")), strict=True))
-            for k, v in zip(keys, values, strict=True):
-                if k != key:
-                    yield done()
-                    key, held = k, ([], [], [])
-                for x, y in zip(held, v, strict=True):
-                    x.append(y)
-        yield done()
+    def run(batches):
+        for (_, i, j), own in groups(batches, ["comp", "i", "j"], ["a", "b", "common"]):
+            total = 0
+            for x, y, packed in own:
+                if x is not None:
+                    a, b = x, y
+                total = total + np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
+            size = lambda s: np.array([m["size"] for m in s], np.int64)
+            common = total.reshape(len(a), len(b))
+            near = 100 * common >= percent * (size(a)[:, None] + size(b)[None, :] - common)
+            if i == j:
+                np.fill_diagonal(near, False)
+            links = [(a[x]["node"], b[y]["node"]) for x, y in forest(near)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], arrow) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def pivot_units(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, units): where each id of the pairs ``edges`` meets pivots, as (pivot, part): pairs with one pivot are dealt over parts, by their number and size."""
+    sizes = members.groupBy(F.col("id").alias("b")).agg(F.max("size").alias("size"))
+    stars = edges.groupBy("b").agg(F.count("*").alias("n")).join(sizes, "b")
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK_SETS), F.ceil(F.col("n") * F.col("size") / CHUNK_GRAMS)).cast("int")
+    stars = stars.select("b", parts.alias("parts"))
+    own = edges.join(stars, "b").select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    heads = stars.select(F.col("b").alias("id"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return own.union(heads).groupBy("id").agg(F.collect_list(F.struct("pivot", "part")).alias("units"))
+
+
+def pivot_links(grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the linked nodes among pairs with pivots, by partial overlaps summed per pair."""
+    rows = grams.select("id", "node", "size", "parts", F.explode("units").alias("u"))
+    rows = rows.select("u.pivot", "u.part", (F.col("id") == F.col("u.pivot")).alias("is_pivot"), "node", "size", F.posexplode("parts").alias("fragment", "grams"))
+    key = ["pivot", "part", "fragment"]
+    partial = pivot_overlaps(rows.repartition(*key).sortWithinPartitions(*key, F.col("is_pivot").desc(), "node.set_id"))
+    total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    return total.where(100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))).select("a", "b")
+
+
+def chunk_links(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all linked nodes of each block of ``members`` (set_id, comp, size), chunk by chunk."""
+    shapes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    dealt = members.join(shapes, "comp").select("set_id", "comp", "chunks", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(grams.select("set_id", "node", "size", "parts"), "set_id")
+    meets = meets.select("comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "size", F.posexplode("parts").alias("fragment", "grams"))
+    key = ["comp", "i", "j", "fragment"]
+    # One order of sets in all fragments, so that their matrices add up.
+    partial = chunk_overlaps(meets.repartition(*key).sortWithinPartitions(*key, "node.set_id"))
+    return summed(partial.repartition("comp", "i", "j").sortWithinPartitions(*key), percent)
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -299,22 +394,29 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     scratch = scratch or Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
     rows = scratch.keep(described(docs, n, percent), "sets")
-    block = blocks(spark, rows, scratch)
+    edges, block = blocks(spark, rows, scratch)
 
     some = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("pick"), F.max("n_shingles").alias("size"), F.max(F.get("parts", F.lit(0))["owner"]).alias("owner"))
-    some = some.withColumn("id", F.shiftleft(F.shiftright("owner", CLASS_BITS), CLASS_BITS)).join(block, "id").select("set_id", "pick", "size", "comp")
+    some = some.withColumn("id", F.shiftleft(F.shiftright("owner", CLASS_BITS), CLASS_BITS)).join(block, "id").select("id", "set_id", "pick", "size", "comp")
     some = scratch.keep(some, "members")
-    shapes = some.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS)).cast("int").alias("chunks"), F.count("*").alias("m"))
-    want = some.join(shapes.where("m > 1"), "comp").select("set_id", "pick", "comp", "chunks", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"))
-    want = scratch.keep(want, "want")
     # The wanted sets grow with the input, so they are never broadcast.
-    picked = docs.join(want.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "set_id", "pick", "comp", "chunk", "chunks")
-    meets = gathered(picked, n).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    wanted = some.join(pivot_units(edges, some), "id")
+    picked = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("pick"))).select("text", "id", "set_id", "pick", "size", "units")
     # The order of nodes makes the smallest id the name of a component.
     node = F.struct(F.col("pick").isNull().alias("none"), "pick", "set_id").alias("node")
-    meets = meets.select("comp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", node, "grams")
-    meets = meets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    comp = components(spark, scratch.keep(units(meets, percent), "links"), scratch).select("id.set_id", F.col("comp.pick").alias("least"), F.lit(True).alias("linked"))
+    grams = scratch.keep(gathered(picked, n).select("id", "set_id", "size", node, "parts", "units"), "grams")
+    links = scratch.keep(pivot_links(grams, percent), "links")
+    near = components(spark, links, scratch)
+
+    labels = some.select("id", "comp", "size", node, "set_id").join(near.select(F.col("id").alias("of"), F.col("comp").alias("label")), F.col("node.set_id") == F.col("of.set_id"), "left")
+    labels = labels.withColumn("label", F.coalesce("label", "node"))
+    shapes = labels.groupBy("comp").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    tried = edges.join(some.groupBy(F.col("id").alias("a")).agg(F.min("comp").alias("comp")), "a").groupBy("comp").agg(F.count("*").alias("tried"))
+    untried = F.col("m") * (F.col("m") - 1) / 2 > F.coalesce("tried", F.lit(0))
+    still = shapes.where("low <> high").join(tried, "comp", "left").where(untried).select("comp")
+    open_ = scratch.keep(some.join(still, "comp", "left_semi").select("set_id", "comp", "size"), "open")
+    more = scratch.keep(chunk_links(open_, grams, percent), "more")
+    comp = components(spark, links.union(more), scratch).select("id.set_id", F.col("comp.pick").alias("least"), F.lit(True).alias("linked"))
 
     own = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"))
     names = own.join(comp, "set_id", "left").select("set_id", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component_id"))

@@ -182,6 +182,36 @@ def test_ngram_join_in_many_chunks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
 
 
+def test_sums_of_fragments_decide(spark, monkeypatch):
+    """Pairs are told apart by what they share in several fragments, summed; no fragment alone knows it."""
+    seen, plain = [], ngram_join.pivot_overlaps
+    monkeypatch.setattr(ngram_join, "pivot_overlaps", lambda rows: seen.append(plain(rows)) or seen[0])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ngram_join.jaccard_components(spark, docs, 4, 85)
+    words = {r.doc_id: re.findall("[^\x20\x09-\x0d]+", (r.text or "").translate(UPPER)) for r in docs.collect()}
+    grams = lambda d: {tuple(words[d][i : i + 4]) for i in range(max(1, len(words[d]) - 3))}
+    sums, n = {}, {}
+    for r in seen[0].collect():
+        k = (r.a.pick, r.b.pick)
+        sums[k], n[k] = sums.get(k, 0) + r.common, n.get(k, 0) + 1
+        assert r.common < len(grams(k[0]) & grams(k[1])) or len(grams(k[0])) < 20
+    assert len(sums) > 5 and max(n.values()) == ngram_join.FRAGMENTS
+    assert all(c == len(grams(a) & grams(b)) for (a, b), c in sums.items())
+
+
+def test_large_groups_of_near_copies_are_settled_by_pivots(spark, monkeypatch):
+    """Four hundred copies with one word changed each: as many pairs as copies, and none left to meet in chunks."""
+    met, pairs, chunks, plain = [], [], ngram_join.chunk_links, ngram_join.pivot_overlaps
+    monkeypatch.setattr(ngram_join, "chunk_links", lambda members, *rest: met.append(members.count()) or chunks(members, *rest))
+    monkeypatch.setattr(ngram_join, "pivot_overlaps", lambda rows: pairs.append(plain(rows)) or pairs[0])
+    base = prose(random.Random(3), 300).split()
+    rows = [(i, " ".join([*base[: i % 300], f"x{i}", *base[i % 300 + 1 :]])) for i in range(400)]
+    rows += [(7, rows[7][1]), (500, prose(random.Random(8), 40))]
+    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), 4, 85).collect()
+    assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
+    assert met == [0] and pairs[0].select("a", "b").distinct().count() < 3 * 400
+
+
 def test_ngram_join_of_null_ids_and_clashing_columns(spark):
     text = prose(random.Random(1), 30)
     rows = [(None, text, 1), (7, text, 2), (None, "alone " + prose(random.Random(2), 20), 3), (9, None, 4)]
