@@ -144,10 +144,10 @@ def r1_find_listings(t):
     return catalog.find_listings(t.listings, t.stores, " RING ", ["1", "2", "3"]).select("product_id", "chain", F.col("current_price").alias("price"))
 
 
-@query(f"WITH {FOUND} SELECT product_id, chain, CAST(current_price AS DOUBLE) AS price FROM found WHERE raw_name ILIKE '%an_que%o%' OR raw_brand ILIKE '%an_que%o%'")
+@query(f"WITH {FOUND} SELECT product_id, chain, CAST(current_price AS DOUBLE) AS price FROM found WHERE raw_name ILIKE '%_mall%gi_mo%' OR raw_brand ILIKE '%_mall%gi_mo%'")
 def r1_search_listings(t):
     postings = catalog.write_postings(t.listings, _keep(t))
-    return catalog.search_listings(t.listings, t.stores, postings, "AN_que%o").select("product_id", "chain", F.col("current_price").alias("price"))
+    return catalog.search_listings(t.listings, t.stores, postings, "_MALL%gi_mo").select("product_id", "chain", F.col("current_price").alias("price"))
 
 
 @query(
