@@ -200,16 +200,18 @@ def test_sums_of_fragments_decide(spark, monkeypatch):
 
 
 def test_large_groups_of_near_copies_are_settled_by_pivots(spark, monkeypatch):
-    """Four hundred copies with one word changed each: as many pairs as copies, and none left to meet in chunks."""
+    """Copies with one word changed each: a few pairs a copy, in proportion to their number, and none left to meet in chunks."""
     met, pairs, chunks, plain = [], [], ngram_join.chunk_links, ngram_join.pivot_overlaps
     monkeypatch.setattr(ngram_join, "chunk_links", lambda members, *rest: met.append(members.count()) or chunks(members, *rest))
-    monkeypatch.setattr(ngram_join, "pivot_overlaps", lambda rows: pairs.append(plain(rows)) or pairs[0])
+    monkeypatch.setattr(ngram_join, "pivot_overlaps", lambda rows: pairs.append(plain(rows)) or pairs[-1])
     base = prose(random.Random(3), 300).split()
-    rows = [(i, " ".join([*base[: i % 300], f"x{i}", *base[i % 300 + 1 :]])) for i in range(400)]
-    rows += [(7, rows[7][1]), (500, prose(random.Random(8), 40))]
-    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), 4, 85).collect()
-    assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
-    assert met == [0] and pairs[0].select("a", "b").distinct().count() < 3 * 400
+    for m in (100, 400):
+        rows = [(i, " ".join([*base[: i % 300], f"x{i}", *base[i % 300 + 1 :]])) for i in range(m)]
+        rows += [(7, rows[7][1]), (500, prose(random.Random(8), 40))]
+        got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, DOCS), 4, 85).collect()
+        assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
+    few, many = (p.select("a", "b").distinct().count() for p in pairs)
+    assert met == [0, 0] and many < 8 * few and many < 400 * 399 / 2 / 16
 
 
 def test_ngram_join_of_null_ids_and_clashing_columns(spark):
