@@ -1,20 +1,30 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are normalised (lower-cased, runs of other than letters and digits become one space). Equal lines, of
-any length, are one line from the start; two hashes tell lines apart. Of each line of at least ``MIN_WORDS``
-words a 64-bit SimHash of its distinct words is summed within its row, in longs of counters as wide as its
-number of words needs (repeated words would draw unlike lines of junk together). So texts of lines are neither
-written nor shuffled; those of pairs to verify are read again. Hashes that differ in at most three bits agree in two of five blocks, so lines meet in the
-buckets (length class, two blocks, their bits). A pair links if its hashes differ in at most ``BITS_APART``
-bits and its edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``. Of each connected
-group only the first occurrence, by doc_id and line number, stays.
-
-Large groups of near copies first meet one line of each bucket and become one component; then every pair of a
-bucket that lies in two components is compared, inside the join. All of it is DataFrame code.
+Lines are normalised (lower-cased, runs of other than letters and digits become one space, none beside a letter
+of ``UNSPACED`` scripts, each letter of which is a word). Equal lines, of any length, are one line from the
+start; two hashes tell lines apart. Lines of at least ``MIN_WORDS`` words meet in two kinds of blocks:
+
+- *Open segments.* A line is cut into ``SEGMENTS`` runs of words. Lines that agree in all but one run meet in the
+  hash of the rest, given only where the open run holds at most 1 - ``SIMILARITY`` of the line's letters: then
+  the edit distance of any two lines that meet cannot be above what is allowed, so all of them are linked,
+  each with the least of the block, without a pair or a distance more.
+- *SimHash.* A 64-bit SimHash of the line's distinct pairs of neighbouring words is summed within its row, in
+  longs of counters as wide as their number needs. Pairs of words tell lines of the same words in other orders
+  apart. Hashes that differ in at most three bits agree in two of five blocks, so lines meet in the buckets
+  (length class, two blocks, their bits). A pair that is not joined yet and differs in at most ``BITS_APART``
+  bits links if its edit similarity, 1 - distance / longer length, is at least ``SIMILARITY``.
+
+Of each connected group only the first occurrence, by doc_id and line number, stays. Every link is one of edit
+similarity. Lines whose edits lie in one run always meet (words of more than a fifth of the line apart); those
+with edits in several runs, or with a word more or less, only if their SimHashes are near.
+
+Within the SimHash buckets each line first meets one line of each; then every pair of a bucket that lies in two
+components is compared, inside the join. All of it is DataFrame code. Texts of lines are neither written nor
+shuffled; those of pairs to verify are read again.
 
 Defined cases: a null text has no lines; lines without letters and digits always stay; lines of fewer words
 only group with equal ones; rows that share an id are counted together, and occurrences that share id and
-number are decided alike; null ids are one id and come first; two lines of equal first and unequal second
+number are decided alike; null ids are one id and come first; lines of equal first and unequal second
 hash take no part in fuzzy links; texts and lines are read whole, of any length; repeated rows repeat their
 lines; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
@@ -30,14 +40,34 @@ from .common import Scratch, components, table, tune
 
 MIN_WORDS, BITS_APART, SIMILARITY = 5, 3, 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Lines of equal first and unequal second hash that are sent to all tasks; more are joined by a shuffle.
+TWINS = 100_000
 #: Letters of the pieces whose edit distances bound that of a pair from above.
 PIECE = 128
 #: Runs of other than letters and digits, but for a single space, which stays as it is.
 OTHER = "[^a-z\\p{L}\\p{Nd} ][^a-z\\p{L}\\p{Nd}]*| [^a-z\\p{L}\\p{Nd}]+"
 
 
+#: Runs of words of which one may stay open; half of what ``SIMILARITY`` allows, so that uneven words leave room.
+SEGMENTS = 10
+#: Letters of scripts that put no spaces between words.
+UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+BESIDE = f" (?:(?=[{UNSPACED}])|(?<=[{UNSPACED}] ))"
+BETWEEN = f"(?<=[{UNSPACED}])(?! |$)|(?<! |^)(?=[{UNSPACED}])"
+
+
+def closed(line: Column) -> Column:
+    """``line`` without spaces beside letters of ``UNSPACED`` scripts."""
+    return F.when(F.octet_length(line) == F.length(line), line).otherwise(F.regexp_replace(line, BESIDE, ""))
+
+
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), OTHER, " "))
+    return closed(F.trim(F.regexp_replace(F.lower(line), OTHER, " ")))
+
+
+def spaced(norm: Column) -> Column:
+    """``norm`` with a space between any two words, those of ``UNSPACED`` scripts being single letters; ``closed`` undoes it."""
+    return F.when(F.octet_length(norm) == F.length(norm), norm).otherwise(F.regexp_replace(norm, BETWEEN, " "))
 
 
 def ids(norm: Column) -> tuple[Column, Column]:
@@ -46,18 +76,42 @@ def ids(norm: Column) -> tuple[Column, Column]:
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, line_id, check, size, norm) of every line; line_id is null for lines that always stay, norm for those without fuzzy links."""
+    """(doc_id, line_no, line_id, check, size, view, n_words) of every line; line_id is null for lines that always stay, view, the spaced line, for those without fuzzy links."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("size", F.length("norm"))
+    each = each.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("size", F.length("norm")).withColumn("view", spaced(F.col("norm")))
     some = F.col("size") > 0
     line_id, check = ids(F.col("norm"))
     # A line of n words has n - 1 spaces.
-    fuzzy = F.col("size") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1
-    return each.select("doc_id", "line_no", F.when(some, line_id).alias("line_id"), F.when(some, check).alias("check"), "size", F.when(fuzzy, F.col("norm")).alias("norm"))
-
-
-def majority(words: Column, n: Column, lane: int) -> Column:
-    """The bits that more than half of the ``n`` words' hashes have, ``n`` below 1 << (lane - 2), counted in lanes of ``lane`` bits."""
+    each = each.withColumn("n_words", F.length("view") - F.length(F.replace("view", F.lit(" "))) + 1)
+    view = F.when(F.col("n_words") >= min_words, F.col("view")).alias("view")
+    return each.select("doc_id", "line_no", F.when(some, line_id).alias("line_id"), F.when(some, check).alias("check"), "size", view, "n_words")
+
+
+OPEN = [f"open_{i}" for i in range(SEGMENTS)]
+
+
+def open_segments(told: DataFrame) -> DataFrame:
+    """``told`` (view, size, n_words, ...) with a key for each segment left open, null where it is empty or holds too many letters."""
+    view, n = F.col("view"), F.col("n_words")
+    ends = [F.floor(n * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
+    before = [F.lit("")] + [F.call_function("substring_index", view, F.lit(" "), e) for e in ends[1:-1]] + [view]
+    cut = told.withColumns({f"_b{i}": c for i, c in enumerate(before)}).withColumns({f"_l{i}": F.length(f"_b{i}") for i in range(SEGMENTS + 1)})
+    plain = F.length(view) == F.col("size")
+    limit = F.floor(F.col("size") * F.lit(round(100 * (1 - SIMILARITY))) / 100)
+    keys = {}
+    for i, name in enumerate(OPEN):
+        first, last = F.col(f"_l{i}"), F.col(f"_l{i + 1}")
+        own = F.substr(view, first + 1, last - first)
+        # Beside unspaced letters the spaces at both ends may be there or not.
+        letters = F.when(plain, last - first - (first > 0).cast("int")).otherwise(F.length(closed(own)) + 2)
+        some = (ends[i] < ends[i + 1]) & (letters <= limit)
+        # The same words before and behind; equal text on either side of other boundaries is no danger, as it bounds the distance as well.
+        keys[name] = F.when(some, F.xxhash64(plain, F.col(f"_b{i}"), F.substr(view, last + 1, F.length(view))))
+    return cut.withColumns(keys).drop(*[f"_{c}{i}" for c in "bl" for i in range(SEGMENTS + 1)])
+
+
+def majority(hashes: Column, n: Column, lane: int) -> Column:
+    """The bits that more than half of the ``n`` hashes have, ``n`` below 1 << (lane - 2), counted in lanes of ``lane`` bits."""
     per = 64 // lane
     ones = sum(1 << lane * k for k in range(per))
     top = 1 << (lane - 2)
@@ -72,18 +126,28 @@ def majority(words: Column, n: Column, lane: int) -> Column:
             out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + fill, lane - 2).bitwiseAND(F.lit(ones)), j))
         return out
 
-    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, bits)
+    return F.aggregate(hashes, zero, add, bits)
 
 
 def simhashes(told: DataFrame, lane: int | None = None) -> DataFrame:
-    """``told`` with the SimHash of the distinct words of ``norm``, null for a null one; lanes follow the number of words unless given."""
-    words = told.withColumn("words", F.array_distinct(F.split("norm", " "))).withColumn("n_words", F.size("words"))
-    w, n = F.col("words"), F.col("n_words")
+    """``told`` with the SimHash of the distinct pairs of neighbouring words of ``view`` and its last word, null for a null one; lanes follow their number unless given."""
+    words = told.withColumn("words", F.split("view", " "))
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    marks = words.withColumn("marks", F.array_distinct(pairs)).withColumn("n_marks", F.size("marks"))
+    m, n = F.col("marks"), F.col("n_marks")
     if lane is None:
-        value = F.when(n < 1 << 6, majority(w, n, 8)).when(n < 1 << 14, majority(w, n, 16)).otherwise(majority(w, n, 32))
+        value = F.when(n < 1 << 6, majority(m, n, 8)).when(n < 1 << 14, majority(m, n, 16)).otherwise(majority(m, n, 32))
     else:
-        value = majority(w, n, lane)
-    return words.withColumn("simhash", F.when(F.col("norm").isNotNull(), value)).drop("words", "n_words")
+        value = majority(m, n, lane)
+    return marks.withColumn("simhash", F.when(F.col("view").isNotNull(), value)).drop("words", "marks", "n_marks")
+
+
+def stars(spark: SparkSession, firsts: DataFrame) -> DataFrame:
+    """(a, b): each line with the line of the least id of each of its open segments; all of them are linked."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = firsts.select(F.explode(F.array(*OPEN)).alias("key"), F.col("line_id").alias("b")).where("key is not null").repartition(spread, "key")
+    least = rows.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("key", "a")
+    return rows.join(least.hint("shuffle_hash"), "key").where("a <> b").select("a", "b").distinct()
 
 
 def members(hashes: DataFrame) -> DataFrame:
@@ -110,16 +174,21 @@ def crowds(spark: SparkSession, hashes: DataFrame) -> DataFrame:
     return rows.join(some.hint("shuffle_hash"), "bucket")
 
 
-def pivot_pairs(crowd: DataFrame) -> DataFrame:
-    """(a, b): each line with the line of the least id of each of its buckets, where they are near."""
-    pivots = crowd.groupBy("bucket").agg(F.min(F.struct(F.col("line_id").alias("a"), F.col("simhash").alias("h"))).alias("p")).select("bucket", "p.*")
-    near = (crowd["bucket"] == pivots["bucket"]) & (F.col("a") != F.col("line_id")) & (apart("simhash", "h") <= BITS_APART)
-    return crowd.join(pivots, near).select("a", F.col("line_id").alias("b")).distinct()
+def grouped(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+    """``crowd`` with the component of each line, itself where it has none."""
+    return crowd.join(comp, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
 
 
-def cross_pairs(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+def pivot_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each line with the line of the least id of each of its buckets, where they are near and lie in two components."""
+    least = F.min(F.struct(F.col("line_id").alias("a"), F.col("simhash").alias("h"), F.col("comp").alias("comp_a")))
+    pivots = rows.groupBy("bucket").agg(least.alias("p")).select("bucket", "p.*")
+    near = (rows["bucket"] == pivots["bucket"]) & (F.col("comp_a") != F.col("comp")) & (apart("simhash", "h") <= BITS_APART)
+    return rows.join(pivots, near).select("a", F.col("line_id").alias("b")).distinct()
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): all near pairs of a bucket that lie in two components."""
-    rows = crowd.join(comp, "line_id", "left").withColumn("comp", F.coalesce("comp", "line_id"))
     side = lambda c: rows.select("bucket", F.col("line_id").alias(c), F.col("simhash").alias(f"h_{c}"), F.col("comp").alias(f"comp_{c}"))
     a, b = side("a"), side("b")
     close = (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (apart("h_a", "h_b") <= BITS_APART)
@@ -171,11 +240,15 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     scratch = scratch or Scratch(spark, "line-dedup")
     docs = docs.select("doc_id", "text")
     # Texts of lines are neither written nor shuffled, but for those of the pairs to verify.
-    every = scratch.keep(simhashes(lines(docs)).select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size")), "lines")
+    told = simhashes(open_segments(lines(docs)))
+    every = scratch.keep(told.select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size"), *OPEN), "lines")
     known = every.where("line_id is not null")
-    figures = [F.first(c).alias(c) for c in ("simhash", "size")]
+    figures = [F.first(c).alias(c) for c in ("simhash", "size", *OPEN)]
     firsts = scratch.keep(known.groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *figures), "firsts")
-    hashes = firsts.groupBy("line_id").agg(F.count("*").alias("n"), *figures).where("n = 1 and simhash is not null").drop("n")
+    # Lines told apart by the second hash only have no fuzzy links.
+    twins = scratch.keep(firsts.groupBy("line_id").count().where("count > 1").select("line_id"), "twins")
+    single = firsts.join(F.broadcast(twins), "line_id", "left_anti") if twins.count() <= TWINS else firsts.join(twins, "line_id", "left_anti")
+    hashes = single.where("simhash is not null").select("line_id", "simhash", "size")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, "pairs")
@@ -187,17 +260,21 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
         spread = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
         return scratch.keep(similar(spread.join(side("a"), "a").join(side("b"), "b")), name).where("linked").select("a", "b")
 
+    def joined(links: DataFrame) -> DataFrame:
+        return components(spark, links, scratch).withColumnRenamed("id", "line_id")
+
+    comp = joined(stars(spark, single))
     crowd = scratch.keep(crowds(spark, hashes), "crowds")
-    links = verified(pivot_pairs(crowd), "links")
-    comp = components(spark, links, scratch).withColumnRenamed("id", "line_id")
-    more = verified(cross_pairs(crowd, comp), "more")
-    comp = components(spark, links.union(more), scratch).withColumnRenamed("id", "line_id")
+    for pairs, name in ((pivot_pairs, "links"), (cross_pairs, "more")):
+        links = verified(pairs(grouped(crowd, comp)), name)
+        if links.limit(1).count():
+            comp = joined(links.union(comp.select("line_id", "comp")))
 
     group = F.when(F.col("simhash").isNotNull(), F.coalesce("comp", "line_id")).otherwise(F.col("line_id"))
-    grouped = scratch.keep(firsts.join(comp, "line_id", "left").select("line_id", "check", group.alias("group_id"), "at"), "grouped")
+    placed = scratch.keep(firsts.join(comp, "line_id", "left").select("line_id", "check", group.alias("group_id"), "at"), "grouped")
     # Lines that share a group only by their first hash keep their own firsts.
-    joint = grouped.join(comp.select("line_id").distinct(), "line_id", "left_semi").groupBy("group_id").agg(F.min("at").alias("head"))
-    groups = grouped.join(joint, "group_id", "left").select("line_id", "check", "group_id", F.coalesce("head", "at").alias("head"))
+    joint = placed.join(comp.select("line_id").distinct(), "line_id", "left_semi").groupBy("group_id").agg(F.min("at").alias("head"))
+    groups = placed.join(joint, "group_id", "left").select("line_id", "check", "group_id", F.coalesce("head", "at").alias("head"))
     out = known.select("doc_id", "line_no", "line_id", "check").join(groups, ["line_id", "check"])
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
     free = every.where("line_id is null").select("doc_id", "line_no", F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("kept"))

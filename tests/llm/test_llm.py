@@ -560,10 +560,30 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(spark, docs.limit(0), [docs.limit(0)]).count() == 0
 
 
+def word_pairs(norm):
+    """The pairs of neighbouring words and the last word, with nothing behind it."""
+    words = norm.split()
+    return set(zip(words, words[1:] + [None]))
+
+
 def plain_simhash(norm, hashes):
-    """The SimHash by its definition, from the hashes of words alone."""
-    words = set(norm.split())
-    return sum(1 << i for i in range(64) if 2 * sum(hashes[w] >> i & 1 for w in words) > len(words))
+    """The SimHash by its definition, from the hashes of pairs of words alone."""
+    pairs = word_pairs(norm)
+    return sum(1 << i for i in range(64) if 2 * sum(hashes[w] >> i & 1 for w in pairs) > len(pairs))
+
+
+def pair_hashes(spark, norms):
+    pairs = sorted({w for x in norms for w in word_pairs(x)}, key=str)
+    df = spark.createDataFrame(pairs or [("x", None)], "x string, y string").select("x", "y", F.xxhash64("x", "y").alias("h"))
+    return {(r.x, r.y): r.h & 0xFFFFFFFFFFFFFFFF for r in df.collect()}
+
+
+def plain_open(norm):
+    """What stands before and behind each run of words that holds at most a fifth of the letters."""
+    words = norm.split()
+    ends = [len(words) * i // 10 for i in range(11)]
+    cut = [(tuple(words[:i]), tuple(words[j:])) for i, j in zip(ends, ends[1:]) if i < j and 5 * len(" ".join(words[i:j])) <= len(norm)]
+    return set(cut) if len(words) >= 5 else set()
 
 
 def plain_distance(a, b):
@@ -582,16 +602,16 @@ def plain_lines(spark, rows):
     for d, t in rows:
         for i, x in enumerate(t.split("\n") if t is not None else []):
             norm[d, i] = " ".join(re.findall(r"[^\W_]+", x.lower()))
-    words = sorted({w for x in norm.values() for w in x.split()})
-    df = spark.createDataFrame([(w,) for w in words] or [("x",)], "w string").select("w", F.xxhash64("w").alias("h"))
-    hashes = {r.w: r.h & 0xFFFFFFFFFFFFFFFF for r in df.collect()}
+    hashes = pair_hashes(spark, norm.values())
     distinct = sorted(set(norm.values()) - {""})
     sim = {x: plain_simhash(x, hashes) for x in distinct}
+    rest = {x: plain_open(x) for x in distinct}
     group = {x: x for x in distinct}
     find = lambda x: x if group[x] == x else find(group[x])
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if min(len(a.split()), len(b.split())) >= 5 and (sim[a] ^ sim[b]).bit_count() <= 3 and 5 * plain_distance(a, b) <= max(len(a), len(b)):
+            near = min(len(a.split()), len(b.split())) >= 5 and (sim[a] ^ sim[b]).bit_count() <= 3
+            if (near or rest[a] & rest[b]) and 5 * plain_distance(a, b) <= max(len(a), len(b)):
                 group[find(a)] = find(b)
     head = {}
     for k in sorted(norm, key=lambda k: (k[0] is not None, k[0] or 0, k[1])):
@@ -643,12 +663,72 @@ def test_line_dedup_of_repeated_rows_counts_each(spark):
 
 def test_simhash_of_lines_with_very_many_words(spark):
     line = " ".join(f"w{i}" for i in range(66_000))
-    told = spark.createDataFrame([(1, 1, len(line), line)], "line_id long, check long, size long, norm string")
-    words = spark.createDataFrame([(w,) for w in line.split()], "w string").select("w", F.xxhash64("w").alias("h"))
-    hashes = {r.w: r.h & 0xFFFFFFFFFFFFFFFF for r in words.collect()}
+    told = spark.createDataFrame([(1, 1, len(line), line)], "line_id long, check long, size long, view string")
+    hashes = pair_hashes(spark, [line])
     assert line_dedup.simhashes(told, 32).first().simhash & 0xFFFFFFFFFFFFFFFF == plain_simhash(line, hashes)
 
 
+def links_found(spark, pairs):
+    """For each pair of lines whether both end in one group."""
+    docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], DOCS)
+    group = {r.doc_id: r.group_id for r in line_dedup.decide(spark, docs).collect()}
+    return [group[2 * i] == group[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_lines_with_one_change_are_found_at_every_length(spark):
+    """Recall against edit similarity alone: one letter more, one word changed, one word's letters turned round."""
+    rng = random.Random(31)
+    made = []
+    for n in (8, 10, 20, 60, 300):
+        for i in range(60):
+            words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 8))) for _ in range(n)]
+            other, at = list(words), rng.randrange(n)
+            other[at] = (other[at] + "x", "changed", other[at][::-1] + "q")[i % 3]
+            pair = (" ".join(words), " ".join(other))
+            if 5 * plain_distance(*pair) <= max(map(len, pair)):
+                made.append((n, pair))
+    found = links_found(spark, [p for _, p in made])
+    for n in (8, 10, 20, 60, 300):
+        own = [f for (m, _), f in zip(made, found) if m == n]
+        assert len(own) > 40 and sum(own) >= 0.9 * len(own), n
+
+
+def test_lines_of_scripts_without_spaces_take_part(spark):
+    rng = random.Random(32)
+    pairs = []
+    for _ in range(40):
+        line = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+        at = rng.randrange(60)
+        pairs.append((line, line[:at] + "日" + line[at + 1 :]))
+    # Half of the letters differ, or spaces alone do.
+    far = [(b + a[:30] + c[30:], b + a[30:] + c[:30]) for (a, b), (c, _) in zip(pairs, pairs[1:])]
+    spaces = [(a[::-1], a[::-1][:20] + " " + a[::-1][20:]) for a, _ in pairs]
+    found = links_found(spark, pairs + far + spaces)
+    assert sum(found[:40]) >= 36 and not any(found[40:79]) and all(found[79:])
+
+
+def test_lines_of_the_same_words_in_other_orders_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(33)
+    words = prose(rng, 24).split()
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 24))) for i in range(200)], DOCS)
+    made, plain = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda both: made.append(both.count()) or plain(both))
+    got = line_dedup.decide(spark, docs).collect()
+    assert all(r.kept for r in got) and sum(made) < 1000
+
+
+def test_templates_with_an_own_part_make_no_pairs(spark, monkeypatch):
+    """Lines that differ in one long word are no near copies, and not compared one by one; a short word links them without a pair."""
+    rng = random.Random(34)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    docs = spark.createDataFrame([(i, f"user {word(30)} logged in from the terminal today at noon sharp") for i in range(300)], DOCS)
+    short = spark.createDataFrame([(i, f"user {word(7)} logged in from the terminal today at noon sharp") for i in range(300)], DOCS)
+    made, plain = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda both: made.append(both.count()) or plain(both))
+    assert sum(r.kept for r in line_dedup.decide(spark, docs).collect()) == 300 and sum(made) < 300
+    assert sum(r.kept for r in line_dedup.decide(spark, short).collect()) == 1 and sum(made) < 300
+
+
 def test_line_dedup_query_matches_brute_force_on_a_small_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 700").limit(40)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
