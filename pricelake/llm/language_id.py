@@ -11,8 +11,8 @@ models are a written table. Scoring takes it in shards of bounded size: everythi
 gram can fall back on lies in the shard of the gram's last character but one. A shard goes to all tasks as
 arrays sorted by the hash of the gram, one set for each language; a text's entropies are sums over shards. Few
 shards are one pass over the texts each.
-A text gets the language whose model gives the lowest cross-entropy a character. Entropies of a sample of
-training texts give for each language a bound; a text beyond it is marked as rejected and scores less.
+A text gets the language whose model gives the lowest cross-entropy a character. Entropies of all training
+texts give for each language a bound; a text beyond it is marked as rejected and scores less.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training texts every
 text is ``und``; ties go to the language first by name; repeated rows get equal results; texts are read
@@ -35,8 +35,8 @@ from .kernel import U, mix, texts
 from .labelled import held_out
 
 ORDER = 4
-#: Training texts of each language that set its bound, and standard deviations to it.
-CALIBRATION_ROWS, REJECT = 500, 4.0
+#: Standard deviations from the mean entropy of a language's texts to its bound.
+REJECT = 4.0
 #: Characters that count as evidence in a score, at most: a longer text is no surer than one of so many.
 EVIDENCE = 60
 #: Rows of the models that one shard holds, or about that.
@@ -287,14 +287,8 @@ def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD, scratch: Scr
 
 
 def calibrated(spark: SparkSession, m: Models, docs: DataFrame, scratch: Scratch) -> Models:
-    """The models with mean and deviation of the entropy of a bounded sample of each language's own texts."""
-    ids = docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("calibrate")).alias("h"))
-    pick = None
-    for lang in m.langs:
-        own = ids.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(CALIBRATION_ROWS)
-        pick = own if pick is None else pick.union(own)
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick.select("doc_id", "lang")), "doc_id").select("lang", "text")
-    each = entropies(spark, rows, m, scratch).where("some")
+    """The models with mean and deviation of the entropy of all of each language's own texts."""
+    each = entropies(spark, docs.select("lang", "text"), m, scratch).where("some")
     own = F.get("nats", F.array_position(F.array(*map(F.lit, m.langs)), F.col("lang")).cast("int") - 1)
     known = {r.lang: r for r in each.groupBy("lang").agg(F.avg(own).alias("m"), F.stddev_pop(own).alias("s")).collect()}
     mean = [known[x].m if x in known else 0.0 for x in m.langs]
