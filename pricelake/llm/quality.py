@@ -1,9 +1,10 @@
 """Quality by Bradley-Terry pairwise ranking.
 
 A text is some twenty figures of its form (shares of letters, symbols and capitals, repetition of words and
-lines, lengths), each spread over fixed soft steps. Pairs of a good and a bad labelled row are preferences;
-weights minimise the logistic loss on differences of the pair's features. The threshold is the quantile of
-scores on the sample that leaves below it the share of bad rows; scores are shifted so that it lies at 0.7.
+lines, lengths), each spread over fixed soft steps at quantiles of all labelled rows that are not held out. Pairs of a good and a
+bad one of these rows are preferences, and each row takes part in some; weights minimise the logistic loss on
+differences of the pair's features over all pairs, by sums that Spark makes. The threshold is the quantile of all
+these rows' scores that leaves below it the share of bad rows; scores are shifted so that it lies at 0.7.
 
 Defined cases: a null text is an empty one and has a score; without rows of both labels every score is 1;
 repeated rows get equal scores; other columns are ignored.
@@ -14,15 +15,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, table, tune
+from .common import SPACE_BYTES, Scratch, table, tune
 from .kernel import byte_table, lowered, segment_hashes, texts, word_bounds
-from .labelled import held_out, sample
+from .labelled import held_out, known
 
-#: Rows of each class that the fit sees at most, and preference pairs drawn from them.
-ROWS_PER_CLASS, PAIRS = 5000, 40_000
+#: Rows of the rarer label in a bucket of ids, about, and pairs that each row of a bucket's larger class takes part in.
+BUCKET, ROUNDS = 200, 2
 THRESHOLD = 0.7
+#: Penalty on squared weights; groups of sums that reach the driver; steps in which scores are counted.
+DECAY, GROUPS, BINS = 1e-4, 8, 1 << 16
 #: Places of the soft steps along a figure's range.
 STEPS = 12
 
@@ -95,9 +99,8 @@ def figures(column) -> np.ndarray:
 class Ranker:
     """score = weights on soft steps of the figures, shifted so that the threshold lies at THRESHOLD."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        # Steps lie at quantiles of the sample's figures, with the distance to the next as their width.
-        q = np.quantile(x, np.linspace(0, 1, STEPS), axis=0)
+    def __init__(self, q: np.ndarray) -> None:
+        # Steps lie at quantiles of the figures, with the distance to the next as their width.
         self.low, self.width = q[:-1], np.maximum(np.diff(q, axis=0), 1e-6)
         self.weight = np.zeros(self.low.size)
         self.cut, self.slope = 0.0, 1.0
@@ -114,52 +117,153 @@ class Ranker:
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x[:, None, :] - self.low) / self.width, 0, 1).reshape(len(x), -1)
 
-    def fit(self, x: np.ndarray, label: np.ndarray, bad_share: float, pairs: int = PAIRS, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> None:
-        rng = np.random.Generator(np.random.PCG64(11))
-        f = self.features(x)
-        good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-        better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
-        m, v = np.zeros_like(self.weight), np.zeros_like(self.weight)
-        for t in range(1, steps + 1):
-            pick = rng.integers(0, pairs, 2000)
-            d = f[better[pick]] - f[worse[pick]]
-            p = 1 / (1 + np.exp(np.clip(d @ self.weight, -30, 30)))
-            g = -(p[:, None] * d).mean(0) + decay * self.weight
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.weight -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        s = f @ self.weight
-        # Classes are weighed as they occur among all labelled rows.
-        w = np.where(label == 0, bad_share / len(bad), (1 - bad_share) / len(good))
-        order = np.argsort(s)
-        at = int(np.searchsorted(np.cumsum(w[order]), bad_share))
-        at = min(max(at, 1), len(s) - 1)
-        self.cut = float((s[order[at - 1]] + s[order[at]]) / 2)
-        self.slope = float(3 / max(1e-6, np.median(s[good]) - np.median(s[bad])))
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.features(x) @ self.weight
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = (self.features(x) @ self.weight - self.cut) * self.slope * 2 + np.log(THRESHOLD / (1 - THRESHOLD))
+        z = (self.raw(x) - self.cut) * self.slope * 2 + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, rows_per_class: int = ROWS_PER_CLASS) -> Ranker | None:
-    """A ranker fitted on a bounded sample of labelled rows that are not held out; None without both labels."""
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 20))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    """(doc_id, label, x) of every labelled row that is not held out and has a text: x holds its figures, so texts stay where they are."""
 
     def run(batches):
         for b in batches:
-            x = figures(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column("label"), b.column("doc_id")], ["x", "label", "doc_id"])
+            x = figures(b.column("text")).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return told.join(known(labels, "quality", modulus, remainder), "doc_id").select("doc_id", "label", "x")
+
+
+def quantiles(rows: DataFrame) -> np.ndarray:
+    """STEPS quantiles of each figure over all ``rows``, by counts of its values to 11 bits behind the leading one."""
+    value = F.col("v").cast("double")
+    scale = F.pow(F.lit(2.0), F.lit(11) - F.floor(F.log2(value)))
+    near = F.when(value > 0, F.floor(value * scale) / scale).otherwise(F.lit(0.0))
+    counts = rows.select(F.posexplode("x").alias("figure", "v")).groupBy("figure", near.alias("v")).agg(F.count("*").alias("n"))
+    own = W.partitionBy("figure")
+    place = counts.select("figure", "v", F.sum("n").over(own.orderBy("v")).alias("upto"), F.sum("n").over(own).alias("all"))
+    shares = [i / (STEPS - 1) for i in range(STEPS)]
+    least = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("all") * s)), F.col("v"))).alias(f"q{i}") for i, s in enumerate(shares)]
+    got = place.groupBy("figure").agg(*least).orderBy("figure").collect()
+    return np.array([list(r)[1:] for r in got]).T
+
+
+def pairs(rows: DataFrame, n: int) -> DataFrame:
+    """(good, bad): figures of preference pairs. Every row takes part: rows meet within buckets of ids, the smaller class of one goes round."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("order")
+        x, label = matrix(t.column("x").combine_chunks()).astype(np.float32), t.column("label").to_numpy()
+        good, bad = x[label == 1], x[label == 0]
+        m = max(len(good), len(bad)) if len(good) and len(bad) else 0
+        at = np.arange(m)
+        a = [good[at % len(good)] for _ in range(ROUNDS)] if m else []
+        b = [bad[(at + k) % len(bad)] for k in range(ROUNDS)] if m else []
+        lists = lambda rows: pa.array([r for part in rows for r in part], pa.list_(pa.float32()))
+        return pa.table([lists(a), lists(b)], ["good", "bad"])
+
+    key = F.xxhash64("doc_id")
+    spread = rows.select(F.pmod(key, F.lit(max(1, n // BUCKET))).alias("bucket"), F.xxhash64(F.lit(1), "doc_id", "x").alias("order"), "label", "x")
+    return spread.groupBy("bucket").applyInArrow(run, "good array<float>, bad array<float>").select("good", "bad")
+
+
+def newton(told: DataFrame, ranker: Ranker, decay: float = DECAY, rounds: int = 12) -> None:
+    """Minimises the mean logistic loss over all pairs ``told`` and decay / 2 * |weight|^2 by Newton's steps, each one pass over the pairs."""
+    size = len(ranker.weight)
+
+    def step(weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        state = {**vars(ranker), "weight": weight}
+
+        def run(batches):
+            r, n, loss, g, h = Ranker.of(state), 0, 0.0, np.zeros(size), np.zeros((size, size))
+            for b in batches:
+                d = r.features(matrix(b.column("good"))) - r.features(matrix(b.column("bad")))
+                z = np.clip(d @ r.weight, -30, 30)
+                p = 1 / (1 + np.exp(z))
+                n, loss = n + len(z), loss + np.log1p(np.exp(-z)).sum()
+                g, h = g - p @ d, h + (d * (p * (1 - p))[:, None]).T @ d
+            if n:
+                out = np.concatenate(([n, loss], g, h.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["sums"])
+
+        def total(t: pa.Table) -> pa.Table:
+            rows = matrix(t.sort_by("part").column("sums").combine_chunks())
+            return pa.table([pa.array([rows.sum(0)], pa.list_(pa.float64()))], ["sums"])
+
+        # A matrix a task; few groups of them reach the driver.
+        each = told.mapInArrow(run, "sums array<double>").withColumn("part", F.spark_partition_id())
+        parts = each.groupBy((F.col("part") % GROUPS).alias("group")).applyInArrow(total, "sums array<double>").toArrow()
+        got = matrix(parts.column("sums").combine_chunks())
+        sums = got[np.lexsort(got.T[::-1])].sum(0)
+        n, g, h = sums[0], sums[2 : 2 + size], sums[2 + size :].reshape(size, size)
+        return sums[1] / n + decay / 2 * weight @ weight, g / n + decay * weight, h / n + decay * np.eye(size)
+
+    weight = ranker.weight
+    loss, g, h = step(weight)
+    for _ in range(rounds):
+        move, part = np.linalg.solve(h, g), 1.0
+        if g @ move < 1e-7:
+            break
+        while True:
+            new = weight - part * move
+            told_new = step(new)
+            if told_new[0] <= loss or part < 1e-3:
+                break
+            part /= 2
+        weight, (loss, g, h) = new, told_new
+    ranker.weight = weight
+
+
+def calibrate(rows: DataFrame, ranker: Ranker, bad_share: float) -> None:
+    """The cut that leaves the share of bad rows below it, and the slope from the medians of both labels, by counts of all rows' scores in BINS steps."""
+    state = vars(ranker).copy()
+    # A score lies between the sums of the negative and of the positive weights.
+    low, high = float(np.minimum(ranker.weight, 0).sum()), float(np.maximum(ranker.weight, 0).sum())
+    width = max(high - low, 1e-9) / BINS
+
+    def run(batches):
+        r = Ranker.of(state)
+        for b in batches:
+            at = np.clip(np.floor((r.raw(matrix(b.column("x"))) - low) / width), 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("label")], ["at", "label"])
+
+    got = rows.select("x", "label").mapInArrow(run, "at int, label int").groupBy("label", "at").count().collect()
+    n = np.zeros((2, BINS))
+    for r in got:
+        n[r["label"], r["at"]] += r["count"]
+    both = np.cumsum(n.sum(0))
+    full = np.flatnonzero(n.sum(0))
+    # The middle between the last step of the share and the next one that holds rows.
+    last = int(np.searchsorted(both, bad_share * both[-1]))
+    after = full[full > last]
+    after = int(after[0]) if len(after) else last + 1
+    ranker.cut = low + ((last + 0.5) + (after + 0.5)) / 2 * width
+    median = [int(np.searchsorted(np.cumsum(c), c.sum() / 2)) for c in n]
+    ranker.slope = float(3 / max(1e-6, (median[1] - median[0]) * width))
+
 
-    rows = sample(docs, labels, "quality", modulus, remainder, rows_per_class)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"x array<double>, label int, doc_id {kind}").toArrow().to_pydict()
-    if len(set(got["label"])) < 2:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> Ranker | None:
+    """A ranker fitted on all labelled rows that are not held out; None without both labels."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    rows = scratch.keep(labelled(docs, labels, modulus, remainder), "rows")
+    count = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(count) < 2:
         return None
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), modulus, remainder))
-    bad_share = usable.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
-    order = np.argsort(np.array(got["doc_id"], dtype=object), kind="stable")
-    x, label = np.array(got["x"])[order], np.array(got["label"])[order]
-    r = Ranker(x)
-    r.fit(x, label, bad_share)
+    r = Ranker(quantiles(rows))
+    told = scratch.keep(pairs(rows, min(count.values())), "pairs")
+    newton(told, r)
+    calibrate(rows, r, count[0] / (count[0] + count[1]))
     return r
 
 
