@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,22 +245,28 @@ class Cards(HTMLParser):
 
 
 def freshchoice_cards(raw: DataFrame) -> DataFrame:
-    """The texts of the cards of FreshChoice pages, read page by page in small Arrow batches."""
+    """The texts of the cards of FreshChoice pages, read page by page; other columns stay Arrow."""
     own = [f for f in raw.schema if f.name != "payload"]
+    names = [c for c in CARD_COLUMNS if c not in ("seq", "next")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, seq, nexts, cards = [], [], [], []
+            for i, payload in enumerate(b.column("payload").to_pylist()):
                 page = Cards()
-                page.feed(r.get("payload") or "")
+                page.feed(payload or "")
                 page.close()
-                for i, c in enumerate(page.cards):
-                    rows.append({**{f.name: r[f.name] for f in own}, "seq": i, "next": page.next, **c})
-            yield pd.DataFrame(rows, columns=[*(f.name for f in own), *CARD_COLUMNS], dtype=object)
+                n = len(page.cards)
+                at += [i] * n
+                seq += range(n)
+                nexts += [page.next] * n
+                cards += page.cards
+            rows = pa.array(at, pa.int32())
+            texts = {"seq": pa.array(seq, pa.int64()), **{c: pa.array([x.get(c) for x in cards], pa.string()) for c in names}, "next": pa.array(nexts, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(rows) for f in own), *(texts[c] for c in CARD_COLUMNS)], [*(f.name for f in own), *CARD_COLUMNS])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "seq long", *(f"{c} string" for c in CARD_COLUMNS if c != "seq")])
-    return raw.mapInPandas(run, fields)
+    return raw.mapInArrow(run, fields)
 
 
 def _text(c: str) -> Column:

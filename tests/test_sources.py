@@ -94,3 +94,20 @@ def test_runs_that_are_not_retained_are_never_opened(spark, tmp_path):
         f.unlink()  # whoever opens it now fails
     assert sorted((r.payload, r.page) for r in df.collect()) == [('{"scope": "edge case"}', 3), ('{"scope": "new"}', 3)]
     assert archive.read_retained(spark, root, datetime(2027, 1, 1, tzinfo=UTC)).count() == 0
+
+
+def test_payloads_of_a_small_file_are_parsed_by_several_tasks(spark):
+    from pricelake.plans.derive import Tables
+    from pricelake.plans.queries import QUERIES, _parts
+
+    sf = "/root/testdata/sf0.001"
+    used = _parts(Tables(spark, sf)).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert QUERIES["p9_parse_freshchoice"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_freshchoice_keeps_all_columns_of_pages_with_several_cards(spark):
+    card = "<div class='talker' id='line_{0}'><span class='talker__product-name'>n{0}</span><strong class='price__sell'>$1.50</strong></div>"
+    rows = [(1, [1.5], card.format("a") + card.format("b") + "<a rel='next' href='/2'>"), (2, None, None), (3, [], card.format("c"))]
+    got = parse_freshchoice(spark.createDataFrame([(k, "meat", v, p) for k, v, p in rows], "k long, scope string, v array<double>, payload string")).collect()
+    assert sorted((r.k, r.v, r.seq, r.sku, r.name, float(r.price)) for r in got) == [(1, [1.5], 0, "a", "na", 1.5), (1, [1.5], 1, "b", "nb", 1.5), (3, [], 0, "c", "nc", 1.5)]
