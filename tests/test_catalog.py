@@ -72,3 +72,15 @@ def test_the_last_page_reads_its_own_range_only(spark, tmp_path):
 def test_pages_of_an_empty_table(spark, tmp_path):
     index = catalog.PageIndex(spark.range(0).toDF("id"), [F.col("id")], scratch_keep(spark))
     assert index.figures() == (0, 0, False) and index.page().count() == 0
+
+
+def test_postings_do_not_grow_with_listings_of_the_same_texts(spark):
+    rows = [(f"p{i}", "s1", "Oat milk", None if i % 2 else "Harbour", None, True) for i in range(50)]
+    listings = spark.createDataFrame(rows, LISTINGS.replace("decimal(10,2)", "string")).withColumn("current_price", F.lit(1).cast("decimal(10,2)"))
+    stores = spark.createDataFrame([("s1", "c", "n", "b", True)], STORES)
+    postings = catalog.write_postings(listings, scratch_keep(spark))
+    assert postings.count() == len("Oat milk") - 2 + len("Harbour") - 2
+    # Listings that share an id stay apart, and one found by name and brand comes once.
+    again = listings.union(listings)
+    assert catalog.search_listings(again, stores, postings, "arb").count() == 50
+    assert catalog.search_listings(again, stores, postings, "milk").count() == 100
