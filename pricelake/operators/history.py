@@ -57,8 +57,18 @@ def price_as_of(queries: DataFrame, snapshots: DataFrame, keep: Keep | None = No
     return both.where("kind_ = 1").select(*queries.columns, F.col("state_.price").alias("price"), F.col("state_.since").alias("since"))
 
 
-def promo_windows(snapshots: DataFrame) -> DataFrame:
-    """Observed periods of a promotion: runs of snapshots of one type, until the next snapshot of another."""
+#: Snapshots that a task of ``promo_windows`` takes, about.
+ROWS_A_TASK = 500_000
+
+
+def promo_windows(snapshots: DataFrame, rows: int | None = None) -> DataFrame:
+    """Observed periods of a promotion: runs of snapshots of one type, until the next snapshot of another.
+
+    Where it is known about how many ``rows`` there are, the number of tasks follows it, so that none holds more of
+    them as the table grows.
+    """
+    if rows is not None:
+        snapshots = snapshots.repartition(max(snapshots.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), "product_id")
     w = W.partitionBy("product_id").orderBy("captured_at")
     new = F.when(F.col("promo_type").eqNullSafe(F.lag("promo_type").over(w)), 0).otherwise(1)
     rows = snapshots.withColumns({"new": new, "until": F.lead("captured_at").over(w)})
