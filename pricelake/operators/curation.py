@@ -63,21 +63,26 @@ def apply_manual_links(listings: DataFrame, candidates: DataFrame, items: DataFr
 
 
 def _cycles(edges: DataFrame, keep: Keep) -> DataFrame:
-    """(source_id, nr) of the last request of each cycle of ``edges`` (source_id, to_id, nr), of which a source has one.
+    """(source_id, nr) of the last request of each cycle of ``edges`` (source_id, to_id, nr), of which a source has one; no two share nr.
 
-    Pointers double, each with the least source and the last request on its way, until they are longer than there are
-    edges. Where one ends that is still a source lies on a cycle, and its way has been all around.
+    Pointers double, each with the least item that it comes to and the last request on its way. Ways around a cycle are
+    whole once a doubling lowers no least item: shorter ones, laid end to end, would come to the cycle's least one. So
+    the rounds follow the longest way, not the number of edges. A source that is the least item its own way comes to
+    lies on a cycle, and is the only such one of it.
     """
     name, n = f"cycles-{uuid.uuid4().hex}", edges.count()
-    way = keep(edges.select("source_id", F.col("to_id").alias("end"), F.col("source_id").alias("low"), F.col("nr").alias("last")), f"{name}-0")
+    way = keep(edges.select("source_id", F.col("to_id").alias("end"), F.col("to_id").alias("low"), F.col("nr").alias("last")), f"{name}-0")
     for step in range(1, max(1, n).bit_length() + 1):
         nxt = way.select(F.col("source_id").alias("end"), F.col("end").alias("end2"), F.col("low").alias("low2"), F.col("last").alias("last2"))
         # Ways that have left the sources are done.
-        way = keep(way.join(nxt, "end").select("source_id", F.col("end2").alias("end"), F.least("low", "low2").alias("low"), F.greatest("last", "last2").alias("last")), f"{name}-{step}")
-        if not way.limit(1).count():
+        longer = way.join(nxt, "end").select("source_id", F.col("end2").alias("end"), F.least("low", "low2").alias("low"), F.greatest("last", "last2").alias("last"), (F.col("low2") < F.col("low")).alias("lower"))
+        way = keep(longer, f"{name}-{step}")
+        left = way.agg(F.count("*").alias("n"), F.count_if("lower").alias("lower")).first()
+        if not left["n"]:
             return edges.select("source_id", "nr").limit(0)
-    on = way.join(way.select(F.col("end").alias("source_id")).distinct(), "source_id", "left_semi")
-    return edges.select("source_id", "nr").join(on.select("source_id", "last"), "source_id").where("nr = last").select("source_id", "nr")
+        if not left["lower"]:
+            break
+    return edges.join(way.where("source_id = low").select(F.col("last").alias("nr")), "nr", "left_semi").select("source_id", "nr")
 
 
 def apply_item_merges(items: DataFrame, listings: DataFrame, candidates: DataFrame, pairs: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

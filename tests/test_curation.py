@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pricelake.operators import catalog, categories, curation
 from pricelake.operators.matching import ITEM
+from pricelake.sources.tables import scratch_keep
 
 NODES = "category_id string, kind string, name string, slug string, path string, parent_id string, is_archived boolean"
 LISTINGS = "product_id string, item_id string"
@@ -139,3 +140,29 @@ def test_places_number_the_whole_table(spark, tmp_path):
     df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
     got = {r.id: r.place for r in catalog.placed(df, [df["k"].desc(), df["id"]], keep).collect()}
     assert got == {i: n for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)), 1)}
+
+
+def test_cycles_of_any_graph_in_rounds_of_their_own_length(spark):
+    rng, n = random.Random(7), 400
+    to = {i: rng.randrange(1, n + 40) for i in range(1, n)}
+    to |= {1000 + i: 1000 + (i + 1) % 37 for i in range(37)} | {2000 + i: 2000 + (i ^ 1) for i in range(600)}
+    order = {s: rng.randrange(10**6) for s in to}
+    want = set()
+    for s in to:
+        x, way = s, []
+        while x in to and x not in way:
+            way.append(x)
+            x = to[x]
+        if x in to:
+            want.add(max(way[way.index(x) :], key=lambda y: (order[y], y)))
+    edges = spark.createDataFrame([(str(s), str(t), (order[s], s)) for s, t in to.items()], "source_id string, to_id string, nr struct<no: long, id: long>")
+    made = []
+
+    def keep(df, name):
+        made.append(name)
+        return scratch_keep(spark)(df, name)
+
+    assert {int(r.source_id) for r in curation._cycles(edges, keep).collect()} == want and len(want) > 300
+    made.clear()
+    short = edges.where("nr.id >= 2000")
+    assert curation._cycles(short, keep).count() == 300 and len(made) == 3
