@@ -33,7 +33,13 @@ def ranged(rows: DataFrame, keys: list[str], order: list[str], keep: Keep, range
 def _carried(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """(range_, keys, carry_): the last ``value`` before the range of each key that lies in several ranges."""
     at = F.struct(*order)
-    ends = rows.groupBy("range_", *keys).agg(F.max_by(value, F.when(value.isNotNull(), at)).alias("end_"))
+    # A key goes on into a later range only as the last one of its own, so no more keys than ranges are grouped.
+    last = rows.groupBy("range_").agg(F.max(F.struct(*keys)).alias("k_")).select("k_").distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"k_.{k}"))
+    open_ = rows.join(F.broadcast(last), same, "left_semi")
+    ends = open_.groupBy("range_", *keys).agg(F.max_by(value, F.when(value.isNotNull(), at)).alias("end_"))
     earlier = W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.withColumn("carry_", F.last("end_", ignorenulls=True).over(earlier))
     return ends.where("carry_ is not null").select("range_", *keys, "carry_")
