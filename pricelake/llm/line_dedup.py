@@ -31,6 +31,9 @@ lines; an empty table gives an empty result; other columns, whatever their names
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,18 +59,28 @@ BESIDE = f" (?:(?=[{UNSPACED}])|(?<=[{UNSPACED}] ))"
 BETWEEN = f"(?<=[{UNSPACED}])(?! |$)|(?<! |^)(?=[{UNSPACED}])"
 
 
-def closed(line: Column) -> Column:
-    """``line`` without spaces beside letters of ``UNSPACED`` scripts."""
-    return F.when(F.octet_length(line) == F.length(line), line).otherwise(F.regexp_replace(line, BESIDE, ""))
+#: No letter of those scripts comes before Thai; a range is told faster than a script.
+MAY_BE_UNSPACED = "[\\x{E00}-\\x{10FFFF}]"
+
 
+def others(line: Column) -> Column:
+    """Whether ``line`` may hold letters of ``UNSPACED`` scripts."""
+    return (F.octet_length(line) > F.length(line)) & line.rlike(MAY_BE_UNSPACED)
 
-def normal(line: Column) -> Column:
-    return closed(F.trim(F.regexp_replace(F.lower(line), OTHER, " ")))
+
+def closed(line: Column) -> Column:
+    """``line`` without spaces beside letters of ``UNSPACED`` scripts."""
+    return F.when(others(line), F.regexp_replace(line, BESIDE, "")).otherwise(line)
 
 
 def spaced(norm: Column) -> Column:
     """``norm`` with a space between any two words, those of ``UNSPACED`` scripts being single letters; ``closed`` undoes it."""
-    return F.when(F.octet_length(norm) == F.length(norm), norm).otherwise(F.regexp_replace(norm, BETWEEN, " "))
+    return F.when(others(norm), F.regexp_replace(norm, BETWEEN, " ")).otherwise(norm)
+
+
+def normalised(each: DataFrame) -> DataFrame:
+    """``each`` (line, ...) with norm, the normalised line, in its place; a column a step, so that each is computed once."""
+    return each.withColumn("norm", F.trim(F.regexp_replace(F.lower("line"), OTHER, " "))).withColumn("norm", closed(F.col("norm"))).drop("line")
 
 
 def ids(norm: Column) -> tuple[Column, Column]:
@@ -78,7 +91,7 @@ def ids(norm: Column) -> tuple[Column, Column]:
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, line_id, check, size, view, n_words) of every line; line_id is null for lines that always stay, view, the spaced line, for those without fuzzy links."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("size", F.length("norm")).withColumn("view", spaced(F.col("norm")))
+    each = normalised(each).withColumn("size", F.length("norm")).withColumn("view", spaced(F.col("norm")))
     some = F.col("size") > 0
     line_id, check = ids(F.col("norm"))
     # A line of n words has n - 1 spaces.
@@ -92,54 +105,80 @@ OPEN = [f"open_{i}" for i in range(SEGMENTS)]
 
 def open_segments(told: DataFrame) -> DataFrame:
     """``told`` (view, size, n_words, ...) with a key for each segment left open, null where it is empty or holds too many letters."""
-    view, n = F.col("view"), F.col("n_words")
+    n = F.col("n_words")
     ends = [F.floor(n * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
-    before = [F.lit("")] + [F.call_function("substring_index", view, F.lit(" "), e) for e in ends[1:-1]] + [view]
-    cut = told.withColumns({f"_b{i}": c for i, c in enumerate(before)}).withColumns({f"_l{i}": F.length(f"_b{i}") for i in range(SEGMENTS + 1)})
-    plain = F.length(view) == F.col("size")
+    # Segments are cut as bytes, which lie where they are told; letters would be counted from the start each time.
+    at = [F.lit(0)] + [F.octet_length(F.call_function("substring_index", "view", F.lit(" "), e)) for e in ends[1:-1]] + [F.octet_length("view")]
+    figures = {"_all": F.col("view").cast("binary"), "_plain": F.length("view") == F.col("size"), "_ascii": F.length("view") == F.octet_length("view")}
+    cut = told.withColumns(figures | {f"_at{i}": x for i, x in enumerate(at)})
     limit = F.floor(F.col("size") * F.lit(round(100 * (1 - SIMILARITY))) / 100)
     keys = {}
     for i, name in enumerate(OPEN):
-        first, last = F.col(f"_l{i}"), F.col(f"_l{i + 1}")
-        own = F.substr(view, first + 1, last - first)
+        last = F.col(f"_at{i + 1}")
+        first = F.col(f"_at{i}") + (F.col(f"_at{i}") > 0).cast("int")
+        own = F.substr("_all", first + 1, last - first).cast("string")
         # Beside unspaced letters the spaces at both ends may be there or not.
-        letters = F.when(plain, last - first - (first > 0).cast("int")).otherwise(F.length(closed(own)) + 2)
+        letters = F.when(F.col("_ascii"), last - first).when(F.col("_plain"), F.length(own)).otherwise(F.length(closed(own)) + 2)
         some = (ends[i] < ends[i + 1]) & (letters <= limit)
         # The same words before and behind; equal text on either side of other boundaries is no danger, as it bounds the distance as well.
-        keys[name] = F.when(some, F.xxhash64(plain, F.col(f"_b{i}"), F.substr(view, last + 1, F.length(view))))
-    return cut.withColumns(keys).drop(*[f"_{c}{i}" for c in "bl" for i in range(SEGMENTS + 1)])
+        keys[name] = F.when(some, F.xxhash64("_plain", F.substr("_all", F.lit(1), first), F.substr("_all", last + 1, F.octet_length("_all"))))
+    return cut.withColumns(keys).drop("_all", "_plain", "_ascii", *[f"_at{i}" for i in range(SEGMENTS + 1)])
+
+
+def over_half(sums: list[Column], n: Column, lane: int) -> Column:
+    """The bits that ``sums``, counts of bits in lanes of ``lane`` bits, give more than half of ``n``, which is below 1 << (lane - 2)."""
+    ones = sum(1 << lane * k for k in range(64 // lane))
+    # A count beyond n / 2 carries into the second highest bit of its lane; no sum reaches the highest.
+    fill = (F.lit((1 << (lane - 2)) - 1) - F.floor(n / 2)).cast("long") * F.lit(ones)
+    out = F.lit(0).cast("long")
+    for j, x in enumerate(sums):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(x + fill, lane - 2).bitwiseAND(F.lit(ones)), j))
+    return out
 
 
 def majority(hashes: Column, n: Column, lane: int) -> Column:
     """The bits that more than half of the ``n`` hashes have, ``n`` below 1 << (lane - 2), counted in lanes of ``lane`` bits."""
-    per = 64 // lane
-    ones = sum(1 << lane * k for k in range(per))
-    top = 1 << (lane - 2)
+    ones = sum(1 << lane * k for k in range(64 // lane))
     zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(lane)])
     add = lambda acc, h: F.struct(*[(acc[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))).alias(f"s{j}") for j in range(lane)])
+    return F.aggregate(hashes, zero, add, lambda acc: over_half([acc[f"s{j}"] for j in range(lane)], n, lane))
+
+
+#: Hashes that one row of the sums below takes in, and how many of a line still fit its lanes.
+CHUNK, LANE = 16, 16
+FULL = 1 << (LANE - 2)
 
-    def bits(acc: Column) -> Column:
-        # A count beyond n / 2 carries into the second highest bit of its lane; no sum reaches the highest.
-        fill = (F.lit(top - 1) - F.floor(n / 2)).cast("long") * F.lit(ones)
-        out = F.lit(0).cast("long")
-        for j in range(lane):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(acc[f"s{j}"] + fill, lane - 2).bitwiseAND(F.lit(ones)), j))
-        return out
 
-    return F.aggregate(hashes, zero, add, bits)
+def chunk_sums() -> list[Column]:
+    """How many of the hashes ``_h0`` to ``_h15`` have each bit, in lanes of ``LANE`` bits."""
+    bytes_, shorts = sum(1 << 8 * k for k in range(8)), sum(255 << LANE * k for k in range(64 // LANE))
+    add = lambda x, y: x + y
+    bits = [reduce(add, [F.shiftrightunsigned(f"_h{k}", j).bitwiseAND(F.lit(bytes_)) for k in range(CHUNK)]) for j in range(8)]
+    return [F.shiftrightunsigned(bits[j % 8], 8 * (j // 8)).bitwiseAND(F.lit(shorts)) for j in range(LANE)]
 
 
 def simhashes(told: DataFrame, lane: int | None = None) -> DataFrame:
-    """``told`` with the SimHash of the distinct pairs of neighbouring words of ``view`` and its last word, null for a null one; lanes follow their number unless given."""
-    words = told.withColumn("words", F.split("view", " "))
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-    marks = words.withColumn("marks", F.array_distinct(pairs)).withColumn("n_marks", F.size("marks"))
-    m, n = F.col("marks"), F.col("n_marks")
-    if lane is None:
-        value = F.when(n < 1 << 6, majority(m, n, 8)).when(n < 1 << 14, majority(m, n, 16)).otherwise(majority(m, n, 32))
-    else:
-        value = majority(m, n, lane)
-    return marks.withColumn("simhash", F.when(F.col("view").isNotNull(), value)).drop("words", "marks", "n_marks")
+    """``told`` with the SimHash of the distinct pairs of neighbouring words of ``view`` and its last word, null for a null one.
+
+    Bits are counted by chunks of hashes, and the chunks of a row are summed, in generated code; rows are told apart
+    by a number of their own, so chunks meet within their task. Lines of more than ``FULL`` pairs, or all if a lane is
+    given, are summed within an expression.
+    """
+    words = told.withColumn("_words", F.split("view", " "))
+    pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    marks = words.withColumn("_marks", F.array_distinct(pairs)).drop("_words").withColumn("_n", F.size("_marks"))
+    m, n = F.col("_marks"), F.col("_n")
+    if lane is not None:
+        return marks.withColumn("simhash", F.when(F.col("view").isNotNull(), majority(m, n, lane))).drop("_marks", "_n")
+    wide = marks.withColumn("_wide", F.when(n >= FULL, majority(m, n, 32))).withColumn("_row", F.monotonically_increasing_id())
+    last = F.when(F.col("_wide").isNull(), F.floor((n - 1) / CHUNK)).otherwise(0)
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
+    chunks = wide.withColumn("_c", F.explode(F.transform(starts, lambda c: F.slice(m, c * CHUNK + 1, CHUNK)))).drop("_marks")
+    taken = chunks.withColumns({f"_h{k}": F.coalesce(F.get("_c", F.lit(k)), F.lit(0).cast("long")) for k in range(CHUNK)})
+    sums = taken.withColumns({f"_s{j}": x for j, x in enumerate(chunk_sums())})
+    kept = [c for c in told.columns if c != "view"]
+    each = sums.groupBy("_row").agg(*[F.first(c).alias(c) for c in (*kept, "_n", "_wide")], *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(LANE)])
+    return each.withColumn("simhash", F.when(n > 0, F.coalesce("_wide", over_half([F.col(f"_s{j}") for j in range(LANE)], n, LANE)))).select(*kept, "simhash")
 
 
 def stars(spark: SparkSession, firsts: DataFrame) -> DataFrame:
@@ -154,10 +193,12 @@ def members(hashes: DataFrame) -> DataFrame:
     """``hashes`` (line_id, simhash, size, ...) with a bucket for each pair of blocks, in the line's length class and the next if that may hold a partner."""
     own = F.floor(F.log2("size")).cast("long")
     partner = F.floor(F.log2(F.col("size") / F.lit(SIMILARITY))).cast("long")
-    part = lambda i: F.shiftrightunsigned("simhash", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1))
-    key = [F.struct(F.lit(10 * i + j).alias("t"), part(i).alias("x"), part(j).alias("y")) for i, j in combinations(range(len(BLOCKS)), 2)]
-    each = hashes.withColumn("c", F.explode(F.array_distinct(F.array(own, partner)))).withColumn("k", F.explode(F.array(*key)))
-    return each.select(F.xxhash64("c", "k.t", "k.x", "k.y").alias("bucket"), *hashes.columns)
+    mask = lambda i: ((1 << BLOCKS[i][1]) - 1) << BLOCKS[i][0]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    # One long a bucket, so that nothing is built for each but its hash.
+    key = [F.xxhash64(F.col("c") * 16 + t, F.col("simhash").bitwiseAND(signed(mask(i) | mask(j)))) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    each = hashes.withColumn("c", F.explode(F.array_distinct(F.array(own, partner))))
+    return each.select(F.explode(F.array(*key)).alias("bucket"), *hashes.columns)
 
 
 def apart(a: str, b: str) -> Column:
@@ -200,11 +241,11 @@ def texts_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
     wanted = spots.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("line_id").alias("i"), "check")
     held = docs.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     each = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("i", "check", normal(F.col("line")).alias("norm"))
-    # Rows that share an id have several lines of one number.
+    each = normalised(each.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("i", "check", "line"))
+    # Rows that share an id have several lines of one number. A filter would become a key of the join and hash every line of the texts.
     line_id, check = ids(F.col("norm"))
-    each = each.where((line_id == F.col("i")) & (check == F.col("check")))
-    return each.groupBy(F.col("i").alias("line_id")).agg(F.first("norm").alias("norm")).withColumn("n", F.length("norm"))
+    own = F.when((line_id == F.col("i")) & (check == F.col("check")), F.col("norm"))
+    return each.groupBy(F.col("i").alias("line_id")).agg(F.first(own, ignorenulls=True).alias("norm")).withColumn("n", F.length("norm"))
 
 
 def similar(both: DataFrame) -> DataFrame:
@@ -234,6 +275,18 @@ def similar(both: DataFrame) -> DataFrame:
     return cut.select("a", "b", F.when(alike, linked).otherwise(False).alias("linked"))
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Within, a stage whose one method would be too long for the JVM to compile is made of several."""
+    name, limit = "spark.sql.codegen.hugeMethodLimit", 8000
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(limit, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no, group_id, kept) of every line of ``docs`` (doc_id, text); group_id is null for lines that always stay."""
     tune(spark)
@@ -241,14 +294,21 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     docs = docs.select("doc_id", "text")
     # Texts of lines are neither written nor shuffled, but for those of the pairs to verify.
     told = simhashes(open_segments(lines(docs)))
-    every = scratch.keep(told.select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size"), *OPEN), "lines")
-    known = every.where("line_id is not null")
+    told = told.select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size"), *OPEN)
+    with compiled(spark):
+        wide = scratch.keep(told, "lines")
     figures = [F.first(c).alias(c) for c in ("simhash", "size", *OPEN)]
-    firsts = scratch.keep(known.groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *figures), "firsts")
+    met = wide.where("line_id is not null").groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *figures)
+    segments = scratch.keep(met, "segments")
+    # The keys of open segments are most of both tables; they go as soon as they have met.
+    every = scratch.keep(wide.select("doc_id", "line_no", "line_id", "check"), "every")
+    scratch.drop(wide)
+    known = every.where("line_id is not null")
+    firsts = scratch.keep(segments.select("line_id", "check", "at", "simhash", "size"), "firsts")
     # Lines told apart by the second hash only have no fuzzy links.
     twins = scratch.keep(firsts.groupBy("line_id").count().where("count > 1").select("line_id"), "twins")
-    single = firsts.join(F.broadcast(twins), "line_id", "left_anti") if twins.count() <= TWINS else firsts.join(twins, "line_id", "left_anti")
-    hashes = single.where("simhash is not null").select("line_id", "simhash", "size")
+    few = F.broadcast(twins) if twins.count() <= TWINS else twins
+    hashes = firsts.join(few, "line_id", "left_anti").where("simhash is not null").select("line_id", "simhash", "size")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(pairs, "pairs")
@@ -263,12 +323,14 @@ def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     def joined(links: DataFrame) -> DataFrame:
         return components(spark, links, scratch).withColumnRenamed("id", "line_id")
 
-    comp = joined(stars(spark, single))
+    comp = joined(stars(spark, segments.join(few, "line_id", "left_anti")))
+    scratch.drop(segments)
     crowd = scratch.keep(crowds(spark, hashes), "crowds")
     for pairs, name in ((pivot_pairs, "links"), (cross_pairs, "more")):
         links = verified(pairs(grouped(crowd, comp)), name)
         if links.limit(1).count():
             comp = joined(links.union(comp.select("line_id", "comp")))
+    scratch.drop(crowd)
 
     group = F.when(F.col("simhash").isNotNull(), F.coalesce("comp", "line_id")).otherwise(F.col("line_id"))
     placed = scratch.keep(firsts.join(comp, "line_id", "left").select("line_id", "check", group.alias("group_id"), "at"), "grouped")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -668,6 +669,28 @@ def test_simhash_of_lines_with_very_many_words(spark):
     assert line_dedup.simhashes(told, 32).first().simhash & 0xFFFFFFFFFFFFFFFF == plain_simhash(line, hashes)
 
 
+def test_simhashes_summed_by_chunks_are_those_of_the_definition(spark):
+    """Around the sizes of chunks and lanes, with repeated pairs, next to the sums within one expression."""
+    rng = random.Random(35)
+    made = [" ".join(f"w{rng.randrange(2 * n)}" for _ in range(n)) for n in (5, 15, 16, 17, 31, 32, 33, 300, 16_383, 16_384, 16_385)] + ["a b " * 40 + "c", "x " * 20 + "x", None]
+    told = spark.createDataFrame([(i, x and len(x), x) for i, x in enumerate(made)], "line_id long, size long, view string")
+    hashes = pair_hashes(spark, [x for x in made if x])
+    want = {i: None if x is None else plain_simhash(x, hashes) for i, x in enumerate(made)}
+    assert {r.line_id: r.simhash if r.simhash is None else r.simhash & 0xFFFFFFFFFFFFFFFF for r in line_dedup.simhashes(told).collect()} == want
+
+
+def test_line_dedup_sums_hashes_in_rows_and_drops_the_keys_of_segments(spark, monkeypatch):
+    """Only lines of very many words are summed by an interpreted expression; wide tables go once their keys have met."""
+    told = line_dedup.simhashes(spark.createDataFrame([(1, 20, "one two three four five")], "line_id long, size long, view string"))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven {x}") for i, x in enumerate("abc")], DOCS)
+    scratch = Scratch(spark, "t")
+    got = line_dedup.decide(spark, docs, scratch).collect()
+    assert sum(r.kept for r in got) == 1 and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+    wide = [p for p in Path(scratch.path.removeprefix("file:")).iterdir() if any("open_0" in f.read_bytes().decode("latin1") for f in p.glob("*.parquet"))]
+    assert not wide and list(Path(scratch.path.removeprefix("file:")).iterdir())
+
+
 def links_found(spark, pairs):
     """For each pair of lines whether both end in one group."""
     docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], DOCS)
