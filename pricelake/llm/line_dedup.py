@@ -242,7 +242,7 @@ def texts_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
     held = docs.join(wanted.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     each = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = normalised(each.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))).select("i", "check", "line"))
-    # Rows that share an id have several lines of one number. A filter would become a key of the join and hash every line of the texts.
+    # Rows that share an id have several lines of one number. A filter may become a key of the join and hash every line of the texts.
     line_id, check = ids(F.col("norm"))
     own = F.when((line_id == F.col("i")) & (check == F.col("check")), F.col("norm"))
     return each.groupBy(F.col("i").alias("line_id")).agg(F.first(own, ignorenulls=True).alias("norm")).withColumn("n", F.length("norm"))
