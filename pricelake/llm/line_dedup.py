@@ -31,13 +31,15 @@ lines; an empty table gives an empty result; other columns, whatever their names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from .common import Scratch, components, table, tune
 
@@ -49,6 +51,10 @@ TWINS = 100_000
 PIECE = 128
 #: Runs of other than letters and digits, but for a single space, which stays as it is.
 OTHER = "[^a-z\\p{L}\\p{Nd} ][^a-z\\p{L}\\p{Nd}]*| [^a-z\\p{L}\\p{Nd}]+"
+#: All such runs, single spaces among them.
+BETWEEN_WORDS = "[^\\p{L}\\p{Nd}]+"
+#: The same in ASCII, where ranges are told faster.
+BETWEEN_PLAIN_WORDS = "[^a-z0-9]+"
 
 
 #: Runs of words of which one may stay open; half of what ``SIMILARITY`` allows, so that uneven words leave room.
@@ -78,9 +84,14 @@ def spaced(norm: Column) -> Column:
     return F.when(others(norm), F.regexp_replace(norm, BETWEEN, " ")).otherwise(norm)
 
 
+def spaces(lower: Column) -> Column:
+    """``lower``, a line in lower case, with one space in place of each run of other than letters and digits, none at the ends."""
+    return F.trim(F.regexp_replace(lower, OTHER, " "))
+
+
 def normalised(each: DataFrame) -> DataFrame:
     """``each`` (line, ...) with norm, the normalised line, in its place; a column a step, so that each is computed once."""
-    return each.withColumn("norm", F.trim(F.regexp_replace(F.lower("line"), OTHER, " "))).withColumn("norm", closed(F.col("norm"))).drop("line")
+    return each.withColumn("norm", spaces(F.lower("line"))).withColumn("norm", closed(F.col("norm"))).drop("line")
 
 
 def ids(norm: Column) -> tuple[Column, Column]:
@@ -89,40 +100,49 @@ def ids(norm: Column) -> tuple[Column, Column]:
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, line_id, check, size, view, n_words) of every line; line_id is null for lines that always stay, view, the spaced line, for those without fuzzy links."""
+    """(doc_id, line_no, line_id, check, size, view, words, n_words, letters) of every line; line_id is null for lines that always stay, view, the spaced line, and its words for those without fuzzy links; letters are those of the spaced line."""
     each = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = normalised(each).withColumn("size", F.length("norm")).withColumn("view", spaced(F.col("norm")))
+    # Lines are cut into words at once, which join to the normalised line; only those that may hold letters of other scripts are normalised first.
+    each = each.withColumn("line", F.lower("line")).withColumn("_other", F.when(others(F.col("line")), closed(spaces(F.col("line")))))
+    plain = F.octet_length("line") == F.length("line")
+    own = F.array_remove(F.when(plain, F.split("line", BETWEEN_PLAIN_WORDS)).otherwise(F.split("line", BETWEEN_WORDS)), "")
+    each = each.withColumn("words", F.when(F.col("_other").isNotNull(), F.split(spaced(F.col("_other")), " ")).otherwise(own)).drop("line")
+    each = each.withColumn("view", F.array_join("words", " ")).withColumn("norm", F.coalesce("_other", "view")).withColumn("size", F.length("norm"))
+    # Letters are counted once: other lines are their views.
+    each = each.withColumn("letters", F.when(F.col("_other").isNull(), F.col("size")).otherwise(F.length("view")))
     some = F.col("size") > 0
     line_id, check = ids(F.col("norm"))
-    # A line of n words has n - 1 spaces.
-    each = each.withColumn("n_words", F.length("view") - F.length(F.replace("view", F.lit(" "))) + 1)
-    view = F.when(F.col("n_words") >= min_words, F.col("view")).alias("view")
-    return each.select("doc_id", "line_no", F.when(some, line_id).alias("line_id"), F.when(some, check).alias("check"), "size", view, "n_words")
+    each = each.withColumn("n_words", F.size("words"))
+    fuzzy = [F.when(F.col("n_words") >= min_words, F.col(c)).alias(c) for c in ("view", "words")]
+    return each.select("doc_id", "line_no", F.when(some, line_id).alias("line_id"), F.when(some, check).alias("check"), "size", *fuzzy, "n_words", "letters")
 
 
 OPEN = [f"open_{i}" for i in range(SEGMENTS)]
 
 
 def open_segments(told: DataFrame) -> DataFrame:
-    """``told`` (view, size, n_words, ...) with a key for each segment left open, null where it is empty or holds too many letters."""
+    """``told`` (view, words, size, n_words, letters, ...) with a key for each segment left open, null where it is empty or holds too many letters."""
     n = F.col("n_words")
     ends = [F.floor(n * i / SEGMENTS).cast("int") for i in range(SEGMENTS + 1)]
-    # Segments are cut as bytes, which lie where they are told; letters would be counted from the start each time.
-    at = [F.lit(0)] + [F.octet_length(F.call_function("substring_index", "view", F.lit(" "), e)) for e in ends[1:-1]] + [F.octet_length("view")]
-    figures = {"_all": F.col("view").cast("binary"), "_plain": F.length("view") == F.col("size"), "_ascii": F.length("view") == F.octet_length("view")}
-    cut = told.withColumns(figures | {f"_at{i}": x for i, x in enumerate(at)})
+    own = [F.array_join(F.slice("words", ends[i] + 1, ends[i + 1] - ends[i]), " ") for i in range(SEGMENTS)]
+    figures = {"_plain": F.col("letters") == F.col("size"), "_ascii": F.col("letters") == F.octet_length("view")}
+    # Segments are told as bytes, which lie where they are told; letters would be counted from the start each time. A space follows each but empty ones.
+    sizes = {f"_size{i}": F.octet_length(own[i]) + (ends[i] < ends[i + 1]).cast("int") for i in range(SEGMENTS)}
+    lengths = {f"_letters{i}": F.length(own[i]) for i in range(SEGMENTS)}
+    cut = told.withColumns(figures | sizes | lengths)
+    bytes_ = F.col("view").cast("binary")
     limit = F.floor(F.col("size") * F.lit(round(100 * (1 - SIMILARITY))) / 100)
     keys = {}
+    first = F.lit(0)
     for i, name in enumerate(OPEN):
-        last = F.col(f"_at{i + 1}")
-        first = F.col(f"_at{i}") + (F.col(f"_at{i}") > 0).cast("int")
-        own = F.substr("_all", first + 1, last - first).cast("string")
+        size, length = F.col(f"_size{i}"), F.col(f"_letters{i}")
         # Beside unspaced letters the spaces at both ends may be there or not.
-        letters = F.when(F.col("_ascii"), last - first).when(F.col("_plain"), F.length(own)).otherwise(F.length(closed(own)) + 2)
-        some = (ends[i] < ends[i + 1]) & (letters <= limit)
+        letters = F.when(F.col("_ascii") | F.col("_plain"), length).otherwise(F.length(closed(own[i])) + 2)
         # The same words before and behind; equal text on either side of other boundaries is no danger, as it bounds the distance as well.
-        keys[name] = F.when(some, F.xxhash64("_plain", F.substr("_all", F.lit(1), first), F.substr("_all", last + 1, F.octet_length("_all"))))
-    return cut.withColumns(keys).drop("_all", "_plain", "_ascii", *[f"_at{i}" for i in range(SEGMENTS + 1)])
+        key = F.xxhash64("_plain", F.substr(bytes_, F.lit(1), first), F.substr(bytes_, first + size, F.octet_length("view")))
+        keys[name] = F.when((size > 0) & (letters <= limit), key)
+        first = first + size
+    return cut.withColumns(keys).drop(*figures, *sizes, *lengths)
 
 
 def over_half(sums: list[Column], n: Column, lane: int) -> Column:
@@ -144,47 +164,79 @@ def majority(hashes: Column, n: Column, lane: int) -> Column:
     return F.aggregate(hashes, zero, add, lambda acc: over_half([acc[f"s{j}"] for j in range(lane)], n, lane))
 
 
-#: Hashes that one row of the sums below takes in, and how many of a line still fit its lanes.
-CHUNK, LANE = 16, 16
+#: Hashes that one row of the sums below takes in, the lanes of its sums, and how many hashes of a line still fit them.
+CHUNK, LANE = 126, 16
 FULL = 1 << (LANE - 2)
+SUMS = [f"_s{j}" for j in range(LANE)]
+
+
+def summed(taken: DataFrame, names: list[str]) -> DataFrame:
+    """``taken`` with ``SUMS``, how many of the longs ``names`` (126 at most) have each bit, in lanes of ``LANE`` bits.
+
+    Bits are added in lanes of 4, 8 and 16 bits, at each width as many longs as leave the highest bit of a lane free.
+    """
+    held, width, most = {0: names}, 1, 1
+    for wide in (4, 8, LANE):
+        group = ((1 << wide - 1) - 1) // most
+        mask = F.lit(sum(((1 << width) - 1) << wide * k for k in range(64 // wide)))
+        made, columns = {}, {}
+        for r, own in held.items():
+            for at in range(r, wide, width):
+                parts = [F.shiftrightunsigned(c, at - r).bitwiseAND(mask) for c in own]
+                made[at] = [f"_s{at}" if wide == LANE else f"_x{wide}_{at}_{g}" for g in range(-(-len(parts) // group))]
+                columns |= {c: reduce(add, parts[g * group : (g + 1) * group]) for g, c in enumerate(made[at])}
+        # A column a step, so that each is computed once; those of the width before go.
+        taken = taken.withColumns(columns).drop(*chain(*held.values()))
+        held, width, most = made, wide, most * group
+    return taken
+
+
+def chunk_rows(told: DataFrame) -> DataFrame:
+    """``told`` (view or words, ...) with the SimHash of each line of at most ``CHUNK`` pairs; longer ones have a row for each chunk of theirs, with its ``SUMS``."""
+    words = told if "words" in told.columns else told.withColumn("words", F.split("view", " "))
+    words = words.withColumn("_next", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))))
+    pairs = F.zip_with("words", "_next", lambda x, y: F.xxhash64(x, y))
+    kept = [c for c in told.columns if c not in ("view", "words")]
+    marks = words.withColumn("_marks", F.array_distinct(pairs)).select(*kept, "_marks").withColumn("_n", F.size("_marks"))
+    m, n = F.col("_marks"), F.col("_n")
+    several = (n > CHUNK) & (n < FULL)
+    rows = marks.withColumn("_wide", F.when(n >= FULL, majority(m, n, 32))).withColumn("_row", F.monotonically_increasing_id())
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(m, c * CHUNK + 1, CHUNK))
+    rows = rows.select(*kept, "_n", "_wide", "_row", F.posexplode(F.when(several, cut).otherwise(F.array(m))).alias("_chunk", "_c"))
+    names = [f"_h{k}" for k in range(CHUNK)]
+    taken = rows.withColumns({c: F.coalesce(F.get("_c", F.lit(k)), F.lit(0).cast("long")) for k, c in enumerate(names)}).drop("_c")
+    whole = F.when((n > 0) & ~several, F.coalesce("_wide", over_half([F.col(c) for c in SUMS], n, LANE))).alias("simhash")
+    return summed(taken, names).select(*kept, "_n", "_row", "_chunk", several.alias("_several"), whole, *[F.when(several, F.col(c)).alias(c) for c in SUMS])
 
 
-def chunk_sums() -> list[Column]:
-    """How many of the hashes ``_h0`` to ``_h15`` have each bit, in lanes of ``LANE`` bits."""
-    bytes_, shorts = sum(1 << 8 * k for k in range(8)), sum(255 << LANE * k for k in range(64 // LANE))
-    add = lambda x, y: x + y
-    bits = [reduce(add, [F.shiftrightunsigned(f"_h{k}", j).bitwiseAND(F.lit(bytes_)) for k in range(CHUNK)]) for j in range(8)]
-    return [F.shiftrightunsigned(bits[j % 8], 8 * (j // 8)).bitwiseAND(F.lit(shorts)) for j in range(LANE)]
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """One row, with its SimHash, of each line of ``rows``, those of ``chunk_rows``."""
+    kept = [c for c in rows.columns if not c.startswith("_") and c != "simhash"]
+    each = rows.where("_several").groupBy("_row").agg(*[F.first(c).alias(c) for c in (*kept, "_n")], *[F.sum(c).alias(c) for c in SUMS])
+    joint = each.withColumn("simhash", over_half([F.col(c) for c in SUMS], F.col("_n"), LANE))
+    return rows.where("not coalesce(_several, false)").select(*kept, "simhash").union(joint.select(*kept, "simhash"))
 
 
 def simhashes(told: DataFrame, lane: int | None = None) -> DataFrame:
     """``told`` with the SimHash of the distinct pairs of neighbouring words of ``view`` and its last word, null for a null one.
 
-    Bits are counted by chunks of hashes, and the chunks of a row are summed, in generated code; rows are told apart
-    by a number of their own, so chunks meet within their task. Lines of more than ``FULL`` pairs, or all if a lane is
-    given, are summed within an expression.
+    Bits are counted in columns of a row; only lines of more than ``CHUNK`` pairs have several rows, told apart by a
+    number of their own, whose counts are summed. Lines of more than ``FULL`` pairs, or all if a lane is given, are
+    summed within an expression.
     """
+    if lane is None:
+        return whole_rows(chunk_rows(told))
     words = told.withColumn("_words", F.split("view", " "))
     pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     marks = words.withColumn("_marks", F.array_distinct(pairs)).drop("_words").withColumn("_n", F.size("_marks"))
-    m, n = F.col("_marks"), F.col("_n")
-    if lane is not None:
-        return marks.withColumn("simhash", F.when(F.col("view").isNotNull(), majority(m, n, lane))).drop("_marks", "_n")
-    wide = marks.withColumn("_wide", F.when(n >= FULL, majority(m, n, 32))).withColumn("_row", F.monotonically_increasing_id())
-    last = F.when(F.col("_wide").isNull(), F.floor((n - 1) / CHUNK)).otherwise(0)
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
-    chunks = wide.withColumn("_c", F.explode(F.transform(starts, lambda c: F.slice(m, c * CHUNK + 1, CHUNK)))).drop("_marks")
-    taken = chunks.withColumns({f"_h{k}": F.coalesce(F.get("_c", F.lit(k)), F.lit(0).cast("long")) for k in range(CHUNK)})
-    sums = taken.withColumns({f"_s{j}": x for j, x in enumerate(chunk_sums())})
-    kept = [c for c in told.columns if c != "view"]
-    each = sums.groupBy("_row").agg(*[F.first(c).alias(c) for c in (*kept, "_n", "_wide")], *[F.sum(f"_s{j}").alias(f"_s{j}") for j in range(LANE)])
-    return each.withColumn("simhash", F.when(n > 0, F.coalesce("_wide", over_half([F.col(f"_s{j}") for j in range(LANE)], n, LANE)))).select(*kept, "simhash")
+    return marks.withColumn("simhash", F.when(F.col("view").isNotNull(), majority(F.col("_marks"), F.col("_n"), lane))).drop("_marks", "_n")
 
 
 def stars(spark: SparkSession, firsts: DataFrame) -> DataFrame:
     """(a, b): each line with the line of the least id of each of its open segments; all of them are linked."""
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = firsts.select(F.explode(F.array(*OPEN)).alias("key"), F.col("line_id").alias("b")).where("key is not null").repartition(spread, "key")
+    rows = firsts.select(F.explode(F.array(*OPEN)).alias("key"), F.col("line_id").alias("b")).where("key is not null and b is not null").repartition(spread, "key")
+    # One exchange serves both sides of the join: neither asks for rows or columns that the other doesn't.
     least = rows.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("key", "a")
     return rows.join(least.hint("shuffle_hash"), "key").where("a <> b").select("a", "b").distinct()
 
@@ -208,9 +260,9 @@ def apart(a: str, b: str) -> Column:
 def crowds(spark: SparkSession, hashes: DataFrame) -> DataFrame:
     """(bucket, line_id, simhash) of the buckets of three lines or more, and of those of two near ones."""
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange serves the figures of buckets and the rows that they are joined with.
-    rows = members(hashes).select("bucket", "line_id", "simhash").repartition(spread, "bucket")
-    figures = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("simhash").alias("least"), F.max("simhash").alias("most"))
+    # One exchange serves the figures of buckets and the rows that they are joined with, so the figures ask for the same columns.
+    rows = members(hashes).select("bucket", "line_id", "simhash").where("bucket is not null").repartition(spread, "bucket")
+    figures = rows.groupBy("bucket").agg(F.count("line_id").alias("n"), F.min("simhash").alias("least"), F.max("simhash").alias("most"))
     some = figures.where((F.col("n") > 2) | (F.col("n") == 2) & (apart("least", "most") <= BITS_APART)).select("bucket")
     return rows.join(some.hint("shuffle_hash"), "bucket")
 
@@ -287,24 +339,37 @@ def compiled(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def place_of(docs: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
+    """What orders lines (doc_id, line_no) by id, null first, and number, and how it is told as (doc_id, line_no): a long where ids leave room, which takes no sort to group by."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, LongType | IntegerType):
+        least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if least is None or least >= 0 and most < (1 << 32) - 1:
+            place = F.shiftleft(F.coalesce(F.col("doc_id").cast("long") + 1, F.lit(0)), 31).bitwiseOR(F.col("line_no").cast("long"))
+            doc = lambda p: F.nullif(F.shiftright(p, 31), F.lit(0)) - 1
+            return place, lambda p: F.struct(doc(p).cast(kind).alias("doc_id"), p.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
+    return F.struct("doc_id", "line_no"), lambda p: p
+
+
 def decide(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, line_no, group_id, kept) of every line of ``docs`` (doc_id, text); group_id is null for lines that always stay."""
     tune(spark)
     scratch = scratch or Scratch(spark, "line-dedup")
     docs = docs.select("doc_id", "text")
     # Texts of lines are neither written nor shuffled, but for those of the pairs to verify.
-    told = simhashes(open_segments(lines(docs)))
-    told = told.select("doc_id", "line_no", "line_id", "check", "simhash", F.when(F.col("simhash").isNotNull(), F.col("size")).alias("size"), *OPEN)
+    told = chunk_rows(open_segments(lines(docs)))
     with compiled(spark):
-        wide = scratch.keep(told, "lines")
+        rows = scratch.keep(told.drop("n_words", "letters"), "lines", dictionary=False)
+    wide = whole_rows(rows).withColumn("size", F.when(F.col("simhash").isNotNull(), F.col("size")))
     figures = [F.first(c).alias(c) for c in ("simhash", "size", *OPEN)]
-    met = wide.where("line_id is not null").groupBy("line_id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), *figures)
-    segments = scratch.keep(met, "segments")
+    place, told_as = place_of(docs)
+    met = wide.where("line_id is not null").groupBy("line_id", "check").agg(F.min(place).alias("at"), *figures).withColumn("at", told_as(F.col("at")))
+    segments = scratch.keep(met, "segments", dictionary=False)
     # The keys of open segments are most of both tables; they go as soon as they have met.
-    every = scratch.keep(wide.select("doc_id", "line_no", "line_id", "check"), "every")
-    scratch.drop(wide)
+    every = scratch.keep(rows.where("_chunk = 0").select("doc_id", "line_no", "line_id", "check"), "every", dictionary=False)
+    scratch.drop(rows)
     known = every.where("line_id is not null")
-    firsts = scratch.keep(segments.select("line_id", "check", "at", "simhash", "size"), "firsts")
+    firsts = scratch.keep(segments.select("line_id", "check", "at", "simhash", "size"), "firsts", dictionary=False)
     # Lines told apart by the second hash only have no fuzzy links.
     twins = scratch.keep(firsts.groupBy("line_id").count().where("count > 1").select("line_id"), "twins")
     few = F.broadcast(twins) if twins.count() <= TWINS else twins

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 from collections import Counter
 from pathlib import Path
 
@@ -691,6 +692,30 @@ def test_line_dedup_sums_hashes_in_rows_and_drops_the_keys_of_segments(spark, mo
     assert not wide and list(Path(scratch.path.removeprefix("file:")).iterdir())
 
 
+def test_lines_take_a_row_of_sums_and_one_exchange_of_keys(spark):
+    """Only lines of over 126 words are summed over rows; sums hold when every hash has every bit; buckets are dealt once, and firsts are found without a sort."""
+    made = [" ".join(f"w{i}" for i in range(n)) for n in (5, 126, 127, 300)]
+    told = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(made)], "line_id long, size long, view string")
+    rows = line_dedup.chunk_rows(told).groupBy("line_id").count().collect()
+    assert {r.line_id: r["count"] for r in rows} == {0: 1, 1: 1, 2: 2, 3: 3}
+    names = [f"h{i}" for i in range(126)]
+    full = spark.range(1).select(*[F.lit(-1).cast("long").alias(c) for c in names])
+    sums = line_dedup.summed(full, names).first()
+    assert all(sums[c] == sum(126 << 16 * k for k in range(4)) for c in line_dedup.SUMS)
+    spark.range(2000).select(F.col("id").alias("line_id"), F.xxhash64(F.col("id") % 900).alias("simhash"), F.lit(40).alias("size")).write.parquet(path := tempfile.mkdtemp() + "/h")
+    crowd = line_dedup.crowds(spark, spark.read.parquet(path))
+    assert crowd.count() > 0 and len(crowd.collect()) > 0 and "ReusedExchange" in crowd._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_lines_of_any_ids(spark):
+    """Ids that leave no room beside a line's number, below zero or null, order lines as small ones do."""
+    text = "one two three four five six\nseven eight\nseven eight"
+    for ids in ([3, None, 7], [2**32 - 2, 5], [2**32 - 1, 5], [2**62, 2**40], [-5, 4, None, -(2**62)], [None]):
+        rows = [(i, text) for i in ids]
+        got = line_dedup.decide(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.line_no): r.kept for r in got} == plain_lines(spark, rows) and len(got) == 3 * len(ids)
+
+
 def links_found(spark, pairs):
     """For each pair of lines whether both end in one group."""
     docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], DOCS)
