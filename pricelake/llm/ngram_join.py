@@ -415,8 +415,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     untried = F.col("m") * (F.col("m") - 1) / 2 > F.coalesce("tried", F.lit(0))
     still = shapes.where("low <> high").join(tried, "comp", "left").where(untried).select("comp")
     open_ = scratch.keep(some.join(still, "comp", "left_semi").select("set_id", "comp", "size"), "open")
-    more = scratch.keep(chunk_links(open_, grams, percent), "more")
-    comp = components(spark, links.union(more), scratch).select("id.set_id", F.col("comp.pick").alias("least"), F.lit(True).alias("linked"))
+    # Only open blocks join more than the pairs with pivots have; what these have joined is told by each set's component.
+    more = chunk_links(open_, grams, percent)
+    if open_.limit(1).count():
+        joined = near.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        near = components(spark, joined.union(scratch.keep(more, "more")), scratch)
+    comp = near.select("id.set_id", F.col("comp.pick").alias("least"), F.lit(True).alias("linked"))
 
     own = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("own"))
     names = own.join(comp, "set_id", "left").select("set_id", F.when(F.col("linked"), F.col("least")).otherwise(F.col("own")).alias("component_id"))
